@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm import mixing, near_dedup, sharding
-from cartolith.llm.common import table
+from cartolith.llm import bpe, mixing, near_dedup, quality, sharding, token_counts
+from cartolith.llm.common import table, written
 
 #: Production parameters of op1: seed, exponent of the target weights, tokens out against tokens in.
 MIX = {"seed": 7, "smoothing": 0.7, "budget": 1.0}
@@ -34,17 +34,40 @@ SELECT doc_id, source, unnest(range(0, n_copies))::INT AS copy, n_copies::INT AS
 """
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and n_tokens of every document, counted in flat token files that are written from documents first."""
+    blocks = written(token_counts.token_blocks(table(spark, sf_dir, "documents")), "token-files")
+    counts = token_counts.separator_scan(blocks, separator=50256)
+    return counts.join(token_counts.document_order(blocks), ["file", "ordinal"]).select("doc_id", "n_tokens", "closed")
+
+
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, and SHA-256 of the ids and of the text decoded from them."""
+    out = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts, the bare rules' verdict and the trees' verdict on every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_token_counts": op2_token_counts,
+    "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
 }
 
