@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm import bpe, mixing, near_dedup, quality, sharding, token_counts
+from cartolith.llm import bpe, language, mixing, near_dedup, quality, sharding, token_counts, topk, toxicity
 from cartolith.llm.common import table, written
 
 #: Production parameters of op1: seed, exponent of the target weights, tokens out against tokens in.
@@ -52,6 +52,38 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+OP6_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+    list_sum(list_transform(range(1, least(len(q.w), len(c.w)) + 1), lambda i: q.w[i] * c.w[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def _crc(name: str) -> Column:
+    return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(_crc("doc_id") % 3 != 1))
+    return language.identify(docs, model).select("doc_id", (_crc("doc_id") % 3 == 1).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(_crc("doc_id") % 5 != 0))
+    return toxicity.score(docs, model).select("doc_id", (_crc("doc_id") % 5 == 0).alias("held_out"), "score", "predicted", "n_segments", "best_segment")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base counts, the bare rules' verdict and the trees' verdict on every document."""
     docs = table(spark, sf_dir, "documents")
@@ -67,8 +99,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op6_exact_topk": op6_exact_topk,
+    "op7_language": op7_language,
+    "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
 }
 
-ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op6_exact_topk": OP6_SQL}
