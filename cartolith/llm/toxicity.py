@@ -9,7 +9,6 @@ adds up, and a logistic curve fitted on the sample turns it into a probability.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,9 +20,9 @@ from pyspark.sql import functions as F
 from cartolith.llm.common import byte_rows, word_hashes, written
 
 #: Bounds of the training sample (labelled rows of each class, the smallest by hash of doc_id) and of the word list.
-SAMPLE, WORDS = 10_000, 20_000
-#: Least z of a word that counts, and words of fewer documents that don't.
-LEAST_Z, LEAST_DOCS = 3.0, 3
+SAMPLE, WORDS = 6_000, 20_000
+#: Least z and least log-odds of a word that counts, and how many different words must precede it in toxic texts.
+LEAST_Z, LEAST_DELTA, LEAST_USES = 3.5, 2.0, 4
 DRIFT, SIGNIFICANT = -0.25, 0.05
 
 _FLAT = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
@@ -94,35 +93,31 @@ def maximal_segments(at: np.ndarray, gain: np.ndarray, drift: float) -> list[tup
     return [(a, b, high - low) for a, b, low, high in kept]
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(_FLAT).split()
-
-
 def log_odds(sample: DataFrame, words: int = WORDS) -> DataFrame:
-    """word, delta, toxic, clean, uses: the significant words of sample (text, toxic), most significant first.
+    """word (its hash), delta, toxic, clean, uses: the significant words of sample (text, toxic), most significant first.
 
-    toxic and clean count documents, uses counts uses in clean documents; the prior is the word's rate over
-    the whole sample."""
+    toxic and clean count the different words that precede it in either class, not its uses, so that a passage
+    that is copied many times counts once. uses counts its uses in clean texts. The prior is half a use
+    plus the word's share of all uses."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            by = [Counter(), Counter(), Counter()]
-            for text, label in zip(byte_rows(b, "text"), b.column("toxic").to_pylist(), strict=True):
-                found = Counter(tokens(text))
-                by[0 if label else 1].update(found.keys())
-                if not label:
-                    by[2].update(found)
-            names = list(by[0] | by[1])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *(pa.array([c[w] for w in names], pa.int64()) for c in by)], ["word", "toxic", "clean", "uses"])
-
-    counts = sample.mapInArrow(count, "word binary, toxic long, clean long, uses long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "uses")])
-    docs = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
-    n_toxic, n_clean = float(docs["t"]), float(docs["n"] - docs["t"])
-    prior = 0.5 + (F.col("toxic") + F.col("clean")) / F.lit(max(1.0, n_toxic + n_clean))
+            for part in (b.slice(i, 64) for i in range(0, b.num_rows, 64)):
+                found = []
+                for text, label in zip(byte_rows(part, "text"), part.column("toxic").to_pylist(), strict=True):
+                    w = word_hashes((text or b"").translate(_FLAT))[0].view(np.int64)
+                    found.append(np.stack([w, np.append(0, w[:-1])[: len(w)], np.full(len(w), label)]))
+                rows, uses = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(r) for r in rows), pa.array(np.where(rows[2] > 0, 0, uses))], ["word", "before", "toxic", "uses"])
+
+    pairs = sample.mapInArrow(count, "word long, before long, toxic long, uses long").groupBy("word", "before", "toxic").agg(F.sum("uses").alias("uses"))
+    counts = written(pairs.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"), F.sum("uses").alias("uses")), "word-counts")
+    total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in ("toxic", "clean")]).first()
+    prior = 0.5 + (F.col("toxic") + F.col("clean")) / F.lit(max(1.0, total["toxic"] + total["clean"]))
     a, b = F.col("toxic") + prior, F.col("clean") + prior
-    delta = F.log(a / (F.lit(n_toxic + 1) - F.col("toxic"))) - F.log(b / (F.lit(n_clean + 1) - F.col("clean")))
+    delta = F.log(a / (F.lit(total["toxic"] + 1) - F.col("toxic"))) - F.log(b / (F.lit(total["clean"] + 1) - F.col("clean")))
     z = delta / F.sqrt(1 / a + 1 / b)
-    scored = counts.filter(F.col("toxic") >= LEAST_DOCS).withColumns({"delta": F.least(delta, F.lit(12.0)), "z": z}).filter(F.col("z") >= LEAST_Z)
+    scored = counts.filter(F.col("toxic") >= LEAST_USES).withColumns({"delta": F.least(delta, F.lit(12.0)), "z": z}).filter((F.col("z") >= LEAST_Z) & (F.col("delta") >= LEAST_DELTA))
     return scored.orderBy(F.desc("z"), "word").limit(words)
 
 
@@ -150,14 +145,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     found = log_odds(texts).select("word", "delta", "uses").toArrow()
     if not found.num_rows:
         return Model()
-    names = found.column("word").to_pylist()
-    hashes = np.array([word_hashes(w)[0][0] for w in names], np.uint64)
+    hashes = found.column("word").to_numpy().astype(np.int64).view(np.uint64)
     delta, uses = found.column("delta").to_numpy().astype(float), found.column("uses").to_numpy().astype(float)
     order = np.argsort(hashes)
 
     def length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sum(len(tokens(t)) for t in byte_rows(b, "text"))], pa.int64())], ["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len((t or b"").translate(_FLAT).split()) for t in byte_rows(b, "text"))], pa.int64())], ["n"])
 
     total = float(texts.filter("toxic = 0").mapInArrow(length, "n long").agg(F.sum("n")).first()[0] or 1)
     # rates of listed words in clean text, with half a use added so that none is impossible
