@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm import bpe, language, mixing, near_dedup, quality, sharding, token_counts, topk, toxicity
+from cartolith.llm import bpe, language, mixing, near_dedup, quality, sharding, substring_dedup, token_counts, topk, toxicity
 from cartolith.llm.common import table, written
 
 #: Production parameters of op1: seed, exponent of the target weights, tokens out against tokens in.
@@ -52,6 +52,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_topk": op6_exact_topk,
     "op7_language": op7_language,
     "op8_toxicity": op8_toxicity,
