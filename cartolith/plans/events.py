@@ -284,14 +284,14 @@ DIGESTS = "SELECT event_id, left(sha256(user_id::VARCHAR), 12) AS access_id, lef
 def track_summaries(spark, d):
     s = _events(spark, d).select("user_id", "event_id", F.col("value").alias("x"), (F.col("value") / 2).alias("y"), F.lit(0.0).alias("z"), (F.col("event_type") == "click").alias("visible"))
     out = A.track_summary(s, "user_id", "event_id", ("x", "y", "z"), "visible")
-    return out.select("user_id", *[F.round(c, 6).alias(c) for c in ("x", "y", "z", "displacement")], "moving", "samples")
+    return out.select("user_id", *[F.round(c, 9).alias(c) for c in ("x", "y", "z", "displacement")], "moving", "samples")
 
 
 TRACKS = """
 WITH s AS (SELECT user_id, event_id, value AS x, value / 2 AS y, event_type = 'click' AS visible FROM events),
 o AS (SELECT *, sqrt(pow(x - first(x) OVER w, 2) + pow(y - first(y) OVER w, 2)) AS off FROM s WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-SELECT user_id, round(coalesce(avg(x) FILTER (visible), avg(x)), 6) AS x, round(coalesce(avg(y) FILTER (visible), avg(y)), 6) AS y, 0.0::DOUBLE AS z,
-  round(max(off), 6) AS displacement, max(off) > 0.05 AS moving, count(*) AS samples FROM o GROUP BY 1
+SELECT user_id, round(coalesce(avg(x) FILTER (visible), avg(x)), 9) AS x, round(coalesce(avg(y) FILTER (visible), avg(y)), 9) AS y, 0.0::DOUBLE AS z,
+  round(max(off), 9) AS displacement, max(off) > 0.05 AS moving, count(*) AS samples FROM o GROUP BY 1
 """
 
 

@@ -29,10 +29,10 @@ _KEY = "((least(greatest(floor(x / 5), 0), 2097151)::BIGINT << 42) | (least(grea
 
 
 def voxel_counts(spark, d):
-    return S.voxels(points(spark, d), SIDE).select("key", "n", *[F.round(c, 5).alias(c) for c in XYZ])
+    return S.voxels(points(spark, d), SIDE).select("key", "n", *[F.round(c, 9).alias(c) for c in XYZ])
 
 
-VOXELS = f"WITH {POINTS_SQL} SELECT {_KEY} AS key, count(*) AS n, round(avg(x), 5) AS x, round(avg(y), 5) AS y, round(avg(z), 5) AS z FROM points GROUP BY 1"
+VOXELS = f"WITH {POINTS_SQL} SELECT {_KEY} AS key, count(*) AS n, round(avg(x), 9) AS x, round(avg(y), 9) AS y, round(avg(z), 9) AS z FROM points GROUP BY 1"
 
 
 def voxel_noise(spark, d):
