@@ -28,7 +28,8 @@ def angle(a: tuple[Column, ...], at: tuple[Column, ...], b: tuple[Column, ...])
     u, v = [x - y for x, y in zip(a, at, strict=True)], [x - y for x, y in zip(b, at, strict=True)]
     dot = u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
     cosine = F.try_divide(dot, norm(*u) * norm(*v))
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    # greatest and least pass over nulls
+    return F.when(cosine.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))))
 
 
 def wrapped(a: Column) -> Column:

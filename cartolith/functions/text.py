@@ -101,7 +101,7 @@ def is_identifier(c: Column) -> Column:
 
 def query_list(c: Column, most: int = 32) -> Column:
     """Trimmed distinct non-empty entries in order, at most `most`."""
-    trimmed = F.filter(F.transform(c, F.trim), lambda q: F.length(q) > 0)
+    trimmed = F.filter(F.transform(c, lambda q: F.trim(q)), lambda q: F.length(q) > 0)
     return F.slice(F.array_distinct(trimmed), 1, most)
 
 

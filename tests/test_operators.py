@@ -123,7 +123,7 @@ def test_components(spark):
 
 
 def test_fuse_known_pair(spark):
-    rows = [("desk", [0.0, 0, 0], [1.0, 1, 1], 0.8, 0), ("desks", [0.5, 0, 0], [1.0, 1, 1], 0.2, 1), ("desk", [9.0, 0, 0], [1.0, 1, 1], 0.5, 2), ("desk", None, None, 0.9, 3)]
+    rows = [("desk", [0.0, 0.0, 0.0], [1.0] * 3, 0.8, 0), ("desks", [0.5, 0.0, 0.0], [1.0] * 3, 0.2, 1), ("desk", [9.0, 0.0, 0.0], [1.0] * 3, 0.5, 2), ("desk", None, None, 0.9, 3)]
     df = spark.createDataFrame(rows, "query string, center array<double>, extent array<double>, confidence double, order long")
     got = {r.rep: r for r in S.fuse(df).collect()}
     assert set(got) == {0, 2, 3} and got[0].n_members == 2 and got[0].center == pytest.approx([0.1, 0, 0]) and got[0].extent == pytest.approx([1.5, 1, 1]) and got[0].confidence == 0.8

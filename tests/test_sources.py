@@ -113,8 +113,8 @@ def test_packed_splats(spark, tmp_path, version):
 
 def test_keyframes_and_grounding(spark):
     c, s = math.cos(0.3), math.sin(0.3)
-    eye, turned = [1.0, 0, 0, 0, 1, 0, 0, 0, 1], [c, -s, 0, s, c, 0, 0, 0, 1.0]
-    poses = spark.createDataFrame([("a", 0, 0.0, None, [0.0, 0, 0], eye, None), ("a", 1, 0.1, 7, [1.0, 0, 0], turned, [1.0, 1, 2, 2])], "scan_id string, global_idx long, ts double, frame_id long, t array<double>, m array<double>, intrinsics array<double>")
+    eye, turned = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], [c, -s, 0.0, s, c, 0.0, 0.0, 0.0, 1.0]
+    poses = spark.createDataFrame([("a", 0, 0.0, None, [0.0] * 3, eye, None), ("a", 1, 0.1, 7, [1.0, 0.0, 0.0], turned, [1.0, 1.0, 2.0, 2.0])], "scan_id string, global_idx long, ts double, frame_id long, t array<double>, m array<double>, intrinsics array<double>")
     rows = exports.keyframes(poses).orderBy("index").collect()
     assert rows[0].action == pytest.approx([1, 0, 0, 0, 0, 0.3], abs=1e-6) and rows[1].action == [0.0] * 6 and rows[0]["observation.intrinsics"] == [0.0] * 4 and rows[1].source_frame_id == 7
     frames = spark.createDataFrame([("a", 0, i, False) for i in range(3)] + [("a", 1, 0, True)] + [("a", 2, i, False) for i in range(2)], "scan_id string, submap_id int, frame_idx int, is_lc boolean")
