@@ -189,7 +189,7 @@ def encode(docs: DataFrame, path: str | None = None, special: bool = True, decod
     A null text counts as empty and has no ids. Columns of docs named ids, n_tokens or decoded are replaced.
     Every row stays; a text of any length is encoded whole."""
     path = path or default_path()
-    names = [c for c in docs.columns if c not in ("ids", "n_tokens", "decoded")]
+    names = [c for c in docs.columns if c.lower() not in ("ids", "n_tokens", "decoded")]
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), *([T.StructField("decoded", T.StringType())] if decoded else [])])
 
@@ -210,7 +210,7 @@ def encode(docs: DataFrame, path: str | None = None, special: bool = True, decod
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     """rows' columns, with the text of each row's ids as decoded; null ids give null."""
     path = path or default_path()
-    names = [c for c in rows.columns if c != "decoded"]
+    names = [c for c in rows.columns if c.lower() != "decoded"]
     schema = T.StructType([*rows.select(*[F.col(f"`{c}`") for c in names]).schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,7 +57,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: i
     counts; a null doc_id or text hashes as an empty string. Columns of docs named copy, n_copies or rate
     are replaced. Rates above max_rate are an error, not a cap: such a target repeats documents too often.
     An empty table gives an empty result."""
-    names = [c for c in docs.columns if c not in ("copy", "n_copies", "rate")]
+    names = [c for c in docs.columns if c.lower() not in ("copy", "n_copies", "rate")]
     spark = docs.sparkSession
     rate = written(rates(docs, weights, smoothing, budget).select(F.col("source").alias("__source"), "rate"), "rates")
     worst = rate.agg(F.max("rate"), F.count("*")).first()

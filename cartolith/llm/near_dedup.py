@@ -200,7 +200,7 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id, rows without one last.
 
-    Equal (doc_id, text) rows count as one. Columns stay as they are; a column may have any name."""
+    Equal (doc_id, text) rows count as one. Columns stay as they are; __id and __hash are kept for own use."""
     names = docs.columns
     marked, roots = _grouped(docs)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")

@@ -26,7 +26,7 @@ SLOT_ROWS = 50_000
 
 
 #: Weights of bytes, tokens and rows in the dot product. Bytes lead, as the law that holds is theirs.
-WEIGHTS = (8.0, 1.0, 1.0)
+WEIGHTS = (64.0, 1.0, 1.0)
 
 
 def pack(items: np.ndarray, shards: int) -> np.ndarray:

@@ -148,7 +148,7 @@ def _leaves(marked: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             gram, doc, at, count, path = [], [], [], [], []
-            for d, c, text, marks in zip(_column(b, "__doc"), _column(b, "__crc"), byte_rows(b, "text"), b.column("marks"), strict=True):
+            for d, c, text, marks in zip(_column(b, "__doc"), _column(b, "__crc"), byte_rows(b, "text"), b.column("__marks"), strict=True):
                 if not marks.is_valid:
                     continue
                 marks = np.sort(marks.values.to_numpy().astype(np.int64))
@@ -228,11 +228,11 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     kept is the words that stay, joined by one space. A null text has no words and an empty kept. Rows with
     equal doc_id and text count as copies of each other; null or repeated doc_ids are told apart by text.
-    Columns of docs with the added names are replaced. An empty table gives an empty result."""
+    Columns of docs with the added names are replaced; names that begin with __ are kept for own use. An empty table gives an empty result."""
     spark = docs.sparkSession
     parts = width(spark)
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("after", T.LongType())]))), T.StructField("kept", T.StringType())]
-    names = [c for c in docs.columns if c not in {f.name for f in added}]
+    names = [c for c in docs.columns if c.lower() not in {f.name for f in added}]
     docs = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("text", F.col("text").cast("string"))
     schema = T.StructType([*docs.schema.fields, *added])
     keyed = _keyed(docs)
@@ -244,7 +244,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     else:
         stay = stay.join(heavy, "gram", "left").withColumn("heavy", F.coalesce("heavy", F.lit(0)))
     place = F.shiftright("at", 2).bitwiseAND((1 << 29) - 1) * 2 + F.col("heavy")
-    marks = stay.select(F.col("doc").alias("__doc"), F.shiftright("at", 31).alias("__crc"), place.alias("mark")).groupBy("__doc", "__crc").agg(F.collect_set("mark").alias("marks"))
+    marks = stay.select(F.col("doc").alias("__doc"), F.shiftright("at", 31).alias("__crc"), place.alias("mark")).groupBy("__doc", "__crc").agg(F.collect_set("mark").alias("__marks"))
 
     # the texts are shuffled once: both joins read this exchange, which is why the first one keeps all columns
     dealt = keyed.repartition(parts, "__doc", "__crc")
