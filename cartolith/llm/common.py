@@ -107,12 +107,19 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes, starts and ends of a text's words, by one prefix sum over its bytes."""
+    (hashes,), starts, ends = stem_hashes(text, ())
+    return hashes, starts, ends
+
+
+def stem_hashes(text: bytes | None, sizes: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Hashes of the words' first bytes, as many as each of sizes says, and of the whole words; starts and ends."""
     raw = np.frombuffer(text or b"", np.uint8)
     starts, ends = word_bounds(raw)
     up, down = _BYTES.get(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * down[: len(raw)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * up[starts]), starts, ends
+    cuts = [*(np.minimum(ends, starts + n) for n in sizes), ends]
+    return [mixed((sums[cut] - sums[starts]) * up[starts]) for cut in cuts], starts, ends
 
 
 def window_hashes(words: np.ndarray, size: int, second: bool = False) -> np.ndarray:

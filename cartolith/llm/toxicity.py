@@ -1,6 +1,6 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-A token's score is its log-odds of toxic against clean labelled documents under an informative Dirichlet
+A token is a word or, for rarer words, its first bytes (its stem). Its score is its log-odds of toxic against clean labelled documents under an informative Dirichlet
 prior, where that is significant, and a small negative drift otherwise. One linear scan finds every maximal
 segment of a text's token scores. A segment's score is turned into an expected number of such segments
 in clean text of that length (extreme-value statistics: K n exp(-lambda S)); significant segments' evidence
@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import byte_rows, word_hashes, written
+from cartolith.llm.common import byte_rows, stem_hashes, written
 
 #: Bounds of the training sample (labelled rows of each class, the smallest by hash of doc_id) and of the word list.
 SAMPLE, WORDS = 6_000, 20_000
 #: Least z and least log-odds of a word that counts, and how many different words must precede it in toxic texts.
 LEAST_Z, LEAST_DELTA, LEAST_USES = 3.5, 2.0, 4
 DRIFT, SIGNIFICANT = -0.25, 0.05
+#: Bytes of the stems that stand for words which aren't listed themselves.
+STEMS = (6, 7)
 
 _FLAT = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 
@@ -43,15 +45,16 @@ class Model:
 
     def segments(self, text: bytes | None) -> tuple[list[tuple[int, int, float]], int]:
         """The maximal segments (first token, token after the last, score) of a text, and its tokens."""
-        words = word_hashes((text or b"").translate(_FLAT))[0]
-        at = np.flatnonzero(self.maybe[(words & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        if len(at):
-            place = np.minimum(np.searchsorted(self.hashes, words[at]), len(self.hashes) - 1)
-            hit = self.hashes[place] == words[at]
-            at, place = at[hit], place[hit]
-        if not len(at):
-            return [], len(words)
-        return maximal_segments(at, self.scores[place] - DRIFT, DRIFT), len(words)
+        hashes, starts, _ = stem_hashes((text or b"").translate(_FLAT), STEMS)
+        score = np.full(len(starts), DRIFT)
+        for h in hashes:  # from the shortest stem to the whole word, which has the last say
+            at = np.flatnonzero(self.maybe[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            if len(at):
+                place = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+                hit = self.hashes[place] == h[at]
+                score[at[hit]] = self.scores[place[hit]]
+        at = np.flatnonzero(score > DRIFT)
+        return maximal_segments(at, score[at] - DRIFT, DRIFT) if len(at) else [], len(starts)
 
     def evidence(self, text: bytes | None) -> tuple[float, float, int]:
         """Summed evidence of the significant segments, the best segment's score, and how many are significant."""
@@ -94,7 +97,7 @@ def maximal_segments(at: np.ndarray, gain: np.ndarray, drift: float) -> list[tup
 
 
 def log_odds(sample: DataFrame, words: int = WORDS) -> DataFrame:
-    """word (its hash), delta, toxic, clean, uses: the significant words of sample (text, toxic), most significant first.
+    """word (its hash), delta, toxic, clean, uses: the significant words and stems of sample (text, toxic), most significant first.
 
     toxic and clean count the different words that precede it in either class, not its uses, so that a passage
     that is copied many times counts once. uses counts its uses in clean texts. The prior is half a use
@@ -105,8 +108,11 @@ def log_odds(sample: DataFrame, words: int = WORDS) -> DataFrame:
             for part in (b.slice(i, 64) for i in range(0, b.num_rows, 64)):
                 found = []
                 for text, label in zip(byte_rows(part, "text"), part.column("toxic").to_pylist(), strict=True):
-                    w = word_hashes((text or b"").translate(_FLAT))[0].view(np.int64)
-                    found.append(np.stack([w, np.append(0, w[:-1])[: len(w)], np.full(len(w), label)]))
+                    hashes, starts, ends = stem_hashes((text or b"").translate(_FLAT), STEMS)
+                    before = np.append(np.uint64(0), hashes[-1][:-1])[: len(starts)]
+                    for n, h in zip((*STEMS, 0), hashes, strict=True):
+                        longer = ends - starts > n
+                        found.append(np.stack([h[longer].view(np.int64), before[longer].view(np.int64), np.full(longer.sum(), label)]))
                 rows, uses = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
                 yield pa.RecordBatch.from_arrays([*(pa.array(r) for r in rows), pa.array(np.where(rows[2] > 0, 0, uses))], ["word", "before", "toxic", "uses"])
 
