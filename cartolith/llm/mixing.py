@@ -16,18 +16,28 @@ from cartolith.llm.common import unit_hash, width, written
 #: Sources up to which the rates are broadcast (about 100 bytes each); with more, they are joined by salted shuffle.
 BROADCAST_SOURCES = 20_000
 SALTS = 32
+#: The largest mean of one draw, well above which exp(-rate) underflows; larger rates are drawn as sums of equal parts.
+DRAW = 500.0
 
 
-def poisson_counts(u: Column, rate: Column, most: int = 64) -> Column:
-    """The smallest k with u < P(X <= k) for X of mean rate; rate must be below most / 3."""
-    # (k reached, term, cumulative probability): a fold over 1..most, in doubles, as the oracle does
+def poisson_counts(u: Column, rate: Column, least: int = 64) -> Column:
+    """The smallest k with u < P(X <= k) for X of mean rate, which must be at most DRAW."""
+    # (k reached, term, cumulative probability): a fold in doubles, as the oracle does, of least steps or as many as leave under 2**-52 beyond
     start = F.struct(F.lit(0).alias("k"), F.exp(-rate).alias("term"), F.exp(-rate).alias("cum"))
+    enough = F.greatest(F.lit(least), F.ceil(rate + 9 * F.sqrt(rate) + 30).cast("int"))
 
     def step(acc: Column, i: Column) -> Column:
         term = acc["term"] * rate / i
         return F.struct(F.when(acc["cum"] <= u, i).otherwise(acc["k"]).cast("int").alias("k"), term.alias("term"), (acc["cum"] + term).alias("cum"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda acc: acc["k"])
+    return F.aggregate(F.sequence(F.lit(1), enough), start, step, lambda acc: acc["k"])
+
+
+def draws(rate: Column, *parts: Column | str) -> Column:
+    """A Poisson count of mean rate from the hash of parts; past DRAW the sum of independent draws, each from a hash of its own."""
+    n = F.ceil(rate / DRAW).cast("int")
+    total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: acc + poisson_counts(unit_hash(*parts, i.cast("string")), rate / n))
+    return F.when(rate <= DRAW, poisson_counts(unit_hash(*parts), rate)).otherwise(total)
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, smoothing: float = 0.7, budget: float = 1.0) -> DataFrame:
@@ -50,18 +60,18 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, smoot
     return tokens.select("source", "tokens", share.alias("weight"), (share * F.lit(float(budget) * float(total["t"] or 0)) / F.col("tokens")).alias("rate"))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = 7, smoothing: float = 0.7, budget: float = 1.0, max_rate: float = 20.0) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = 7, smoothing: float = 0.7, budget: float = 1.0, max_rate: float | None = 20.0) -> DataFrame:
     """docs replicated to the target weights and shuffled, with added columns copy (from 0), n_copies, rate.
 
     A count depends on seed, doc_id and the text alone, so equal rows (same doc_id and text) get equal
     counts; a null doc_id or text hashes as an empty string. Columns of docs named copy, n_copies or rate
-    are replaced. Rates above max_rate are an error, not a cap: such a target repeats documents too often.
-    An empty table gives an empty result."""
+    are replaced. Rates above max_rate are an error, not a cap: such a target repeats documents too often;
+    with None every rate is drawn. An empty table gives an empty result."""
     names = [c for c in docs.columns if c.lower() not in ("copy", "n_copies", "rate")]
     spark = docs.sparkSession
     rate = written(rates(docs, weights, smoothing, budget).select(F.col("source").alias("__source"), "rate"), "rates")
     worst = rate.agg(F.max("rate"), F.count("*")).first()
-    if (worst[0] or 0) > max_rate:
+    if max_rate is not None and (worst[0] or 0) > max_rate:
         raise ValueError(f"a source would be repeated {worst[0]:.1f} times; lower its weight or raise max_rate")
     keyed = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("__source", F.col("source").cast("string"))
     if worst[1] <= BROADCAST_SOURCES:
@@ -71,9 +81,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: i
         keyed = keyed.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
         keyed = keyed.join(salted, keyed["__source"].eqNullSafe(salted["__source"]) & (keyed["__salt"] == salted["__salt"])).drop(salted["__source"]).drop("__salt")
     identity = (F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    u = unit_hash(F.lit(str(seed)), *identity)
-    most = max(8, int(3 * max_rate) + 4)
-    counted = keyed.withColumn("n_copies", poisson_counts(u, F.col("rate"), most)).filter("n_copies > 0")
+    counted = keyed.withColumn("n_copies", draws(F.col("rate"), F.lit(str(seed)), *identity)).filter("n_copies > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     # the text goes through one shuffle: a hashed key deals copies to random partitions, in each of which they are put in hashed order
     order = F.xxhash64(F.lit(seed), *identity, F.col("copy"))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from cartolith.llm import bpe, language, mixing, near_dedup, quality, sharding, substring_dedup, token_counts, topk, toxicity
 from cartolith.llm.common import table, written
 
-#: Production parameters of op1: seed, exponent of the target weights, tokens out against tokens in.
-MIX = {"seed": 7, "smoothing": 0.7, "budget": 1.0}
+#: Production parameters of op1: seed, exponent of the target weights, tokens out against tokens in, no bound on the rates.
+MIX = {"seed": 7, "smoothing": 0.7, "budget": 1.0, "max_rate": None}
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The ten training-data operators against brute force, and on awkward tables."""
 
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -286,6 +287,32 @@ def test_mixing_meets_weights(spark):
         mixing.mix(docs, {"small": 1.0}, budget=50.0)
 
 
+def test_mixing_draws_every_rate(spark, tmp_path):
+    """A source of few tokens has a rate far past 20; op1 and the pipeline's stage draw it all the same."""
+    import corpus_pipeline
+    from cartolith.llm import queries
+
+    long = text_of(random.Random(9), 20_000)
+    rows = [(i, f"{i} {long}", "en", "big", 0) for i in range(40)] + [(100 + i, "x", "en", "small", 0) for i in range(3)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = queries.op1_mixing(spark, f"file://{tmp_path}").collect()
+    rate = next(r.rate for r in got if r.source == "small")
+    small = Counter(r.doc_id for r in got if r.source == "small")
+    assert rate > 20 and set(small) == {100, 101, 102} and all(abs(n - rate) < 6 * rate**0.5 for n in small.values())
+    stage = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, DOCS), "")
+    assert stage.filter("source = 'small'").count() == sum(small.values())
+
+
+def test_poisson_draws_at_large_rates(spark):
+    """One draw against summed terms in exact arithmetic of logs; sums of draws by their mean and variance."""
+    rows = [(u / 997 + 0.0005, rate) for u in range(997) for rate in (25.0, 90.0, 480.0)]
+    got = spark.createDataFrame(rows, "u double, rate double").withColumn("k", mixing.poisson_counts(F.col("u"), F.col("rate"))).collect()
+    below = {rate: np.cumsum(np.exp([-rate + k * np.log(rate) - math.lgamma(k + 1) for k in range(1500)])) for rate in (25.0, 90.0, 480.0)}
+    assert all(r.k == np.searchsorted(below[r.rate], r.u, side="right") for r in got)
+    many = spark.range(3000).select(mixing.draws(F.lit(2600.0), F.lit("7"), F.col("id").cast("string")).alias("k")).toPandas().k
+    assert abs(many.mean() - 2600) < 5 and 0.85 < many.var() / 2600 < 1.15
+
+
 def test_mixing_salts_many_sources(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"text {i}", "en", f"s{i % 7}" if i % 5 else None, 0) for i in range(300)], DOCS)
     want = Counter(map(tuple, mixing.mix(docs).select("doc_id", "copy").collect()))
