@@ -1,11 +1,12 @@
 """Queries without SQL read whole tables: against loops over the smallest ones."""
 
 import os
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 
-from cartolith.plans import points
+from cartolith.operators import ledger as L
+from cartolith.plans import ledger, points
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
@@ -26,3 +27,18 @@ def test_clusters_take_all_line_items(spark):
             found += near
         want[len(found), sum(voxels[v] for v in found)] += 1
     assert Counter((r.voxels, r.points) for r in points.clusters(spark, DIR).collect()) == want
+
+
+def test_ledger_folds_all_orders(spark):
+    orders = spark.read.parquet(f"{DIR}/orders.parquet").select("o_orderkey", "o_custkey").collect()
+    got = ledger.ledger_balances(spark, DIR).collect()
+    assert sorted(r.user_id for r in got) == sorted({str(r.o_custkey) for r in orders})
+    rows, accounts = Counter(), defaultdict(L.Account)
+    balance = Counter()
+    for c in sorted(ledger._commands(spark, DIR).collect(), key=lambda c: c.seq):
+        for status, kind, delta, _, _ in accounts[c.user_id].apply(c):
+            rows[c.op, status, kind] += 1
+            balance[c.user_id] += delta if kind else 0
+    assert {r.user_id: r.balance for r in got} == dict(balance)
+    results = ledger.ledger_results(spark, DIR).collect()
+    assert {(r.op, r.status, r.kind): r.n for r in results} == dict(rows) and sum(r.n for r in results if r.op != "ensure") >= len(orders)
