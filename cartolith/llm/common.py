@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +40,20 @@ def _drop(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, and gives the planner exact sizes.
 
-    The folder goes when the driver's process ends."""
+    The folder goes when the driver's process ends, or before with dropped()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables from written() that nothing will read again."""
+    for df in tables:
+        _drop(df.sparkSession, df._written_to)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,32 +72,12 @@ def byte_rows(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xD1342543DE82EF95
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, lengthened as needed."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 2**64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 4096)
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                x = np.full(size, base, np.uint64)
-                x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
-        return self.up[:n], self.down[:n]
-
-
-_BYTES, _WORDS, _WORDS2 = _Powers(_BASE), _Powers(_WORD_BASE), _Powers(0xAF251AF3B0F025B5)
+#: Words whose hashes a worker remembers.
+REMEMBERED = 500_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser that spreads a polynomial's low-order structure over all bits."""
+    """A 64-bit finaliser that spreads low-order structure over all bits."""
     x = x ^ (x >> np.uint64(33))
     x *= np.uint64(0xFF51AFD7ED558CCD)
     x ^= x >> np.uint64(33)
@@ -105,32 +94,53 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return turn[0::2], turn[1::2]
 
 
-def word_hashes(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes, starts and ends of a text's words, by one prefix sum over its bytes."""
-    (hashes,), starts, ends = stem_hashes(text, ())
-    return hashes, starts, ends
+class _WordHashes(dict):
+    """XXH64 of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxhash.xxh64_intdigest(word, 42)
+        return found
+
+
+_KNOWN = _WordHashes()
+
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """XXH64 of each word's bytes. Equal hashes don't prove equal words: use them to find candidates only."""
+    if len(_KNOWN) > REMEMBERED:
+        _KNOWN.clear()
+    return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
 
-def stem_hashes(text: bytes | None, sizes: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Hashes of the words' first bytes, as many as each of sizes says, and of the whole words; starts and ends."""
-    raw = np.frombuffer(text or b"", np.uint8)
-    starts, ends = word_bounds(raw)
-    up, down = _BYTES.get(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * down[: len(raw)], out=sums[1:])
-    cuts = [*(np.minimum(ends, starts + n) for n in sizes), ends]
-    return [mixed((sums[cut] - sums[starts]) * up[starts]) for cut in cuts], starts, ends
 
+def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each run of size word hashes, by doubling: runs of 1, 2, 4 ... are joined and mixed."""
+    have, now = 1, words
+    while have < size:
+        step = min(have, size - have)
+        if len(now) <= step:
+            return np.empty(0, np.uint64)
+        now = mixed(now[:-step] * np.uint64(0x9E3779B97F4A7C15) + now[step:] + np.uint64(step))
+        have += step
+    return now
 
-def window_hashes(words: np.ndarray, size: int, second: bool = False) -> np.ndarray:
-    """64-bit hashes of each run of size words; second: by another base, for an independent hash."""
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    up, down = (_WORDS2 if second else _WORDS).get(len(words))
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * down, out=sums[1:])
-    return mixed((sums[size:] - sums[:-size]) * up[:n])
+
+def word_ids(words: list[bytes], ordered: bool = False) -> tuple[np.ndarray, int]:
+    """A number for each word, the same for equal words only, and how many there are; ordered: in the words' order."""
+    distinct = dict.fromkeys(words)
+    number = {w: i for i, w in enumerate(sorted(distinct) if ordered else distinct)}
+    return np.fromiter(map(number.__getitem__, words), np.int64, len(words)), len(number)
+
+
+def run_ranks(ids: np.ndarray, size: int) -> np.ndarray:
+    """The rank of each run of size ids among all runs, in lexicographic order; equal runs, and only they, share one."""
+    have, now = 1, ids
+    while have < size:
+        step = min(have, size - have)
+        if len(now) <= step:
+            return np.empty(0, np.int64)
+        now = np.unique(now[:-step] * (int(now.max()) + 1) + now[step:], return_inverse=True)[1]
+        have += step
+    return now
 
 
 def covered(flags: np.ndarray, size: int, n: int) -> np.ndarray:
@@ -142,6 +152,26 @@ def covered(flags: np.ndarray, size: int, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def col(name: str) -> Column:
+    """A column by its exact name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def as_row(docs: DataFrame, names: list[str]) -> Column:
+    """The named columns as one struct called row, so that no name of theirs meets one of an operator's own."""
+    return F.struct(*[col(c) for c in names]).alias("row")
+
+
+def of_row(names: list[str]) -> list[Column]:
+    """What as_row() packed, as columns again."""
+    return [F.col("row").getField(c).alias(c) for c in names]
+
+
+def fields_of(row: pa.Array) -> list[pa.Array]:
+    """The same inside a task: the arrays of a batch's row column."""
+    return row.flatten()
+
+
 def unit_hash(*parts: Column | str) -> Column:
     """A number in [0, 1) of 52 bits of md5 over the parts joined by ':'; DuckDB can compute it too."""
     text = F.concat_ws(":", *parts)

@@ -2,8 +2,9 @@
 
 A text's features are its words and its byte n-grams of 2 to 4 (white space marks word borders), each
 hashed to a row of an embedding table; their mean goes through a linear layer to a softmax. Table and layer
-are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows. A part of the
-sample is held back to calibrate a temperature, and below which probability an answer is rejected.
+are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows, whose whole texts
+are reduced to bucket counts by Spark's tasks. A part of the sample is held back to calibrate a temperature,
+and below which probability an answer is rejected.
 """
 
 from __future__ import annotations
@@ -15,15 +16,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cartolith.llm.common import byte_rows, mixed, word_hashes
 
-#: Bounds of the training sample: labelled rows, the smallest by hash of doc_id, and words taken from each, at
-#: even steps through its whole text.
-SAMPLE, SAMPLE_WORDS = 8_000, 64
+#: Bound of the training sample: labelled rows of each language, the smallest by hash of doc_id.
+SAMPLE = 1_000
 BUCKETS, WIDTH = 1 << 16, 16
-#: Bytes of a text that are hashed at once.
+#: Bytes of text that are hashed at once.
 AT_ONCE = 1 << 18
 
 _LETTER = regex.compile(r"\p{L}")
@@ -35,8 +36,8 @@ def has_letter(text: bytes | None) -> bool:
     return bool(text) and (_ASCII.search(text) is not None or _LETTER.search(text.decode("utf-8", "replace")) is not None)
 
 
-def features(text: bytes) -> Iterator[np.ndarray]:
-    """Bucket numbers of a text's words and n-grams, piece by piece; pieces are cut after white space."""
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text between two spaces, cut after white space into pieces of at most AT_ONCE bytes; a longer word is cut."""
     text = b" " + text.translate(_PLAIN) + b" "
     at = 0
     while at < len(text) - 1:
@@ -44,25 +45,53 @@ def features(text: bytes) -> Iterator[np.ndarray]:
         if end < len(text):
             cut = text.rfind(b" ", at + 1, end)
             end = cut + 1 if cut > at else end
-        piece = text[at:end]
-        raw = np.frombuffer(piece, np.uint8)
-        space = raw == 32
-        found = [word_hashes(piece)[0]]
-        code = raw.astype(np.uint64)
-        gram = code.copy()
-        inner = np.zeros(len(raw), bool)  # of a gram that starts here: a space that is neither its first nor its last byte
-        for n in (2, 3, 4):
-            if len(raw) < n:
-                break
-            gram = gram[: len(raw) - n + 1] * np.uint64(257) + code[n - 1 :]
-            if n > 2:
-                inner = inner[: len(raw) - n + 1] | space[n - 2 : len(raw) - 1]
-            ok = ~inner[: len(gram)] & ~(space[: len(gram)] & space[n - 1 :])
-            found.append(mixed(gram[ok] + np.uint64(n << 48)))
-        yield (np.concatenate(found) & np.uint64(BUCKETS - 1)).astype(np.int64)
+        yield text[at:end]
         at = end - 1 if end < len(text) else len(text)
 
 
+def _buckets(piece: bytes, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The owners and bucket numbers of a piece's features; owner holds one entry a byte.
+
+    No feature has a space inside, so texts that follow each other in a piece don't mix."""
+    raw = np.frombuffer(piece, np.uint8)
+    space = raw == 32
+    starts = np.flatnonzero(~space & np.append(True, space[:-1]))
+    owners, found = [owner[starts]], [word_hashes([w for w in piece.split(b" ") if w])]
+    code = raw.astype(np.uint64)
+    gram = code.copy()
+    inner = np.zeros(len(raw), bool)  # of a gram that starts here: a space that is neither its first nor its last byte
+    for n in (2, 3, 4):
+        if len(raw) < n:
+            break
+        gram = gram[: len(raw) - n + 1] * np.uint64(257) + code[n - 1 :]
+        if n > 2:
+            inner = inner[: len(raw) - n + 1] | space[n - 2 : len(raw) - 1]
+        ok = ~inner[: len(gram)] & ~(space[: len(gram)] & space[n - 1 :])
+        owners.append(owner[: len(gram)][ok])
+        found.append(mixed(gram[ok] + np.uint64(n << 48)))
+    return np.concatenate(owners), (np.concatenate(found) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def features(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Which of texts, and which bucket, for every feature of all texts; about AT_ONCE bytes at a time."""
+    held, owner, size = [], [], 0
+    for i, text in enumerate(texts):
+        for piece in _pieces(text or b""):
+            held.append(piece)
+            owner.append((i, len(piece)))
+            size += len(piece)
+            if size >= AT_ONCE:
+                yield _buckets(b"".join(held), np.repeat(*np.array(owner).T))
+                held, owner, size = [], [], 0
+    if held:
+        yield _buckets(b"".join(held), np.repeat(*np.array(owner).T))
+
+
+def softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -71,64 +100,64 @@ class Model:
     temperature: float
     reject: float
 
-    def logits(self, text: bytes) -> np.ndarray:
-        total, n = np.zeros(len(self.langs)), 0
-        for f in features(text):
-            total += self.table[f].sum(axis=0, dtype=np.float64)
-            n += len(f)
-        return total / max(1, n) + self.bias
+    def logits(self, texts: list[bytes | None]) -> np.ndarray:
+        total, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
+        for owner, bucket in features(texts):
+            n += np.bincount(owner, minlength=len(texts))
+            for j in range(len(self.langs)):
+                total[:, j] += np.bincount(owner, self.table[bucket, j], len(texts))
+        return total / np.maximum(1, n)[:, None] + self.bias
 
-    def predict(self, text: bytes | None) -> tuple[str, float]:
-        if not self.langs or not has_letter(text):
-            return "und", 0.0
-        p = softmax(self.logits(text)[None] / self.temperature)[0]
-        i = int(np.argmax(p))
-        return self.langs[i], float(p[i])
+    def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
+        """The likeliest language of each text and its calibrated probability; und and 0 without a letter."""
+        letter = np.array([has_letter(t) for t in texts], bool)
+        if not self.langs or not letter.any():
+            return ["und"] * len(texts), np.zeros(len(texts))
+        p = softmax(self.logits(texts) / self.temperature)
+        return [self.langs[i] if ok else "und" for i, ok in zip(p.argmax(axis=1).tolist(), letter.tolist(), strict=True)], np.where(letter, p.max(axis=1), 0.0)
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
-
+def train(counts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], steps: int = 800, rate: float = 2.0, batch: int = 32, seed: int = 1, precision: float = 0.99) -> Model:
+    """SGD over minibatches of texts given as buckets and their counts; about steps minibatches, and 4 epochs at least.
 
-def train(texts: list[bytes], langs: list[str], epochs: int = 6, rate: float = 2.0, batch: int = 32, seed: int = 1, precision: float = 0.99) -> Model:
-    """SGD over minibatches; every fifth text is held back for the temperature and the rejection threshold."""
+    Every fifth text is held back for the temperature and the rejection threshold."""
     names = sorted(set(langs))
     if not names:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     y = np.array([names.index(x) for x in langs])
-    feats = [np.concatenate([*features(t), np.empty(0, np.int64)]) for t in texts]
-    use = np.array([len(f) > 0 for f in feats])
+    use = np.array([len(b) > 0 for b, _ in counts])
+    shares = [(b, c / max(1, c.sum())) for b, c in counts]
     back = np.arange(len(y)) % 5 == 4
     fit = np.flatnonzero(use & ~back)
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH))
     layer, bias = np.zeros((WIDTH, len(names))), np.zeros(len(names))
-    epochs = max(epochs, min(60, -(-1500 * batch // max(1, len(fit)))))  # a small sample is gone over more often
-    steps, step = max(1, epochs * -(-len(fit) // batch)), 0
+    number = np.zeros(BUCKETS, np.int64)
+    epochs = max(4, min(60, -(-steps * batch // max(1, len(fit)))))
+    all_steps, step = max(1, epochs * -(-len(fit) // batch)), 0
     for _ in range(epochs):
         rng.shuffle(fit)
         for at in range(0, len(fit), batch):
             rows = fit[at : at + batch]
-            flat = np.concatenate([feats[i] for i in rows])
-            sizes = np.array([len(feats[i]) for i in rows])
-            begin = np.cumsum(sizes) - sizes
-            mean = np.add.reduceat(emb[flat], begin, axis=0) / sizes[:, None]
+            flat = np.concatenate([shares[i][0] for i in rows])
+            seen = np.flatnonzero(np.bincount(flat, minlength=BUCKETS))
+            number[seen] = np.arange(len(seen))
+            x = np.zeros((len(rows), len(seen)))  # each text's share of each bucket that the minibatch has
+            x[np.repeat(np.arange(len(rows)), [len(shares[i][0]) for i in rows]), number[flat]] = np.concatenate([shares[i][1] for i in rows])
+            mean = x @ emb[seen]
             error = softmax(mean @ layer + bias)
             error[np.arange(len(rows)), y[rows]] -= 1
-            now = rate * (1 - step / steps) / len(rows)
-            back_emb = (error @ layer.T) / sizes[:, None]
-            layer -= now * mean.T @ error
-            bias -= now * error.sum(axis=0)
-            owner = np.repeat(np.arange(len(rows)), sizes)
-            order = np.argsort(flat, kind="stable")
-            first = np.flatnonzero(np.append(True, np.diff(flat[order]) > 0))
-            emb[flat[order][first]] -= now * len(rows) * np.add.reduceat(back_emb[owner[order]], first, axis=0)
+            now = rate * (1 - step / all_steps)
+            # a text's own step on the embeddings, the minibatch's mean step on the layer
+            change = now * (x.T @ (error @ layer.T))
+            layer -= now / len(rows) * mean.T @ error
+            bias -= now / len(rows) * error.sum(axis=0)
+            emb[seen] -= change
             step += 1
     model = Model(names, (emb @ layer).astype(np.float32), bias, 1.0, 0.0)
     held = np.flatnonzero(use & back)
     if len(held):
-        logits = np.array([model.table[feats[i]].mean(axis=0) + bias for i in held])
+        logits = np.array([shares[i][1] @ model.table[shares[i][0]] + bias for i in held])
         loss = lambda t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(held)), y[held]], 1e-12)).mean()
         model.temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
         p = softmax(logits / model.temperature)
@@ -139,25 +168,32 @@ def train(texts: list[bytes], langs: list[str], epochs: int = 6, rate: float = 2
     return model
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, words: int = SAMPLE_WORDS) -> Model:
-    """A model of docs' text and non-null lang, from at most sample rows."""
-    usable = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    ids = usable.select(F.col("doc_id").cast("long").alias("__id")).distinct()
-    ids = ids.orderBy(F.xxhash64("__id"), "__id").limit(sample)
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model of docs' text and non-null lang, from at most sample rows of each language; their whole texts are used."""
+    rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    rows = rows.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    # each task cuts its rows to the sample's size before they meet
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text_hash"))
+    ids = rows.select("id", "lang", "text_hash").withColumn("place", place).filter(F.col("place") <= sample).drop("place").distinct()
+    # the sample's bound is the size bound of this broadcast
+    chosen = rows.join(F.broadcast(ids), ["id", "lang", "text_hash"]).dropDuplicates(["id", "lang", "text_hash"])
 
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            short = []
-            for t in byte_rows(b, "text"):
-                w = (t or b"").split()
-                short.append(b" ".join(w[int(i)] for i in np.unique(np.linspace(0, len(w) - 1, min(words, len(w))).astype(int))) if w else b"")
-            yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("lang"), pa.array(short, pa.binary())], ["__id", "lang", "short"])
-
-    # the sample's bound is the size bound of this broadcast
-    chosen = usable.select(F.col("doc_id").cast("long").alias("__id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    chosen = chosen.join(F.broadcast(ids), "__id")
-    rows = chosen.mapInArrow(thin, "__id long, lang string, short binary").orderBy(F.xxhash64("__id"), "__id", "lang", F.xxhash64("short")).limit(sample).select("lang", "short").toArrow()
-    return train(rows.column("short").to_pylist(), rows.column("lang").to_pylist())
+            for part in (b.slice(i, 64) for i in range(0, b.num_rows, 64)):
+                keys, times = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for owner, bucket in features(byte_rows(part, "text")):
+                    k, c = np.unique(owner * BUCKETS + bucket, return_counts=True)
+                    keys.append(k)
+                    times.append(c)
+                key, where = np.unique(np.concatenate(keys), return_inverse=True)  # a long text comes in several pieces
+                n = np.bincount(where, np.concatenate(times), len(key)).astype(np.int32)
+                cuts = pa.array(np.searchsorted(key, np.arange(part.num_rows + 1) * BUCKETS).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("lang"), part.column("text_hash"), pa.ListArray.from_arrays(cuts, pa.array((key % BUCKETS).astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(n))], ["id", "lang", "text_hash", "bucket", "n"])
+
+    found = chosen.mapInArrow(count, "id long, lang string, text_hash long, bucket array<int>, n array<int>").toArrow().sort_by([("text_hash", "ascending"), ("id", "ascending"), ("lang", "ascending")])
+    both = zip(found.column("bucket"), found.column("n"), strict=True)
+    return train([(b.values.to_numpy().astype(np.int64), n.values.to_numpy().astype(np.int64)) for b, n in both], found.column("lang").to_pylist())
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -171,9 +207,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
-            both = [own.predict(t) for t in byte_rows(b, "text")]
-            score = np.array([p for _, p in both], float)
-            langs = pa.array([x for x, _ in both], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), langs, pa.array(score), pa.array((score >= own.reject) & (score > 0))], ["doc_id", "lang_pred", "score", "accepted"])
+            langs, score = own.predict(byte_rows(b, "text"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(score), pa.array((score >= own.reject) & (score > 0))], ["doc_id", "lang_pred", "score", "accepted"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import byte_rows, covered, window_hashes, word_hashes
+from cartolith.llm.common import as_row, byte_rows, covered, of_row, run_ranks, word_bounds, word_ids
 
 #: Labelled rows that the trees are fitted on at most, the smallest by hash of doc_id.
 SAMPLE = 20_000
@@ -42,28 +42,22 @@ _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123), *range(128,
 def statistics(text: bytes | None) -> tuple[list[int], list[float]]:
     """The base counts and the features of a text; null counts as empty."""
     text = text or b""
-    words, starts, ends = word_hashes(text)
-    n = len(words)
     raw = np.frombuffer(text, np.uint8)
+    starts, ends = word_bounds(raw)
+    words, n_distinct = word_ids(text.split())
+    n = len(words)
     per_byte = np.bincount(raw, minlength=256)
     chars = int(per_byte[~_SPACE].sum() - per_byte[128:192].sum())
     symbols = int(per_byte[_SYMBOL].sum())
     lines = [x for x in text.split(b"\n") if x.strip()]
     dup_lines = len(lines) - len(set(lines))
-    windows = window_hashes(words, 8)
-    repeated = 0
-    if len(windows):
-        order = np.argsort(windows, kind="stable")
-        same = windows[order[1:]] == windows[order[:-1]]
-        if same.any():
-            twice = np.zeros(len(windows), bool)
-            twice[order[1:][same]] = True
-            twice[order[:-1][same]] = True
-            repeated = int(covered(twice, 8, n).sum())
+    windows = run_ranks(words, 8)
+    twice = np.bincount(windows)[windows] > 1
+    repeated = int(covered(twice, 8, n).sum()) if twice.any() else 0
     base = [n, chars, symbols, dup_lines, repeated]
     if not n:
         return base, [0.0] * len(FEATURES)
-    size, counts = len(raw), np.unique(words, return_counts=True)[1]
+    size, counts = len(raw), np.bincount(words, minlength=n_distinct)
     share = per_byte[per_byte > 0] / size
     first, last = raw[starts], raw[ends - 1]
     letters = max(1, int(per_byte[_LETTER].sum()))
@@ -73,7 +67,7 @@ def statistics(text: bytes | None) -> tuple[list[int], list[float]]:
         np.isin(last, list(b".,;:")).mean(), per_byte[128:].sum() / size, _UPPER[first].mean(), (~_LETTER[last] & ~np.isin(last, list(b".,"))).mean(),
         -(share * np.log2(share)).sum(), (ends - starts > 14).mean(), (words[1:] == words[:-1]).mean() if n > 1 else 0.0,
     ]
-    return base, [float(x) for x in features]
+    return base, [float(v) for v in features]
 
 
 @dataclass
@@ -178,13 +172,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
 
     A doc_id with several labels counts once, as good only if all say so. Without both kinds of labels the
     trees are empty and the share of good ones decides."""
-    known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min("quality").cast("double").alias("__good"))
-    known = known.orderBy(F.xxhash64("__id"), "__id").limit(sample)
+    known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").cast("double").alias("good"))
+    known = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     # the sample's bound is the size bound of this broadcast
-    chosen = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(known), "__id")
-    rows = measured(chosen, ["__id", "__good"]).orderBy(F.xxhash64("__id"), "__id").limit(sample).select("__good", "features").toPandas()
+    chosen = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "id")
+    rows = measured(chosen.withColumn("text_hash", F.xxhash64("text")), ["id", "good", "text_hash"]).orderBy(F.xxhash64("id"), "id", "text_hash").limit(sample).select("good", "features").toPandas()
     x = np.array(rows["features"].tolist(), float).reshape(-1, len(FEATURES))
-    return boost(x, (rows["__good"].to_numpy(float) > 0.5).astype(float))
+    return boost(x, (rows["good"].to_numpy(float) > 0.5).astype(float))
 
 
 def verdicts(batch_stats: list[tuple[list[int], list[float]]], model: Trees, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -212,11 +206,12 @@ def judge(docs: DataFrame, model: Trees, threshold: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Trees, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that judge() keeps, with docs' own columns."""
+    """The rows of docs that judge() keeps, with docs' own columns, whatever their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = verdicts([statistics(t) for t in byte_rows(b, "__text")], model, threshold)[3]
-            yield b.filter(pa.array(kept)).drop_columns(["__text"])
+            kept = verdicts([statistics(t) for t in byte_rows(b, "text")], model, threshold)[3]
+            yield b.select(["row"]).filter(pa.array(kept))
 
-    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, docs.schema)
+    rows = docs.select(as_row(docs, docs.columns), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, rows.select("row").schema).select(*of_row(docs.columns))

@@ -1,10 +1,14 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-A token is a word or, for rarer words, its first bytes (its stem). Its score is its log-odds of toxic against clean labelled documents under an informative Dirichlet
-prior, where that is significant, and a small negative drift otherwise. One linear scan finds every maximal
-segment of a text's token scores. A segment's score is turned into an expected number of such segments
-in clean text of that length (extreme-value statistics: K n exp(-lambda S)); significant segments' evidence
-adds up, and a logistic curve fitted on the sample turns it into a probability.
+A token is a word or, for rarer words, its first letters (its stem). Its score is its log-odds of toxic
+against clean labelled documents under an informative Dirichlet prior, where that is significant, and a
+small negative drift otherwise. One linear scan finds every maximal segment of a text's token scores. A
+segment's score is turned into an expected number of such segments in clean text of that length
+(extreme-value statistics: K n exp(-lambda S), both fitted on clean texts' best scores); significant
+segments' evidence adds up, and a logistic curve turns it into a probability.
+
+What is fitted after the words (lambda, K, the curve, and which stems are used) is fitted out of fold: a
+sampled text is scored by words that were counted without it and its copies.
 """
 
 from __future__ import annotations
@@ -14,67 +18,87 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import byte_rows, stem_hashes, written
+from cartolith.llm.common import REMEMBERED, byte_rows, written
 
-#: Bounds of the training sample (labelled rows of each class, the smallest by hash of doc_id) and of the word list.
-SAMPLE, WORDS = 6_000, 20_000
+#: Bound of the training sample: labelled rows of each class, the smallest by hash of doc_id.
+SAMPLE = 5_000
 #: Least z and least log-odds of a word that counts, and how many different words must precede it in toxic texts.
 LEAST_Z, LEAST_DELTA, LEAST_USES = 3.5, 2.0, 4
 DRIFT, SIGNIFICANT = -0.25, 0.05
-#: Bytes of the stems that stand for words which aren't listed themselves.
-STEMS = (6, 7)
+#: Letters of the stems that are counted, and the sets of them of which cross-validation chooses one.
+STEMS = (5, 6, 7)
+CHOICES = ((), (5,), (6,), (7,), (6, 7), (5, 6, 7))
+FOLDS = 5
 
 _FLAT = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 
 
+def tokens(text: bytes | None) -> list[str]:
+    """A text's words: lower-cased (A-Z), split at white space and ASCII signs."""
+    return (text or b"").translate(_FLAT).decode("utf-8", "replace").split()
+
+
+def token_hash(token: str, letters: int = 0) -> int:
+    """XXH64 of a word (letters 0), or of the stem of that many letters."""
+    return xxhash.xxh64_intdigest((token[:letters] if letters else token).encode(), letters)
+
+
 @dataclass
 class Model:
-    hashes: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # sorted
-    scores: np.ndarray = field(default_factory=lambda: np.empty(0))
+    scores: dict[int, float] = field(default_factory=dict)  # by token_hash
+    stems: tuple[int, ...] = ()
     rate: float = 1.0  # lambda
     k: float = 0.1
     slope: float = 0.0
     shift: float = -5.0
 
     def __post_init__(self) -> None:
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.known: dict[str, float] = {}
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "known": {}}
+
+    def _score(self, word: str) -> float:
+        """The word's own score, or that of its longest listed stem."""
+        found = self.scores.get(token_hash(word))
+        for n in sorted(self.stems, reverse=True):
+            if found is None and len(word) > n:
+                found = self.scores.get(token_hash(word, n))
+        return DRIFT if found is None else found
 
     def segments(self, text: bytes | None) -> tuple[list[tuple[int, int, float]], int]:
         """The maximal segments (first token, token after the last, score) of a text, and its tokens."""
-        hashes, starts, _ = stem_hashes((text or b"").translate(_FLAT), STEMS)
-        score = np.full(len(starts), DRIFT)
-        for h in hashes:  # from the shortest stem to the whole word, which has the last say
-            at = np.flatnonzero(self.maybe[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            if len(at):
-                place = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
-                hit = self.hashes[place] == h[at]
-                score[at[hit]] = self.scores[place[hit]]
+        words, known = tokens(text), self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        known.update((w, self._score(w)) for w in set(words).difference(known))
+        score = np.fromiter(map(known.__getitem__, words), float, len(words))
         at = np.flatnonzero(score > DRIFT)
-        return maximal_segments(at, score[at] - DRIFT, DRIFT) if len(at) else [], len(starts)
-
-    def evidence(self, text: bytes | None) -> tuple[float, float, int]:
-        """Summed evidence of the significant segments, the best segment's score, and how many are significant."""
-        found, n = self.segments(text)
-        if not found:
-            return 0.0, 0.0, 0
-        score = np.array([s for _, _, s in found])
-        log_e = np.log(self.k * max(1, n)) - self.rate * score
-        strong = log_e < np.log(SIGNIFICANT)
-        return float(-log_e[strong].sum()), float(score.max()), int(strong.sum())
+        return maximal_segments(at, score[at] - DRIFT, DRIFT) if len(at) else [], len(words)
+
+    def log_expected(self, scores: np.ndarray, n: int) -> np.ndarray:
+        """Log of the number of segments of at least such scores expected in n tokens of clean text."""
+        return np.log(self.k * max(1, n)) - self.rate * scores
+
+    def evidence(self, scores: np.ndarray, n: int) -> float:
+        log_e = self.log_expected(scores, n)
+        return float(-log_e[log_e < np.log(SIGNIFICANT)].sum())
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.log1p(evidence) + self.shift, -30, 30)))
 
 
 def maximal_segments(at: np.ndarray, gain: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments in one pass (each candidate is pushed and merged once).
+    """All maximal scoring segments in linear time.
 
-    Token at[i] scores gain[i] + drift, every other token drift < 0; only tokens in at can begin or end one."""
-    kept: list[tuple[int, int, float, float]] = []  # first, after, cumulative score before and through the segment
+    Token at[i] scores gain[i] + drift, every other token drift < 0; only tokens in at can begin or end one.
+    Each candidate remembers the nearest one before it that starts lower, and a search follows these links, so
+    none is passed over twice."""
+    kept: list[tuple[int, int, float, float, int]] = []  # first, after, cumulative score before and through it, link
     cumulative, seen = 0.0, 0
     for i, g in zip(at.tolist(), gain.tolist(), strict=True):
         cumulative += drift * (i - seen)
@@ -87,97 +111,144 @@ def maximal_segments(at: np.ndarray, gain: np.ndarray, drift: float) -> list[tup
         while True:
             j = len(kept) - 1
             while j >= 0 and kept[j][2] >= low:
-                j -= 1
+                j = kept[j][4]
             if j < 0 or kept[j][3] >= high:
-                kept.append((first, i + 1, low, high))
+                kept.append((first, i + 1, low, high, j))
                 break
             first, low = kept[j][0], kept[j][2]
             del kept[j:]
-    return [(a, b, high - low) for a, b, low, high in kept]
+    return [(a, b, high - low) for a, b, low, high, _ in kept]
 
 
-def log_odds(sample: DataFrame, words: int = WORDS) -> DataFrame:
-    """word (its hash), delta, toxic, clean, uses: the significant words and stems of sample (text, toxic), most significant first.
+def log_odds(toxic: np.ndarray, clean: np.ndarray, all_toxic: float, all_clean: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds and their z of counts in toxic and clean text; the prior is half a use plus the share of all uses."""
+    prior = 0.5 + (toxic + clean) / max(1.0, all_toxic + all_clean)
+    a, b = toxic + prior, clean + prior
+    delta = np.log(a / (all_toxic + 1 - toxic)) - np.log(b / (all_clean + 1 - clean))
+    return np.minimum(delta, 12.0), delta / np.sqrt(1 / a + 1 / b)
 
-    toxic and clean count the different words that precede it in either class, not its uses, so that a passage
-    that is copied many times counts once. uses counts its uses in clean texts. The prior is half a use
-    plus the word's share of all uses."""
+
+def word_counts(sample: DataFrame) -> DataFrame:
+    """token (its hash) and, for i from 0 to FOLDS, toxic_i and clean_i: its counts without fold i (FOLDS: in all of sample).
+
+    What is counted is the different words that precede it, not its uses, so that a passage that is copied
+    many times counts once. sample has text, toxic (0 or 1) and fold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(i, 64) for i in range(0, b.num_rows, 64)):
                 found = []
-                for text, label in zip(byte_rows(part, "text"), part.column("toxic").to_pylist(), strict=True):
-                    hashes, starts, ends = stem_hashes((text or b"").translate(_FLAT), STEMS)
-                    before = np.append(np.uint64(0), hashes[-1][:-1])[: len(starts)]
-                    for n, h in zip((*STEMS, 0), hashes, strict=True):
-                        longer = ends - starts > n
-                        found.append(np.stack([h[longer].view(np.int64), before[longer].view(np.int64), np.full(longer.sum(), label)]))
-                rows, uses = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(r) for r in rows), pa.array(np.where(rows[2] > 0, 0, uses))], ["word", "before", "toxic", "uses"])
-
-    pairs = sample.mapInArrow(count, "word long, before long, toxic long, uses long").groupBy("word", "before", "toxic").agg(F.sum("uses").alias("uses"))
-    counts = written(pairs.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"), F.sum("uses").alias("uses")), "word-counts")
-    total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in ("toxic", "clean")]).first()
-    prior = 0.5 + (F.col("toxic") + F.col("clean")) / F.lit(max(1.0, total["toxic"] + total["clean"]))
-    a, b = F.col("toxic") + prior, F.col("clean") + prior
-    delta = F.log(a / (F.lit(total["toxic"] + 1) - F.col("toxic"))) - F.log(b / (F.lit(total["clean"] + 1) - F.col("clean")))
-    z = delta / F.sqrt(1 / a + 1 / b)
-    scored = counts.filter(F.col("toxic") >= LEAST_USES).withColumns({"delta": F.least(delta, F.lit(12.0)), "z": z}).filter((F.col("z") >= LEAST_Z) & (F.col("delta") >= LEAST_DELTA))
-    return scored.orderBy(F.desc("z"), "word").limit(words)
-
-
-def extreme_rate(scores: np.ndarray, chance: np.ndarray) -> float:
-    """lambda > 0 with sum of chance * exp(lambda * score) = 1, where chance adds up to 1 and the mean score is negative."""
-    low, high = 1e-6, 20.0
-    for _ in range(200):
-        middle = (low + high) / 2
-        total = float((chance * np.exp(np.minimum(middle * scores, 700))).sum())
-        low, high = (middle, high) if total < 1 else (low, middle)
-    return low
+                for text, label, fold in zip(byte_rows(part, "text"), part.column("toxic").to_pylist(), part.column("fold").to_pylist(), strict=True):
+                    words = tokens(text)
+                    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+                    of = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+                    hashes = np.array([[token_hash(w), *(token_hash(w, n) if len(w) > n else 0 for n in STEMS)] for w in number], np.uint64).reshape(-1, 1 + len(STEMS)).view(np.int64)
+                    whole = hashes[of, 0]
+                    before = np.append(0, whole[:-1])[: len(whole)]
+                    for j in range(1 + len(STEMS)):
+                        h = hashes[of, j]
+                        use = h != 0
+                        found.append(np.stack([h[use], before[use], np.full(use.sum(), label), np.full(use.sum(), fold)]))
+                rows = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["token", "before", "toxic", "fold"])
+
+    pairs = sample.mapInArrow(count, "token long, before long, toxic long, fold long").groupBy("token", "before", "toxic").agg(F.bit_or(F.expr("shiftleft(1L, int(fold))")).alias("folds"))
+    counts = []
+    for i in range(FOLDS + 1):
+        seen = (F.col("folds").bitwiseAND(F.lit(~(1 << i) & (2**FOLDS - 1))) != 0).cast("long")
+        counts += [F.sum(seen * F.col("toxic")).alias(f"toxic_{i}"), F.sum(seen * (1 - F.col("toxic"))).alias(f"clean_{i}")]
+    return pairs.groupBy("token").agg(*counts)
+
+
+def lists(counts: DataFrame) -> list[dict[int, float]]:
+    """The significant tokens and their scores without each fold, and of all, from word_counts()."""
+    names = [f"{c}_{i}" for i in range(FOLDS + 1) for c in ("toxic", "clean")]
+    total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in names]).first()
+    # as many rows as the bounded sample has tokens of LEAST_USES contexts
+    rows = counts.filter(F.col(f"toxic_{FOLDS}") >= LEAST_USES).toArrow()
+    token, out = rows.column("token").to_numpy().astype(np.int64).view(np.uint64), []
+    for i in range(FOLDS + 1):
+        toxic, clean = (rows.column(f"{c}_{i}").to_numpy().astype(float) for c in ("toxic", "clean"))
+        delta, z = log_odds(toxic, clean, total[f"toxic_{i}"], total[f"clean_{i}"])
+        good = (toxic >= LEAST_USES) & (z >= LEAST_Z) & (delta >= LEAST_DELTA)
+        out.append(dict(zip(token[good].tolist(), delta[good].tolist(), strict=True)))
+    return out
+
+
+def extreme_values(n: np.ndarray, best: np.ndarray, low: float = 0.02, high: float = 5.0) -> tuple[float, float]:
+    """lambda and K of P(best <= s) = exp(-K n exp(-lambda s)) that are likeliest for clean texts' tokens and best scores.
+
+    A text without a segment has best 0 and counts as at most that. K follows from lambda; lambda is found by
+    narrowing a grid. Half a text is added to those with a segment, so that K is never 0."""
+    n, hit = np.maximum(n, 1.0), best > 0
+    m = hit.sum() + 0.5
+
+    def likelihood(rate: float) -> float:
+        k = m / max(1e-300, float((n * np.exp(-rate * best)).sum()))
+        return m * np.log(rate) + m * np.log(k) - rate * float(best[hit].sum()) - m
+
+    for _ in range(6):
+        grid = np.geomspace(low, high, 25)
+        i = int(np.argmax([likelihood(r) for r in grid]))
+        low, high = grid[max(0, i - 1)], grid[min(24, i + 1)]
+    rate = float(np.sqrt(low * high))
+    return rate, float(m / max(1e-300, (n * np.exp(-rate * best)).sum()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most sample rows of each class of labels (doc_id, toxic), joined with docs (doc_id, text).
 
     A doc_id with several labels counts once, as toxic if any says so; null labels don't count. Without
-    toxic labels every text scores low."""
-    known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").cast("long").alias("toxic"))
-    part = [known.filter(c).orderBy(F.xxhash64("__id"), "__id").limit(sample) for c in ("toxic > 0", "toxic <= 0")]
+    toxic labels every text scores low. Whole texts are used."""
+    known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.when(F.max("toxic") > 0, 1).otherwise(0).cast("long").alias("toxic"))
+    part = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(sample) for c in (0, 1)]
     # the sample's bound is the size bound of this broadcast
-    ids = part[0].unionByName(part[1])
-    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "__id")
-    texts = written(texts.select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).cast("long").alias("toxic")), "toxicity-sample")
-    found = log_odds(texts).select("word", "delta", "uses").toArrow()
-    if not found.num_rows:
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(part[0].unionByName(part[1])), "id")
+    # a doc_id with several rows could pass the bound
+    part = [texts.filter(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(sample) for c in (0, 1)]
+    # copies share a fold; few rows a task, as tokens take more time than bytes
+    texts = part[0].unionByName(part[1]).select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).alias("fold")).repartition(16, F.xxhash64("text"))
+    texts = written(texts, "toxicity-sample")
+    scores = lists(written(word_counts(texts), "token-counts"))
+    if not scores[FOLDS]:
         return Model()
-    hashes = found.column("word").to_numpy().astype(np.int64).view(np.uint64)
-    delta, uses = found.column("delta").to_numpy().astype(float), found.column("uses").to_numpy().astype(float)
-    order = np.argsort(hashes)
-
-    def length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sum(len((t or b"").translate(_FLAT).split()) for t in byte_rows(b, "text"))], pa.int64())], ["n"])
+    models = texts.sparkSession.sparkContext.broadcast([[Model(s, c) for c in CHOICES] for s in scores[:FOLDS]])
 
-    total = float(texts.filter("toxic = 0").mapInArrow(length, "n long").agg(F.sum("n")).first()[0] or 1)
-    # rates of listed words in clean text, with half a use added so that none is impossible
-    chance = (uses + 0.5) / (total + 0.5 * len(uses) + 1)
-    rate = extreme_rate(np.append(delta, DRIFT), np.append(chance, max(0.0, 1 - chance.sum())))
-    model = Model(hashes[order], delta[order], rate)
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([model.evidence(t)[0] for t in byte_rows(b, "text")], pa.float64()), b.column("toxic")], ["evidence", "toxic"])
-
-    rows = texts.mapInArrow(gather, "evidence double, toxic long").limit(2 * sample).toArrow()
-    x, y = np.log1p(rows.column("evidence").to_numpy()), rows.column("toxic").to_numpy().astype(float)
-    model.slope, model.shift = logistic(x, y)
-    return model
-
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple[float, float]:
-    """Slope (not negative) and shift of a ridge logistic curve, by Newton's steps; classes weigh the same."""
-    weight = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum())) * len(y)
+            rows = []
+            for text, fold in zip(byte_rows(b, "text"), b.column("fold").to_pylist(), strict=True):
+                found = [m.segments(text) for m in models.value[fold]]
+                rows.append((found[0][1], [[s for *_, s in segments] for segments, _ in found]))
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([n for n, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.list_(pa.list_(pa.float64())))], ["toxic", "n", "scores"])
+
+    # a few numbers for each of the sample's rows
+    rows = texts.mapInArrow(held_out, "toxic long, n long, scores array<array<double>>").toArrow()
+    y, n = rows.column("toxic").to_numpy().astype(float), rows.column("n").to_numpy().astype(float)
+    # the sample's rows stand for all labelled ones of their class
+    totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    weight = np.where(y > 0, totals.get(1, 0) / max(1.0, y.sum()), totals.get(0, 0) / max(1.0, (1 - y).sum()))
+    weight *= len(y) / max(1e-12, weight.sum())
+    per_row, best = rows.column("scores").to_pylist(), None
+    for i, stems in enumerate(CHOICES):
+        found = [np.array(r[i], float) for r in per_row]
+        rate, k = extreme_values(n[y == 0], np.array([s.max(initial=0.0) for s, t in zip(found, y, strict=True) if t == 0]))
+        model = Model(scores[FOLDS], stems, rate, k)
+        x = np.log1p([model.evidence(s, int(m)) for s, m in zip(found, n, strict=True)])
+        model.slope, model.shift = logistic(x, y, weight)
+        loss = log_loss(model.slope * x + model.shift, y, weight)
+        if best is None or loss < best[0]:
+            best = (loss, model)
+    return best[1]
+
+
+def log_loss(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    margin = np.clip(margin, -30, 30)
+    return float((weight * (np.log1p(np.exp(-margin)) + (1 - y) * margin)).sum())
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5) -> tuple[float, float]:
+    """Slope (not negative) and shift of a weighted ridge logistic curve, by Newton's steps."""
     a, b = 0.0, 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
@@ -205,10 +276,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             evidence, spans = [], []
             for t in byte_rows(b, "text"):
                 found, n = own.segments(t)
-                log_e = [np.log(own.k * max(1, n)) - own.rate * s for _, _, s in found]
-                strong = [(x, e) for x, e in zip(found, log_e, strict=True) if e < np.log(SIGNIFICANT)]
-                evidence.append(-sum(e for _, e in strong))
-                spans.append([{"first": a, "after": z, "score": s} for (a, z, s), _ in strong])
+                log_e = own.log_expected(np.array([s for *_, s in found], float), n)
+                strong = np.flatnonzero(log_e < np.log(SIGNIFICANT)).tolist()
+                evidence.append(-sum(float(log_e[i]) for i in strong))
+                spans.append([dict(zip(("first", "after", "score"), found[i], strict=True)) for i in strong])
             p = own.probability(np.array(evidence, float))
             cols = [b.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([len(s) for s in spans], pa.int32()), pa.array([max((x["score"] for x in s), default=0.0) for s in spans], pa.float64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64()), ("score", pa.float64())])))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "predicted", "n_segments", "best_segment", "segments"])

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -164,6 +165,45 @@ def test_substring_dedup_against_brute_force(spark, monkeypatch, heavy):
     assert got == dict(enumerate(brute_repeats(texts)))
 
 
+def thue_morse(n):
+    """Two strings of n letters whose polynomial hashes modulo 2**64 are the same for every odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_are_told_apart_by_their_bytes(spark):
+    rest = " ".join(f"r{i}" for i in range(34))
+    texts = [f"{w} {rest}" for w in thue_morse(1024)]
+    assert [r.n_removed for r in substring_dedup.remove_repeats(spark.createDataFrame(rows_of(texts), DOCS)).collect()] == [0, 0]
+    eight = [f"{w} " + " ".join(f"r{i}" for i in range(7)) for w in thue_morse(1024)]
+    assert quality.statistics(" ".join(eight).encode())[0][4] == brute_base(" ".join(eight))[4] == 0
+    # words in that order, two of each kind, where a rolling polynomial over words would be in doubt
+    lines = [" ".join(x) for x in thue_morse(4096)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows_of(lines), DOCS)).collect()}
+    assert got == dict(enumerate(brute_repeats(lines)))
+
+
+def test_a_hot_passage_lengthens_and_thins(spark, monkeypatch):
+    """One passage in all documents, each with words of its own around it, over many tasks."""
+    monkeypatch.setattr(substring_dedup, "HEAVY", 20)
+    monkeypatch.setattr(substring_dedup, "SALTS", 3)
+    rng = random.Random(16)
+    hot = text_of(rng, 50)
+    texts = [f"{text_of(rng, i % 40)} {hot} {text_of(rng, i % 7)} end{i}" for i in range(400)] + [hot] * 200
+    df = spark.createDataFrame(rows_of(texts), DOCS).repartition(40)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(df).collect()}
+    assert got == dict(enumerate(brute_repeats(texts)))
+
+
+def test_rows_without_an_id_keep_their_own_marks(spark):
+    rng = random.Random(17)
+    texts = passages()[:60]
+    df = spark.createDataFrame([(None, t, None, None, None) for t in texts] + [(7, t, None, None, None) for t in texts[:30]], DOCS)
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(df).collect())
+    both = texts + texts[:30]
+    assert got == Counter((None if i < 60 else 7, *b) for i, b in enumerate(brute_repeats(both))) and rng
+
+
 def test_substring_dedup_on_awkward_tables(spark, odd, none):
     got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(odd).collect())
     assert got == Counter((r[0], *b) for r, b in zip(awkward(), brute_repeats([r[1] for r in awkward()]), strict=True))
@@ -478,6 +518,167 @@ def test_maximal_segments_against_a_recursion():
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in slow(x)] and [s for *_, s in got] == pytest.approx([s for *_, s in slow(x)])
 
 
+def brute_features(text):
+    """Bucket counts of a text, one word and one n-gram at a time."""
+    flat = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else " " if c in "\t\n\v\f\r" else c for c in text)
+    out = Counter()
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * m & mask
+        return x ^ x >> 33
+
+    for w in flat.encode().split(b" "):
+        if w:
+            out[xxhash.xxh64_intdigest(w, 42) % language.BUCKETS] += 1
+            padded = b" " + w + b" "
+            for n in (2, 3, 4):
+                for i in range(len(padded) - n + 1):
+                    code = 0
+                    for x in padded[i : i + n]:
+                        code = code * 257 + x
+                    if padded[i] != 32 or padded[i + n - 1] != 32:
+                        out[mix(code + (n << 48) & mask) % language.BUCKETS] += 1
+    return out
+
+
+def test_language_features_against_loops(monkeypatch):
+    rng = random.Random(18)
+    texts = ["", "a", "Ab  cd\te\n", "über Straße 日本 x", text_of(rng, 300), text_of(rng, 5)]
+    for at_once in (1 << 18, 200):
+        monkeypatch.setattr(language, "AT_ONCE", at_once)
+        got = [Counter() for _ in texts]
+        for owner, bucket in language.features([t.encode() for t in texts]):
+            for i, b in zip(owner.tolist(), bucket.tolist(), strict=True):
+                got[i][b] += 1
+        assert got == [brute_features(t) for t in texts]
+
+
+def test_language_training_against_loops():
+    """Every step of SGD again, one text, feature and class at a time."""
+    rng = random.Random(19)
+    texts = [(rng.choice("ab") * 3 + f" {rng.choice('xyz')}{i % 3}") for i in range(20)]
+    langs = ["l" + t[0] for t in texts]
+    feats = [brute_features(t) for t in texts]
+    counts = [(np.array(sorted(f)), np.array([f[b] for b in sorted(f)])) for f in feats]
+    model = language.train(counts, langs, steps=10, batch=8)
+    gen = np.random.default_rng(1)
+    emb = gen.uniform(-1 / language.WIDTH, 1 / language.WIDTH, (language.BUCKETS, language.WIDTH)).tolist()
+    names, width = sorted(set(langs)), language.WIDTH
+    layer, bias = [[0.0] * len(names) for _ in range(width)], [0.0] * len(names)
+    fit, step = np.array([i for i in range(20) if i % 5 != 4]), 0
+    epochs = max(4, -(-10 * 8 // len(fit)))
+    for _ in range(epochs):
+        gen.shuffle(fit)
+        for at in range(0, len(fit), 8):
+            rows, now = fit[at : at + 8], 2.0 * (1 - step / (epochs * 2))
+            d_emb, d_layer, d_bias = {}, [[0.0] * len(names) for _ in range(width)], [0.0] * len(names)
+            for i in rows:
+                total = sum(feats[i].values())
+                mean = [sum(n * emb[b][w] for b, n in feats[i].items()) / total for w in range(width)]
+                logit = [sum(mean[w] * layer[w][k] for w in range(width)) + bias[k] for k in range(len(names))]
+                p = [math.exp(v) for v in logit]
+                error = [v / sum(p) - (names[k] == langs[i]) for k, v in enumerate(p)]
+                for k, e in enumerate(error):
+                    d_bias[k] += e / len(rows)
+                    for w in range(width):
+                        d_layer[w][k] += mean[w] * e / len(rows)
+                        for b, n in feats[i].items():
+                            d_emb[b, w] = d_emb.get((b, w), 0.0) + n / total * e * layer[w][k]
+            for (b, w), v in d_emb.items():
+                emb[b][w] -= now * v
+            for k in range(len(names)):
+                bias[k] -= now * d_bias[k]
+                for w in range(width):
+                    layer[w][k] -= now * d_layer[w][k]
+            step += 1
+    for f, t in zip(feats, texts, strict=True):
+        total = sum(f.values())
+        want = [sum(n * emb[b][w] for b, n in f.items()) / total for w in range(width)]
+        logit = [sum(want[w] * layer[w][k] for w in range(width)) + bias[k] for k in range(len(names))]
+        assert model.logits([t.encode()])[0] == pytest.approx(logit, abs=1e-5)
+
+
+def test_toxic_words_against_loops(spark):
+    """Counts without each fold, log-odds and z, one word at a time."""
+    rng = random.Random(20)
+    texts = [(text_of(rng, 30) + (" Rude rudely, rudeness! vile" * (i % 3 == 0)), int(i % 3 == 0), i % 5) for i in range(400)] + [("copied copied vile rude", 1, 2)] * 3
+    df = spark.createDataFrame([(t, y, f) for t, y, f in texts], "text string, toxic long, fold long").repartition(3)
+    got = {r.token & (1 << 64) - 1: r for r in toxicity.word_counts(df).collect()}
+    seen = {}
+    for t, y, f in texts:
+        before = 0
+        for w in "".join(c if c.isalnum() else " " for c in t.lower()).split():
+            h = toxicity.token_hash(w)
+            for token in [h] + [toxicity.token_hash(w, n) for n in toxicity.STEMS if len(w) > n]:
+                seen.setdefault((token, before, y), set()).add(f)
+            before = h
+    want = {}
+    for (token, _, y), folds in seen.items():
+        for i in range(toxicity.FOLDS + 1):
+            if folds - {i}:
+                want[token, y, i] = want.get((token, y, i), 0) + 1
+    assert set(got) == {t for t, _, _ in want}
+    for token, r in got.items():
+        for i in range(toxicity.FOLDS + 1):
+            assert (r[f"toxic_{i}"], r[f"clean_{i}"]) == (want.get((token, 1, i), 0), want.get((token, 0, i), 0))
+    scores = toxicity.lists(toxicity.word_counts(df))
+    for i in range(toxicity.FOLDS + 1):
+        all_toxic, all_clean = (sum(n for (_, y, k), n in want.items() if k == i and y == label) for label in (1, 0))
+        slow = {}
+        for token in got:
+            a, b = want.get((token, 1, i), 0), want.get((token, 0, i), 0)
+            prior = 0.5 + (a + b) / (all_toxic + all_clean)
+            delta = math.log((a + prior) / (all_toxic + 1 - a)) - math.log((b + prior) / (all_clean + 1 - b))
+            if a >= toxicity.LEAST_USES and delta / math.sqrt(1 / (a + prior) + 1 / (b + prior)) >= toxicity.LEAST_Z and delta >= toxicity.LEAST_DELTA:
+                slow[token] = delta
+        assert scores[i] == pytest.approx(slow) and slow
+
+
+def test_extreme_values_against_a_search():
+    """lambda and K of simulated best scores, and against every point of a fine grid."""
+    rng = np.random.default_rng(21)
+    n = rng.integers(50, 2000, 4000).astype(float)
+    best = np.maximum(0.0, np.log(0.02 * n / -np.log(rng.random(4000))) / 0.7)
+    rate, k = toxicity.extreme_values(n, best)
+    assert abs(rate - 0.7) < 0.05 and abs(np.log(k / 0.02)) < 0.25
+
+    def loss(rate, k):
+        own = [math.log(rate) + math.log(k * m) - rate * s - k * m * math.exp(-rate * s) if s > 0 else -k * m for m, s in zip(n, best, strict=True)]
+        return -sum(own)
+
+    least = loss(rate, k)
+    assert all(least <= loss(rate * a, k * b) + 0.5 for a in (0.9, 0.97, 1, 1.03, 1.1) for b in (0.9, 0.97, 1, 1.03, 1.1))
+
+
+def test_curve_against_a_search():
+    rng = np.random.default_rng(22)
+    x = rng.random(300) * 4
+    y = (x + rng.normal(0, 1, 300) > 2.5).astype(float)
+    w = np.where(y > 0, 150 / y.sum(), 150 / (1 - y).sum())
+    a, b = toxicity.logistic(x, y, w)
+
+    def loss(a, b):
+        return sum(v * math.log1p(math.exp(-(a * s + b) if t else a * s + b)) for s, t, v in zip(x, y, w, strict=True)) + a * a / 4
+
+    assert all(loss(a, b) <= loss(a + da, b + db) for da in (-0.02, 0, 0.02) for db in (-0.02, 0, 0.02))
+
+
+def test_very_long_texts_are_scanned_in_linear_time():
+    at = np.arange(0, 640_000, 40)
+    began = time.perf_counter()
+    assert len(toxicity.maximal_segments(at, np.full(len(at), 3.0), -0.25)) == len(at)
+    assert time.perf_counter() - began < 1
+    rng = random.Random(23)
+    words = [f"word{i}" for i in range(300)]
+    model = toxicity.Model({toxicity.token_hash("vile"): 4.0}, (5,), 1.0, 0.1, 1.0, -3.0)
+    text = " ".join("vile" if i % 40 == 0 else rng.choice(words) for i in range(1_500_000)).encode()
+    began = time.perf_counter()
+    found, n = model.segments(text)
+    assert len(text) > 10_000_000 and n == 1_500_000 and len(found) == 37_500 and time.perf_counter() - began < 10
+
+
 def test_toxicity_learns(spark, odd, none):
     rng = random.Random(14)
     rude = [f"rude{i}" for i in range(12)]
