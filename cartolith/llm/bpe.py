@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartolith.llm.common import as_row, of_row
+
 _WS = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the pattern that byte-level BPE vocabularies of this family split text by, with \s spelt out.
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
@@ -186,37 +188,39 @@ def codec(path: str) -> Codec:
 def encode(docs: DataFrame, path: str | None = None, special: bool = True, decoded: bool = False) -> DataFrame:
     """docs' columns, with ids array<int> and n_tokens long, and the text decoded from ids if asked for.
 
-    A null text counts as empty and has no ids. Columns of docs named ids, n_tokens or decoded are replaced.
-    Every row stays; a text of any length is encoded whole."""
+    A null text counts as empty and has no ids. Columns of docs named ids, n_tokens or decoded are replaced, all
+    others stay, whatever their names. Every row stays; a text of any length is encoded whole."""
     path = path or default_path()
     names = [c for c in docs.columns if c.lower() not in ("ids", "n_tokens", "decoded")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in names])
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), *([T.StructField("decoded", T.StringType())] if decoded else [])])
+    rows = docs.select(as_row(docs, names), F.col("text").cast("string").alias("text"))
+    added = ["ids", "n_tokens", *(["decoded"] if decoded else [])]
+    schema = T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), *([T.StructField("decoded", T.StringType())] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                all_ids = list(own.encode(part.column("__text").to_pylist(), special))
+                all_ids = list(own.encode(part.column("text").to_pylist(), special))
                 sizes = np.array([len(x) for x in all_ids], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(all_ids).astype(np.int32)))
-                cols = [part.column(c) for c in names] + [lists, pa.array(sizes)] + ([pa.array([own.decode(x) for x in all_ids], pa.string())] if decoded else [])
+                cols = [part.column("row"), lists, pa.array(sizes), *([pa.array([own.decode(x) for x in all_ids], pa.string())] if decoded else [])]
                 yield pa.RecordBatch.from_arrays(cols, schema.fieldNames())
 
-    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*of_row(names), *added)
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     """rows' columns, with the text of each row's ids as decoded; null ids give null."""
     path = path or default_path()
     names = [c for c in rows.columns if c.lower() != "decoded"]
-    schema = T.StructType([*rows.select(*[F.col(f"`{c}`") for c in names]).schema.fields, T.StructField("decoded", T.StringType())])
+    packed = rows.select(as_row(rows, names), F.col("ids").cast("array<int>").alias("ids"))
+    schema = T.StructType([packed.schema["row"], T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for b in batches:
             texts = [None if not x.is_valid else own.decode(x.values.to_numpy(zero_copy_only=False).astype(np.int64)) for x in b.column("ids")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(texts, pa.string())], schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], schema.fieldNames())
 
-    return rows.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+    return packed.mapInArrow(run, schema).select(*of_row(names), "decoded")

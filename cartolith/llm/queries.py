@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from cartolith.llm import bpe, language, mixing, near_dedup, quality, sharding, substring_dedup, token_counts, topk, toxicity
 from cartolith.llm.common import table, written
 
-#: Production parameters of op1: seed, exponent of the target weights, tokens out against tokens in, no bound on the rates.
-MIX = {"seed": 7, "smoothing": 0.7, "budget": 1.0, "max_rate": None}
+#: Production parameters of op1: seed, exponent of the target weights, tokens out against tokens in.
+MIX = {"seed": 7, "smoothing": 0.7, "budget": 1.0}
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,21 +24,25 @@ OP1_SQL = """
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 s AS (SELECT source, sum(octet_length(encode(t)) // 4 + 1) AS tokens FROM d GROUP BY source),
 r AS (SELECT source, pow(tokens::DOUBLE, 0.7) / (SELECT sum(pow(tokens::DOUBLE, 0.7)) FROM s) * (SELECT sum(tokens)::DOUBLE FROM s) / tokens AS rate FROM s),
-u AS (SELECT d.doc_id, d.source, rate, md5(t) AS text_md5,
-        ('0x' || substr(md5('7:' || coalesce(d.doc_id::VARCHAR, '') || ':' || md5(t)), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
-      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-c AS (SELECT source, i AS k, sum(exp(-rate) * pow(rate, i) / gamma(i + 1.0)) OVER (PARTITION BY source ORDER BY i) AS cum
-      FROM r, range(0, 64) x(i)),
-n AS (SELECT u.doc_id, u.source, u.rate, text_md5, u.u, (SELECT count(*) FROM c WHERE c.source IS NOT DISTINCT FROM u.source AND c.cum <= u.u) AS n_copies FROM u)
-SELECT doc_id, source, unnest(range(0, n_copies))::INT AS copy, n_copies::INT AS n_copies, round(rate, 8) AS rate, text_md5 FROM n
+e AS (SELECT source, rate, greatest(1, ceil(rate / 500))::BIGINT AS draws FROM r),
+u AS (SELECT doc_id, source, rate, draws, md5(t) AS text_md5, unnest(range(1, draws + 1)) AS i, coalesce(doc_id::VARCHAR, '') || ':' || md5(t) AS id
+      FROM (SELECT d.doc_id, d.source, d.t, row_number() OVER () AS row, rate, draws FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)),
+h AS (SELECT *, ('0x' || substr(md5('7:' || id || CASE WHEN draws > 1 THEN ':' || i ELSE '' END), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM u),
+c AS (SELECT source, k, sum(exp(-rate / draws + k * ln(rate / draws) - lgamma(k + 1.0))) OVER (PARTITION BY source ORDER BY k) AS cum
+      FROM e, unnest(range(0, (rate / draws + 9 * sqrt(rate / draws) + 30)::BIGINT)) x(k)),
+n AS (SELECT doc_id, source, rate, text_md5, (SELECT count(*) FROM c WHERE c.source IS NOT DISTINCT FROM h.source AND c.cum <= h.u) AS n, draws, i FROM h),
+t AS (SELECT doc_id, source, rate, text_md5, n_copies FROM (
+        SELECT doc_id, source, rate, text_md5, sum(n) OVER (PARTITION BY doc_id, text_md5, source, part) AS n_copies, i
+        FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, text_md5, source, i) AS part FROM n)) WHERE i = 1)
+SELECT doc_id, source, unnest(range(0, n_copies::BIGINT))::INT AS copy, n_copies::INT AS n_copies, round(rate, 8) AS rate, text_md5 FROM t
 """
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and n_tokens of every document, counted in flat token files that are written from documents first."""
-    blocks = written(token_counts.token_blocks(table(spark, sf_dir, "documents")), "token-files")
-    counts = token_counts.separator_scan(blocks, separator=50256)
-    return counts.join(token_counts.document_order(blocks), ["file", "ordinal"]).select("doc_id", "n_tokens", "closed")
+    folder = token_counts.new_folder(spark)
+    order = written(token_counts.write_flat(table(spark, sf_dir, "documents"), folder), "token-order")
+    return token_counts.token_counts(order, folder)
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

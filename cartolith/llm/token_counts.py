@@ -1,103 +1,143 @@
 """Token counts by separator scan of flat token files.
 
-A flat token file is ids one after another, each document closed by a separator id, with no index. It is
-read in fixed-size blocks that ignore document borders. Each block is searched for the separator in one
-vectorised step; documents that lie within a block are complete, and a prefix scan over the blocks'
-summaries gives what is carried into each block, so that documents across borders are stitched together.
-The scan has two levels (blocks within a chunk, then chunks), so no task holds a whole file's summaries.
+A flat token file is ids one after another, each document closed by a separator id, with no index. Tasks
+read byte ranges of it, blocks of a fixed size that ignore document borders, so that a file of any length
+spreads over tasks. Each block is searched for the separator in one vectorised step; documents that lie
+within a block are complete, and a prefix scan over the blocks' summaries gives what is carried into each
+block, so that documents across borders are stitched together. The scan has two levels (blocks within a
+chunk, then chunks), so no task holds a whole file's summaries.
 """
 
 from __future__ import annotations
 
+import atexit
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cartolith.llm.bpe import codec, default_path
+from cartolith.llm.common import _drop, byte_rows, shared_dir, width, written
 
 #: Ids in a block, and blocks in a chunk of the prefix scan.
-BLOCK_IDS, CHUNK = 1 << 16, 1024
+BLOCK_IDS, CHUNK = 1 << 20, 1024
+KINDS = {1: "<u1", 2: "<u2", 4: "<u4"}
 
 
-def token_blocks(docs: DataFrame, path: str | None = None, separator: int | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """docs as flat token files, one a partition: file, block, data (little-endian uint16 ids), and ended, the
-    doc_ids closed in the block, which the scan doesn't read.
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system that a task opens a file of the cluster with, and the path in it."""
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
-    Special tokens' strings in a text are ordinary text here, so only document ends have the separator's id."""
+
+def id_bytes_of(path: str | None = None, separator: int | None = None) -> int:
+    """Bytes that the ids of a vocabulary and the separator need: 2 or 4."""
+    largest = max(len(codec(path or default_path()).sizes) - 1, separator or 0)
+    if largest >= 1 << 32:
+        raise ValueError(f"id {largest} doesn't fit in 4 bytes")
+    return 2 if largest < 1 << 16 else 4
+
+
+def new_folder(spark: SparkSession) -> str:
+    """An empty folder for flat files among the shared ones; it goes when the driver's process ends."""
+    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, folder)
+    return folder
+
+
+def write_flat(docs: DataFrame, folder: str, path: str | None = None, separator: int | None = None) -> DataFrame:
+    """Writes docs as flat token files in folder, one a partition; gives file (its name), first and doc_ids, the
+    doc_ids in the files' order from ordinal first on. Write that table: its rows are what a task's success commits.
+
+    A file's name is new for each attempt of a task, so what a lost attempt left is told by its absence from
+    the table. Special tokens' strings in a text are ordinary text here, so only document ends have the
+    separator's id. A null text is a document without tokens, a null doc_id stays null; rows that repeat are
+    documents of their own. Ids are little-endian, of id_bytes_of() bytes."""
     path = path or default_path()
+    id_bytes = id_bytes_of(path, separator)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         eod = next(iter(own.special.values())) if separator is None else separator
-        file, block, held, size, ended = TaskContext.get().partitionId(), 0, [], 0, []
-
-        def cut(n: int) -> pa.RecordBatch:
-            """The first n ids that are held, as a block."""
-            nonlocal block, held, size, ended
-            flat = np.concatenate(held)
-            closed = [x for x, at in ended if at <= n]
-            row = pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([flat[:n].tobytes()], pa.binary()), pa.array([closed], pa.list_(pa.int64()))], ["file", "block", "data", "ended"])
-            held, size, block = [flat[n:]], size - n, block + 1
-            ended = [(x, at - n) for x, at in ended if at > n]
-            return row
-
+        name, first, out = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin", 0, None
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                for doc, ids in zip(part.column("doc_id").to_pylist(), own.encode(part.column("text").to_pylist(), special=False), strict=True):
-                    held.append(np.append(ids, eod).astype("<u2"))
-                    size += len(ids) + 1
-                    ended.append((doc, size))
-                    while size >= block_ids:
-                        yield cut(block_ids)
-        if size:
-            yield cut(size)
+                if out is None:
+                    system, place = file_system(f"{folder}/{name}")
+                    system.create_dir(os.path.dirname(place), recursive=True)
+                    out = system.open_output_stream(place)
+                for ids in own.encode(part.column("text").to_pylist(), special=False):
+                    out.write(np.append(ids, eod).astype(KINDS[id_bytes]).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first], pa.int64()), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64()))], ["file", "first", "doc_ids"])
+                first += part.num_rows
+        if out is not None:
+            out.close()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "file long, block long, data binary, ended array<long>")
+    return rows.mapInArrow(run, "file string, first long, doc_ids array<long>")
+
+
+def _summary(ids: np.ndarray, separator: int) -> tuple[int, int, np.ndarray]:
+    """How many ids a block has, how many follow its last separator, and the lengths of what each separator closes in it."""
+    at = np.flatnonzero(ids == separator)
+    return len(ids), len(ids) - (int(at[-1]) + 1 if len(at) else 0), np.diff(at, prepend=-1) - 1
+
 
+def _summaries(file: pa.Array, block: pa.Array, found: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    cols = [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays([file, block, *cols], ["file", "block", "n", "tail", "inner"])
 
-def read_flat(spark: SparkSession, path: str, id_bytes: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Flat binary files (each up to 2 GB) as blocks: file (its path), block, data."""
+
+def scan_files(spark: SparkSession, path: str, separator: int, id_bytes: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """separator_scan() of the flat files (*.bin) in a folder, whatever their sizes; file is a file's full path.
+
+    A file whose size isn't a multiple of id_bytes is an error."""
+    step, parts = id_bytes * block_ids, width(spark)
+    # only names and lengths are read here
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), "length")
+    ranges = files.filter("length > 0").select("file", "length", F.explode(F.expr(f"sequence(0L, (length - 1) div {step})")).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = id_bytes * block_ids
         for b in batches:
-            for name, data in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                whole = memoryview(data.as_buffer())
-                for i, at in enumerate(range(0, len(whole), step)):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i], pa.int64()), pa.array([bytes(whole[at : at + step])], pa.binary())], ["file", "block", "data"])
+            for i, (name, length, block) in enumerate(zip(*(b.column(c).to_pylist() for c in ("file", "length", "block")), strict=True)):
+                if length % id_bytes:
+                    raise ValueError(f"{name} has {length} bytes, no multiple of {id_bytes}")
+                system, place = file_system(name)
+                with system.open_input_file(place) as f:
+                    data = f.read_at(min(step, length - block * step), block * step)
+                yield _summaries(b.column("file").slice(i, 1), b.column("block").slice(i, 1), [_summary(np.frombuffer(data, KINDS[id_bytes]), separator)])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, data binary")
+    found = ranges.repartition(parts, "file", "block").mapInArrow(run, "file string, block long, n long, tail long, inner array<long>")
+    return stitched(written(found, "block-summaries"))
 
 
 def separator_scan(blocks: DataFrame, separator: int, id_bytes: int = 2) -> DataFrame:
     """file, ordinal (from 0 within the file), n_tokens (without the separator), closed, for each document.
 
-    What follows a file's last separator is one more document with closed false, if it has any ids. Two
-    separators in a row close an empty document. A file without blocks, or blocks that are null or empty,
-    give nothing. Blocks must be numbered in order within a file; gaps in the numbers don't matter."""
-    kind = {1: "<u1", 2: "<u2", 4: "<u4"}[id_bytes]
+    blocks has file, block and data. What follows a file's last separator is one more document with closed
+    false, if it has any ids. Two separators in a row close an empty document. A file without blocks, or
+    blocks that are null or empty, give nothing. Blocks must be numbered in order within a file; gaps in the
+    numbers don't matter."""
     file_type = dict(blocks.dtypes)["file"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, tails, inner = [], [], []
-            for data in b.column("data").to_pylist():
-                ids = np.frombuffer(data or b"", kind)
-                at = np.flatnonzero(ids == separator)
-                sizes.append(len(ids))
-                tails.append(len(ids) - (int(at[-1]) + 1 if len(at) else 0))
-                inner.append(np.diff(at, prepend=-1) - 1)
-            lists = pa.array(inner, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("block"), pa.array(sizes, pa.int64()), pa.array(tails, pa.int64()), lists], ["file", "block", "n", "tail", "inner"])
-
-    found = blocks.select("file", F.col("block").cast("long"), "data").mapInArrow(run, f"file {file_type}, block long, n long, tail long, inner array<long>")
+            yield _summaries(b.column("file"), b.column("block"), [_summary(np.frombuffer(x or b"", KINDS[id_bytes]), separator) for x in byte_rows(b, "data")])
+
+    return stitched(blocks.select("file", F.col("block").cast("long"), "data").mapInArrow(run, f"file {file_type}, block long, n long, tail long, inner array<long>"))
+
+
+def stitched(found: DataFrame) -> DataFrame:
+    """The documents of files from their blocks' summaries (file, block, n, tail, inner), by a prefix scan of two levels."""
     found = found.withColumn("chunk", F.floor(F.col("block") / CHUNK)).withColumn("seps", F.size("inner"))
     before = W.partitionBy("file", "chunk").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     # positions count from the chunk's start here, from the file's start below
@@ -118,12 +158,15 @@ def separator_scan(blocks: DataFrame, separator: int, id_bytes: int = 2) -> Data
     return rows.select("file", (F.col("first") + F.col("i")).alias("ordinal"), F.col("doc.n_tokens").alias("n_tokens"), F.col("doc.closed").alias("closed"))
 
 
-def document_order(blocks: DataFrame) -> DataFrame:
-    """file, ordinal, doc_id from the ended lists that token_blocks() wrote beside its files."""
-    found = blocks.select("file", "block", "ended", F.size("ended").alias("n"), F.floor(F.col("block") / CHUNK).alias("chunk"))
-    before = W.partitionBy("file", "chunk").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    found = found.withColumn("d1", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    earlier = W.partitionBy("file").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    chunks = found.groupBy("file", "chunk").agg(F.sum("n").alias("cn")).withColumn("d2", F.coalesce(F.sum("cn").over(earlier), F.lit(0))).drop("cn")
-    rows = found.join(chunks, ["file", "chunk"]).select("file", (F.col("d1") + F.col("d2")).alias("first"), F.posexplode("ended").alias("i", "doc_id"))
+def document_order(order: DataFrame) -> DataFrame:
+    """file, ordinal, doc_id from the table that write_flat() gave."""
+    rows = order.select("file", "first", F.posexplode("doc_ids").alias("i", "doc_id"))
     return rows.select("file", (F.col("first") + F.col("i")).alias("ordinal"), "doc_id")
+
+
+def token_counts(order: DataFrame, folder: str, path: str | None = None, separator: int | None = None) -> DataFrame:
+    """doc_id, n_tokens and closed of each document, by a scan of the files that write_flat() put in folder; order is its table."""
+    eod = next(iter(codec(path or default_path()).special.values())) if separator is None else separator
+    counts = scan_files(order.sparkSession, folder, eod, id_bytes_of(path, separator))
+    counts = counts.withColumn("file", F.element_at(F.split("file", "/"), -1))
+    return counts.join(document_order(order), ["file", "ordinal"]).select("doc_id", "n_tokens", "closed")

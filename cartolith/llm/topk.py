@@ -1,15 +1,17 @@
 """Exact top-k by inner product, by exhaustive term-at-a-time accumulation.
 
-Vectors are rows of integer term weights. The queries go out in blocks of a fixed size, each small enough
-to broadcast; candidates stay where they are. A task turns its candidates into postings (for each term,
-the candidates that have it and their weights) and scatters every term's postings, times the queries'
-weights, into a dense array of scores. Each block of candidates gives its own best by partition selection,
-and the blocks' best are merged by query.
+Vectors are sparse rows of integer term weights. Queries and candidates are dealt out as a grid: a task gets
+blocks of queries, each with one share of the candidates, holds a block of queries and streams candidates
+past it. It turns a batch of candidates into postings (for each term, the candidates that have it and their
+weights) and scatters every term's postings, times the weights of the queries that have the term, into a
+dense array of scores. Each batch gives its own best by partition selection, and these are merged by query.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
+from math import floor
 
 import numpy as np
 import pyarrow as pa
@@ -17,44 +19,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import written
+from cartolith.llm.common import width, written
 
-#: Queries in a broadcast block, and candidates and queries in one array of scores.
-QUERY_BLOCK, TASK_ROWS, TASK_QUERIES = 8192, 1024, 128
+#: Queries in a block (on average half), and candidates and queries in one array of scores.
+QUERY_BLOCK, TASK_ROWS, TASK_QUERIES = 32_768, 1024, 128
+_LEAST, _MOST = -(2**63), 2**63 - 1
 
 
 def weights(batch: pa.RecordBatch, scale: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and integer weights floor(scale * x) of a batch's usable rows; shorter vectors are filled with 0."""
-    ids, lists = batch.column("vec_id"), batch.column("embedding").cast(pa.list_(pa.float64()))
+    """Rows of a batch that are usable and their integer weights floor(scale * x); shorter vectors are filled with 0.
+
+    Where weights pass 2**62, the array holds exact Python integers."""
+    lists = batch.column("embedding").cast(pa.list_(pa.float64()))
     offsets = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.values.to_numpy(zero_copy_only=False)
     sizes = np.diff(offsets)
-    good = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
-    usable = (good[offsets[1:]] == good[offsets[:-1]]) & np.asarray(lists.is_valid()) & np.asarray(ids.is_valid())
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
+    usable = (bad[offsets[1:]] == bad[offsets[:-1]]) & np.asarray(lists.is_valid()) & np.asarray(batch.column("vec_id").is_valid())
     rows = np.flatnonzero(usable)
-    out = np.zeros((len(rows), int(sizes[rows].max()) if len(rows) else 0), np.int64)
-    inside = np.arange(out.shape[1]) < sizes[rows, None]
-    at = offsets[rows, None] + np.arange(out.shape[1])
-    out[inside] = np.floor(scale * flat[at[inside]]).astype(np.int64)
-    return ids.take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(np.int64), out
+    terms = np.arange(int(sizes[rows].max()) if len(rows) else 0)
+    inside = terms < sizes[rows, None]
+    found = flat[(offsets[rows, None] + terms)[inside]]
+    if np.abs(found).max(initial=0) * scale < 2.0**62:
+        values = np.floor(scale * found).astype(np.int64)
+    else:
+        values = np.array([floor(Fraction(scale) * Fraction(x)) for x in found.tolist()], object)
+    out = np.zeros((len(rows), len(terms)), values.dtype)
+    out[inside] = values
+    return rows, out
 
 
 def accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Inner products, (rows, queries): a scatter of each term's postings."""
+    """Inner products, (rows, queries): a scatter of each term's postings into the scores of the queries that have it.
+
+    Scores are exact; one beyond a long becomes the nearest long."""
     terms = min(queries.shape[1], rows.shape[1])
-    bound = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, terms)
-    kind = np.int32 if bound < 2**31 else np.int64  # exact either way
+    largest = [max(abs(int(a.max(initial=0))), abs(int(a.min(initial=0)))) for a in (queries, rows)]
+    bound = largest[0] * largest[1] * max(1, terms)
+    kind = np.int32 if bound < 2**31 else np.int64 if bound < 2**63 else object
     queries, rows = queries.astype(kind), rows.astype(kind)
     scores = np.zeros((len(rows), len(queries)), kind)
     held = np.empty_like(scores)
     for t in range(terms):
-        posting = np.flatnonzero(rows[:, t])
-        if 4 * len(posting) > len(rows):  # a long posting is scattered as a dense column
+        posting, asking = np.flatnonzero(rows[:, t]), np.flatnonzero(queries[:, t])
+        if 2 * len(posting) * len(asking) > scores.size:  # long lists on both sides are scattered as dense ones
             np.multiply(rows[:, t, None], queries[None, :, t], out=held)
             scores += held
-        elif len(posting):
-            scores[posting] += rows[posting, t, None] * queries[None, :, t]
-    return scores
+        elif len(posting) and len(asking):
+            scores[np.ix_(posting, asking)] += rows[posting, t, None] * queries[None, asking, t]
+    return (np.clip(scores, _LEAST, _MOST) if kind is object else scores).astype(np.int64)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,65 +75,85 @@ def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[
 
     scores is (rows, queries)."""
     order = np.argsort(ids, kind="stable")
-    scores, ids = scores[order].astype(np.int64), ids[order]
-    none = np.iinfo(np.int64).min
-    scores[ids[:, None] == own[None, :]] = none
+    scores, ids = scores[order], ids[order]
+    others = ids[:, None] != own[None, :]
+    taken = others
     if len(ids) > k:
-        least = np.partition(scores, len(ids) - k, axis=0)[len(ids) - k]
-        above = scores > least
-        level = (scores == least) & (np.cumsum(scores == least, axis=0) <= k - above.sum(axis=0))
-        taken = above | level
-    else:
-        taken = np.ones_like(scores, bool)
-    row, query = np.nonzero(taken & (scores != none))
+        ranked = np.where(others, scores, _LEAST)
+        least = np.partition(ranked, len(ids) - k, axis=0)[len(ids) - k]
+        above, level = ranked > least, (ranked == least) & others
+        taken = above | level & (np.cumsum(level, axis=0) <= k - above.sum(axis=0))
+    row, query = np.nonzero(taken)
     return query, order[row], scores[row, query]
 
 
+def firsts(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query."""
+    order = np.lexsort((ids, ~score, query))  # ~score falls as score rises, and has no overflow
+    query, ids, score = query[order], ids[order], score[order]
+    first = np.flatnonzero(np.append(True, query[1:] != query[:-1])[: len(query)])
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    return query[place < k], ids[place < k], score[place < k]
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best of all vectors but those with its own id.
 
     Both tables have vec_id and embedding. Rows with a null vec_id, or a vector that is null or holds null or
     non-finite components, take no part. Vectors of different lengths meet on their common terms. A vector
-    without components scores 0. Repeated rows are candidates of their own; repeated queries count once.
-    Other columns are left aside; an empty table on either side gives an empty result."""
+    without components scores 0. Repeated rows are candidates of their own. Queries that share an id but not
+    the vector are queries of their own, each with its ranks; wholly equal ones count once. Scores are exact
+    integers; one beyond a long counts as the nearest long, for its rank too. Other columns are left aside; an
+    empty table on either side gives an empty result."""
     plain = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")]
+    rows = vectors.select(*plain).filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
     asked = queries.select(*plain).filter("vec_id IS NOT NULL AND embedding IS NOT NULL").dropDuplicates()
-    asked = written(asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(1 << 20))), "queries")
-    blocks = max(1, -(-asked.count() // (query_block // 2)))  # half full on average, so that hashing doesn't overfill them
-    rows = vectors.select(*plain)
-    found = None
-    for i in range(blocks):
-        got = asked.filter(F.col("block") % blocks == i).select("vec_id", "embedding").limit(4 * query_block).toArrow().combine_chunks()
-        if got.num_rows == 4 * query_block:
-            raise ValueError("a block of queries is overfull")
-        batches = got.to_batches()
-        query_ids, query_weights = weights(batches[0], scale) if batches else (np.empty(0, np.int64), np.empty((0, 0), np.int64))
-        shared = vectors.sparkSession.sparkContext.broadcast((query_ids, query_weights))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            query_ids, query_weights = shared.value
-            for b in batches:
-                ids, own = weights(b, scale)
-                kept: list[list[np.ndarray]] = []
-                for q in range(0, len(query_ids), TASK_QUERIES):
-                    part_ids, part = query_ids[q : q + TASK_QUERIES], query_weights[q : q + TASK_QUERIES]
-                    parts = []
-                    for r in range(0, len(ids), TASK_ROWS):
-                        query, row, score = best(accumulate(part, own[r : r + TASK_ROWS]), ids[r : r + TASK_ROWS], part_ids, k)
-                        parts.append((query, ids[r + row], score))
-                    if parts:
-                        query, vec, score = (np.concatenate(x) for x in zip(*parts, strict=True))
-                        order = np.lexsort((vec, -score, query))
-                        query, vec, score = query[order], vec[order], score[order]
-                        first = np.flatnonzero(np.append(True, query[1:] != query[:-1])[: len(query)])
-                        place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
-                        kept.append([part_ids[query[place < k]], vec[place < k], score[place < k]])
-                if kept:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*kept, strict=True)], ["query_id", "vec_id", "score"])
-
-        part = rows.mapInArrow(run, "query_id long, vec_id long, score long")
-        if blocks > 1:
-            part = written(part, "best-of-block")
-        found = part if found is None else found.unionByName(part)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    # two hashes of id and vector tell queries apart
+    asked = written(asked.select("*", *[F.xxhash64(F.lit(i), "vec_id", "embedding").alias(f"q{i}") for i in (1, 2)]), "queries")
+    parts = width(vectors.sparkSession)
+    blocks = max(1, -(-asked.count() // max(1, query_block // 2)))
+    shares = max(1, -(-2 * parts // blocks))  # of the candidates, so that all tasks have work
+    left = asked.select(F.pmod("q1", F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(0).alias("side"), "q1", "q2", "vec_id", "embedding")
+    share = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shares)).cast("int")
+    right = rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), share.alias("share"), F.lit(1).alias("side"), F.lit(0).cast("long").alias("q1"), F.lit(0).cast("long").alias("q2"), "vec_id", "embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, own = None, [], None  # the cell that is being read, its queries' batches, and the queries as arrays
+
+        def asks() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            at, w = weights(whole, scale)
+            return (*(whole.column(c).to_numpy(zero_copy_only=False)[at] for c in ("q1", "q2", "vec_id")), w)
+
+        def scored(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            at, w = weights(b, scale)
+            ids = b.column("vec_id").to_numpy(zero_copy_only=False)[at]
+            q1, q2, query_ids, query_weights = own
+            for q in range(0, len(query_ids), TASK_QUERIES):
+                some = slice(q, q + TASK_QUERIES)
+                found = []
+                for r in range(0, len(ids), TASK_ROWS):
+                    query, row, score = best(accumulate(query_weights[some], w[r : r + TASK_ROWS]), ids[r : r + TASK_ROWS], query_ids[some], k)
+                    found.append((query, ids[r + row], score))
+                if found:
+                    query, vec, score = firsts(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[some][query]) for x in (q1, q2, query_ids)] + [pa.array(vec), pa.array(score)], ["q1", "q2", "query_id", "vec_id", "score"])
+
+        for b in batches:
+            block, share, side = (b.column(c).to_numpy(zero_copy_only=False) for c in ("block", "share", "side"))
+            turns = np.flatnonzero((block[1:] != block[:-1]) | (share[1:] != share[:-1]) | (side[1:] != side[:-1])) + 1
+            for s, e in zip([0, *turns.tolist()], [*turns.tolist(), b.num_rows], strict=True):
+                if s == e:
+                    continue
+                if (now := (block[s], share[s])) != cell:
+                    cell, held, own = now, [], None
+                if side[s] == 0:
+                    held.append(b.slice(s, e - s))
+                elif held:
+                    own = own or asks()
+                    yield from scored(b.slice(s, e - s))
+
+    cells = left.unionByName(right).repartition(parts, "block", "share").sortWithinPartitions("block", "share", "side")
+    found = cells.mapInArrow(run, "q1 long, q2 long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(W.partitionBy("q1", "q2").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

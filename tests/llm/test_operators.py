@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cartolith.llm import bpe, language, mixing, near_dedup, quality, sharding, substring_dedup, token_counts, topk, toxicity
-from cartolith.llm.common import shared_dir
+from cartolith.llm.common import shared_dir, written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{i}" for i in range(400)]
@@ -275,28 +275,50 @@ def test_separator_scan_against_a_loop(spark, monkeypatch, size):
     assert [tuple(r) for r in got] == want
 
 
+def counted(docs, folder, **kw):
+    order = written(token_counts.write_flat(docs, folder, **kw), "order")
+    return token_counts.token_counts(order, folder, **kw)
+
+
 def test_flat_files_and_documents(spark, odd, none, tokenizer, tmp_path):
     tokenizer.encode_special_tokens = True
     try:
-        blocks = token_counts.token_blocks(odd, block_ids=97).cache()
-        got = token_counts.separator_scan(blocks, 50256).join(token_counts.document_order(blocks), ["file", "ordinal"])
-        want = Counter((r[0], len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids)) for r in awkward())
-        assert Counter((r.doc_id, r.n_tokens) for r in got.collect()) == want
+        want = Counter((r[0], len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids), True) for r in awkward())
+        assert Counter(map(tuple, counted(odd, f"file://{tmp_path}/odd").collect())) == want
+        # a separator past two bytes widens the ids
+        assert Counter(map(tuple, counted(odd, f"file://{tmp_path}/wide", separator=70_000).collect())) == want
     finally:
         tokenizer.encode_special_tokens = False
-        blocks.unpersist()
-    assert token_counts.separator_scan(token_counts.token_blocks(none), 50256).count() == 0
-    (tmp_path / "a.bin").write_bytes(np.array([1, 2, 9, 9, 3], "<u4").tobytes())
-    flat = token_counts.separator_scan(token_counts.read_flat(spark, f"file://{tmp_path}", 4, 2), 9, 4).orderBy("ordinal").collect()
-    assert [(r.n_tokens, r.closed) for r in flat] == [(2, True), (0, True), (1, False)]
+    (tmp_path / "none").mkdir()
+    assert counted(none, f"file://{tmp_path}/none").count() == 0
+    with pytest.raises(ValueError):
+        token_counts.id_bytes_of(separator=1 << 32)
+
+
+@pytest.mark.parametrize("block", [2, 5, 1 << 20])
+def test_files_are_read_in_ranges(spark, tmp_path, block):
+    rng = np.random.default_rng(block)
+    files = {f"{i}.bin": rng.integers(0, 9, n) for i, n in enumerate((0, 1, 7, 200))}
+    for name, ids in files.items():
+        (tmp_path / name).write_bytes(ids.astype("<u4").tobytes())
+    (tmp_path / "other.txt").write_bytes(b"not ids")
+    got = token_counts.scan_files(spark, f"file://{tmp_path}", 9 - 1, 4, block).collect()
+    want = sorted((f, i, n, closed) for f, ids in files.items() for i, (n, closed) in enumerate(brute_counts(ids.tolist(), 8)))
+    assert sorted((r.file.split("/")[-1], r.ordinal, r.n_tokens, r.closed) for r in got) == want
 
 
 # mixing
 
 
+def drawn(spark, rows):
+    """rows (u, rate) with the counts that inversion gives, one draw each."""
+    df = spark.createDataFrame(rows, "u double, source string, rate double")
+    rates = mixing.with_distributions(df.select("source", "rate").distinct()).select("source", "cum", "draws")
+    return df.join(rates, "source").withColumn("k", mixing.poisson_count(F.col("u"), F.col("cum"))).collect()
+
+
 def test_poisson_inversion(spark):
-    rows = [(u / 997, rate) for u in range(997) for rate in (0.0, 0.3, 1.0, 6.5)]
-    got = spark.createDataFrame(rows, "u double, rate double").withColumn("k", mixing.poisson_counts(F.col("u"), F.col("rate"))).collect()
+    got = drawn(spark, [(u / 997, str(rate), rate) for u in range(997) for rate in (0.0, 0.3, 1.0, 6.5)])
 
     def slow(u, rate):
         k, term = 0, np.exp(-rate)
@@ -323,8 +345,8 @@ def test_mixing_meets_weights(spark):
     same = lambda df: Counter(map(tuple, df.select("doc_id", "copy", "n_copies").collect()))
     assert same(out) == same(mixing.mix(docs.repartition(7), {"big": 1.0, "small": 2.0, None: 1.0}))
     assert set(mixing.mix(docs, {"small": 1.0}, budget=0.2).select("source").distinct().toPandas().source) == {"small"}
-    with pytest.raises(ValueError):
-        mixing.mix(docs, {"small": 1.0}, budget=50.0)
+    many = mixing.mix(docs.limit(60), {"small": 1.0}, budget=500.0).groupBy("doc_id").count().collect()
+    assert many and all(r["count"] > 500 for r in many)
 
 
 def test_mixing_draws_every_rate(spark, tmp_path):
@@ -345,18 +367,34 @@ def test_mixing_draws_every_rate(spark, tmp_path):
 
 def test_poisson_draws_at_large_rates(spark):
     """One draw against summed terms in exact arithmetic of logs; sums of draws by their mean and variance."""
-    rows = [(u / 997 + 0.0005, rate) for u in range(997) for rate in (25.0, 90.0, 480.0)]
-    got = spark.createDataFrame(rows, "u double, rate double").withColumn("k", mixing.poisson_counts(F.col("u"), F.col("rate"))).collect()
+    got = drawn(spark, [(u / 997 + 0.0005, str(rate), rate) for u in range(997) for rate in (25.0, 90.0, 480.0)])
     below = {rate: np.cumsum(np.exp([-rate + k * np.log(rate) - math.lgamma(k + 1) for k in range(1500)])) for rate in (25.0, 90.0, 480.0)}
     assert all(r.k == np.searchsorted(below[r.rate], r.u, side="right") for r in got)
-    many = spark.range(3000).select(mixing.draws(F.lit(2600.0), F.lit("7"), F.col("id").cast("string")).alias("k")).toPandas().k
+    rates = mixing.with_distributions(spark.createDataFrame([("s", 2600.0)], "source string, rate double"))
+    many = spark.range(3000).crossJoin(rates).select(mixing.counts(F.col("draws"), F.col("cum"), F.lit("7"), F.col("id").cast("string")).alias("k")).toPandas().k
     assert abs(many.mean() - 2600) < 5 and 0.85 < many.var() / 2600 < 1.15
 
 
+def test_one_stray_row_is_mixed_and_its_sql_agrees(spark, tmp_path):
+    """A source of one row among 60,000 is drawn at its rate; a stray row doesn't stop the query."""
+    import duckdb
+
+    from cartolith.llm import queries
+
+    rows = [(i, "some words of a text", "en", "all", 0) for i in range(60_000)] + [(60_000, "stray", None, None, None)] * 2
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(f"file://{path}")
+    got = queries.op1_mixing(spark, f"file://{tmp_path}")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    assert Counter(map(tuple, got.select(*sorted(got.columns)).collect())) == Counter(con.sql(queries.OP1_SQL).select(", ".join(sorted(got.columns))).fetchall())
+    assert got.filter("doc_id = 60000").first().rate > 20
+
+
 def test_mixing_salts_many_sources(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"text {i}", "en", f"s{i % 7}" if i % 5 else None, 0) for i in range(300)], DOCS)
     want = Counter(map(tuple, mixing.mix(docs).select("doc_id", "copy").collect()))
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
+    monkeypatch.setattr(mixing, "BROADCAST_ENTRIES", 2)
     assert Counter(map(tuple, mixing.mix(docs).select("doc_id", "copy").collect())) == want
 
 
@@ -388,13 +426,23 @@ def test_top_k_against_all_pairs(spark, monkeypatch):
     rows += [(2000, None), (2001, [None] * 16), (2002, [float("nan")] * 16), (2003, [float("inf")] + [0.0] * 15), (None, [1.0] * 16), (2004, []), (2005, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).repartition(6)
     queries = {i for i, _ in rows if i is not None and i % 50 == 0}
-    for block in (8192, 16):
+    for block in (32_768, 16, 2):
         got = topk.top_k(df, df.filter("vec_id % 50 = 0"), 5, query_block=block).collect()
         assert sorted(map(tuple, got)) == brute_top(rows, queries, 5)
     monkeypatch.setattr(topk, "TASK_ROWS", 7)
     monkeypatch.setattr(topk, "TASK_QUERIES", 3)
     got = topk.top_k(df.repartition(2), df.filter("vec_id % 50 = 0"), 5).collect()
     assert sorted(map(tuple, got)) == brute_top(rows, queries, 5)
+    # one id with two vectors: two queries; a repeated row: one query, two candidates
+    twins = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [4.0, 0.0]), (2, [0.0, 4.0]), (3, [1.0, 1.0]), (3, [1.0, 1.0])]
+    both = spark.createDataFrame(twins, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(both, both.filter("vec_id = 50").unionByName(both.filter("vec_id = 50")), 4).collect()))
+    assert got == sorted((50, r + 1, i, s * 65536) for x in ((1, 2), (2, 1)) for r, (i, s) in enumerate([(x[0], 4), (3, 1), (3, 1), (x[1], 0)]))
+    # exact past a double's digits, and the nearest long past a long
+    far = [(0, [2.0**40, 3.0]), (1, [2.0**7, 1.0]), (2, [2.0**7, 2.0]), (3, [1e300, 0.0]), (4, [-1e300, 0.0])]
+    got = topk.top_k(df := spark.createDataFrame(far, "vec_id long, embedding array<double>"), df.filter("vec_id = 0"), 5).orderBy("rank").collect()
+    exact = {i: sum(int(256 * a) * int(256 * b) for a, b in zip(far[0][1], v, strict=True)) for i, v in far}
+    assert [(r.vec_id, r.score) for r in got] == sorted(((i, max(-(2**63), min(2**63 - 1, s))) for i, s in exact.items() if i), key=lambda x: (-x[1], x[0]))
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")
     assert topk.top_k(few, few, 5).count() == 6 and topk.top_k(few.limit(0), few, 5).count() == 0 and topk.top_k(few, few.limit(0), 5).count() == 0
 
@@ -475,10 +523,33 @@ def test_sharding_balances(spark, odd, none):
         of.setdefault(texts[r.doc_id], set()).add(r.shard)
     # equal texts stay together unless they are too large for that
     assert sum(len(v) > 1 for v in of.values()) <= 2
+    assert {r.doc_id for r in got if r.split} <= {i for i, t in enumerate(texts) if len(of[t]) > 1}
     check_shards([r[:2] for r in awkward()], sharding.shard(odd).collect())
     assert sharding.shard(none).count() == 0
 
 
+@pytest.mark.parametrize("ident", [None, 7])
+def test_a_hot_group_without_ids_keeps_the_law(spark, monkeypatch, ident):
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 500)
+    rows = [(ident, "the same text of a hot group", None, None, None)] * 4000 + [(i, f"{i} words", None, None, None) for i in range(2000)]
+    got = sharding.shard(spark.createDataFrame(rows, DOCS).repartition(8)).collect()
+    check_shards([r[:2] for r in rows], got)
+    sizes = [sum(r.size for r in got if r.shard == s) for s in range(16)]
+    assert max(sizes) < 1.03 * sum(sizes) / 16 and min(sizes) > 0.97 * sum(sizes) / 16
+    assert all(r.split == (r.size == 29) for r in got)
+
+
+def test_packing_where_bytes_and_tokens_conflict():
+    """Items that are heavy in bytes alone or in tokens alone: all three sums come out near equal."""
+    rng = np.random.default_rng(24)
+    items = np.stack([rng.pareto(1.5, 4000) * 100 + 5, rng.pareto(1.5, 4000) * 20 + 1, rng.integers(1, 5, 4000)], axis=1)
+    items = np.concatenate([items, [[30_000.0, 10, 1]] * 10, [[10.0, 9_000, 1]] * 10])
+    where = sharding.pack(items, 16)
+    for j in range(3):
+        load = np.bincount(where, items[:, j], 16)
+        assert load.max() < 1.01 * load.mean() and load.min() > 0.99 * load.mean()
+
+
 # language and toxicity
 
 
