@@ -167,9 +167,9 @@ def of_row(names: list[str]) -> list[Column]:
     return [F.col("row").getField(c).alias(c) for c in names]
 
 
-def fields_of(row: pa.Array) -> list[pa.Array]:
-    """The same inside a task: the arrays of a batch's row column."""
-    return row.flatten()
+def row_keys() -> list[Column]:
+    """k1 and k2, 128 bits of doc_id and text that tell rows apart; rows that share both share them."""
+    return [F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.lit(0), F.col("text").cast("string")).alias(k) for seed, k in ((1, "k1"), (2, "k2"))]
 
 
 def unit_hash(*parts: Column | str) -> Column:

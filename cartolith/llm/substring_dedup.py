@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartolith.llm.common import as_row, byte_rows, covered, run_ranks, width, window_hashes, word_hashes, word_ids, written
+from cartolith.llm.common import as_row, byte_rows, covered, row_keys, run_ranks, width, window_hashes, word_hashes, word_ids, written
 
 SIZE, PREFIX = 35, 12
 #: Lengths to which a heavy prefix grows, as shares of what is between PREFIX and SIZE.
@@ -334,10 +334,8 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, prefix: int = PREFIX) -> D
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("after", T.LongType())]))), T.StructField("kept", T.StringType())]
     names = [c for c in docs.columns if c.lower() not in {f.name for f in added}]
     text = F.col("text").cast("string")
-    # 128 bits of doc_id and text tell rows apart; rows that share both may share their marks
-    keys = [F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.lit(0), text).alias(k) for seed, k in ((1, "k1"), (2, "k2"))]
     others = [c for c in names if c != "text"]
-    keyed = docs.select(*keys, text.alias("text"), as_row(docs, others))
+    keyed = docs.select(*row_keys(), text.alias("text"), as_row(docs, others))
 
     stay = written(_repeated_places(_places(keyed, size), parts), "repeated-prefixes")
     marks = stay.groupBy("k1", "k2").agg(F.collect_set(F.shiftright("at", 2)).alias("marks"))

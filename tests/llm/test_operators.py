@@ -122,11 +122,83 @@ def test_links_close_as_all_pairs_do(spark, monkeypatch, block):
 def test_simhash_on_awkward_tables(spark, odd, none):
     got = near_dedup.simhash_groups(odd).select("doc_id", "fingerprint", "component_id").collect()
     check_groups([r[:2] for r in awkward()], got)
-    kept = near_dedup.near_dedup(odd)
-    fps = [brute_fingerprint(r.text) for r in kept.collect()]
-    root = brute_components({brute_fingerprint(r[1]) for r in awkward()})
-    assert kept.columns == odd.columns and sorted(root[f] for f in fps) == sorted(set(root.values()))
-    assert near_dedup.simhash_groups(none).count() == near_dedup.near_dedup(none).count() == 0
+    assert near_dedup.simhash_groups(none).count() == 0
+
+
+def brute_similar(texts, similarity=0.8):
+    """The component of each text (its first member's place), by all pairs of shingle sets."""
+    split = [t.encode().lower().split() if t else [] for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = [(i, j) for j in range(len(texts)) for i in range(j) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    for i, j in links:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    return [find(i) for i in range(len(texts))], [(i, j) for i, j in links if sets[i] != sets[j]]
+
+
+def edited(rng, text, share):
+    words = text.split()
+    for i in rng.sample(range(len(words)), round(share * len(words))):
+        words[i] = rng.choice(WORDS)
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_near_copies_are_found_by_similarity(spark, monkeypatch, hot):
+    """At least nine in ten links of similarity 0.8 or more, and none of less; hot: most texts are copies of one, in small blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 150)
+    rng = random.Random(25)
+    bases = [text_of(rng, rng.choice([60, 200, 500])) for _ in range(60)]
+    texts = [edited(rng, b, rng.choice([0.005, 0.01, 0.02])) for b in bases for _ in range(4)] + bases
+    if hot:
+        texts += [edited(rng, bases[1], 0.018) for _ in range(300)]
+    rows = rows_of(texts, ids=rng.sample(range(10_000), len(texts)))
+    docs = spark.createDataFrame(rows, DOCS).repartition(6)
+    root, links = brute_similar(texts)
+    marked = near_dedup.sketches(docs, 5).select("doc_id", "text_id").collect()
+    text_id = {r.doc_id: r.text_id for r in marked}
+    linked = {r.node: r.root for r in near_dedup.similar_texts(docs, near_dedup.sketches(docs, 5), 0.8, 5, near_dedup.SEGMENTS, near_dedup.BITS).collect()}
+    of = [text_id[r[0]] for r in rows]
+    own = [linked.get(t, t) for t in of]
+    assert len(links) > 200 and sum(own[i] == own[j] for i, j in links) >= 0.9 * len(links)
+    together = {}
+    for i, r in enumerate(own):
+        assert root[together.setdefault(r, i)] == root[i]
+    kept = near_dedup.near_dedup(docs).collect()
+    least = {}
+    for i, r in enumerate(own):
+        least[r] = min(rows[i][0], least.get(r, 10_000))
+    assert sorted(r.doc_id for r in kept) == sorted(least.values())
+
+
+def test_near_dedup_on_awkward_tables(spark, odd, none):
+    wide = odd.withColumns({c: F.lit(1) for c in ("row", "k1", "k2", "text_id", "f0", "a", "b", "bits", "best", "__id", "__hash", "__text")})
+    kept = near_dedup.near_dedup(wide)
+    root, _ = brute_similar([r[1] for r in awkward()])
+    assert kept.columns == wide.columns and kept.count() == len(set(root)) and near_dedup.near_dedup(none).count() == 0
+    assert kept.filter("doc_id = 1").count() == 1 and kept.filter("doc_id in (2, 3)").count() == 0
+
+
+CLASHES = ("row", "text_hash", "k1", "k2", "words", "spans_", "marks", "runs", "at", "gram", "id", "md5", "place", "of", "cum", "draws", "__text", "__source", "__salt", "__order", "__id", "__hash", "__doc", "__crc", "a.b", "c`d")
+
+
+def test_no_name_of_a_column_is_lost(spark, odd):
+    """Columns that are named as operators' own, or oddly, come through with their values."""
+    wide = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(f"kept {i}").alias(c) for i, c in enumerate(CLASHES)])
+    labels = spark.createDataFrame([(8, 1), (9, 0), (10, 1)], "doc_id long, quality int")
+    model = quality.fit(wide, labels)
+    outs = [near_dedup.near_dedup(wide), substring_dedup.without_repeats(wide), substring_dedup.remove_repeats(wide), mixing.mix(wide), quality.keep_good(wide, model), bpe.encode(wide, decoded=True), bpe.decode(bpe.encode(wide))]
+    for out in outs:
+        assert set(CLASHES) <= set(out.columns)
+        for r in out.collect():
+            assert all(r[c] == f"kept {i}" for i, c in enumerate(CLASHES))
 
 
 # substring dedup
