@@ -44,7 +44,10 @@ def euclid(a: Column, b: Column) -> Column:
 
 def transposed(m: Column, n: int = 3) -> Column:
     """Rows of an n x n array of arrays as columns."""
-    return F.array(*[F.transform(m, lambda row, k=k: row[k]) for k in range(n)])
+    def column(k: int) -> Column:
+        return F.transform(m, lambda row: row[k])  # a second parameter of the lambda would be the row's number
+
+    return F.array(*[column(k) for k in range(n)])
 
 
 def box_or_null(c: Column) -> Column:

@@ -123,7 +123,7 @@ def clipped_box(box: Column, width: Column, height: Column) -> Column:
     """A 2D box [x0, y0, x1, y1] cut to the image; null if it isn't four numbers or nothing is left."""
     x0, y0 = F.greatest(box[0], F.lit(0.0)), F.greatest(box[1], F.lit(0.0))
     x1, y1 = F.least(box[2], width), F.least(box[3], height)
-    return F.when((F.size(box) == 4) & (x1 > x0) & (y1 > y0), F.array(x0, y0, x1, y1))
+    return F.when((F.size(box) == 4) & F.forall(box, lambda x: x.isNotNull()) & (x1 > x0) & (y1 > y0), F.array(x0, y0, x1, y1))
 
 
 def metric_state(kind: Column, scale: Column, source: Column) -> Column:

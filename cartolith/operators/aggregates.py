@@ -11,15 +11,22 @@ from pyspark.sql import functions as F
 
 from cartolith.functions import geometry as G
 from cartolith.functions.time import micros
+from cartolith.operators.shared import exact_percentiles
 
 
 def robust_bounds(points: DataFrame, position: tuple[str, ...], low: float = 0.02, high: float = 0.98, key: list[str] | None = None) -> DataFrame:
     """Low and high linear percentiles of each axis over finite points, the extents largest first, and the count."""
     finite = points.filter(G.finite(*[F.col(c) for c in position]))
+    if not key:  # one group of all rows: no task holds it
+        n, ends = exact_percentiles(finite, {c: F.col(c) for c in position}, [low, high])
+        flat = [ends[c][i] for c in position for i in (0, 1)]
+        sizes = sorted((ends[c][1] - ends[c][0] for c in position), reverse=True) if n else None
+        schema = ", ".join(f"{c}_{side} double" for c in position for side in ("low", "high"))
+        return points.sparkSession.createDataFrame([(*flat, sizes, n)], f"{schema}, dimensions array<double>, points long")
     ends = [F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"__{c}") for c in position]
-    out = finite.groupBy(*(key or [])).agg(*ends, F.count("*").alias("points"))
+    out = finite.groupBy(*key).agg(*ends, F.count("*").alias("points"))
     cols = [F.col(f"__{c}")[i].alias(f"{c}_{side}") for c in position for i, side in enumerate(("low", "high"))]
-    return out.select(*(key or []), *cols, F.sort_array(F.array(*[F.col(f"__{c}")[1] - F.col(f"__{c}")[0] for c in position]), False).alias("dimensions"), "points")
+    return out.select(*key, *cols, F.sort_array(F.array(*[F.col(f"__{c}")[1] - F.col(f"__{c}")[0] for c in position]), False).alias("dimensions"), "points")
 
 
 def ratio_summary(rows: DataFrame, key: list[str], ratio: Column, least: int = 1) -> DataFrame:
@@ -75,8 +82,9 @@ def block_median(pixels: DataFrame, key: list[str], row: str, col: str, value: s
 
 def histogram(rows: DataFrame, value: str, bins: int, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """bin, n, low, high over the range between two linear percentiles; empty bins are left out."""
-    ends = rows.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
-    placed = rows.select(F.col(value).cast("double").alias("v")).join(F.broadcast(ends)).filter("v >= low AND v <= high")
+    bounds = exact_percentiles(rows, {value: F.col(value)}, [low, high])[1][value]
+    ends = [F.lit(x).cast("double").alias(c) for x, c in zip(bounds, ("low", "high"), strict=True)]
+    placed = rows.select(F.col(value).cast("double").alias("v"), *ends).filter("v >= low AND v <= high")
     width = (F.col("high") - F.col("low")) / bins
     bin_ = F.least(F.floor(F.try_divide(F.col("v") - F.col("low"), width)), F.lit(bins - 1)).cast("long")
     return placed.groupBy(F.coalesce(bin_, F.lit(0)).cast("long").alias("bin")).agg(F.count("*").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"))
@@ -183,9 +191,9 @@ def track_summary(samples: DataFrame, key: str, order: str, position: tuple[str,
 
 def footprint(points: DataFrame, u: str, v: str, cells: int = 48) -> DataFrame:
     """p1 to p99 extents and the occupied area, from the share of a grid's cells that hold a point."""
-    ends = points.agg(F.percentile(u, F.array(F.lit(0.01), F.lit(0.99))).alias("u"), F.percentile(v, F.array(F.lit(0.01), F.lit(0.99))).alias("v"))
-    ends = ends.select(F.col("u")[0].alias("u0"), F.col("u")[1].alias("u1"), F.col("v")[0].alias("v0"), F.col("v")[1].alias("v1"))
-    p = points.select(F.col(u).alias("pu"), F.col(v).alias("pv")).join(F.broadcast(ends)).filter("pu BETWEEN u0 AND u1 AND pv BETWEEN v0 AND v1")
+    ends = exact_percentiles(points, {"u": F.col(u), "v": F.col(v)}, [0.01, 0.99])[1]
+    ends = [F.lit(ends[c][i]).cast("double").alias(f"{c}{i}") for c in "uv" for i in (0, 1)]
+    p = points.select(F.col(u).alias("pu"), F.col(v).alias("pv"), *ends).filter("pu BETWEEN u0 AND u1 AND pv BETWEEN v0 AND v1")
     cell = [F.least(F.floor(F.try_divide((F.col(f"p{c}") - F.col(f"{c}0")) * cells, F.col(f"{c}1") - F.col(f"{c}0"))), F.lit(cells - 1)) for c in "uv"]
     n = p.groupBy("u0", "u1", "v0", "v1").agg(F.count_distinct(*cell).alias("cells"))
     return n.select((F.col("u1") - F.col("u0")).alias("extent_u"), (F.col("v1") - F.col("v0")).alias("extent_v"), (F.col("cells") / cells**2 * (F.col("u1") - F.col("u0")) * (F.col("v1") - F.col("v0"))).alias("area"), "cells")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -26,3 +27,90 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a table is broadcast to meet every row of another.
+BROADCAST_ROWS = 20_000
+
+
+def with_each(many: DataFrame, few: DataFrame) -> DataFrame:
+    """Each row of many with each row of few.
+
+    few is written and counted. Up to BROADCAST_ROWS it is broadcast; beyond that both are dealt out as a grid
+    of blocks that meet by equality, so that no task holds all of few."""
+    few = kept(few, "few")
+    n = few.count()
+    if n <= BROADCAST_ROWS:
+        return many.join(F.broadcast(few))
+    blocks = -(-2 * n // BROADCAST_ROWS)
+    shares = max(1, int(many.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // blocks)
+    left = many.withColumns({"__share": F.pmod(F.xxhash64(*many.columns), F.lit(shares)), "__block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))})
+    right = few.withColumns({"__share": F.explode(F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<long>")), "__block": F.pmod(F.xxhash64(*few.columns), F.lit(blocks))})
+    return left.join(right, ["__share", "__block"]).drop("__share", "__block")
+
+
+#: Bins of one narrowing pass, and values of an order statistic's bin that are sorted at last.
+BINS, SORTED = 4096, 100_000
+
+
+def exact_percentiles(rows: DataFrame, values: dict[str, Column], shares: list[float]) -> tuple[int, dict[str, list[float | None]]]:
+    """Rows, and of each named value the exact linear percentiles, without holding the values anywhere.
+
+    Histograms narrow the range of each order statistic until its bin is small; the driver sees bins' counts and
+    the values of small bins. Values must be finite; nulls don't count."""
+    names = list(values)
+    flat = rows.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), values[c].cast("double").alias("v")) for i, c in enumerate(names)])).alias("s")).select("s.i", "s.v")
+    ends = rows.agg(F.count("*").alias("n"), *[f(values[c].cast("double")).alias(f"{p}{i}") for i, c in enumerate(names) for p, f in (("n", F.count), ("l", F.min), ("h", F.max))]).first()
+    wanted: dict[tuple[int, int], tuple[float, float, int]] = {}  # (value, rank): (low, high, values below low)
+    for i in range(len(names)):
+        for s in shares:
+            at = (ends[f"n{i}"] - 1) * s
+            for rank in {int(at), min(int(at) + 1, ends[f"n{i}"] - 1)}:
+                if ends[f"n{i}"]:
+                    wanted[i, rank] = (ends[f"l{i}"], ends[f"h{i}"], 0)
+    found: dict[tuple[int, int], float] = {}
+    while wanted:
+        for key, (low, high, _) in list(wanted.items()):
+            if low == high:
+                found[key] = low
+                del wanted[key]
+        spans = sorted({(i, low, high) for (i, _), (low, high, _) in wanted.items()})
+        if not spans:
+            break
+        table = rows.sparkSession.createDataFrame([(k, i, low, high) for k, (i, low, high) in enumerate(spans)], "k int, i int, low double, high double")
+        inside = flat.join(F.broadcast(table), "i").filter("v BETWEEN low AND high")
+        place = F.least(F.floor((F.col("v") - F.col("low")) / ((F.col("high") - F.col("low")) / BINS)), F.lit(BINS - 1))
+        bins = inside.groupBy("k", place.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        counted: dict[int, list] = {}
+        for r in bins.orderBy("k", "bin").collect():
+            counted.setdefault(r["k"], []).append(r)
+        small = []
+        for (i, rank), (low, high, below) in list(wanted.items()):
+            k = spans.index((i, low, high))
+            for r in counted[k]:
+                if rank < below + r["n"]:
+                    wanted[i, rank] = (r["lo"], r["hi"], below)
+                    if r["lo"] != r["hi"] and r["n"] <= SORTED // max(1, len(spans)):
+                        small.append((i, rank))
+                    break
+                below += r["n"]
+        if small:
+            spots = sorted({(i, *wanted[i, rank][:2]) for i, rank in small})
+            table = rows.sparkSession.createDataFrame([(k, *x) for k, x in enumerate(spots)], "k int, i int, low double, high double")
+            held: dict[int, list[float]] = {}
+            for r in flat.join(F.broadcast(table), "i").filter("v BETWEEN low AND high").select("k", "v").collect():
+                held.setdefault(r["k"], []).append(r["v"])
+            for i, rank in small:
+                low, high, below = wanted.pop((i, rank))
+                found[i, rank] = sorted(held[spots.index((i, low, high))])[rank - below]
+    out: dict[str, list[float | None]] = {}
+    for i, c in enumerate(names):
+        out[c] = []
+        for s in shares:
+            at = (ends[f"n{i}"] - 1) * s
+            if not ends[f"n{i}"]:
+                out[c].append(None)
+                continue
+            low, high = found[i, int(at)], found[i, min(int(at) + 1, ends[f"n{i}"] - 1)]
+            out[c].append(low + (at - int(at)) * (high - low))
+    return ends["n"], out

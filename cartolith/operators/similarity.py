@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cartolith.functions import arrays as A
+from cartolith.operators.shared import with_each
 
 
 def _with_literal(vector: list[float]) -> Column:
@@ -48,11 +49,14 @@ def centroid_sums(frames: DataFrame, key: str, column: str = "embedding") -> Dat
     return mean.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("mean"))
 
 
-def scored_top(frames: DataFrame, queries: DataFrame, per: list[str], threshold: float, k: int, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
+def scored_top(frames: DataFrame, queries: DataFrame, per: list[str], threshold: float, k: int, id_col: str = "vec_id", column: str = "embedding", others: bool = False) -> DataFrame:
     """query_id, id, score: of each query and group `per` of frames, the k best dot products above threshold.
 
-    queries (query_id, query) is a caller's short list: it is broadcast."""
-    both = frames.join(F.broadcast(queries)).withColumn("score", A.dot(F.col(column), F.col("query"))).filter(F.col("score") > threshold)
+    queries has query_id and query; others: a query's own row (id equal to query_id) takes no part."""
+    both = with_each(frames, queries)
+    if others:
+        both = both.filter(F.col(id_col) != F.col("query_id"))
+    both = both.withColumn("score", A.dot(F.col(column), F.col("query"))).filter(F.col("score") > threshold)
     w = W.partitionBy("query_id", *per).orderBy(F.desc("score"), id_col)
     return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", *per, F.col(id_col).alias("id"), "score", F.col("rank").cast("long").alias("rank"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -184,21 +185,43 @@ def plausible_clusters(clusters: DataFrame, points_median: float, diagonal: floa
     return f.withColumn("rank", F.when(F.col("reject").isNull() & (rank <= most), rank))
 
 
-def distances(cells: DataFrame, starts: DataFrame, most: int = 100_000) -> DataFrame:
-    """iu, iv, steps of every cell that can be reached over 8 neighbours: breadth-first, a frontier join a round.
-
-    The frontier is written every round, so the plan stays short; the driver sees its size."""
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)])
-    free = kept(cells.select("iu", "iv").distinct(), "free")
-    reached = kept(starts.select("iu", "iv").distinct().join(free, ["iu", "iv"], "left_semi").withColumn("steps", F.lit(0)), "reached")
-    frontier = reached
-    for step in range(1, most):
-        near = frontier.select(F.explode(around).alias("d"), "iu", "iv").select((F.col("iu") + F.col("d.i")).alias("iu"), (F.col("iv") + F.col("d.j")).alias("iv")).distinct()
-        frontier = kept(near.join(free, ["iu", "iv"], "left_semi").join(reached, ["iu", "iv"], "left_anti").withColumn("steps", F.lit(step)), "frontier")
-        if frontier.isEmpty():
-            break
-        reached = kept(reached.unionByName(frontier), "reached") if step % 8 == 0 else reached.unionByName(frontier)
-    return reached
+def distances(cells: DataFrame, starts: DataFrame, tile: int = 64) -> DataFrame:
+    """iu, iv, steps of every cell that can be reached over 8 neighbours, by breadth-first search in tiles.
+
+    A task holds one tile of tile x tile cells and a rim of its neighbours' cells, and spreads all steps that it
+    knows as far as the tile goes. Rounds follow until no cell changes: as many as a path crosses tiles, not as
+    it has steps. Each round is written; the driver sees how many cells changed."""
+    around = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
+    first = starts.select("iu", "iv", F.lit(0).alias("steps")).distinct()
+    state = kept(cells.select("iu", "iv").distinct().join(first, ["iu", "iv"], "left").select("iu", "iv", "steps", F.col("steps").isNotNull().alias("changed")), "steps")
+
+    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = dict.fromkeys(zip(pdf.iu[pdf.own].tolist(), pdf.iv[pdf.own].tolist(), strict=True))
+        known = {(u, v): int(s) for u, v, s in zip(pdf.iu.tolist(), pdf.iv.tolist(), pdf.steps.tolist(), strict=True) if s == s and s is not None}
+        before = dict(known)
+        heap = [(s, u, v) for (u, v), s in known.items()]
+        heapq.heapify(heap)
+        while heap:
+            s, u, v = heapq.heappop(heap)
+            if s > known[u, v]:
+                continue
+            for i, j in around:
+                at = (u + i, v + j)
+                if at in own and s + 1 < known.get(at, s + 2):
+                    known[at] = s + 1
+                    heapq.heappush(heap, (s + 1, *at))
+        rows = [(u, v, known.get((u, v)), known.get((u, v)) != before.get((u, v))) for u, v in own]
+        return pd.DataFrame(rows, columns=["iu", "iv", "steps", "changed"]).astype({"steps": "Int32"})
+
+    kinds = dict(state.dtypes)
+    while True:
+        near = [F.struct(F.floor((F.col("iu") + i) / tile).alias("tu"), F.floor((F.col("iv") + j) / tile).alias("tv")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        dealt = state.select("*", F.explode(F.array_distinct(F.array(*near))).alias("t"))
+        dealt = dealt.select("iu", "iv", "steps", "changed", "t.tu", "t.tv", ((F.floor(F.col("iu") / tile) == F.col("t.tu")) & (F.floor(F.col("iv") / tile) == F.col("t.tv"))).alias("own"))
+        new = kept(dealt.groupBy("tu", "tv").applyInPandas(spread, f"iu {kinds['iu']}, iv {kinds['iv']}, steps int, changed boolean"), "steps")
+        if new.filter("changed").isEmpty():
+            return new.filter("steps IS NOT NULL").select("iu", "iv", "steps")
+        state = new
 
 
 def goal_state(goals: DataFrame, cells: DataFrame, main_region: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cartolith.functions import text as X
+from cartolith.operators.shared import with_each
 
 
 def of_queries(detections: DataFrame, queries: list[str], query: str = "query") -> DataFrame:
@@ -115,8 +116,7 @@ def resolved_reference(objects: DataFrame, refs: DataFrame) -> DataFrame:
     o = objects.select("uid", "position", "confidence", "dismissed", X.folded_query(X.display_label(F.col("human_label"), F.col("query"))).alias("__label"))
     by_id = r.join(o.select("uid"), F.col("__direct") == F.col("uid")).select("ref", "uid")
     fits = (F.col("__label") == F.col("__r")) | F.col("__label").contains(F.col("__r")) | F.col("__r").contains(F.col("__label"))
-    # refs are a caller's handful of names: the broadcast side is what was typed
-    by_label = o.filter("NOT dismissed").join(F.broadcast(r.filter("__direct IS NULL")), fits)
+    by_label = with_each(o.filter("NOT dismissed"), r.filter("__direct IS NULL")).filter(fits)
     score = F.col("confidence") + F.when(F.col("__label") == F.col("__r"), 10.0).otherwise(0.0)
     by_label = by_label.groupBy("ref").agg(F.max_by("uid", F.struct(score, -F.col("position"))).alias("uid"))
     return refs.select("ref").join(by_id.unionByName(by_label), "ref", "left")

@@ -9,14 +9,24 @@ from cartolith.operators import ledger as L
 from cartolith.plans.tables import table
 
 
+OPS = ["grant", "spend", "hold", "topup", "settle", "hold", "grant", "spend", "void", "expire", "hold", "settle", "spend", "ensure"]
+
+
 def _commands(spark, d):
+    """Every order as a command of its customer: each 14th is a grant, and so on; some customers share references, some are unlimited."""
     o = table(spark, d, "orders")
-    kind = F.col("o_orderkey") % 4
+    op = F.element_at(F.array(*[F.lit(x) for x in OPS]), (F.col("o_orderkey") % len(OPS) + 1).cast("int"))
+    own = F.when(F.col("o_custkey") % 25 == 0, F.concat(F.lit("shared-"), (F.col("o_custkey") % 150).cast("string"))).otherwise(F.col("o_custkey").cast("string"))
+    none = F.lit(None).cast("string")
     ops = o.select(
-        (F.col("o_orderkey") + 10).alias("seq"), F.col("o_custkey").cast("string").alias("user_id"), F.element_at(F.array(F.lit("grant"), F.lit("spend"), F.lit("hold"), F.lit("settle")), (kind + 1).cast("int")).alias("op"),
-        F.floor(F.col("o_totalprice") / 1000).cast("long").alias("amount"), F.lit("order").alias("ref_type"), (F.col("o_orderkey") - kind % 2).cast("string").alias("ref_id"), F.concat(F.lit("k:"), F.col("o_orderkey").cast("string")).alias("idem"), F.lit(None).cast("long").alias("ttl_s"), F.col("o_orderkey").cast("double").alias("now"),
+        (F.col("o_orderkey") + 10).alias("seq"), F.col("o_custkey").cast("string").alias("user_id"), op.alias("op"), (F.floor(F.col("o_totalprice") / 1000) - 20).cast("long").alias("amount"),
+        F.lit("order").alias("ref_type"), F.concat(own, F.lit("/"), (F.col("o_orderkey") % 2).cast("string")).alias("ref_id"), F.concat(F.lit("k:"), F.floor(F.col("o_orderkey") / 3).cast("string")).alias("idem"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.lit(5000).cast("long")).alias("ttl_s"), F.col("o_orderkey").cast("double").alias("now"),
+    )
+    seeds = o.select("o_custkey").distinct().select(
+        F.lit(0).cast("long").alias("seq"), F.col("o_custkey").cast("string").alias("user_id"), F.when(F.col("o_custkey") % 40 == 0, "ensure_unlimited").otherwise("ensure").alias("op"), F.lit(300).cast("long").alias("amount"),
+        none.alias("ref_type"), none.alias("ref_id"), none.alias("idem"), F.lit(None).cast("long").alias("ttl_s"), F.lit(0.0).alias("now"),
     )
-    seeds = o.select(F.col("o_custkey").cast("string").alias("user_id")).distinct().select(F.lit(0).cast("long").alias("seq"), "user_id", F.lit("ensure").alias("op"), F.lit(100).cast("long").alias("amount"), F.lit(None).cast("string").alias("ref_type"), F.lit(None).cast("string").alias("ref_id"), F.lit(None).cast("string").alias("idem"), F.lit(None).cast("long").alias("ttl_s"), F.lit(0.0).alias("now"))
     return seeds.unionByName(ops)
 
 
@@ -60,13 +70,13 @@ OVERDUE = "SELECT o_orderkey AS hold_id FROM orders WHERE o_orderstatus = 'O' AN
 
 def reaped_holds(spark, d):
     o = table(spark, d, "orders")
-    h = o.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("hold_id"), (F.col("o_orderkey") / 2).cast("long").alias("ref_id"))
-    j = o.filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("ref_id"), F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "P", "failed").otherwise("done").alias("job_status"))
+    h = o.select(F.col("o_orderkey").alias("hold_id"), F.floor(F.col("o_orderkey") * 1.25).cast("long").alias("ref_id"))
+    j = o.select(F.col("o_orderkey").alias("ref_id"), F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "P", "failed").otherwise("done").alias("job_status"))
     return L.reaper_actions(h, j).groupBy("action").agg(F.count("*").alias("n"))
 
 
 REAPED = """
-SELECT CASE j.o_orderstatus WHEN 'O' THEN 'skip' WHEN 'P' THEN 'void' ELSE 'settle' END AS action, count(*) AS n FROM orders h LEFT JOIN orders j ON j.o_orderkey = h.o_orderkey // 2 AND j.o_orderkey % 3 <> 0 WHERE h.o_orderkey % 2 = 0 GROUP BY 1
+SELECT CASE j.o_orderstatus WHEN 'O' THEN 'skip' WHEN 'P' THEN 'void' ELSE 'settle' END AS action, count(*) AS n FROM orders h LEFT JOIN orders j ON j.o_orderkey = floor(h.o_orderkey * 1.25)::BIGINT GROUP BY 1
 """
 
 

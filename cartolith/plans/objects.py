@@ -20,12 +20,12 @@ COUNTS = f"WITH {OBJECTS_SQL} SELECT CASE WHEN query || 's' LIKE '%ss' THEN quer
 
 def folded_labels(spark, d):
     w = F.transform(F.split(F.col("text"), " "), lambda x: x)
-    words = table(spark, d, "documents").filter("lang = 'en'").select(F.explode(w).alias("w")).distinct()
+    words = table(spark, d, "documents").select(F.explode(w).alias("w")).distinct()
     return words.select("w", X.label_fold(F.col("w")).alias("folded"), X.stem(F.col("w")).alias("stem"))
 
 
 FOLDED = r"""
-WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM documents WHERE lang = 'en'),
+WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM documents),
 t AS (SELECT w, trim(regexp_replace(lower(w), '[ \t\n\r\f\v]+', ' ', 'g')) AS s, lower(w) AS l FROM w)
 SELECT w, CASE s WHEN 'shelves' THEN 'shelf' WHEN 'boxes' THEN 'box' ELSE CASE WHEN length(s) > 3 AND s LIKE '%s' AND s NOT LIKE '%ss' THEN left(s, length(s) - 1) ELSE s END END AS folded,
   CASE WHEN l LIKE '%ss' THEN l WHEN l LIKE '%ies' AND length(l) >= 6 THEN left(l, length(l) - 3) || 'y' WHEN l LIKE '%ing' AND length(l) >= 6 THEN left(l, length(l) - 3)
@@ -168,11 +168,11 @@ SELECT query, submap, count(*) AS n FROM o WHERE position >= 1000 AND (query, su
 
 def query_changes(spark, d):
     o = objects(spark, d)
-    return T.changed(o.filter("position < 60").select("query"), o.filter("position BETWEEN 40 AND 110").select("query"))
+    return T.changed(o.filter("scan <> 'ECONOMY'").select("query"), o.filter("scan <> 'PROMO'").select("query"))
 
 
 CHANGES = f"""
-WITH {OBJECTS_SQL}, a AS (SELECT query FROM objects WHERE position < 60), b AS (SELECT query FROM objects WHERE position BETWEEN 40 AND 110)
+WITH {OBJECTS_SQL}, a AS (SELECT query FROM objects WHERE scan <> 'ECONOMY'), b AS (SELECT query FROM objects WHERE scan <> 'PROMO')
 SELECT query, 'added' AS change FROM (SELECT query FROM b EXCEPT SELECT query FROM a) UNION ALL SELECT query, 'removed' FROM (SELECT query FROM a EXCEPT SELECT query FROM b)
 """
 
@@ -218,12 +218,12 @@ SELECT position, round_even(x, 3) AS x, array_to_string(list_transform(list_reve
 
 def document_captions(spark, d):
     t = table(spark, d, "documents")
-    text = F.substring(F.col("text"), 1, 80)
+    text = F.col("text")
     return t.select("doc_id", X.caption(F.when(F.col("doc_id") % 3 == 0, text), F.when(F.col("doc_id") % 2 == 0, F.col("source")), F.when(F.col("doc_id") % 4 == 0, F.col("lang")), F.lit(" "), F.col("lang")).alias("caption"), X.safe_part(F.concat("source", F.lit("/"), "lang", F.lit(" x"))).alias("part"), X.is_identifier(F.col("source")).alias("identifier"))
 
 
 CAPTIONS = r"""
-WITH t AS (SELECT doc_id, source, lang, CASE WHEN doc_id % 3 = 0 THEN nullif(trim(substr(text, 1, 80)), '') END AS title, CASE WHEN doc_id % 2 = 0 THEN source END AS b, CASE WHEN doc_id % 4 = 0 THEN lang END AS m FROM documents)
+WITH t AS (SELECT doc_id, source, lang, CASE WHEN doc_id % 3 = 0 THEN nullif(trim(text), '') END AS title, CASE WHEN doc_id % 2 = 0 THEN source END AS b, CASE WHEN doc_id % 4 = 0 THEN lang END AS m FROM documents)
 SELECT doc_id, coalesce(title, nullif(trim(concat_ws(' ', b, m)), ''), lang) AS caption, regexp_replace(source || '/' || lang || ' x', '[^A-Za-z0-9._-]', '_', 'g') AS part, regexp_matches(source, '^[A-Za-z_][A-Za-z0-9_]*$') AS identifier FROM t
 """
 

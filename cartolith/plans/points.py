@@ -128,13 +128,13 @@ WITH {POINTS_SQL}, {_RATIO} SELECT frame % 7 AS part, round(median(ratio), 10) A
 
 
 def gated_ratios(spark, d):
-    out = A.ratio_gate(points(spark, d).filter("z > 8"), ["frame"], F.try_divide(F.col("y"), F.col("x")), 3, 0.02)
+    out = A.ratio_gate(points(spark, d), ["frame"], F.try_divide(F.col("y"), F.col("x")), 3, 0.25)
     return out.select("frame", "n", F.round("variation", 6).alias("variation"), "reason", "ok")
 
 
 GATED = f"""
-WITH {POINTS_SQL}, g AS (SELECT frame, count(*) AS n, stddev_pop(y / x) / avg(y / x) AS v FROM points WHERE x > 0 AND y > 0 AND z > 8 GROUP BY 1)
-SELECT frame, n, round(v, 6) AS variation, CASE WHEN n < 3 THEN 'too few ratios' WHEN v > 0.02 THEN 'ratios vary too much' END AS reason, NOT (n < 3 OR v > 0.02) AS ok FROM g
+WITH {POINTS_SQL}, g AS (SELECT frame, count(*) AS n, stddev_pop(y / x) / avg(y / x) AS v FROM points WHERE x > 0 AND y > 0 GROUP BY 1)
+SELECT frame, n, round(v, 6) AS variation, CASE WHEN n < 3 THEN 'too few ratios' WHEN v > 0.25 THEN 'ratios vary too much' END AS reason, NOT (n < 3 OR v > 0.25) AS ok FROM g
 """
 
 
@@ -149,7 +149,8 @@ SELECT least(floor((y - lo) / ((hi - lo) / 60)), 59)::BIGINT AS bin, count(*) AS
 
 
 def shelf(spark, d):
-    return A.top_shelf(A.histogram(points(spark, d), "y", 60), 60).select(F.round("height", 4).alias("height"), "n")
+    p = points(spark, d).withColumn("y", F.when(F.col("y") > 60, 60.0 + F.col("y") % 1).otherwise(F.col("y")))  # what is over 60 stands in one layer
+    return A.top_shelf(A.histogram(p, "y", 60), 60).select(F.round("height", 4).alias("height"), "n")
 
 
 def footprint(spark, d):
@@ -176,8 +177,9 @@ WITH {POINTS_SQL} SELECT frame, count(*) AS n, round(avg(x), 4) AS mean_a0, roun
 
 
 def _grid(spark, d):
-    p = points(spark, d).filter("id % 211 = 0")
-    return S.occupancy(p, F.col("x"), F.col("y"), F.col("z") / 4, 2.0, fill=1, clearance=1)
+    """All line items on the floor of quantity and price; those whose price in cents is a multiple of 1009 stand up as obstacles."""
+    p = table(spark, d, "lineitem").select(F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), F.when(F.round(F.col("l_extendedprice") * 100).cast("long") % 1009 == 0, 1.0).otherwise(0.0).alias("z"))
+    return S.occupancy(p, F.col("x"), F.col("y"), F.col("z"), 2.0, fill=1, clearance=1)
 
 
 def occupancy(spark, d):
@@ -185,8 +187,9 @@ def occupancy(spark, d):
 
 
 _DISK = "(VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) k(i, j)"
+_CELLS = "c AS (SELECT floor(l_quantity / 2)::BIGINT AS iu, floor(l_extendedprice / 1000 / 2)::BIGINT AS iv, bool_or(round(l_extendedprice * 100)::BIGINT % 1009 = 0) AS o FROM lineitem GROUP BY 1, 2)"
 OCCUPANCY = f"""
-WITH {POINTS_SQL}, c AS (SELECT floor(x / 2)::BIGINT AS iu, floor(y / 2)::BIGINT AS iv, bool_or(z / 4 BETWEEN 0.2 AND 1.5) AS o FROM points WHERE id % 211 = 0 AND z / 4 <= 3.0 GROUP BY 1, 2),
+WITH {_CELLS},
 n AS (SELECT DISTINCT iu + i AS iu, iv + j AS iv FROM c, {_DISK}), b AS (SELECT DISTINCT iu + i AS iu, iv + j AS iv FROM c, {_DISK} WHERE o)
 SELECT n.iu, n.iv, coalesce(c.o, false) AS occupied, b.iu IS NULL AS free FROM n LEFT JOIN c USING (iu, iv) LEFT JOIN b USING (iu, iv)
 """
@@ -197,7 +200,7 @@ def free_regions(spark, d):
 
 
 REGIONS = f"""
-WITH RECURSIVE {POINTS_SQL}, c AS (SELECT floor(x / 2)::BIGINT AS iu, floor(y / 2)::BIGINT AS iv, bool_or(z / 4 BETWEEN 0.2 AND 1.5) AS o FROM points WHERE id % 211 = 0 AND z / 4 <= 3.0 GROUP BY 1, 2),
+WITH RECURSIVE {_CELLS},
 n AS (SELECT DISTINCT iu + i AS iu, iv + j AS iv FROM c, {_DISK}), b AS (SELECT DISTINCT iu + i AS iu, iv + j AS iv FROM c, {_DISK} WHERE o),
 f AS (SELECT iu, iv, iu * 2147483648 + iv AS id FROM n ANTI JOIN b USING (iu, iv)),
 e AS (SELECT a.id AS a, z.id AS b FROM f a JOIN f z ON abs(a.iu - z.iu) <= 1 AND abs(a.iv - z.iv) <= 1),
@@ -212,6 +215,16 @@ def reach_steps(spark, d):
     return S.distances(free, free.orderBy("iu", "iv").limit(1))
 
 
+REACH = f"""
+WITH RECURSIVE {_CELLS},
+n AS (SELECT DISTINCT iu + i AS iu, iv + j AS iv FROM c, {_DISK}), b AS (SELECT DISTINCT iu + i AS iu, iv + j AS iv FROM c, {_DISK} WHERE o),
+f AS (SELECT iu, iv FROM n ANTI JOIN b USING (iu, iv)),
+s AS (SELECT iu, iv FROM f ORDER BY iu, iv LIMIT 1),
+w(iu, iv, steps) AS (SELECT iu, iv, 0 FROM s UNION SELECT f.iu, f.iv, w.steps + 1 FROM w JOIN (SELECT * FROM f, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j) WHERE i <> 0 OR j <> 0) f ON f.iu + f.i = w.iu AND f.iv + f.j = w.iv WHERE w.steps < 120)
+SELECT iu, iv, min(steps)::INT AS steps FROM w GROUP BY 1, 2
+"""
+
+
 def clusters(spark, d):
     grid = S.voxels(points(spark, d), SIDE)
     return S.voxel_clusters(grid).groupBy("cluster").agg(F.count("*").alias("voxels"), F.sum("n").alias("points"))
@@ -255,5 +268,5 @@ QUERIES = {f.__name__: f for f in (robust_bounds, voxel_counts, voxel_noise, fir
 ORACLES = {
     "robust_bounds": BOUNDS, "voxel_counts": VOXELS, "voxel_noise": NOISE, "first_in_voxel": FIRST, "inside_box": BOX, "confident_points": CONFIDENT, "visible": VISIBLE,
     "block_medians": BLOCKS, "frame_ratios": RATIOS, "group_ratios": GROUPS, "gated_ratios": GATED, "price_histogram": HIST, "footprint": FOOTPRINT, "moments_by_frame": MOMENTS,
-    "occupancy": OCCUPANCY, "free_regions": REGIONS, "neighbours": NEIGHBOURS,
+    "occupancy": OCCUPANCY, "free_regions": REGIONS, "reach_steps": REACH, "neighbours": NEIGHBOURS,
 }

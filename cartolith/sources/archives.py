@@ -66,62 +66,80 @@ def reassembled(parts: DataFrame, key: str, most_bytes: int = 512 << 20, most_pa
     return whole.select(key, data.alias("data"), F.lit(None).cast("string").alias("error")).unionByName(marked.filter("error IS NOT NULL").select(key, F.lit(None).cast("binary").alias("data"), "error").distinct())
 
 
-_SPZ = "path string, i long, x float, y float, z float, f_dc_0 float, f_dc_1 float, f_dc_2 float, opacity float, scale_0 float, scale_1 float, scale_2 float, rot_0 float, rot_1 float, rot_2 float, rot_3 float"
+_SPLAT = ["x", "y", "z", "nx", "ny", "nz", "f_dc_0", "f_dc_1", "f_dc_2", "opacity", "scale_0", "scale_1", "scale_2", "rot_0", "rot_1", "rot_2", "rot_3"]
+#: Fixed values of the format: its magic number, and coefficients beyond the first of each degree of spherical harmonics, a colour channel.
+MAGIC, HARMONICS = 0x5053474E, (0, 3, 8, 15)
 
 
 def read_spz(spark: SparkSession, path: str) -> DataFrame:
-    """Packed splats (versions 1 to 3) as rows: position, colour, opacity as a logit, log scales and a wxyz rotation. A file that is cut short fails."""
+    """Packed splats (versions 1 to 3) as rows: position, zero normal, colour, opacity as a logit, log scales, a wxyz rotation.
+
+    f_rest is an array of the higher harmonics, all of red, then of green, then of blue; empty at degree 0. A file
+    that is cut short fails."""
+    schema = "path string, i long, " + ", ".join(f"{c} float" for c in _SPLAT) + ", f_rest array<float>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                for first, columns in unpacked(gzip.decompress(content)):
-                    n = len(columns[0])
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(first, first + n)), *(pa.array(c.astype(np.float32)) for c in columns)], [f.split()[0] for f in _SPZ.split(", ")])
+                for first, columns, rest in unpacked(gzip.decompress(content)):
+                    n, wide = rest.shape
+                    lists = pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * wide).astype(np.int32)), pa.array(rest.ravel().astype(np.float32)))
+                    cols = [pa.array([name] * n), pa.array(np.arange(first, first + n)), *(pa.array(columns[c].astype(np.float32)) for c in _SPLAT), lists]
+                    yield pa.RecordBatch.from_arrays(cols, ["path", "i", *_SPLAT, "f_rest"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _SPZ)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
 
 
-def unpacked(raw: bytes, step: int = 1 << 16) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(first row, 14 columns) of blocks of an unzipped splat file."""
+def unpacked(raw: bytes, step: int = 1 << 16) -> Iterator[tuple[int, dict[str, np.ndarray], np.ndarray]]:
+    """(first row, columns by name, harmonics) of blocks of an unzipped splat file."""
     magic, version, n = np.frombuffer(raw[:12], "<u4").tolist()
-    bits = raw[13]
-    if magic != 0x5053474E or version not in (1, 2, 3):
+    degree, bits = raw[12], raw[13]
+    if magic != MAGIC or version not in (1, 2, 3) or degree >= len(HARMONICS):
         raise ValueError("not a packed splat file of a known version")
-    place, turn = (6, 3) if version == 1 else (9, 4 if version == 3 else 3)
-    need = 16 + n * (place + 1 + 3 + 3 + turn)
-    if len(raw) < need:
+    widths = {"place": 6 if version == 1 else 9, "alpha": 1, "colour": 3, "scale": 3, "turn": 4 if version == 3 else 3, "rest": 3 * HARMONICS[degree]}
+    if len(raw) < 16 + n * sum(widths.values()):
         raise ValueError("packed splat file is cut short")
     part, at = {}, 16
-    for key, width in (("p", place), ("a", 1), ("c", 3), ("s", 3), ("r", turn)):
+    for key, width in widths.items():
         part[key] = np.frombuffer(raw, np.uint8, n * width, at).reshape(n, width)
         at += n * width
     for first in range(0, n, step):
-        p, a, c, s, r = (part[k][first : first + step] for k in "pacsr")
-        if version == 1:
-            xyz = np.ascontiguousarray(p).view("<f2").astype(float)
-        else:
-            t = p.reshape(-1, 3, 3).astype(np.int64)
-            v = t[:, :, 0] | t[:, :, 1] << 8 | t[:, :, 2] << 16
-            xyz = (v - (v >> 23 << 24)) / float(1 << bits)
-        alpha = np.clip(a[:, 0] / 255.0, 1 / 512, 1 - 1 / 512)
-        if version < 3:
-            v = r / 127.5 - 1
-            wxyz = np.column_stack([np.sqrt(np.maximum(0, 1 - (v**2).sum(axis=1))), v])
-        else:
-            wxyz = smallest_three(np.ascontiguousarray(r).view("<u4")[:, 0])
-        yield first, [*xyz.T, *((c / 255.0 - 0.5) / 0.15).T, np.log(alpha / (1 - alpha)), *(s / 16.0 - 10).T, *wxyz.T]
-
-
-def smallest_three(packed: np.ndarray) -> np.ndarray:
-    """wxyz rotations from 2 bits that name the largest component (of x, y, z, w) and three of a sign and 9 bits, the last component lowest."""
-    largest = (packed >> 30).astype(int)
-    out, rest = np.zeros((len(packed), 4)), packed.copy()
-    for i in (3, 2, 1, 0):
-        other = largest != i
-        value = (rest & 511) / 511.0 / np.sqrt(2)
-        value = np.where(rest >> 9 & 1, -value, value)
-        out[other, i] = value[other]
-        rest = np.where(other, rest >> 10, rest)
-    out[np.arange(len(out)), largest] = np.sqrt(np.maximum(0, 1 - (out**2).sum(axis=1)))
-    return out[:, [3, 0, 1, 2]]
+        p = {k: v[first : first + step] for k, v in part.items()}
+        xyz = half_floats(p["place"]) if version == 1 else fixed_points(p["place"], bits)
+        alpha = np.clip(p["alpha"][:, 0] / 255.0, 1 / 512, 1 - 1 / 512)
+        turn = packed_quaternions(p["turn"]) if version == 3 else byte_quaternions(p["turn"])
+        blocks = (xyz, np.zeros((len(xyz), 3)), (p["colour"] / 255.0 - 0.5) / 0.15, np.log(alpha / (1 - alpha))[:, None], p["scale"] / 16.0 - 10, turn)
+        # stored coefficient by coefficient with its three channels; given channel by channel
+        rest = ((p["rest"].astype(float) - 128) / 128).reshape(len(xyz), HARMONICS[degree], 3).transpose(0, 2, 1).reshape(len(xyz), -1)
+        yield first, dict(zip(_SPLAT, np.concatenate(blocks, axis=1).T, strict=True)), rest
+
+
+def half_floats(raw: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(raw).view("<f2").astype(float)
+
+
+def fixed_points(raw: np.ndarray, bits: int) -> np.ndarray:
+    """Signed numbers of 24 bits, the low byte first, of which bits are behind the point."""
+    wide = np.zeros((len(raw), 3, 4), np.uint8)
+    wide[:, :, 1:] = raw.reshape(-1, 3, 3)
+    return wide.view("<i4")[:, :, 0] / 256 / float(1 << bits)
+
+
+def byte_quaternions(raw: np.ndarray) -> np.ndarray:
+    """wxyz rotations from a byte each for x, y and z; w is what makes the length 1."""
+    v = raw / 127.5 - 1
+    return np.column_stack([np.sqrt(np.maximum(0, 1 - (v**2).sum(axis=1))), v])
+
+
+def packed_quaternions(raw: np.ndarray) -> np.ndarray:
+    """wxyz rotations from 32 bits: which of x, y, z, w is largest, then the others in order, each a sign and 9 bits of value times the root of 2."""
+    word = np.ascontiguousarray(raw).view("<u4")
+    fields = word >> np.array([20, 10, 0], np.uint32) & 0x3FF
+    small = np.where(fields & 0x200, -1.0, 1.0) * (fields & 0x1FF) / (0x1FF * np.sqrt(2))
+    largest = (word[:, 0] >> 30).astype(int)
+    # the three go to the places that are left: 1 2 3, 0 2 3, 0 1 3 or 0 1 2
+    places = np.array([[j for j in range(4) if j != k] for k in range(4)])[largest]
+    out = np.empty((len(raw), 4))
+    np.put_along_axis(out, places, small, axis=1)
+    np.put_along_axis(out, largest[:, None], np.sqrt(np.maximum(0, 1 - (small**2).sum(axis=1)))[:, None], axis=1)
+    return np.roll(out, 1, axis=1)

@@ -81,9 +81,13 @@ def poses(rows: DataFrame) -> DataFrame:
 
 def pictures(rows: DataFrame) -> DataFrame:
     """rows whose payload holds a JPEG, with payload cut to begin at its start marker."""
-    at = F.expr("locate('FFD8', hex(payload))")
-    even = F.when((at > 0) & (at % 2 == 1), ((at - 1) / 2).cast("int"))
-    return rows.withColumn("__at", even).filter("__at IS NOT NULL").withColumn("payload", F.substring("payload", F.col("__at") + 1, F.octet_length("payload"))).drop("__at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cut = [None if x is None or (at := x.find(b"\xff\xd8")) < 0 else x[at:] for x in b.column("payload").to_pylist()]
+            yield b.set_column(b.schema.get_field_index("payload"), "payload", pa.array(cut, pa.binary()))
+
+    return rows.mapInArrow(run, rows.schema).filter("payload IS NOT NULL")
 
 
 def manifest(rows: DataFrame) -> DataFrame:

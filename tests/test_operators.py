@@ -250,10 +250,28 @@ def test_ledger_fails_closed_and_expires(spark):
     spends = [("ensure", 3, None, None, None, 0)] + [("spend", 1, None, f"s{i}", None, 1) for i in range(12)] + [("spend", 1, None, "s0", None, 2)]
     out = L.fold(commands(spark, spends)).collect()
     assert sum(r.status == "ok" and r.op == "spend" for r in out) == 3 and out[-1].status == "replay"
-    subs = [("ensure", 10, None, None, None, 0), ("grant", 50, None, "g", 100, 0), ("spend", 20, None, "s", None, 1), ("spend", 20, None, "t", None, 200), ("settle", 5, "x", None, None, 201), ("hold", 4, "y", None, None, 202), ("settle", 99, "y", None, None, 203)]
+    subs = [("ensure", 10, None, None, None, 0), ("grant", 50, None, "g", 100, 0), ("spend", 20, None, "s", None, 1), ("spend", 20, None, "t", None, 200), ("settle", 5, "x", None, None, 201), ("hold", 4, "y", None, None, 202), ("settle", 200, "y", None, None, 203)]
     rows = L.fold(commands(spark, subs)).orderBy("seq").collect()
-    assert [(r.op, r.status, r.kind, r.delta) for r in rows][2:] == [("spend", "ok", "spend", -20), ("spend", "ok", "expire", -30), ("spend", "insufficient_credits", None, 0), ("settle", "no_hold", None, 0), ("hold", "ok", "hold", 0), ("settle", "ok", "settle", -10)]
-    assert rows[-1].uncollected == 89 and rows[-1].available == 0
+    assert [(r.op, r.status, r.kind, r.delta) for r in rows][2:] == [("spend", "ok", "spend", -20), ("spend", "insufficient_credits", None, 0), ("settle", "no_hold", None, 0), ("hold", "ok", "expire", -30), ("hold", "ok", "hold", 0), ("settle", "ok", "settle", -110)]
+    assert rows[-1].uncollected == 90 and rows[-1].available == -100
+
+
+def test_ledger_order_of_checks_and_shared_references(spark):
+    rows = [
+        ("a", "hold", -1, "r", None, None, 0), ("a", "hold", 1, "r", None, None, 0), ("a", "spend", -1, None, "s", None, 0), ("a", "topup", 1, "r", None, None, 0),
+        ("a", "ensure", 100, None, None, None, 1), ("b", "ensure", 100, None, None, None, 1), ("a", "hold", 30, "r", None, None, 2), ("b", "hold", 50, "r", None, None, 3),
+        ("b", "topup", 20, "r", None, None, 4), ("b", "topup", 51, "r", None, None, 5), ("a", "topup", -60, "r", None, None, 6), ("b", "void", 0, "r", None, None, 7), ("a", "topup", 1, "r", None, None, 8), ("b", "hold", 50, "r", None, None, 9),
+        ("b", "settle", -5, "r", None, None, 10), ("c", "grant", -101, None, "g", None, 11), ("c", "hold", 0, "q", None, None, 11), ("c", "grant", 5, None, "h", None, 12), ("c", "grant", 5, None, "h", None, 13),
+        ("d", "ensure_unlimited", 0, None, None, None, 1), ("d", "hold", 900, "z", None, None, 2), ("d", "settle", 900, "z", None, None, 3), ("d", "spend", 7, None, "u", None, 4),
+    ]
+    full = [(i, u, op, amount, ref and "job", ref, idem, ttl, float(now)) for i, (u, op, amount, ref, idem, ttl, now) in enumerate(rows)]
+    got = L.fold(spark.createDataFrame(full, L.COMMANDS)).orderBy("seq").collect()
+    assert [(r.seq, r.user_id, r.status, r.available) for r in got] == [
+        (0, "a", "invalid_amount", None), (1, "a", "no_account", None), (2, "a", "invalid_amount", None), (3, "a", "no_hold", None), (4, "a", "ok", 100), (5, "b", "ok", 100), (6, "a", "ok", 70), (7, "b", "replay", 100),
+        (8, "a", "ok", 50), (9, "a", "insufficient_credits", 50), (10, "a", "constraint", 50), (11, "a", "ok", 100), (12, "a", "hold_not_open", 100), (13, "b", "ok", 50),
+        (14, "b", "ok", 100), (15, "c", "constraint", None), (16, "c", "no_account", None), (17, "c", "ok", 5), (18, "c", "replay", 5), (19, "d", "ok", 0), (20, "d", "ok", -900), (21, "d", "ok", 0), (22, "d", "ok", 0),
+    ]
+    assert {r.user_id: r.balance for r in L.balances(L.fold(spark.createDataFrame(full, L.COMMANDS))).collect()} == {"a": 100, "b": 100, "c": 5, "d": 0}
 
 
 def test_reference_resolution(spark):
