@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cartolith.operators import scene as S
 from cartolith.operators import splats as L
 from cartolith.operators import tracks as T
+from cartolith.operators import views as V
 from cartolith.plans.tables import OBJECTS_SQL, objects, table
 
 
@@ -319,8 +320,88 @@ WITH n AS (SELECT l_suppkey AS source, count(*) AS n FROM lineitem GROUP BY 1),
 SELECT source, n AS gaussians, coalesce(min(b) FILTER (b >= 50), max(b))::BIGINT AS default_level, count(*) AS levels, coalesce(max(b) FILTER (b <= 20), min(b))::BIGINT AS level FROM l GROUP BY 1, 2
 """
 
-QUERIES = {f.__name__: f for f in (frame_budget, cited, related_terms, mentioned_terms, scene_lookup, focused, tool_calls, spend_ceiling, layer_changes, latest_records, trusted_suppliers, best_crops, lifted_tracks, depth_windows, body_measures, resampled_paths, timeline_spread, matching_frames, fed_numbers, splat_clamp, level_plans)}
+def seen_clusters(spark, d):
+    """Parts by type as clusters before suppliers' cameras: the view that shows most of each, and the basis that fits."""
+    p = objects(spark, d).select(F.col("scan").alias("cluster"), "x", "y", "z")
+    eye = [F.col("s_suppkey") % 4 * 1.0, F.col("s_suppkey") % 3 * 1.0, F.lit(-2.0) - F.col("s_suppkey") % 5]
+    pose = F.array(*[c.cast("double") for i in range(3) for c in (*[F.lit(float(i == k)) for k in range(3)], eye[i])], *[F.lit(float(k == 3)) for k in range(4)])
+    v = table(spark, d, "supplier").select(F.col("s_suppkey").alias("view"), pose.alias("c2w"), F.lit(90.0).alias("fx"), F.lit(90.0).alias("fy"), F.lit(160.0).alias("cx"), F.lit(120.0).alias("cy"), F.lit(320).alias("width"), F.lit(240).alias("height"))
+    best = V.best_views(V.cluster_views(p, v))
+    px = V.depth_picture(p, v).groupBy("view").agg(F.count("*").alias("pixels"), _r(F.sum("depth"), "total", 3))
+    basis = V.view_basis(p, v).limit(1)
+    return best.join(px, "view").crossJoin(F.broadcast(basis)).select("cluster", "view", _r("inside_frac", "inside_frac"), _r("area", "area", 3), _r("depth", "depth"), "pixels", "total", "basis", _r("share", "share"))
+
+
+SEEN = f"""
+WITH {OBJECTS_SQL}, v AS (SELECT s_suppkey AS view, (s_suppkey % 4)::DOUBLE AS ex, (s_suppkey % 3)::DOUBLE AS ey, -2.0 - s_suppkey % 5 AS ez FROM supplier),
+c AS (SELECT scan AS cluster, view, z - ez AS depth, 90 * (x - ex) / (z - ez) + 160 AS u, 90 * (y - ey) / (z - ez) + 120 AS w FROM objects, v),
+i AS (SELECT *, u >= 0 AND u < 320 AND w >= 0 AND w < 240 AS inside FROM c),
+g AS (SELECT cluster, view, avg(inside::INT::DOUBLE) AS f, median(depth) AS depth, greatest(max(u) FILTER (inside) - min(u) FILTER (inside), 1) * greatest(max(w) FILTER (inside) - min(w) FILTER (inside), 1) AS area FROM i GROUP BY 1, 2 HAVING avg(inside::INT) > 0),
+b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY f * area DESC, view) = 1),
+p AS (SELECT view, round_even(w, 0) AS r, round_even(u, 0) AS k, min(depth) AS depth FROM i WHERE round_even(w, 0) BETWEEN 0 AND 239 AND round_even(u, 0) BETWEEN 0 AND 319 GROUP BY 1, 2, 3), q AS (SELECT view, count(*) AS pixels, sum(depth) AS total FROM p GROUP BY 1),
+s AS (SELECT max(a) AS share FROM (SELECT avg(inside::INT::DOUBLE) AS a FROM i GROUP BY view))
+SELECT cluster, b.view, round(f, 6) AS inside_frac, round(area, 3) AS area, round(depth, 6) AS depth, pixels, round(total, 3) AS total, 'opencv' AS basis, round(share, 6) AS share FROM b JOIN q ON b.view = q.view, s
+"""
+
+
+def nearest_things(spark, d):
+    """Suppliers' nearest wall of four and the free cell nearest to each nation."""
+    s = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), (F.col("s_nationkey") / 5).alias("y"), F.lit(1.0).alias("z"))
+    vec = lambda *x: F.array(*[F.lit(float(v)) for v in x])
+    walls = spark.range(4).select(F.col("id").alias("wall"), F.array(F.col("id") * 3.0, F.lit(0.0), F.lit(0.0)).alias("point"), vec(1, 0, 0).alias("normal"), vec(0, 1, 0).alias("axis_u"), vec(0, 0, 1).alias("axis_v"), F.lit(0.0).alias("u0"), (F.col("id") + 2.0).alias("u1"), F.lit(0.0).alias("v0"), F.lit(2.0).alias("v1"))
+    w = V.nearest_wall(s, walls, "s_suppkey")
+    cells = s.select(F.floor("x").alias("iu"), F.floor("y").alias("iv")).distinct().select("iu", "iv", (F.col("iu") + 0.5).alias("cu"), (F.col("iv") + 0.5).alias("cv"))
+    c = V.nearest_cell(table(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") / 3).alias("u"), (F.col("n_regionkey") * 1.0).alias("v")), cells, "n_nationkey")
+    return w.select(F.concat(F.lit("wall of "), "s_suppkey").alias("what"), F.col("wall").cast("string").alias("which"), _r("distance", "distance")).unionByName(c.select(F.concat(F.lit("cell of "), "n_nationkey").alias("what"), F.concat_ws(",", "iu", "iv").alias("which"), _r("distance", "distance")))
+
+
+NEAREST = """
+WITH s AS (SELECT s_suppkey, s_acctbal / 1000 AS x, s_nationkey / 5 AS y FROM supplier), w AS (SELECT s_suppkey, i, abs(x - 3 * i) AS d FROM s, range(4) t(i) WHERE y BETWEEN 0 AND i + 2 QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(x - 3 * i), i) = 1),
+c AS (SELECT DISTINCT floor(x)::BIGINT AS iu, floor(y)::BIGINT AS iv FROM s),
+n AS (SELECT n_nationkey, iu, iv, sqrt(pow(iu + 0.5 - n_nationkey / 3, 2) + pow(iv + 0.5 - n_regionkey, 2)) AS d FROM nation, c QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY d, iu, iv) = 1)
+SELECT 'wall of ' || s_suppkey AS what, i::VARCHAR AS which, round(d, 6) + 0.0 AS distance FROM w UNION ALL SELECT 'cell of ' || n_nationkey, iu || ',' || iv, round(d, 6) + 0.0 FROM n
+"""
+
+
+def cloud_facts(spark, d):
+    """Line items as a cloud: its up axis, how full its footprint is, its opaque centre, and determinants' signs."""
+    x = table(spark, d, "lineitem")
+    p = x.select(F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_discount") * 100).alias("z"), (F.col("l_tax") * 100 - 4).alias("opacity"))
+    one, zero = F.lit(1.0), F.lit(0.0)
+    m = F.array(F.col("x") - 25, zero, one, zero, F.col("z"), zero, zero, zero, one)
+    c = V.weighted_center(p)
+    return V.up_axis(p).crossJoin(V.footprint_fill(p, "x", "z")).crossJoin(c).crossJoin(V.determinant_counts(p.withColumn("m", m), F.col("m"))).select("axis", "cells", "bins", _r("fill", "fill"), *[_r(k, k) for k in "xyz"], "n", "negative", "near_zero", "not_finite")
+
+
+FACTS = """
+WITH p AS (SELECT l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z, 1 / (1 + exp(-(l_tax * 100 - 4))) AS w FROM lineitem), e AS (SELECT min(x) AS x0, max(x) AS x1, min(z) AS z0, max(z) AS z1, max(y) - min(y) AS ry, count(*) AS n, greatest(6, least(24, floor(sqrt(count(*) / 6))))::INT AS bins FROM p),
+c AS (SELECT count(DISTINCT (least(floor((x - x0) / (x1 - x0) * bins), bins - 1), least(floor((z - z0) / (z1 - z0) * bins), bins - 1))) AS cells FROM p, e), w AS (SELECT sum(x * w) / sum(w) AS x, sum(y * w) / sum(w) AS y, sum(z * w) / sum(w) AS z FROM p WHERE w >= 0.35),
+d AS (SELECT count(*) AS n, count(*) FILTER ((x - 25) * z < 0) AS negative, count(*) FILTER (abs((x - 25) * z) < 1e-6) AS near_zero FROM p)
+SELECT CASE WHEN ry <= z1 - z0 THEN 'y' ELSE 'z' END AS axis, cells, bins, round(cells / bins ** 2, 6) AS fill, round(w.x, 6) AS x, round(w.y, 6) AS y, round(w.z, 6) AS z, d.n, negative, near_zero, 0::BIGINT AS not_finite FROM e, c, w, d
+"""
+
+
+def log_and_sessions(spark, d):
+    """Users' events as a log that is flushed in batches, idle users, and events whose type isn't that of the user's first."""
+    e = table(spark, d, "events")
+    b = V.log_batches(e, "user_id", "ts", "event_id", 4, 3600.0).groupBy("user_id").agg(F.max("seq").cast("long").alias("last_seq"), F.max("batch").cast("long").alias("last_batch"))
+    newest = e.agg(F.max("ts")).first()[0]
+    idle = V.idle_sessions(e, "user_id", "ts", F.lit(newest).cast("timestamp"), 7200.0).select("user_id", F.lit(True).alias("idle"))
+    foreign = V.foreign_messages(e.select(F.col("user_id").alias("connection"), F.col("event_type").alias("session"), F.struct("ts", "event_id").alias("at")), "at").groupBy(F.col("connection").alias("user_id")).agg(F.count_if("refused").alias("refused"))
+    return b.join(idle, "user_id", "left").join(foreign, "user_id").select("user_id", "last_seq", "last_batch", F.coalesce("idle", F.lit(False)).alias("idle"), "refused")
+
+
+LOGS = """
+WITH RECURSIVE e AS (SELECT user_id, event_type, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, first(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f FROM events),
+b(user_id, i, batch, n, first) AS (SELECT user_id, i, 0, 1, t FROM e WHERE i = 1 UNION ALL
+  SELECT e.user_id, e.i, CASE WHEN b.n >= 4 OR e.t - b.first >= 3600 THEN b.batch + 1 ELSE b.batch END, CASE WHEN b.n >= 4 OR e.t - b.first >= 3600 THEN 1 ELSE b.n + 1 END, CASE WHEN b.n >= 4 OR e.t - b.first >= 3600 THEN e.t ELSE b.first END FROM b JOIN e ON e.user_id = b.user_id AND e.i = b.i + 1),
+m AS (SELECT user_id, max(i) - 1 AS last_seq, max(batch)::BIGINT AS last_batch FROM b GROUP BY 1), x AS (SELECT user_id, max(t) AS last, count(*) FILTER (event_type <> f) AS refused FROM e GROUP BY 1)
+SELECT user_id, last_seq, last_batch, (SELECT max(t) FROM e) - last > 7200 AS idle, refused FROM m JOIN x USING (user_id)
+"""
+
+
+QUERIES = {f.__name__: f for f in (frame_budget, cited, related_terms, mentioned_terms, scene_lookup, focused, tool_calls, spend_ceiling, layer_changes, latest_records, trusted_suppliers, best_crops, lifted_tracks, depth_windows, body_measures, resampled_paths, timeline_spread, matching_frames, fed_numbers, splat_clamp, level_plans, seen_clusters, nearest_things, cloud_facts, log_and_sessions)}
 ORACLES = {
     "frame_budget": BUDGET, "cited": CITED, "related_terms": RELATED, "mentioned_terms": MENTIONED, "scene_lookup": LOOKUP, "focused": FOCUSED, "tool_calls": CALLS, "spend_ceiling": CEILING, "layer_changes": CHANGES, "latest_records": LATEST, "trusted_suppliers": TRUSTED,
-    "best_crops": CROPS, "lifted_tracks": LIFTED, "depth_windows": WINDOWS, "body_measures": BODIES, "timeline_spread": SPREAD, "matching_frames": MATCHING, "fed_numbers": FED, "splat_clamp": CLAMP, "level_plans": LEVELS,
+    "best_crops": CROPS, "lifted_tracks": LIFTED, "depth_windows": WINDOWS, "body_measures": BODIES, "timeline_spread": SPREAD, "matching_frames": MATCHING, "fed_numbers": FED, "splat_clamp": CLAMP, "level_plans": LEVELS, "seen_clusters": SEEN, "nearest_things": NEAREST, "cloud_facts": FACTS, "log_and_sessions": LOGS,
 }
