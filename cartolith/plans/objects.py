@@ -167,12 +167,12 @@ SELECT query, submap, count(*) AS n FROM o WHERE position >= 1000 AND (query, su
 
 
 def query_changes(spark, d):
-    o = objects(spark, d)
+    o = objects(spark, d).select("scan", F.concat("query", F.lit("/"), "human_label").alias("query"))
     return T.changed(o.filter("scan <> 'ECONOMY'").select("query"), o.filter("scan <> 'PROMO'").select("query"))
 
 
 CHANGES = f"""
-WITH {OBJECTS_SQL}, a AS (SELECT query FROM objects WHERE scan <> 'ECONOMY'), b AS (SELECT query FROM objects WHERE scan <> 'PROMO')
+WITH {OBJECTS_SQL}, a AS (SELECT query || '/' || human_label AS query FROM objects WHERE scan <> 'ECONOMY'), b AS (SELECT query || '/' || human_label AS query FROM objects WHERE scan <> 'PROMO')
 SELECT query, 'added' AS change FROM (SELECT query FROM b EXCEPT SELECT query FROM a) UNION ALL SELECT query, 'removed' FROM (SELECT query FROM a EXCEPT SELECT query FROM b)
 """
 

@@ -133,7 +133,7 @@ def scale_ladders(spark, d):
     u = P.report_units(given, F.when(s.s_suppkey % 2 == 0, s.s_name), ref, s.s_nationkey / 10)
     state = G.metric_state(F.when(s.s_suppkey % 2 == 0, "anchor"), given, s.s_name)
     return s.select(
-        "s_suppkey", _r(m["scale"], "scale"), m["source"].alias("source"), m["metric"].alias("metric"), _r(e["scale"], "export"), e["source"].alias("export_source"), e["refused"].alias("refused"), u["basis"].alias("basis"), _r(u["report_per_unit"], "per_unit", 4),
+        "s_suppkey", _r(m["scale"], "scale"), m["source"].alias("source"), m["metric"].alias("metric"), _r(e["scale"], "export"), e["source"].alias("export_source"), e["refused"].alias("refused"), u["basis"].alias("basis"), _r(u["report_per_unit"], "per_unit"),
         state["metric_state"].alias("state"), _r(G.anchor_scale(F.lit(3.0), ref), "anchor"), _r(G.geometric_mean(F.array(given, ref)), "mean"), _r(G.covariance_factor(F.least(F.abs(given) / 10, F.lit(1.0))), "factor"),
     )
 
@@ -143,7 +143,7 @@ WITH s AS (SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_suppkey % 4 = 0 TH
 k AS (SELECT *, coalesce(g > 0, false) AS kg, coalesce(r > 1e-9, false) AS kr, coalesce(r > 0, false) AS pr FROM s)
 SELECT s_suppkey, round(CASE WHEN kg THEN g WHEN kr THEN 2 / r ELSE 1 END, 6) AS scale, CASE WHEN kg THEN 'user:factor' WHEN kr THEN 'user:ref_object' || CASE WHEN s_suppkey % 2 = 0 THEN ':' || s_name ELSE '' END ELSE 'none' END AS source, kg OR kr AS metric,
   round(CASE WHEN kg THEN g WHEN pr THEN r WHEN s_suppkey % 5 = 0 THEN 1.5 END, 6) AS export, CASE WHEN kg THEN 'user' WHEN pr THEN 'anchor' WHEN s_suppkey % 5 = 0 THEN 'pointer' END AS export_source, NOT (kg OR pr OR s_suppkey % 5 = 0) AS refused,
-  CASE WHEN kg THEN 'anchor:' || CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'derived_latest' END WHEN pr THEN 'capture_height_fraction' ELSE 'extent_fraction' END AS basis, round(CASE WHEN kg THEN g WHEN pr THEN 1 / r ELSE 1 / greatest(s_nationkey / 10, 1e-9) END, 4) AS per_unit,
+  CASE WHEN kg THEN 'anchor:' || CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'derived_latest' END WHEN pr THEN 'capture_height_fraction' ELSE 'extent_fraction' END AS basis, round(CASE WHEN kg THEN g WHEN pr THEN 1 / r ELSE 1 / greatest(s_nationkey / 10, 1e-9) END, 6) AS per_unit,
   CASE WHEN s_suppkey % 2 = 0 AND kg THEN 'metric' ELSE 'up_to_scale' END AS state, CASE WHEN kr THEN round(3 / r, 6) END AS anchor,
   round(CASE WHEN g IS NULL AND r IS NULL THEN 1 WHEN r IS NULL THEN greatest(g, 1e-6) WHEN g IS NULL THEN greatest(r, 1e-6) ELSE sqrt(greatest(g, 1e-6) * greatest(r, 1e-6)) END, 6) AS mean,
   round(least(greatest(pow(100, 1 - CASE WHEN g IS NULL THEN 1 ELSE least(abs(g) / 10, 1) END), 1), 100), 6) AS factor FROM k
@@ -256,7 +256,7 @@ SELECT p_partkey, bit_count((p_partkey * 37) & 65535)::BIGINT AS area, true AS s
 def described_parts(spark, d):
     """Facts, tiers, keywords and merged lists of parts, and prices from nested results."""
     p = table(spark, d, "part")
-    facts = P.placement_facts(p.p_size / 10, p.p_retailprice / 1000, F.when(p.p_partkey % 2 == 0, p.p_size / 20), F.when(p.p_partkey % 3 == 0, p.p_size / 30), 1.0)
+    facts = P.placement_facts(p.p_size / 10, p.p_size / 4, F.when(p.p_partkey % 2 == 0, p.p_size / 20), F.when(p.p_partkey % 3 == 0, p.p_size / 30), 1.0)
     words = S.keyword_queries(p.p_name, ["red", "small"], {"ring": ["box", "chain"]})
     merged = S.merged_queries([F.split("p_name", " "), F.array(F.lit(" Box "), F.lower("p_type"), F.lit("red")), F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.lit("d"))], 4, 5)
     result = F.when(p.p_partkey % 3 == 0, F.to_json(F.struct(p.p_retailprice.alias("extracted_price")))).when(p.p_partkey % 3 == 1, F.to_json(F.struct(F.array(F.struct(p.p_size.alias("price"))).alias("offers")))).otherwise("{broken")
@@ -265,7 +265,7 @@ def described_parts(spark, d):
 
 DESCRIBED = """
 SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size / 10 <= 2 THEN 'on the floor' ELSE printf('off the floor — bottom %.2f above it', p_size / 10) END, CASE WHEN p_partkey % 2 = 0 AND p_size / 20 <= 2 THEN 'against a wall' END,
-    CASE WHEN p_partkey % 3 = 0 AND p_size / 30 <= 2 THEN 'reaches the ceiling' END, printf('%.2f tall', p_retailprice / 1000)], lambda x: x IS NOT NULL), '; ') AS facts,
+    CASE WHEN p_partkey % 3 = 0 AND p_size / 30 <= 2 THEN 'reaches the ceiling' END, printf('%.2f tall', p_size / 4)], lambda x: x IS NOT NULL), '; ') AS facts,
   CASE p_partkey % 3 WHEN 0 THEN 'good' WHEN 1 THEN 'usable' ELSE 'low' END AS tier,
   array_to_string(w, ' ') AS words, array_to_string(CASE WHEN len(m) < 4 THEN m2 ELSE m END[1:5], ',') AS merged, CASE p_partkey % 3 WHEN 0 THEN p_retailprice WHEN 1 THEN p_size::DOUBLE END AS price
 FROM (SELECT *, CASE WHEN len(m1) < 4 THEN list_concat(m1, list_filter(['a', 'b', 'c', 'd'], lambda x: NOT list_contains(m1, x))) ELSE m1 END AS m2, m1 AS m FROM (
