@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from cartolith.llm.common import width, written
 
-#: Queries in a block (on average half), and candidates and queries in one array of scores.
-QUERY_BLOCK, TASK_ROWS, TASK_QUERIES = 32_768, 1024, 128
+#: Queries in a block (on average half), least rows of a share of the candidates, and candidates and queries in one array of scores.
+QUERY_BLOCK, SHARE, TASK_ROWS, TASK_QUERIES = 32_768, 8192, 1024, 128
 _LEAST, _MOST = -(2**63), 2**63 - 1
 
 
@@ -112,7 +112,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
     asked = written(asked.select("*", *[F.xxhash64(F.lit(i), "vec_id", "embedding").alias(f"q{i}") for i in (1, 2)]), "queries")
     parts = width(vectors.sparkSession)
     blocks = max(1, -(-asked.count() // max(1, query_block // 2)))
-    shares = max(1, -(-2 * parts // blocks))  # of the candidates, so that all tasks have work
+    # of the candidates, so that all tasks have work, but no smaller than SHARE rows: each share gives its own best
+    shares = max(1, min(-(-2 * parts // blocks), -(-rows.count() // SHARE)))
     left = asked.select(F.pmod("q1", F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(0).alias("side"), "q1", "q2", "vec_id", "embedding")
     share = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shares)).cast("int")
     right = rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), share.alias("share"), F.lit(1).alias("side"), F.lit(0).cast("long").alias("q1"), F.lit(0).cast("long").alias("q2"), "vec_id", "embedding")

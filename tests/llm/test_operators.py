@@ -498,6 +498,7 @@ def test_top_k_against_all_pairs(spark, monkeypatch):
     rows += [(2000, None), (2001, [None] * 16), (2002, [float("nan")] * 16), (2003, [float("inf")] + [0.0] * 15), (None, [1.0] * 16), (2004, []), (2005, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).repartition(6)
     queries = {i for i, _ in rows if i is not None and i % 50 == 0}
+    monkeypatch.setattr(topk, "SHARE", 100)
     for block in (32_768, 16, 2):
         got = topk.top_k(df, df.filter("vec_id % 50 = 0"), 5, query_block=block).collect()
         assert sorted(map(tuple, got)) == brute_top(rows, queries, 5)
