@@ -60,6 +60,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A key with more than one in HOT of all rows is hot: fewer than HOT keys can be.
+HOT = 10_000
+
+
+def joined_by_weight(left: DataFrame, right: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """left joined with right, which holds each of keys at most once and in column rows how many rows of left have it.
+
+    Hot keys, fewer than HOT of them, are broadcast, so that no task gets all rows of one; the others meet in a
+    shuffle. Null keys don't match. left is read twice."""
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    hot, cold = (right.filter(x).drop(rows) for x in (F.col(rows) * HOT > F.lit(total), F.col(rows) * HOT <= F.lit(total)))
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return left.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+
+
 def width(spark: SparkSession) -> int:
     """Partitions for an explicit repartition()."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm import bpe, language, mixing, near_dedup, quality, sharding, substring_dedup, token_counts, topk, toxicity
-from cartolith.llm.common import table, written
+from cartolith.llm import bpe, language, line_dedup, mixing, near_dedup, quality, sharding, spelling, substring_dedup, token_counts, topk, toxicity, vector_codes
+from cartolith.llm.common import joined_by_weight, table, written
 
 #: Production parameters of op1: seed, exponent of the target weights, tokens out against tokens in.
 MIX = {"seed": 7, "smoothing": 0.7, "budget": 1.0}
@@ -103,6 +103,61 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = written(spelling.vocabulary(table(spark, sf_dir, "documents"), damage=97), "vocabulary")
+    return spelling.variants(words)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of every usable vector, with the error of its label and the digest of the codebooks."""
+    rows = vector_codes.integer_vectors(table(spark, sf_dir, "embeddings"))
+    books = vector_codes.fit(rows)
+    numbers = ",".join(str(x) for b in books for x in b.entries.ravel().tolist())
+    same = F.to_json(F.struct("label")).alias("same")  # nulls meet
+    coded = written(vector_codes.encode(rows, books).select("*", same), "vector-codes")
+    by_label = written(coded.groupBy("same").agg(F.sum("error").alias("label_error"), F.count("*").alias("n_rows")), "label-errors")
+    code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    out = joined_by_weight(coded, by_label, ["same"], "n_rows")
+    return out.select("vec_id", code.alias("code"), "error", "label_error", F.sha2(F.lit(numbers), 256).alias("codebooks_sha256"))
+
+
+def _op12_sql() -> str:
+    def assigned(book: str) -> str:
+        gap = "list_sum(list_transform(range(1, len(q) + 1), lambda j: (q[j] - e[j]) * (q[j] - e[j])))::BIGINT"
+        return f"(SELECT r, part, q, min([d, entry]) AS best FROM (SELECT r, part, q, entry, coalesce({gap}, 0) AS d FROM p JOIN {book} USING (part)) GROUP BY ALL)"
+
+    def moved(book: str) -> str:
+        mean = f"SELECT part, entry, list(floor(s::DOUBLE / n)::BIGINT ORDER BY j) AS e FROM (SELECT part, best[2] AS entry, j, sum(q[j]) AS s, count(*) AS n FROM {assigned(book)}, range(1, (SELECT max(len(q)) FROM p) + 1) x(j) GROUP BY ALL) GROUP BY ALL"
+        return f"(SELECT b.part, b.entry, coalesce(m.e, b.e) AS e FROM {book} b LEFT JOIN ({mean}) m USING (part, entry))"
+
+    return f"""
+WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: least(greatest(floor(256 * x::DOUBLE), -67108864), 67108864)::BIGINT) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+z AS (SELECT ceil(max(len(w)) / 16)::BIGINT AS d FROM u),
+v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, w) AS r, vec_id, label, list_resize(w, d * 16, 0) AS w, d FROM u, z),
+p AS MATERIALIZED (SELECT r, part, w[part * d + 1 : part * d + d] AS q FROM v, range(16) x(part)),
+b0 AS (SELECT part, r - 1 AS entry, q AS e FROM p WHERE r <= 64), b1 AS MATERIALIZED {moved("b0")}, b2 AS MATERIALIZED {moved("b1")},
+c AS (SELECT r, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, sum(best[1])::BIGINT AS error FROM {assigned("b2")} GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM v JOIN c USING (r), h
+"""
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP13_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT r, doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM x),
+b AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) >= 5),
+g AS (SELECT k.*, b.key IS NOT NULL AND k.doc_id IS DISTINCT FROM b.keeper AS gone FROM k LEFT JOIN b ON k.key = b.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM g GROUP BY r, doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
@@ -114,6 +169,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_line_dedup": op13_line_dedup,
 }
 
-ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op6_exact_topk": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op6_exact_topk": OP6_SQL, "op12_vector_codes": _op12_sql(), "op13_line_dedup": OP13_SQL}
