@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import byte_rows, mixed, word_hashes
+from cartolith.llm.common import byte_rows, mixed, word_hashes, written
 
-#: Bound of the training sample: labelled rows of each language, the smallest by hash of doc_id.
-SAMPLE = 1_000
+#: Bounds of the training sample: labelled rows of each language, the smallest by hash, rows of all languages together, and languages, the most frequent.
+SAMPLE, ALL, LANGUAGES = 1_000, 20_000, 500
 BUCKETS, WIDTH = 1 << 16, 16
 #: Bytes of text that are hashed at once.
 AT_ONCE = 1 << 18
@@ -168,14 +168,22 @@ def train(counts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], steps:
     return model
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of docs' text and non-null lang, from at most sample rows of each language; their whole texts are used."""
+def fit(docs: DataFrame, sample: int = SAMPLE, together: int = ALL, languages: int = LANGUAGES) -> Model:
+    """A model of docs' text and non-null lang, from at most sample rows of each of the most frequent languages and together rows in all; their whole texts are used."""
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     rows = rows.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    # each task cuts its rows to the sample's size before they meet
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text_hash"))
-    ids = rows.select("id", "lang", "text_hash").withColumn("place", place).filter(F.col("place") <= sample).drop("place").distinct()
-    # the sample's bound is the size bound of this broadcast
+    named = written(rows.select("id", "lang", "text_hash").distinct(), "labelled-languages")
+    spread = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    if not spread:
+        return train([], [])
+    each = max(1, min(sample, together // len(spread)))
+    # a bound on the hash leaves each language little more than its share, whatever its size; then comes the exact cut
+    bounds = docs.sparkSession.createDataFrame([(r.lang, (each + 6 * each**0.5 + 30) / r["count"]) for r in spread], "lang string, bound double")
+    u = F.shiftrightunsigned(F.xxhash64("id", "text_hash"), 11) / float(2**53)
+    near = named.join(F.broadcast(bounds), "lang").withColumn("u", u).filter("u < bound")
+    place = F.row_number().over(W.partitionBy("lang").orderBy("u", "id", "text_hash"))
+    ids = near.withColumn("place", place).filter(F.col("place") <= each).select("id", "lang", "text_hash")
+    # at most together rows, or one of each language
     chosen = rows.join(F.broadcast(ids), ["id", "lang", "text_hash"]).dropDuplicates(["id", "lang", "text_hash"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,14 +10,21 @@ verified from a moving pivot against members not yet reached: a dense bucket giv
 verified links, not all its pairs. Buckets past BLOCK members are dealt out as pairs of blocks.
 
 Texts of similarity 0.8 differ in about 15 % of a fingerprint's bits, far more than 3 of 64. near_dedup(),
-which links by similarity, therefore takes the same method with other sizes: fingerprints of 256 bits over
-five-word shingles, of which SEGMENTS segments of BITS bits are indexed under their one-wildcard variants.
-Any one segment of two similar texts may differ in more than one bit, but hardly all of them. Candidates are
-verified in three steps: by 64 bits in the bucket, by all 256 bits, and by the shingles themselves.
+which links by similarity, therefore takes the same method with other sizes: fingerprints of 256 bits or more
+over five-word shingles, of which segments are indexed under their one-wildcard variants. Any one segment of
+two similar texts may differ in more than one bit, but hardly all of them. A segment's bits follow the number
+of texts, so that a bucket holds few unrelated ones, and the number of segments follows from the bits and the
+wanted recall. Candidates are verified in three steps: by 64 bits outside all segments in the bucket, by all
+bits, and by the shingles themselves.
+
+A bucket of up to CROWD members offers all its near pairs. One of more, that is of a large group of near
+copies, first offers pairs with the middles of neighbourhoods, which joins most of it; then all its pairs
+between texts that aren't in one component yet. So no link between components is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -32,12 +39,10 @@ from cartolith.llm.common import as_row, byte_rows, dropped, of_row, row_keys, w
 
 #: Members of a bucket that one task compares; larger buckets are split into pairs of blocks of this size.
 BLOCK = 20_000
-#: near_dedup(): segments and their bits, of 256. At similarity 0.8 a segment passes with 0.18, one of 12 with 0.9.
-SEGMENTS, BITS = 12, 20
-#: Differing bits up to which candidates stay, of the first 64 and of all 256; similarity 0.8 gives 10 +- 3 and 39 +- 6.
-NEAR_64, NEAR_256 = 18, 52
-#: Members up to which all pairs of a bucket are candidates; in larger ones each member meets the middle of its neighbourhood.
-SMALL = 8
+#: near_dedup(): chance that one of the segments of two texts of just the wanted similarity passes, and a segment's least bits.
+RECALL, LEAST_BITS = 0.95, 16
+#: Members up to which a bucket offers all near pairs at once. Buckets hold up to half as many unrelated texts on average.
+CROWD = 64
 #: Nearest partners of a text that are verified first; others only if they would still join two components.
 FIRST = 3
 
@@ -227,20 +232,42 @@ def shingles(text: bytes | None, shingle: int) -> tuple[bytes, set[bytes]]:
     return joined, {joined[s:e] for s, e in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)}
 
 
-def wide_fingerprint(found: set[bytes]) -> bytes:
-    """32 bytes of SimHash over distinct shingles, each hashed by XXH3 with two seeds."""
-    counts = np.zeros(256, np.int64)
-    hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, seed) for s in found for seed in (1, 2)]), np.uint8).reshape(-1, 32)
+def sizes(n: int, similarity: float = 0.8, recall: float = RECALL) -> tuple[int, int]:
+    """How many segments of how many bits n texts take."""
+    apart = _apart(similarity)
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(1, n))) + 2 - int(math.log2(CROWD)))
+    passes = (1 - apart) ** bits + bits * apart * (1 - apart) ** (bits - 1)
+    return math.ceil(math.log(1 - recall) / math.log(1 - passes)), bits
+
+
+def _apart(similarity: float) -> float:
+    """The share of a fingerprint's bits in which texts of that similarity are expected to differ: the angle between their sets, over pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def near_bits(bits: int, similarity: float = 0.8) -> int:
+    """Differing bits up to which candidates stay: three standard deviations over what is expected."""
+    apart = _apart(similarity)
+    return math.floor(bits * apart + 3 * math.sqrt(bits * apart * (1 - apart)))
+
+
+def wide_fingerprint(found: set[bytes], longs: int = 4) -> bytes:
+    """SimHash of 64 bits for each of an even number of longs over distinct shingles, each hashed by XXH3 with a seed for two longs."""
+    counts = np.zeros(64 * longs, np.int64)
+    hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, seed) for s in found for seed in range(1, longs // 2 + 1)]), np.uint8).reshape(-1, 8 * longs)
     for at in range(0, len(hashes), 1 << 14):
         counts += np.unpackbits(hashes[at : at + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(2 * counts > len(found)).tobytes()
 
 
-_FP = ["f0", "f1", "f2", "f3"]
+def _longs(df: DataFrame) -> list[str]:
+    """The columns f0, f1 and so on of a fingerprint."""
+    return [f"f{i}" for i in range(sum(c[0] == "f" and c[1:].isdigit() for c in df.columns))]
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, k1, k2 (which tell rows apart), text_id (a hash of the text's words) and f0 to f3, its fingerprint, of each row."""
+def sketches(docs: DataFrame, shingle: int, longs: int = 4) -> DataFrame:
+    """doc_id, k1, k2 (which tell rows apart), text_id (a hash of the text's words) and f0, f1 and so on, its fingerprint, of each row."""
+    names = [f"f{i}" for i in range(longs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -248,75 +275,76 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
             for t in byte_rows(b, "text"):
                 joined, found = shingles(t, shingle)
                 ids.append(xxhash.xxh64_intdigest(joined, 7))
-                fps.append(wide_fingerprint(found))
-            fp = np.frombuffer(b"".join(fps), np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "k1", "k2")), pa.array(np.array(ids, np.uint64).view(np.int64)), *(pa.array(fp[:, i]) for i in range(4))], ["doc_id", "k1", "k2", "text_id", *_FP])
+                fps.append(wide_fingerprint(found, longs))
+            fp = np.frombuffer(b"".join(fps), np.int64).reshape(-1, longs)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "k1", "k2")), pa.array(np.array(ids, np.uint64).view(np.int64)), *(pa.array(fp[:, i]) for i in range(longs))], ["doc_id", "k1", "k2", "text_id", *names])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_keys(), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, text_id long, " + ", ".join(f"{f} long" for f in _FP))
+    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, text_id long, " + ", ".join(f"{f} long" for f in names))
 
 
 def segment_variants(texts: DataFrame, segments: int, bits: int) -> DataFrame:
-    """key, check (64 bits of the fingerprint), text_id: the one-wildcard variants of each text's segments."""
+    """key, check (the last 64 bits of the fingerprint, in no segment), text_id: the one-wildcard variants of each text's segments."""
+    names = _longs(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wild = np.arange(bits)
         for b in batches:
             for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
-                fp = np.stack([part.column(f).to_numpy() for f in _FP], axis=1)
+                fp = np.stack([part.column(f).to_numpy() for f in names], axis=1)
                 flat = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1)[:, : segments * bits].reshape(-1, segments, bits)
                 value = flat.astype(np.int64) @ (1 << wild)
                 key = (np.arange(segments)[:, None] * bits + wild) << bits | value[:, :, None] & ~(1 << wild)
                 each = segments * bits
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(fp[:, 0], each)), pa.array(np.repeat(part.column("text_id").to_numpy(), each))], ["key", "check", "text_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(fp[:, -1], each)), pa.array(np.repeat(part.column("text_id").to_numpy(), each))], ["key", "check", "text_id"])
 
-    return texts.select("text_id", *_FP).mapInArrow(run, "key long, check long, text_id long")
+    return texts.select("text_id", *names).mapInArrow(run, "key long, check long, text_id long")
 
 
 def _stars(check: np.ndarray, near: int) -> tuple[list[np.ndarray], list[np.ndarray], list[int]]:
-    """Positions of candidate pairs in a crowded bucket: middles of neighbourhoods with all that is near them; and the middles."""
+    """Positions of pairs of a crowded bucket: middles of neighbourhoods with all that is near them; and the middles."""
     left, right, middles, rest = [], [], [], np.arange(len(check))
-    while len(rest) > SMALL:
+    while len(rest):
         bits = np.unpackbits(check[rest].view(np.uint8).reshape(-1, 8), axis=1)
         most = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(rest)).view(np.uint64)[0]
         # of several neighbourhoods the majority may be in none: look from the member that is nearest to it
         middle = rest[np.argmin(np.bitwise_count(check[rest] ^ most))]
         close = np.bitwise_count(check[rest] ^ check[middle]) <= near
         reached = rest[close & (rest != middle)]
-        left.append(np.full(len(reached), middle))
-        right.append(reached)
         middles.append(int(middle))
         rest = rest[~close]
-    for i, a in enumerate(rest.tolist()):
-        others = rest[i + 1 :]
-        others = others[np.bitwise_count(check[others] ^ check[a]) <= near]
-        left.append(np.full(len(others), a))
-        right.append(others)
-    return left, right, [*middles, *rest.tolist()]
+        if not len(reached) and len(middles) >= CROWD:  # no neighbourhoods left: the rest is told apart later
+            break
+        left.append(np.full(len(reached), middle))
+        right.append(reached)
+    return left, right, middles
 
 
-def candidates(index: DataFrame, near: int = NEAR_64) -> DataFrame:
-    """(a, b): text_ids that meet under a key of index and differ in at most near bits of check; a < b.
+def candidates(index: DataFrame, near: int) -> DataFrame:
+    """(a, b, key): text_ids a < b that meet under a key of index and differ in at most near bits of check, key null; and the members of buckets of more than CROWD: text_id, check, key.
 
-    In a bucket of more than SMALL members, each meets the middle of its neighbourhood and not all others: two
-    members that only link to each other meet in other buckets. A bucket past BLOCK members is taken in blocks,
-    each with the middles of those before."""
+    A bucket of up to CROWD members gives all its near pairs, a larger one pairs with the middles of its
+    neighbourhoods; one past BLOCK members is taken in blocks, each with the middles of those before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(a: np.ndarray, b: np.ndarray, key: pa.Array | None = None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()) if key is None else key], ["a", "b", "key"])
+
         def emit(key: np.ndarray, check: np.ndarray, text: np.ndarray) -> tuple[pa.RecordBatch, list[int]]:
             """Candidates of whole buckets, and the middles of the last one."""
             new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(new, len(key)))
-            small = np.repeat(size <= SMALL, size)
             left, right, middles = [], [], []
-            for d in range(1, SMALL):
-                same = np.flatnonzero((key[d:] == key[:-d]) & small[d:])
+            same = np.flatnonzero(np.repeat(size <= CROWD, size))
+            for d in range(1, CROWD):
+                same = same[same + d < len(key)]
+                same = same[key[same + d] == key[same]]
                 if not len(same):
                     break
-                same = same[np.bitwise_count(check[same] ^ check[same + d]) <= near]
-                left.append(same)
-                right.append(same + d)
-            for s, n in zip(new[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+                close = same[np.bitwise_count(check[same] ^ check[same + d]) <= near]
+                left.append(close)
+                right.append(close + d)
+            for s, n in zip(new[size > CROWD].tolist(), size[size > CROWD].tolist(), strict=True):
                 x, y, middles = _stars(check[s : s + n], near)
                 left += [v + s for v in x]
                 right += [v + s for v in y]
@@ -324,26 +352,88 @@ def candidates(index: DataFrame, near: int = NEAR_64) -> DataFrame:
             pairs = text[np.stack([np.concatenate([np.empty(0, np.int64), *left]), np.concatenate([np.empty(0, np.int64), *right])])]
             pairs = np.unique(np.sort(pairs, axis=0), axis=1)
             pairs = pairs[:, pairs[0] != pairs[1]]
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"]), middles
+            return out(pairs[0], pairs[1]), middles
 
-        held = [np.empty(0, np.int64)] * 3
+        def crowded(key: np.ndarray, check: np.ndarray, text: np.ndarray, least: int) -> pa.RecordBatch:
+            """Members of buckets of more than least of these rows."""
+            new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(new, len(key)))
+            many = np.repeat(size > least, size)
+            return out(text[many], check[many], pa.array(key[many]))
+
+        held, fresh, over = [np.empty(0, np.int64)] * 3, 0, False  # the bucket at the end: its rows or middles, the first row not emitted yet, and whether it passed BLOCK
         for b in batches:
             key, check, text = (np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, ("key", "check", "text_id"), strict=True))
             if not len(key):
                 continue
+            if over and key[0] != key[-1]:  # the large bucket ends in this batch
+                end = int(np.searchsorted(key, key[0], "right"))
+                yield emit(key[:end], check[:end].view(np.uint64), text[:end])[0]
+                yield crowded(key[fresh:end], check[fresh:end], text[fresh:end], 0)
+                key, check, text, fresh, over = key[end:], check[end:], text[end:], 0, False
             cut = int(np.searchsorted(key, key[-1]))
             if cut:
                 yield emit(key[:cut], check[:cut].view(np.uint64), text[:cut])[0]
+                yield crowded(key[:cut], check[:cut], text[:cut], CROWD)
             held = [key[cut:], check[cut:], text[cut:]]
             if len(held[0]) > BLOCK:
-                out, middles = emit(held[0], held[1].view(np.uint64), held[2])
-                yield out
-                held = [h[middles] for h in held]
+                pairs, middles = emit(held[0], held[1].view(np.uint64), held[2])
+                yield pairs
+                yield crowded(*(h[fresh:] for h in held), 0)
+                held, fresh, over = [h[middles] for h in held], len(middles), True
         if len(held[0]):
             yield emit(held[0], held[1].view(np.uint64), held[2])[0]
+            yield crowded(*(h[fresh:] for h in held), 0 if over else CROWD)
 
     parts = width(index.sparkSession)
-    return index.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    return index.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key long").distinct()
+
+
+def crossing(members: DataFrame, near: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): text_ids a < b of members (key, check, text_id, root) that share a key, differ in at most near bits and have different roots.
+
+    A bucket of one root has none. Larger buckets than block are dealt out as pairs of blocks."""
+    kinds = written(members.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).filter("least <> most"), "mixed-buckets")
+    n = F.ceil(F.col("n") / block).cast("int").alias("blocks")
+    index = members.join(kinds.select("key", n), "key")
+    own = F.pmod(F.xxhash64("text_id"), F.col("blocks").cast("long")).cast("int")
+    index = index.select("key", "check", "text_id", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cell = F.least("own", "other").cast("long") * F.lit(1 << 31) + F.greatest("own", "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(rows: list[np.ndarray]) -> pa.RecordBatch:
+            """Pairs of one bucket: members of each root with those of roots of more members."""
+            check, text, root = (np.concatenate(x) for x in zip(*rows, strict=True))
+            _, group, size = np.unique(root, return_inverse=True, return_counts=True)
+            order = np.lexsort((group, size[group]))
+            check, text, group = check[order].view(np.uint64), text[order], group[order]
+            ends = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
+            left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for i, end in enumerate(ends[:-1].tolist()):
+                for x in range(int(ends[i - 1]) if i else 0, end):
+                    y = end + np.flatnonzero(np.bitwise_count(check[end:] ^ check[x]) <= near)
+                    left.append(np.full(len(y), text[x]))
+                    right.append(text[y])
+            pairs = np.unique(np.sort(np.stack([np.concatenate(left), np.concatenate(right)]), axis=0), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+        now, held = None, []
+        for b in batches:
+            key, cell, *cols = (b.column(i).to_numpy() for i in range(5))
+            turns = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
+            for s, e in zip([0, *turns.tolist()], [*turns.tolist(), b.num_rows], strict=True):
+                if s == e:
+                    continue
+                if (key[s], cell[s]) != now:
+                    if held:
+                        yield emit(held)
+                    now, held = (key[s], cell[s]), []
+                held.append([c[s:e] for c in cols])
+        if held:
+            yield emit(held)
+
+    dealt = index.select("key", cell.alias("cell"), "check", "text_id", "root").repartition(width(members.sparkSession), "key", "cell").sortWithinPartitions("key", "cell")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -382,13 +472,27 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def similar_texts(docs: DataFrame, marked: DataFrame, similarity: float, shingle: int, segments: int, bits: int) -> DataFrame:
     """(node, root): text_ids of sketches(docs) that links join, with their component's smallest."""
-    texts = written(marked.select("text_id", *_FP).distinct(), "distinct-texts")
+    names = _longs(marked)
+    if segments * bits > 64 * (len(names) - 1):
+        raise ValueError("the segments need longer fingerprints")
+    texts = written(marked.select("text_id", *names).distinct(), "distinct-texts")
     parts = width(docs.sparkSession)
-    pairs = written(candidates(segment_variants(texts.repartition(parts, "text_id"), segments, bits)), "candidates")
-    sides = [texts.select(F.col("text_id").alias(s), *[F.col(f).alias(s + f) for f in _FP]) for s in ("a", "b")]
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col("a" + f).bitwiseXOR(F.col("b" + f))) for f in _FP])
-    pairs = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", differ.cast("int").alias("bits")).filter(F.col("bits") <= NEAR_256)
-    pairs = written(pairs, "near-candidates")
+    near = near_bits(64, similarity)
+    met = written(candidates(segment_variants(texts.repartition(parts, "text_id"), segments, bits), near), "candidates")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """The pairs that are near by all bits, and how many differ."""
+        sides = [texts.select(F.col("text_id").alias(s), *[F.col(f).alias(s + f) for f in names]) for s in ("a", "b")]
+        differ = reduce(lambda x, y: x + y, [F.bit_count(F.col("a" + f).bitwiseXOR(F.col("b" + f))) for f in names])
+        return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", differ.cast("int").alias("bits")).filter(F.col("bits") <= near_bits(64 * len(names), similarity))
+
+    def apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+        """The pairs whose ends aren't in one component."""
+        root = [linked.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for s in ("a", "b")]
+        both = pairs.select("a", "b").join(root[0], "a", "left").join(root[1], "b", "left")
+        return both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+    pairs = written(close(met.filter("key IS NULL").select("a", "b")), "near-candidates")
     both = pairs.select("a", "b", "bits").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))
     sets = written(shingle_sets(docs, both.select(F.col("a").alias("text_id")).distinct(), shingle), "shingle-sets")
     place = F.row_number().over(W.partitionBy("a").orderBy("bits", "b"))
@@ -396,22 +500,33 @@ def similar_texts(docs: DataFrame, marked: DataFrame, similarity: float, shingle
     found = written(verified(first, sets, similarity), "links")
     linked = written(components(found), "components")
     # what was left aside is verified as well, but where its ends are in one component already
-    root = [linked.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for s in ("a", "b")]
-    rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(root[0], "a", "left").join(root[1], "b", "left")
-    rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    more = written(verified(rest, sets, similarity), "more-links")
-    return linked if more.isEmpty() else written(components(found.unionByName(more)), "components")
-
-
-def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, segments: int = SEGMENTS, bits: int = BITS) -> DataFrame:
+    more = written(verified(apart(pairs.join(first, ["a", "b"], "left_anti"), linked), sets, similarity), "more-links")
+    if not more.isEmpty():
+        found = found.unionByName(more)
+        linked = written(components(found), "components")
+    members = met.filter("key IS NOT NULL").select(F.col("a").alias("text_id"), F.col("b").alias("check"), "key")
+    members = members.join(linked, members["text_id"] == linked["node"], "left").select("key", "check", "text_id", F.coalesce("root", "text_id").alias("root"))
+    # pairs that met before were verified
+    rest = written(close(crossing(members, near)).join(pairs, ["a", "b"], "left_anti"), "crossing-candidates")
+    if rest.isEmpty():
+        return linked
+    ends = rest.select(F.col("a").alias("text_id")).union(rest.select("b")).distinct()
+    last = written(verified(rest, written(shingle_sets(docs, ends, shingle), "shingle-sets"), similarity), "crossing-links")
+    return linked if last.isEmpty() else written(components(found.unionByName(last)), "components")
+
+
+def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = RECALL) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id, rows without one last.
 
     Texts are linked whose sets of word shingles have that Jaccard similarity at least; every link was
-    verified. Links of barely that similarity may be missed: of those of 0.8, about one in ten with the
-    given segments. Null, empty and all-space texts are copies of each other, as are texts with the same
-    words. Columns stay as they are, whatever their names; an empty table gives an empty result."""
+    verified. Links of barely that similarity may be missed, of those of just that similarity a share of
+    1 - recall. Null, empty and all-space texts are copies of each other, as are texts with the same words.
+    Columns stay as they are, whatever their names; an empty table gives an empty result."""
     names = docs.columns
-    marked = written(sketches(docs, shingle), "sketches")
+    segments, bits = sizes(docs.count(), similarity, recall)
+    # 64 bits outside the segments are left for the check
+    longs = max(4, 2 * -(-(segments * bits + 64) // 128))
+    marked = written(sketches(docs, shingle, longs), "sketches")
     linked = similar_texts(docs, marked, similarity, shingle, segments, bits)
     best = marked.groupBy("text_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("best"))
     best = best.join(linked, best["text_id"] == linked["node"], "left").groupBy(F.coalesce("root", "text_id")).agg(F.min("best").alias("best"))

@@ -15,7 +15,7 @@ from math import floor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,27 +26,26 @@ QUERY_BLOCK, SHARE, TASK_ROWS, TASK_QUERIES = 32_768, 8192, 1024, 128
 _LEAST, _MOST = -(2**63), 2**63 - 1
 
 
-def weights(batch: pa.RecordBatch, scale: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a batch that are usable and their integer weights floor(scale * x); shorter vectors are filled with 0.
+def weights(batch: pa.RecordBatch, scale: float) -> np.ndarray:
+    """Rows of integer weights: column w as it is or, where it holds floating-point numbers, floor(scale * x); shorter vectors are filled with 0.
 
     Where weights pass 2**62, the array holds exact Python integers."""
-    lists = batch.column("embedding").cast(pa.list_(pa.float64()))
+    lists = batch.column("w")
     offsets = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.values.to_numpy(zero_copy_only=False)
     sizes = np.diff(offsets)
-    bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
-    usable = (bad[offsets[1:]] == bad[offsets[:-1]]) & np.asarray(lists.is_valid()) & np.asarray(batch.column("vec_id").is_valid())
-    rows = np.flatnonzero(usable)
-    terms = np.arange(int(sizes[rows].max()) if len(rows) else 0)
-    inside = terms < sizes[rows, None]
-    found = flat[(offsets[rows, None] + terms)[inside]]
-    if np.abs(found).max(initial=0) * scale < 2.0**62:
+    terms = np.arange(int(sizes.max(initial=0)))
+    inside = terms < sizes[:, None]
+    found = flat[(offsets[:-1, None] + terms)[inside]]
+    if found.dtype.kind == "i":
+        values = found.astype(np.int64)
+    elif np.abs(found).max(initial=0) * scale < 2.0**62:
         values = np.floor(scale * found).astype(np.int64)
     else:
         values = np.array([floor(Fraction(scale) * Fraction(x)) for x in found.tolist()], object)
-    out = np.zeros((len(rows), len(terms)), values.dtype)
+    out = np.zeros((len(sizes), len(terms)), values.dtype)
     out[inside] = values
-    return rows, out
+    return out
 
 
 def accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -70,17 +69,17 @@ def accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return (np.clip(scores, _LEAST, _MOST) if kind is object else scores).astype(np.int64)
 
 
-def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best(scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query position, row position and score of each query's k best rows but its own; ties go to smaller ids.
 
-    scores is (rows, queries)."""
+    scores is (rows, queries); rows and own are row numbers of the rows and of the queries."""
     order = np.argsort(ids, kind="stable")
-    scores, ids = scores[order], ids[order]
-    others = ids[:, None] != own[None, :]
+    scores, rows = scores[order], rows[order]
+    others = rows[:, None] != own[None, :]
     taken = others
-    if len(ids) > k:
+    if len(rows) > k:
         ranked = np.where(others, scores, _LEAST)
-        least = np.partition(ranked, len(ids) - k, axis=0)[len(ids) - k]
+        least = np.partition(ranked, len(rows) - k, axis=0)[len(rows) - k]
         above, level = ranked > least, (ranked == least) & others
         taken = above | level & (np.cumsum(level, axis=0) <= k - above.sum(axis=0))
     row, query = np.nonzero(taken)
@@ -96,49 +95,54 @@ def firsts(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tup
     return query[place < k], ids[place < k], score[place < k]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k best of all vectors but those with its own id.
+def top_k(vectors: DataFrame, asks: Column | str = "true", k: int = 5, scale: float = 256.0, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: for each row of vectors that asks holds for, its k best of all rows but itself.
 
-    Both tables have vec_id and embedding. Rows with a null vec_id, or a vector that is null or holds null or
+    vectors has vec_id and embedding. Rows with a null vec_id, or a vector that is null or holds null or
     non-finite components, take no part. Vectors of different lengths meet on their common terms. A vector
-    without components scores 0. Repeated rows are candidates of their own. Queries that share an id but not
-    the vector are queries of their own, each with its ranks; wholly equal ones count once. Scores are exact
-    integers; one beyond a long counts as the nearest long, for its rank too. Other columns are left aside; an
-    empty table on either side gives an empty result."""
-    plain = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")]
-    rows = vectors.select(*plain).filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
-    asked = queries.select(*plain).filter("vec_id IS NOT NULL AND embedding IS NOT NULL").dropDuplicates()
-    # two hashes of id and vector tell queries apart
-    asked = written(asked.select("*", *[F.xxhash64(F.lit(i), "vec_id", "embedding").alias(f"q{i}") for i in (1, 2)]), "queries")
+    without components scores 0. A row is told from all others by its own number: rows of one vec_id, wholly
+    equal ones too, are queries of their own, each with its ranks, and candidates of each other. Scores are
+    exact integers; one beyond a long counts as the nearest long, for its rank too. Other columns are left
+    aside; an empty table or no row that asks gives an empty result."""
+    x = F.col("embedding").cast("array<double>")
+    usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    asking = F.coalesce(F.expr(asks) if isinstance(asks, str) else asks, F.lit(False)).alias("asks")
+    plain = vectors.filter(usable).select(F.col("vec_id").cast("long").alias("vec_id"), asking, x.alias("w"))
+    largest = plain.agg(F.max(F.array_max(F.transform("w", F.abs)))).first()[0] or 0.0
+    if largest * scale < 2**31 - 1:  # integers of half the size travel
+        plain = plain.withColumn("w", F.transform("w", lambda v: F.floor(v * scale).cast("int")))
+    # row numbers hold once they are written
+    rows = written(plain.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    asked = rows.filter("asks")
     parts = width(vectors.sparkSession)
     blocks = max(1, -(-asked.count() // max(1, query_block // 2)))
     # of the candidates, so that all tasks have work, but no smaller than SHARE rows: each share gives its own best
     shares = max(1, min(-(-2 * parts // blocks), -(-rows.count() // SHARE)))
-    left = asked.select(F.pmod("q1", F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(0).alias("side"), "q1", "q2", "vec_id", "embedding")
-    share = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shares)).cast("int")
-    right = rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), share.alias("share"), F.lit(1).alias("side"), F.lit(0).cast("long").alias("q1"), F.lit(0).cast("long").alias("q2"), "vec_id", "embedding")
+    hashed = F.xxhash64("row")
+    left = asked.select(F.pmod(hashed, F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(0).alias("side"), "row", "vec_id", "w")
+    right = rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(hashed, F.lit(shares)).cast("int").alias("share"), F.lit(1).alias("side"), "row", "vec_id", "w")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held, own = None, [], None  # the cell that is being read, its queries' batches, and the queries as arrays
 
-        def asks() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        def asks() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            at, w = weights(whole, scale)
-            return (*(whole.column(c).to_numpy(zero_copy_only=False)[at] for c in ("q1", "q2", "vec_id")), w)
+            return (*(whole.column(c).to_numpy() for c in ("row", "vec_id")), weights(whole, scale))
 
         def scored(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            at, w = weights(b, scale)
-            ids = b.column("vec_id").to_numpy(zero_copy_only=False)[at]
-            q1, q2, query_ids, query_weights = own
+            w = weights(b, scale)
+            rows, ids = (b.column(c).to_numpy() for c in ("row", "vec_id"))
+            query_rows, query_ids, query_weights = own
             for q in range(0, len(query_ids), TASK_QUERIES):
                 some = slice(q, q + TASK_QUERIES)
                 found = []
                 for r in range(0, len(ids), TASK_ROWS):
-                    query, row, score = best(accumulate(query_weights[some], w[r : r + TASK_ROWS]), ids[r : r + TASK_ROWS], query_ids[some], k)
+                    part = slice(r, r + TASK_ROWS)
+                    query, row, score = best(accumulate(query_weights[some], w[part]), ids[part], rows[part], query_rows[some], k)
                     found.append((query, ids[r + row], score))
                 if found:
                     query, vec, score = firsts(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
-                    yield pa.RecordBatch.from_arrays([pa.array(x[some][query]) for x in (q1, q2, query_ids)] + [pa.array(vec), pa.array(score)], ["q1", "q2", "query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[some][query]) for x in (query_rows, query_ids)] + [pa.array(vec), pa.array(score)], ["query", "query_id", "vec_id", "score"])
 
         for b in batches:
             block, share, side = (b.column(c).to_numpy(zero_copy_only=False) for c in ("block", "share", "side"))
@@ -155,6 +159,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
                     yield from scored(b.slice(s, e - s))
 
     cells = left.unionByName(right).repartition(parts, "block", "share").sortWithinPartitions("block", "share", "side")
-    found = cells.mapInArrow(run, "q1 long, q2 long, query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("q1", "q2").orderBy(F.desc("score"), "vec_id"))
+    found = cells.mapInArrow(run, "query long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -29,9 +29,9 @@ SAMPLE = 5_000
 #: Least z and least log-odds of a word that counts, and how many different words must precede it in toxic texts.
 LEAST_Z, LEAST_DELTA, LEAST_USES = 3.5, 2.0, 4
 DRIFT, SIGNIFICANT = -0.25, 0.05
-#: Letters of the stems that are counted, and the sets of them of which cross-validation chooses one.
-STEMS = (5, 6, 7)
-CHOICES = ((), (5,), (6,), (7,), (6, 7), (5, 6, 7))
+#: Letters of the stems that are counted, and the sets of them of which cross-validation chooses one: none and each length.
+STEMS = tuple(range(3, 10))
+CHOICES = ((), *((n,) for n in STEMS))
 FOLDS = 5
 
 _FLAT = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not chr(b).isalnum() else b for b in range(256))

@@ -6,12 +6,14 @@ import random
 import time
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from cartolith.llm import bpe, language, mixing, near_dedup, quality, sharding, substring_dedup, token_counts, topk, toxicity
+from cartolith.llm import queries as registered
 from cartolith.llm.common import shared_dir, written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -164,7 +166,7 @@ def test_near_copies_are_found_by_similarity(spark, monkeypatch, hot):
     root, links = brute_similar(texts)
     marked = near_dedup.sketches(docs, 5).select("doc_id", "text_id").collect()
     text_id = {r.doc_id: r.text_id for r in marked}
-    linked = {r.node: r.root for r in near_dedup.similar_texts(docs, near_dedup.sketches(docs, 5), 0.8, 5, near_dedup.SEGMENTS, near_dedup.BITS).collect()}
+    linked = {r.node: r.root for r in near_dedup.similar_texts(docs, near_dedup.sketches(docs, 5), 0.8, 5, *near_dedup.sizes(len(texts))).collect()}
     of = [text_id[r[0]] for r in rows]
     own = [linked.get(t, t) for t in of]
     assert len(links) > 200 and sum(own[i] == own[j] for i, j in links) >= 0.9 * len(links)
@@ -178,6 +180,48 @@ def test_near_copies_are_found_by_similarity(spark, monkeypatch, hot):
     assert sorted(r.doc_id for r in kept) == sorted(least.values())
 
 
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    """Most buckets pass CROWD, by unrelated texts and by a family of half-similar ones: the components are those of buckets that offer all their pairs."""
+    rng = random.Random(31)
+    base = text_of(rng, 150)
+    texts = [text_of(rng, rng.randrange(60, 160)) for _ in range(250)] + [edited(rng, base, rng.uniform(0.01, 0.06)) for _ in range(150)]
+    texts += [edited(rng, t, 0.01) for t in rng.sample(texts, 150)]
+    docs = spark.createDataFrame(rows_of(texts), DOCS).repartition(6)
+    marked = written(near_dedup.sketches(docs, 5), "marked")
+    names, buckets = [f"f{i}" for i in range(4)], Counter()
+    for r in near_dedup.segment_variants(marked.select("text_id", *names).distinct(), 9, 7).groupBy("key").count().collect():
+        buckets[r["count"] > 3] += 1
+    assert buckets[True] > buckets[False]
+    found = []
+    for crowd, block in ((3, 20_000), (3, 40), (10**6, 20_000)):
+        monkeypatch.setattr(near_dedup, "CROWD", crowd)
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        found.append({r.node: r.root for r in near_dedup.similar_texts(docs, marked, 0.8, 5, 9, 7).collect()})
+    assert found[0] == found[1] == found[2]
+    of = [r.text_id for r in sorted(marked.collect(), key=lambda r: r.doc_id)]
+    _, links = brute_similar(texts)
+    joined = sum(found[0].get(of[i], of[i]) == found[0].get(of[j], of[j]) for i, j in links)
+    assert len(links) > 150 and joined >= 0.9 * len(links)
+
+
+@pytest.mark.parametrize("block", [10_000, 7])
+def test_crossing_pairs(spark, block):
+    rng = random.Random(6)
+    rows = [(rng.randrange(4), rng.randrange(2**12), 100 + i, rng.choice([1, 1, 1, 2, 3, 100 + i])) for i in range(200)]
+    rows += [(9, 5, 1000 + i, 7) for i in range(50)]
+    got = [(r.a, r.b) for r in near_dedup.crossing(spark.createDataFrame(rows, "key long, check long, text_id long, root long"), 3, block).collect()]
+    want = {(x[2], y[2]) for x in rows for y in rows if x[2] < y[2] and x[0] == y[0] and x[3] != y[3] and (x[1] ^ y[1]).bit_count() <= 3}
+    assert set(got) == want and len(got) == len(want) and len(want) > 100
+
+
+def test_sizes_of_the_index():
+    for n in (0, 1, 100, 10**6, 10**9, 10**11):
+        segments, bits = near_dedup.sizes(n)
+        assert n / 2 ** (bits - 1) <= near_dedup.CROWD / 2  # unrelated texts in a bucket, on average
+        passes = 0.8485**bits + bits * 0.1515 * 0.8485 ** (bits - 1)
+        assert 1 - (1 - passes) ** segments >= 0.949
+
+
 def test_near_dedup_on_awkward_tables(spark, odd, none):
     wide = odd.withColumns({c: F.lit(1) for c in ("row", "k1", "k2", "text_id", "f0", "a", "b", "bits", "best", "__id", "__hash", "__text")})
     kept = near_dedup.near_dedup(wide)
@@ -449,8 +493,6 @@ def test_poisson_draws_at_large_rates(spark):
 
 def test_one_stray_row_is_mixed_and_its_sql_agrees(spark, tmp_path):
     """A source of one row among 60,000 is drawn at its rate; a stray row doesn't stop the query."""
-    import duckdb
-
     from cartolith.llm import queries
 
     rows = [(i, "some words of a text", "en", "all", 0) for i in range(60_000)] + [(60_000, "stray", None, None, None)] * 2
@@ -490,7 +532,7 @@ def brute_top(rows, queries, k):
     return sorted(out)
 
 
-def test_top_k_against_all_pairs(spark, monkeypatch):
+def test_top_k_against_all_pairs(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(9)
     dense = rng.normal(0, 0.3, (900, 16))
     dense[rng.random((900, 16)) < 0.8] = 0
@@ -500,24 +542,33 @@ def test_top_k_against_all_pairs(spark, monkeypatch):
     queries = {i for i, _ in rows if i is not None and i % 50 == 0}
     monkeypatch.setattr(topk, "SHARE", 100)
     for block in (32_768, 16, 2):
-        got = topk.top_k(df, df.filter("vec_id % 50 = 0"), 5, query_block=block).collect()
+        got = topk.top_k(df, "vec_id % 50 = 0", 5, query_block=block).collect()
         assert sorted(map(tuple, got)) == brute_top(rows, queries, 5)
     monkeypatch.setattr(topk, "TASK_ROWS", 7)
     monkeypatch.setattr(topk, "TASK_QUERIES", 3)
-    got = topk.top_k(df.repartition(2), df.filter("vec_id % 50 = 0"), 5).collect()
+    got = topk.top_k(df.repartition(2), F.col("vec_id") % 50 == 0, 5).collect()
     assert sorted(map(tuple, got)) == brute_top(rows, queries, 5)
-    # one id with two vectors: two queries; a repeated row: one query, two candidates
-    twins = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [4.0, 0.0]), (2, [0.0, 4.0]), (3, [1.0, 1.0]), (3, [1.0, 1.0])]
+    # rows of one id, equal or not, are queries of their own and candidates of each other
+    twins = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [4.0, 0.0]), (2, [0.0, 4.0]), (3, [1.0, 1.0]), (3, [1.0, 1.0])]
     both = spark.createDataFrame(twins, "vec_id long, embedding array<double>")
-    got = sorted(map(tuple, topk.top_k(both, both.filter("vec_id = 50").unionByName(both.filter("vec_id = 50")), 4).collect()))
-    assert got == sorted((50, r + 1, i, s * 65536) for x in ((1, 2), (2, 1)) for r, (i, s) in enumerate([(x[0], 4), (3, 1), (3, 1), (x[1], 0)]))
+    want = []
+    for q, (i, v) in enumerate(twins):
+        if i == 50:
+            ranked = sorted((-sum(round(a * b * 65536) for a, b in zip(v, w, strict=True)), j) for c, (j, w) in enumerate(twins) if c != q)
+            want += [(50, r + 1, j, -s) for r, (s, j) in enumerate(ranked[:4])]
+    assert sorted(map(tuple, topk.top_k(both, "vec_id = 50", 4).collect())) == sorted(want) and len(want) == 12
+    both.write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = registered.op6_exact_topk(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(registered.OP6_SQL).fetchall()) and len(got) == 15
     # exact past a double's digits, and the nearest long past a long
     far = [(0, [2.0**40, 3.0]), (1, [2.0**7, 1.0]), (2, [2.0**7, 2.0]), (3, [1e300, 0.0]), (4, [-1e300, 0.0])]
-    got = topk.top_k(df := spark.createDataFrame(far, "vec_id long, embedding array<double>"), df.filter("vec_id = 0"), 5).orderBy("rank").collect()
+    got = topk.top_k(spark.createDataFrame(far, "vec_id long, embedding array<double>"), "vec_id = 0", 5).orderBy("rank").collect()
     exact = {i: sum(int(256 * a) * int(256 * b) for a, b in zip(far[0][1], v, strict=True)) for i, v in far}
     assert [(r.vec_id, r.score) for r in got] == sorted(((i, max(-(2**63), min(2**63 - 1, s))) for i, s in exact.items() if i), key=lambda x: (-x[1], x[0]))
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")
-    assert topk.top_k(few, few, 5).count() == 6 and topk.top_k(few.limit(0), few, 5).count() == 0 and topk.top_k(few, few.limit(0), 5).count() == 0
+    assert topk.top_k(few).count() == 6 and topk.top_k(few.limit(0)).count() == 0 and topk.top_k(few, "false").count() == 0
 
 
 # quality
@@ -642,6 +693,25 @@ def test_language_learns(spark, odd, none):
     assert language.identify(none, language.fit(none)).count() == 0 and language.identify(odd, language.fit(none)).first().lang_pred == "und"
 
 
+@pytest.mark.parametrize("sample,together,languages,want", [(1000, 10**6, 500, 1000), (1001, 10**6, 500, 1001), (50, 10**6, 500, 50), (1001, 3000, 500, 750), (1001, 10**6, 2, 1001)])
+def test_language_sample(spark, monkeypatch, sample, together, languages, want):
+    """Exactly so many rows of each language, whatever the bound is; small ones are whole."""
+    rows = [(i, f"text {i}", lang, None, None) for lang, n in (("a", 4000), ("b", 2500), ("c", 1500), ("d", 20)) for i in range(n)]
+    rows += [(7, "text 7", "a", None, None)] * 2000  # copies of a row count once
+    seen = []
+    monkeypatch.setattr(language, "train", lambda counts, langs: seen.append(Counter(langs)))
+    language.fit(spark.createDataFrame(rows, DOCS).repartition(5), sample, together, languages)
+    assert seen == [{x: min(n, want) for x, n in list({"a": 4000, "b": 2500, "c": 1500, "d": 20}.items())[:languages]}]
+
+
+def test_three_hundred_languages(spark, monkeypatch):
+    rows = [(i, f"w{i % 300} x{i}", f"l{i % 300}", None, None) for i in range(3000)]
+    seen = []
+    monkeypatch.setattr(language, "train", lambda counts, langs: seen.append(Counter(langs)))
+    language.fit(spark.createDataFrame(rows, DOCS), together=900)
+    assert seen == [{f"l{i}": 3 for i in range(300)}]
+
+
 def test_maximal_segments_against_a_recursion():
     rng = np.random.default_rng(13)
 
