@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.operators.shared import kept
+from cartolith.operators.shared import dropped, kept
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -28,7 +28,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
                 turned = met.filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
             else:
                 turned = met.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(met.select("a", F.col("least").alias("b")))
-            now = kept(turned.filter("a <> b").distinct(), "edges")
+            last, now = now, kept(turned.filter("a <> b").distinct(), "edges")
+            dropped(last)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     own = now.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))

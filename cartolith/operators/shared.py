@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -22,28 +23,55 @@ def folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session has ended; the folder's own retention rule clears it
+        return
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet and read again: lineage ends there, and lost executors don't matter."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df, written as Parquet and read again: lineage ends there, and lost executors don't matter.
+
+    The table goes when the driver's process ends, or before with dropped()."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    atexit.register(_delete, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of kept() that nothing will read again."""
+    for df in tables:
+        _delete(df.sparkSession, df._kept_at)
+
+
+def width(spark: SparkSession) -> int:
+    """Partitions for an explicit repartition()."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-#: Rows up to which a table is broadcast to meet every row of another.
-BROADCAST_ROWS = 20_000
+#: Bytes, as text, up to which a table is broadcast to meet every row of another.
+BROADCAST_BYTES = 32 << 20
 
 
 def with_each(many: DataFrame, few: DataFrame) -> DataFrame:
     """Each row of many with each row of few.
 
-    few is written and counted. Up to BROADCAST_ROWS it is broadcast; beyond that both are dealt out as a grid
-    of blocks that meet by equality, so that no task holds all of few."""
+    few is written and its rows' bytes are added up. Up to BROADCAST_BYTES it is broadcast; beyond that both are
+    dealt out as a grid of blocks that meet by equality, so that no task holds all of few."""
     few = kept(few, "few")
-    n = few.count()
-    if n <= BROADCAST_ROWS:
+    # 16 bytes a column stand for what numbers, offsets and the row itself take
+    size = few.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 16 * len(few.columns))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         return many.join(F.broadcast(few))
-    blocks = -(-2 * n // BROADCAST_ROWS)
-    shares = max(1, int(many.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // blocks)
+    blocks = -(-2 * size // BROADCAST_BYTES)
+    shares = max(1, width(many.sparkSession) // blocks)
     left = many.withColumns({"__share": F.pmod(F.xxhash64(*many.columns), F.lit(shares)), "__block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))})
     right = few.withColumns({"__share": F.explode(F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<long>")), "__block": F.pmod(F.xxhash64(*few.columns), F.lit(blocks))})
     return left.join(right, ["__share", "__block"]).drop("__share", "__block")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cartolith.functions import geometry as G
 from cartolith.functions import text as X
 from cartolith.operators.components import connected_components
-from cartolith.operators.shared import kept
+from cartolith.operators.shared import dropped, kept
 
 P = ("x", "y", "z")
 
@@ -221,6 +221,7 @@ def distances(cells: DataFrame, starts: DataFrame, tile: int = 64) -> DataFrame:
         new = kept(dealt.groupBy("tu", "tv").applyInPandas(spread, f"iu {kinds['iu']}, iv {kinds['iv']}, steps int, changed boolean"), "steps")
         if new.filter("changed").isEmpty():
             return new.filter("steps IS NOT NULL").select("iu", "iv", "steps")
+        dropped(state)
         state = new
 
 
