@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from cartolith.plans import events, ledger, navigation, objects, placing, points, scenes, vectors
+from cartolith.plans import events, ledger, navigation, objects, placing, points, scenes, streams, vectors
 
 DIR = "/root/testdata/sf0.001"
-PLANS = (events, points, navigation, objects, vectors, ledger, placing, scenes)
+PLANS = (events, points, navigation, streams, objects, vectors, ledger, placing, scenes)
 NAMES = [(p, n) for p in PLANS for n in p.QUERIES]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
