@@ -17,9 +17,9 @@ of texts, so that a bucket holds few unrelated ones, and the number of segments
 wanted recall. Candidates are verified in three steps: by 64 bits outside all segments in the bucket, by all
 bits, and by the shingles themselves.
 
-A bucket of up to CROWD members offers all its near pairs. One of more, that is of a large group of near
-copies, first offers pairs with the middles of neighbourhoods, which joins most of it; then all its pairs
-between texts that aren't in one component yet. So no link between components is lost.
+Large groups of near copies would give all their pairs in every bucket. So most of such a group is joined first,
+by texts that share a whole segment and the middles of their neighbourhoods; the buckets of the variants then
+offer all their near pairs between texts that aren't in one component yet. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -41,8 +41,8 @@ from cartolith.llm.common import as_row, byte_rows, dropped, of_row, row_keys, w
 BLOCK = 20_000
 #: near_dedup(): chance that one of the segments of two texts of just the wanted similarity passes, and a segment's least bits.
 RECALL, LEAST_BITS = 0.95, 16
-#: Members up to which a bucket offers all near pairs at once. Buckets hold up to half as many unrelated texts on average.
-CROWD = 64
+#: Members up to which all pairs of a bucket are compared at once; buckets hold up to half as many unrelated texts on average. Near pairs a member that make a bucket dense.
+CROWD, DENSE = 64, 2
 #: Nearest partners of a text that are verified first; others only if they would still join two components.
 FIRST = 3
 
@@ -283,26 +283,49 @@ def sketches(docs: DataFrame, shingle: int, longs: int = 4) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, text_id long, " + ", ".join(f"{f} long" for f in names))
 
 
+def _segments(batch: pa.RecordBatch, names: list[str], segments: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints (row, long) of a batch and their segments' bits (row, segment, bit)."""
+    fp = np.ascontiguousarray(np.stack([batch.column(f).to_numpy() for f in names], axis=1))
+    return fp, np.unpackbits(fp.view(np.uint8), axis=1)[:, : segments * bits].reshape(-1, segments, bits)
+
+
+def segment_keys(texts: DataFrame, segments: int, bits: int) -> DataFrame:
+    """key, check (the last 64 bits of the fingerprint, in no segment), text_id: each text's whole segments."""
+    names = _longs(texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp, flat = _segments(b, names, segments, bits)
+            key = np.arange(segments) << bits | flat.astype(np.int64) @ (1 << np.arange(bits))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(fp[:, -1], segments)), pa.array(np.repeat(b.column("text_id").to_numpy(), segments))], ["key", "check", "text_id"])
+
+    return texts.select("text_id", *names).mapInArrow(run, "key long, check long, text_id long")
+
+
 def segment_variants(texts: DataFrame, segments: int, bits: int) -> DataFrame:
-    """key, check (the last 64 bits of the fingerprint, in no segment), text_id: the one-wildcard variants of each text's segments."""
+    """key, side, check (as in segment_keys()), text_id, root: the one-wildcard variants of each text's segments; texts has root, too.
+
+    side is the bit that is left out, 2 for a segment's first bit. Texts of one segment share all of its variants, texts that differ in one bit
+    a single one: pairs of one side need not be looked at in any but the first."""
     names = _longs(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wild = np.arange(bits)
+        wild, each = np.arange(bits), segments * bits
         for b in batches:
             for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
-                fp = np.stack([part.column(f).to_numpy() for f in names], axis=1)
-                flat = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1)[:, : segments * bits].reshape(-1, segments, bits)
+                fp, flat = _segments(part, names, segments, bits)
                 value = flat.astype(np.int64) @ (1 << wild)
                 key = (np.arange(segments)[:, None] * bits + wild) << bits | value[:, :, None] & ~(1 << wild)
-                each = segments * bits
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(fp[:, -1], each)), pa.array(np.repeat(part.column("text_id").to_numpy(), each))], ["key", "check", "text_id"])
+                side = flat.copy()
+                side[:, :, 0] = 2
+                rest = [np.repeat(x, each) for x in (fp[:, -1], part.column("text_id").to_numpy(), part.column("root").to_numpy())]
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(side.ravel().view(np.int8)), *map(pa.array, rest)], ["key", "side", "check", "text_id", "root"])
 
-    return texts.select("text_id", *names).mapInArrow(run, "key long, check long, text_id long")
+    return texts.select("text_id", "root", *names).mapInArrow(run, "key long, side byte, check long, text_id long, root long")
 
 
 def _stars(check: np.ndarray, near: int) -> tuple[list[np.ndarray], list[np.ndarray], list[int]]:
-    """Positions of pairs of a crowded bucket: middles of neighbourhoods with all that is near them; and the middles."""
+    """Positions of pairs: middles of neighbourhoods with all that is near them; and the middles."""
     left, right, middles, rest = [], [], [], np.arange(len(check))
     while len(rest):
         bits = np.unpackbits(check[rest].view(np.uint8).reshape(-1, 8), axis=1)
@@ -313,126 +336,141 @@ def _stars(check: np.ndarray, near: int) -> tuple[list[np.ndarray], list[np.ndar
         reached = rest[close & (rest != middle)]
         middles.append(int(middle))
         rest = rest[~close]
-        if not len(reached) and len(middles) >= CROWD:  # no neighbourhoods left: the rest is told apart later
+        if not len(reached) and len(middles) >= CROWD:  # no neighbourhoods left
             break
         left.append(np.full(len(reached), middle))
         right.append(reached)
     return left, right, middles
 
 
-def candidates(index: DataFrame, near: int) -> DataFrame:
-    """(a, b, key): text_ids a < b that meet under a key of index and differ in at most near bits of check, key null; and the members of buckets of more than CROWD: text_id, check, key.
+def _near_pairs(key: np.ndarray, check: np.ndarray, near: int, usable) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the near pairs of buckets of up to CROWD rows, in order of key, of which usable(x, y) holds."""
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(new, len(key)))
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    same = np.flatnonzero(np.repeat(size <= CROWD, size))
+    for d in range(1, CROWD):
+        same = same[same + d < len(key)]
+        same = same[key[same + d] == key[same]]
+        if not len(same):
+            break
+        close = same[(np.bitwise_count(check[same] ^ check[same + d]) <= near) & usable(same, same + d)]
+        left.append(close)
+        right.append(close + d)
+    return np.concatenate(left), np.concatenate(right)
 
-    A bucket of up to CROWD members gives all its near pairs, a larger one pairs with the middles of its
-    neighbourhoods; one past BLOCK members is taken in blocks, each with the middles of those before."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a: np.ndarray, b: np.ndarray, key: pa.Array | None = None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()) if key is None else key], ["a", "b", "key"])
+def _pairs(text: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+    """Distinct (a, b), a < b, of positions."""
+    pairs = text[np.stack([np.concatenate([np.empty(0, np.int64), *x]) for x in (left, right)])]
+    pairs = np.unique(np.sort(pairs, axis=0), axis=1)
+    pairs = pairs[:, pairs[0] != pairs[1]]
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
+
+def stars(index: DataFrame, near: int) -> DataFrame:
+    """(a, b): text_ids a < b of segment_keys() that share a key and differ in at most near bits of check, enough to join most of a group of near copies.
+
+    A bucket of up to CROWD members whose near pairs are no more than DENSE times its members gives all of them.
+    Another one gives pairs with the middles of its neighbourhoods; one past BLOCK members is taken in blocks,
+    each with the middles of those before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(key: np.ndarray, check: np.ndarray, text: np.ndarray) -> tuple[pa.RecordBatch, list[int]]:
-            """Candidates of whole buckets, and the middles of the last one."""
+            """Pairs of whole buckets, and the middles of the last one if it is large."""
+            check = check.view(np.uint64)
             new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(new, len(key)))
-            left, right, middles = [], [], []
-            same = np.flatnonzero(np.repeat(size <= CROWD, size))
-            for d in range(1, CROWD):
-                same = same[same + d < len(key)]
-                same = same[key[same + d] == key[same]]
-                if not len(same):
-                    break
-                close = same[np.bitwise_count(check[same] ^ check[same + d]) <= near]
-                left.append(close)
-                right.append(close + d)
-            for s, n in zip(new[size > CROWD].tolist(), size[size > CROWD].tolist(), strict=True):
-                x, y, middles = _stars(check[s : s + n], near)
-                left += [v + s for v in x]
-                right += [v + s for v in y]
-                middles = [m + s for m in middles]
-            pairs = text[np.stack([np.concatenate([np.empty(0, np.int64), *left]), np.concatenate([np.empty(0, np.int64), *right])])]
-            pairs = np.unique(np.sort(pairs, axis=0), axis=1)
-            pairs = pairs[:, pairs[0] != pairs[1]]
-            return out(pairs[0], pairs[1]), middles
-
-        def crowded(key: np.ndarray, check: np.ndarray, text: np.ndarray, least: int) -> pa.RecordBatch:
-            """Members of buckets of more than least of these rows."""
-            new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            size = np.diff(np.append(new, len(key)))
-            many = np.repeat(size > least, size)
-            return out(text[many], check[many], pa.array(key[many]))
-
-        held, fresh, over = [np.empty(0, np.int64)] * 3, 0, False  # the bucket at the end: its rows or middles, the first row not emitted yet, and whether it passed BLOCK
+            of = np.repeat(np.arange(len(new)), size)
+            x, y = _near_pairs(key, check, near, lambda x, y: True)
+            dense = (np.bincount(of[x], minlength=len(new)) > DENSE * size)[of[x]]
+            left, right, middles = [x[~dense]], [y[~dense]], []
+            inside = np.unique(np.concatenate([x[dense], y[dense]]))
+            parts = np.split(inside, np.flatnonzero(np.diff(of[inside])) + 1) if len(inside) else []
+            for part in [*parts, *(np.arange(s, s + n) for s, n in zip(new[size > CROWD].tolist(), size[size > CROWD].tolist(), strict=True))]:
+                a, b, found = _stars(check[part], near)
+                left += [part[v] for v in a]
+                right += [part[v] for v in b]
+                middles = part[found].tolist()
+            return _pairs(text, left, right), middles
+
+        held = [np.empty(0, np.int64)] * 3
         for b in batches:
-            key, check, text = (np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, ("key", "check", "text_id"), strict=True))
-            if not len(key):
+            rows = [np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, ("key", "check", "text_id"), strict=True)]
+            if not len(rows[0]):
                 continue
-            if over and key[0] != key[-1]:  # the large bucket ends in this batch
-                end = int(np.searchsorted(key, key[0], "right"))
-                yield emit(key[:end], check[:end].view(np.uint64), text[:end])[0]
-                yield crowded(key[fresh:end], check[fresh:end], text[fresh:end], 0)
-                key, check, text, fresh, over = key[end:], check[end:], text[end:], 0, False
-            cut = int(np.searchsorted(key, key[-1]))
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
             if cut:
-                yield emit(key[:cut], check[:cut].view(np.uint64), text[:cut])[0]
-                yield crowded(key[:cut], check[:cut], text[:cut], CROWD)
-            held = [key[cut:], check[cut:], text[cut:]]
-            if len(held[0]) > BLOCK:
-                pairs, middles = emit(held[0], held[1].view(np.uint64), held[2])
-                yield pairs
-                yield crowded(*(h[fresh:] for h in held), 0)
-                held, fresh, over = [h[middles] for h in held], len(middles), True
+                yield emit(*(r[:cut] for r in rows))[0]
+            held = [r[cut:] for r in rows]
+            if len(held[0]) > max(BLOCK, CROWD):
+                found, middles = emit(*held)
+                yield found
+                held = [h[middles] for h in held]
         if len(held[0]):
-            yield emit(held[0], held[1].view(np.uint64), held[2])[0]
-            yield crowded(*(h[fresh:] for h in held), 0 if over else CROWD)
+            yield emit(*held)[0]
 
-    parts = width(index.sparkSession)
-    return index.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key long").distinct()
+    return index.repartition(width(index.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
-def crossing(members: DataFrame, near: int, block: int = BLOCK) -> DataFrame:
-    """(a, b): text_ids a < b of members (key, check, text_id, root) that share a key, differ in at most near bits and have different roots.
+def crowded_variants(index: DataFrame, bits: int, block: int) -> DataFrame:
+    """key, blocks: variants whose buckets may pass block members, from counts of the whole segments of segment_keys()."""
+    full = index.groupBy("key").count().filter(F.col("count") > block // 2).select(F.col("key").alias("whole"), "count")
+    wild = F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("wild")
+    segment, value = F.shiftright("whole", bits), F.col("whole").bitwiseAND(F.lit((1 << bits) - 1))
+    key = F.shiftleft(segment * bits + F.col("wild"), bits).bitwiseOR(value.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, wild)"))))
+    # a bucket joins two segments, of which only the larger is sure to be counted here: twice the larger bounds it
+    return full.select("whole", "count", wild).select(key.alias("key"), "count").groupBy("key").agg(F.ceil(2 * F.max("count") / block).cast("int").alias("blocks"))
 
-    A bucket of one root has none. Larger buckets than block are dealt out as pairs of blocks."""
-    kinds = written(members.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).filter("least <> most"), "mixed-buckets")
-    n = F.ceil(F.col("n") / block).cast("int").alias("blocks")
-    index = members.join(kinds.select("key", n), "key")
-    own = F.pmod(F.xxhash64("text_id"), F.col("blocks").cast("long")).cast("int")
-    index = index.select("key", "check", "text_id", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cell = F.least("own", "other").cast("long") * F.lit(1 << 31) + F.greatest("own", "other")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(rows: list[np.ndarray]) -> pa.RecordBatch:
-            """Pairs of one bucket: members of each root with those of roots of more members."""
-            check, text, root = (np.concatenate(x) for x in zip(*rows, strict=True))
-            _, group, size = np.unique(root, return_inverse=True, return_counts=True)
-            order = np.lexsort((group, size[group]))
-            check, text, group = check[order].view(np.uint64), text[order], group[order]
-            ends = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
-            left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for i, end in enumerate(ends[:-1].tolist()):
-                for x in range(int(ends[i - 1]) if i else 0, end):
-                    y = end + np.flatnonzero(np.bitwise_count(check[end:] ^ check[x]) <= near)
-                    left.append(np.full(len(y), text[x]))
-                    right.append(text[y])
-            pairs = np.unique(np.sort(np.stack([np.concatenate(left), np.concatenate(right)]), axis=0), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+def candidates(index: DataFrame, near: int, crowded: DataFrame) -> DataFrame:
+    """(a, b): all text_ids a < b that meet under a key of segment_variants() and differ in at most near bits of check, but those of one root.
 
-        now, held = None, []
+    crowded is a table of crowded_variants(): their buckets are dealt out as pairs of blocks."""
+    if crowded.isEmpty():
+        index = index.withColumn("cell", F.lit(0).cast("long"))
+    else:
+        index = index.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        own = F.pmod(F.xxhash64("text_id"), F.col("blocks").cast("long"))
+        index = index.select("key", "side", "check", "text_id", "root", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("other"))
+        index = index.withColumn("cell", F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(key: np.ndarray, cell: np.ndarray, side: np.ndarray, check: np.ndarray, text: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+            """Pairs of whole buckets."""
+            check = check.view(np.uint64)
+            new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])))
+            size = np.diff(np.append(new, len(key)))
+            x, y = _near_pairs(np.repeat(np.arange(len(new)), size), check, near, lambda x, y: (root[x] != root[y]) & ((side[x] != side[y]) | (side[x] == 2)))
+            left, right = [x], [y]
+            for s, n in zip(new[size > CROWD].tolist(), size[size > CROWD].tolist(), strict=True):
+                # members of each root with those of roots of more members
+                _, group, count = np.unique(root[s : s + n], return_inverse=True, return_counts=True)
+                order = s + np.lexsort((group, count[group]))
+                ends = np.cumsum(np.sort(count))
+                for i, end in enumerate(ends[:-1].tolist()):
+                    later = order[end:]
+                    for m in order[int(ends[i - 1]) if i else 0 : end].tolist():
+                        found = later[np.bitwise_count(check[later] ^ check[m]) <= near]
+                        left.append(np.full(len(found), m))
+                        right.append(found)
+            return _pairs(text, left, right)
+
+        held: list[np.ndarray] | None = None
         for b in batches:
-            key, cell, *cols = (b.column(i).to_numpy() for i in range(5))
-            turns = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
-            for s, e in zip([0, *turns.tolist()], [*turns.tolist(), b.num_rows], strict=True):
-                if s == e:
-                    continue
-                if (key[s], cell[s]) != now:
-                    if held:
-                        yield emit(held)
-                    now, held = (key[s], cell[s]), []
-                held.append([c[s:e] for c in cols])
-        if held:
-            yield emit(held)
-
-    dealt = index.select("key", cell.alias("cell"), "check", "text_id", "root").repartition(width(members.sparkSession), "key", "cell").sortWithinPartitions("key", "cell")
+            rows = [b.column(c).to_numpy() for c in ("key", "cell", "side", "check", "text_id", "root")]
+            rows = rows if held is None else [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
+            if not len(rows[0]):
+                continue
+            last = (rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1])
+            cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+            if cut:
+                yield emit(*(r[:cut] for r in rows))
+            held = [r[cut:] for r in rows]
+        if held is not None and len(held[0]):
+            yield emit(*held)
+
+    dealt = index.select("key", "cell", "side", "check", "text_id", "root").repartition(width(index.sparkSession), "key", "cell").sortWithinPartitions("key", "cell")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -476,9 +514,8 @@ def similar_texts(docs: DataFrame, marked: DataFrame, similarity: float, shingle
     if segments * bits > 64 * (len(names) - 1):
         raise ValueError("the segments need longer fingerprints")
     texts = written(marked.select("text_id", *names).distinct(), "distinct-texts")
-    parts = width(docs.sparkSession)
+    spread = texts.repartition(width(docs.sparkSession), "text_id")
     near = near_bits(64, similarity)
-    met = written(candidates(segment_variants(texts.repartition(parts, "text_id"), segments, bits), near), "candidates")
 
     def close(pairs: DataFrame) -> DataFrame:
         """The pairs that are near by all bits, and how many differ."""
@@ -486,33 +523,33 @@ def similar_texts(docs: DataFrame, marked: DataFrame, similarity: float, shingle
         differ = reduce(lambda x, y: x + y, [F.bit_count(F.col("a" + f).bitwiseXOR(F.col("b" + f))) for f in names])
         return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", differ.cast("int").alias("bits")).filter(F.col("bits") <= near_bits(64 * len(names), similarity))
 
-    def apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
-        """The pairs whose ends aren't in one component."""
+    def linked_by(pairs: DataFrame, found: list[DataFrame]) -> DataFrame:
+        """Components of the links in found and of those pairs that are links, too, which are added to found.
+
+        The nearest partners of each text are verified first, others only where their ends aren't in one component already."""
+        both = pairs.select("a", "b", "bits").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))
+        sets = written(shingle_sets(docs, both.select(F.col("a").alias("text_id")).distinct(), shingle), "shingle-sets")
+        place = F.row_number().over(W.partitionBy("a").orderBy("bits", "b"))
+        first = both.withColumn("place", place).filter(F.col("place") <= FIRST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found.append(written(verified(first, sets, similarity), "links"))
+        linked = written(components(reduce(DataFrame.unionByName, found)), "components")
         root = [linked.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for s in ("a", "b")]
-        both = pairs.select("a", "b").join(root[0], "a", "left").join(root[1], "b", "left")
-        return both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-    pairs = written(close(met.filter("key IS NULL").select("a", "b")), "near-candidates")
-    both = pairs.select("a", "b", "bits").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))
-    sets = written(shingle_sets(docs, both.select(F.col("a").alias("text_id")).distinct(), shingle), "shingle-sets")
-    place = F.row_number().over(W.partitionBy("a").orderBy("bits", "b"))
-    first = both.withColumn("place", place).filter(F.col("place") <= FIRST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = written(verified(first, sets, similarity), "links")
-    linked = written(components(found), "components")
-    # what was left aside is verified as well, but where its ends are in one component already
-    more = written(verified(apart(pairs.join(first, ["a", "b"], "left_anti"), linked), sets, similarity), "more-links")
-    if not more.isEmpty():
-        found = found.unionByName(more)
-        linked = written(components(found), "components")
-    members = met.filter("key IS NOT NULL").select(F.col("a").alias("text_id"), F.col("b").alias("check"), "key")
-    members = members.join(linked, members["text_id"] == linked["node"], "left").select("key", "check", "text_id", F.coalesce("root", "text_id").alias("root"))
-    # pairs that met before were verified
-    rest = written(close(crossing(members, near)).join(pairs, ["a", "b"], "left_anti"), "crossing-candidates")
-    if rest.isEmpty():
-        return linked
-    ends = rest.select(F.col("a").alias("text_id")).union(rest.select("b")).distinct()
-    last = written(verified(rest, written(shingle_sets(docs, ends, shingle), "shingle-sets"), similarity), "crossing-links")
-    return linked if last.isEmpty() else written(components(found.unionByName(last)), "components")
+        rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(root[0], "a", "left").join(root[1], "b", "left")
+        rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        more = written(verified(rest, sets, similarity), "more-links")
+        dropped(sets)
+        if more.isEmpty():
+            return linked
+        found.append(more)
+        return written(components(reduce(DataFrame.unionByName, found)), "components")
+
+    found: list[DataFrame] = []
+    whole = segment_keys(spread, segments, bits)
+    linked = linked_by(written(close(stars(whole, near)), "star-candidates"), found)
+    rooted = texts.join(linked, texts["text_id"] == linked["node"], "left").select(*texts.columns, F.coalesce("root", "text_id").alias("root"))
+    index = segment_variants(written(rooted, "rooted-texts").repartition(width(docs.sparkSession), "text_id"), segments, bits)
+    met = candidates(index, near, written(crowded_variants(whole, bits, BLOCK), "crowded-variants"))
+    return linked_by(written(close(met), "candidates"), found)
 
 
 def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = RECALL) -> DataFrame:

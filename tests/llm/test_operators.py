@@ -181,17 +181,16 @@ def test_near_copies_are_found_by_similarity(spark, monkeypatch, hot):
 
 
 def test_crowded_buckets_lose_no_link(spark, monkeypatch):
-    """Most buckets pass CROWD, by unrelated texts and by a family of half-similar ones: the components are those of buckets that offer all their pairs."""
+    """Most rows are in buckets past CROWD, by unrelated texts and by a family of half-similar ones: the components are those of buckets that offer all their pairs."""
     rng = random.Random(31)
     base = text_of(rng, 150)
     texts = [text_of(rng, rng.randrange(60, 160)) for _ in range(250)] + [edited(rng, base, rng.uniform(0.01, 0.06)) for _ in range(150)]
     texts += [edited(rng, t, 0.01) for t in rng.sample(texts, 150)]
     docs = spark.createDataFrame(rows_of(texts), DOCS).repartition(6)
     marked = written(near_dedup.sketches(docs, 5), "marked")
-    names, buckets = [f"f{i}" for i in range(4)], Counter()
-    for r in near_dedup.segment_variants(marked.select("text_id", *names).distinct(), 9, 7).groupBy("key").count().collect():
-        buckets[r["count"] > 3] += 1
-    assert buckets[True] > buckets[False]
+    names = [f"f{i}" for i in range(4)]
+    members = near_dedup.segment_keys(marked.select("text_id", *names).distinct(), 9, 7).groupBy("key").count().collect()
+    assert sum(r["count"] for r in members if r["count"] > 3) > sum(r["count"] for r in members) / 2
     found = []
     for crowd, block in ((3, 20_000), (3, 40), (10**6, 20_000)):
         monkeypatch.setattr(near_dedup, "CROWD", crowd)
@@ -204,16 +203,29 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch):
     assert len(links) > 150 and joined >= 0.9 * len(links)
 
 
-@pytest.mark.parametrize("block", [10_000, 7])
-def test_crossing_pairs(spark, block):
+@pytest.mark.parametrize("crowd,blocks", [(64, 1), (4, 1), (4, 3)])
+def test_pairs_of_different_roots(spark, monkeypatch, crowd, blocks):
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
     rng = random.Random(6)
-    rows = [(rng.randrange(4), rng.randrange(2**12), 100 + i, rng.choice([1, 1, 1, 2, 3, 100 + i])) for i in range(200)]
-    rows += [(9, 5, 1000 + i, 7) for i in range(50)]
-    got = [(r.a, r.b) for r in near_dedup.crossing(spark.createDataFrame(rows, "key long, check long, text_id long, root long"), 3, block).collect()]
-    want = {(x[2], y[2]) for x in rows for y in rows if x[2] < y[2] and x[0] == y[0] and x[3] != y[3] and (x[1] ^ y[1]).bit_count() <= 3}
+    rows = [(rng.randrange(4), 2, rng.randrange(2**12), 100 + i, rng.choice([1, 1, 1, 2, 3, 100 + i])) for i in range(200)]
+    rows += [(9, 2, 5, 1000 + i, 7) for i in range(50)] + [(10, i % 2, 5, 2000 + i, 2000 + i) for i in range(3)]
+    crowded = spark.createDataFrame([(k, blocks) for k in (0, 1, 9)] if blocks > 1 else [], "key long, blocks int")
+    df = spark.createDataFrame(rows, "key long, side byte, check long, text_id long, root long")
+    got = [(r.a, r.b) for r in near_dedup.candidates(df, 3, crowded).collect()]
+    want = {(x[3], y[3]) for x in rows for y in rows if x[3] < y[3] and x[0] == y[0] and x[4] != y[4] and (x[2] ^ y[2]).bit_count() <= 3 and (x[1] != y[1] or x[1] == 2)}
     assert set(got) == want and len(got) == len(want) and len(want) > 100
 
 
+def test_crowded_variants(spark):
+    """Every variant of more members than a block is listed with blocks enough."""
+    rng = random.Random(7)
+    values = [rng.choice([5, 5, 5, 4, 7, rng.randrange(16)]) for _ in range(300)]
+    index = spark.createDataFrame([(3 << 4 | v, 0, i) for i, v in enumerate(values)], "key long, check long, text_id long")
+    got = {r.key: r.blocks for r in near_dedup.crowded_variants(index, 4, 40).collect()}
+    members = Counter((3 * 4 + w) << 4 | v & ~(1 << w) for v in values for w in range(4))
+    assert all(got[k] * 40 >= n for k, n in members.items() if n > 40) and len(got) < len(members)
+
+
 def test_sizes_of_the_index():
     for n in (0, 1, 100, 10**6, 10**9, 10**11):
         segments, bits = near_dedup.sizes(n)
