@@ -20,7 +20,8 @@ def _drained(stream, name):
 
 
 def _events(spark, d):
-    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet")
+    # a pattern, as a stream of a single file by its name is refused
+    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
 
 
 def stream_windows(spark, d):
@@ -32,12 +33,12 @@ def stream_windows(spark, d):
 WINDOWS = """
 WITH e AS (SELECT user_id, event_id, event_type = 'purchase' AS stop FROM events),
 s AS (SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS session FROM e),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id, session ORDER BY event_id) - 1 AS at, count(*) OVER g AS m, bool_or(stop) OVER g AS stopped FROM s WINDOW g AS (PARTITION BY user_id, session)),
-w AS (SELECT user_id, session, m, stopped, unnest(range(0, m)) AS k FROM r WHERE at = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, session ORDER BY event_id) - 1 AS pos, count(*) OVER g AS m, bool_or(stop) OVER g AS stopped FROM s WINDOW g AS (PARTITION BY user_id, session)),
+w AS (SELECT user_id, session, m, stopped, unnest(range(0, m)) AS k FROM r WHERE pos = 0),
 k AS (SELECT user_id, session, k, m < 4 * k + 5 AS partial FROM w WHERE m >= 4 * k + 5 OR (stopped AND m - 4 * k >= 2)),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY session, k) - 1 AS "window" FROM k)
 SELECT n.user_id, n."window", string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS members, n.partial
-FROM n JOIN r ON n.user_id = r.user_id AND n.session = r.session AND r.at BETWEEN 4 * n.k AND 4 * n.k + 4 GROUP BY ALL
+FROM n JOIN r ON n.user_id = r.user_id AND n.session = r.session AND r.pos BETWEEN 4 * n.k AND 4 * n.k + 4 GROUP BY ALL
 """
 
 
