@@ -39,6 +39,12 @@ def wrapped(a: Column) -> Column:
     return F.when(low == -math.pi, F.lit(math.pi)).otherwise(low)
 
 
+def wrapped_number(turn: float) -> float:
+    """As wrapped(), of a number."""
+    out = (turn + math.pi) % (2 * math.pi) - math.pi
+    return math.pi if out == -math.pi else out
+
+
 def in_box(p: tuple[Column, Column, Column], center: list[float], extent: list[float], rotation: list[float] | None = None, margin: float = 0.0) -> Column:
     """Whether a point lies in an oriented box; extents are full lengths, rotation's columns are the axes."""
     d = [c - F.lit(float(o)) for c, o in zip(p, center, strict=True)]

@@ -294,20 +294,4 @@ def up_direction(override: Column, gravity: Column, extents: Column) -> Column:
     )
 
 
-def wrapped_step(turn: Column, most: float) -> Column:
-    """A heading's change in (-pi, pi], cut to most."""
-    return F.least(F.greatest(G.wrapped(turn), F.lit(-most)), F.lit(most))
-
-
-def limited_headings(raw: Column, most: float) -> Column:
-    """An array of headings in which none differs from the one before by more than most radians."""
-    start = F.struct(raw[0].alias("last"), F.slice(raw, 1, 1).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        now = acc["last"] + wrapped_step(x - acc["last"], most)
-        return F.struct(now.alias("last"), F.concat(acc["out"], F.array(now)).alias("out"))
-
-    return F.when(F.size(raw) > 0, F.aggregate(F.slice(raw, F.lit(2), F.greatest(F.size(raw) - 1, F.lit(0))), start, step, lambda acc: acc["out"])).otherwise(raw)
-
-
 TURN = 2 * math.pi

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cartolith.functions import geometry as G
 from cartolith.functions.time import micros
+from cartolith.operators.shared import kept
 
 
 def _both(left: DataFrame, right: DataFrame, key: str, ts: str) -> DataFrame:
@@ -76,34 +77,37 @@ def visible_points(points: DataFrame, cells: tuple[Column, Column], depth: Colum
     return placed.join(front, ["__u", "__v"]).filter(F.col("__z") <= F.col("__front") * slack).drop("__u", "__v", "__z", "__front")
 
 
-def nearest_neighbours(points: DataFrame, id_col: str, position: tuple[str, str, str], k: int, side: float, rounds: int = 8) -> DataFrame:
-    """id, rank (from 1), neighbour, distance: each point's k nearest other points, ties to the smaller id.
+def nearest_neighbours(points: DataFrame, id_col: str, position: tuple[str, str, str], k: int, side: float, crowd: int = 512) -> DataFrame:
+    """id, rank (from 1), neighbour, distance: each point's k nearest other points, ties to the smaller id; all others, if there are fewer.
 
-    Points are met by grid cell and its 26 neighbours. Who has fewer than k within one cell's side, which is what
-    those cells are sure to hold, goes on to a round with cells twice as large, so the result is exact. Points
-    whose k-th neighbour is further off than side * 2**(rounds - 1) get those found, if any, within reach."""
+    Points are met by grid cell and its 26 neighbours. Whose k nearest lie within one cell's side, which is what those
+    cells are sure to hold, is done; the others go on to cells of twice the size until all are done. Cells start at side, or
+    smaller, so that none holds more than crowd places. Of points at one place only the k + 1 first by id can be
+    anyone's neighbours, and only these are met. Points without finite coordinates, or a null id, take no part. ids must be unique."""
     p = points.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(a) for c, a in zip(position, "xyz", strict=True)])
-    todo, out, size = p, None, side
+    p = kept(p.filter("id IS NOT NULL AND abs(x) < double('infinity') AND abs(y) < double('infinity') AND abs(z) < double('infinity')"), "points")
+    k = min(k, p.count() - 1)
+    first = W.partitionBy("x", "y", "z").orderBy("id")
+    others = kept(p.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1).select(F.col("id").alias("neighbour"), *[F.col(c).alias(f"n{c}") for c in "xyz"]), "others")
+    cells = lambda size, names: [F.floor(F.col(c) / size).alias(f"c{i}") for i, c in enumerate(names)]
+    most = lambda size: p.select("x", "y", "z").distinct().groupBy(*cells(size, "xyz")).count().agg(F.max("count")).first()[0] or 0
+    size = side
+    while k > 0 and most(size) > crowd:
+        size /= 2
     step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    for r in range(rounds):
-        cell = [F.floor(F.col(c) / size).cast("long") for c in "xyz"]
-        near = todo.select("id", "x", "y", "z", *[c.alias(f"c{i}") for i, c in enumerate(cell)])
+    todo, out = p, p.select("id", F.lit(0).alias("rank"), F.col("id").alias("neighbour"), F.lit(0.0).alias("distance")).limit(0)
+    while k > 0 and not todo.isEmpty():
+        near = todo.select("id", "x", "y", "z", *cells(size, "xyz"))
         for i in range(3):
             near = near.withColumn(f"d{i}", F.explode(step)).withColumn(f"c{i}", F.col(f"c{i}") + F.col(f"d{i}")).drop(f"d{i}")
-        other = p.select(F.col("id").alias("neighbour"), *[F.col(c).alias(f"n{c}") for c in "xyz"], *[c.alias(f"c{i}") for i, c in enumerate(cell)])
-        pairs = near.join(other, ["c0", "c1", "c2"]).filter("id <> neighbour")
+        pairs = near.join(others.select("*", *cells(size, ("nx", "ny", "nz"))), ["c0", "c1", "c2"]).filter("id <> neighbour")
         d = F.sqrt(F.pow(F.col("x") - F.col("nx"), F.lit(2)) + F.pow(F.col("y") - F.col("ny"), F.lit(2)) + F.pow(F.col("z") - F.col("nz"), F.lit(2)))
         w = W.partitionBy("id").orderBy("distance", "neighbour")
         ranked = pairs.withColumn("distance", d).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("id", "rank", "neighbour", "distance")
+        ranked = kept(ranked, "ranked")
         sure = ranked.groupBy("id").agg(F.count("*").alias("n"), F.max("distance").alias("far")).filter((F.col("n") >= k) & (F.col("far") <= size)).select("id")
-        last = r == rounds - 1
-        done = ranked if last else ranked.join(sure, "id", "left_semi")
-        out = done if out is None else out.unionByName(done)
-        if last:
-            break
-        todo = todo.join(sure, "id", "left_anti").checkpoint()
-        if todo.isEmpty():
-            break
+        out = out.unionByName(ranked.join(sure, "id", "left_semi"))
+        todo = kept(todo.join(sure, "id", "left_anti"), "todo")
         size *= 2
     return out
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cartolith.functions import geometry as G
 from cartolith.functions import text as X
+from cartolith.operators.folds import folded
 from cartolith.operators.shared import with_each
 from cartolith.operators.tables import best_by
 
@@ -91,16 +92,15 @@ def once_each(calls: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def under_ceiling(calls: DataFrame, session: str, order: str, estimate: str, ceiling: float) -> DataFrame:
-    """calls with allowed: whether a session's estimates up to and with this call stay within the ceiling; a refused call still counts against none after it."""
-    start = F.struct(F.lit(0.0).alias("spent"), F.array().cast("array<struct<at:bigint,allowed:boolean>>").alias("out"))
+    """calls with allowed: whether a session's estimates up to and with this call stay within the ceiling; a refused call counts against none after it, and one without an estimate is refused."""
 
-    def step(acc: Column, c: Column) -> Column:
-        fits = acc["spent"] + c["cost"] <= ceiling
-        return F.struct((acc["spent"] + F.when(fits, c["cost"]).otherwise(0.0)).alias("spent"), F.concat(acc["out"], F.array(F.struct(c["at"].alias("at"), fits.alias("allowed")))).alias("out"))
+    def step(spent: float | None, cost: float | None) -> tuple[float, tuple]:
+        spent = spent or 0.0
+        fits = cost is not None and spent + cost <= ceiling
+        return spent + cost if fits else spent, (fits,)
 
-    logs = calls.groupBy(session).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("at"), F.col(estimate).cast("double").alias("cost")))).alias("log"))
-    judged = logs.select(session, F.explode(F.aggregate("log", start, step, lambda acc: acc["out"])).alias("r")).select(session, F.col("r.at").alias(order), "r.allowed")
-    return calls.join(judged, [session, order])
+    cost = calls.withColumn("__cost", F.col(estimate).cast("double"))
+    return folded(cost, session, [order], ["__cost"], step, "allowed boolean").drop("__cost")
 
 
 def curated(layer: DataFrame, exclude: list[str] = (), include: list[str] | None = None, box_only: bool = True, caveats: dict[str, str] | None = None) -> DataFrame:

@@ -142,3 +142,36 @@ def exact_percentiles(rows: DataFrame, values: dict[str, Column], shares: list[f
             low, high = found[i, int(at)], found[i, min(int(at) + 1, ends[f"n{i}"] - 1)]
             out[c].append(low + (at - int(at)) * (high - low))
     return ends["n"], out
+
+
+def even_hash(*by: str) -> Column:
+    """A number in [0, 1) of 52 bits of md5 over the columns' texts."""
+    digest = F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in by]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+
+
+def smallest(rows: DataFrame, by: Column, order: list[str], n: int) -> DataFrame:
+    """The n rows of the smallest finite by, of equal ones those of the smaller even_hash() of order, then those first by order; all rows, if there are no more.
+
+    Histograms narrow the range that the last of them lies in until few rows are left there, so no task gets n rows.
+    rows are read once a round. Rows whose by is null or not finite come last."""
+    held = rows.withColumn("__by", F.coalesce(F.when(F.abs(by.cast("double")) < float("inf"), by.cast("double")), F.lit(1.7e308)))
+    ends = held.agg(F.count("*").alias("n"), F.min("__by").alias("low"), F.max("__by").alias("high")).first()
+    if ends["n"] <= n:
+        return rows
+    (m, low, high), below = ends, 0  # the last row to stay is one of m whose by lies in low to high, and follows below rows of smaller by
+    while m > SORTED and low < high:
+        # halves first: the ends' difference may be too large for a double
+        share = (F.col("__by") / 2 - low / 2) / (high / 2 - low / 2)
+        place = F.least(F.floor(share * BINS), F.lit(BINS - 1))
+        for r in held.filter(F.col("__by").between(low, high)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("__by").alias("low"), F.max("__by").alias("high")).orderBy("bin").collect():
+            if n <= below + r["n"]:
+                m, low, high = r["n"], r["low"], r["high"]
+                break
+            below += r["n"]
+    inside = held.filter(F.col("__by").between(low, high))
+    if m > SORTED and "__tied" not in rows.columns:  # all of one by
+        rest = smallest(inside.drop("__by").withColumn("__tied", F.lit(True)), even_hash(*order), order, n - below).drop("__tied")
+    else:
+        rest = inside.orderBy("__by", even_hash(*order), *order).limit(n - below).drop("__by")
+    return held.filter(F.col("__by") < low).drop("__by").unionByName(rest)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from cartolith.functions import geometry as G
 from cartolith.functions import text as X
 from cartolith.operators.components import connected_components
-from cartolith.operators.shared import dropped, kept
+from cartolith.operators.shared import dropped, even_hash, kept, smallest
 
 P = ("x", "y", "z")
 
@@ -57,10 +58,34 @@ def voxel_side(points: DataFrame, target: int, side: float, origin: tuple[float,
     return side
 
 
-def lod(points: DataFrame, target: int, order: str, side: float, importance: Column | None = None, **how) -> DataFrame:
-    """About target points: one a voxel (which is searched for), and what is over target is cut by a hash of order."""
-    found = kept(first_of_voxel(points, voxel_side(points, int(target * 1.05), side, **how), order, importance, **how), "lod")
-    return found.orderBy(F.xxhash64(order), order).limit(target) if found.count() > target else found
+def lod(points: DataFrame, target: int, order: str, side: float, importance: Column | None = None, mode: str = "auto", **how) -> DataFrame:
+    """target points, or all if there are no more, by one of four modes.
+
+    uniform: those of the smallest hash of order. importance: the most important. voxel_importance: the most
+    important of each voxel, voxels being searched for from side until about target are occupied; what is over target is
+    cut by the hash, never by importance. voxel_first: the first by order of each voxel, cut likewise. auto:
+    voxel_importance where importance varies, else voxel_first. The voxel modes may leave somewhat fewer points than target."""
+    if mode == "auto":
+        ends = points.agg(F.min(importance).alias("low"), F.max(importance).alias("high")).first() if importance is not None else None
+        mode = "voxel_importance" if ends is not None and ends["low"] is not None and ends["high"] - ends["low"] > 1e-6 else "voxel_first"
+    if mode == "uniform":
+        return smallest(points, even_hash(order), [order], target)
+    if mode == "importance":
+        return smallest(points, -importance, [order], target)
+    if mode not in ("voxel_importance", "voxel_first"):
+        raise ValueError(f"unknown mode {mode}")
+    if points.count() <= target:
+        return points
+    found = kept(first_of_voxel(points, voxel_side(points, int(target * 1.05), side, **how), order, importance if mode == "voxel_importance" else None, **how), "lod")
+    return smallest(found, even_hash(order), [order], target)
+
+
+def decimated(splats: DataFrame, target: int, order: str, side: float, importance: Column, floor_share: float, scales: tuple[str, ...] = ("scale_0", "scale_1", "scale_2"), **how) -> DataFrame:
+    """lod() by auto, whose splats still cover the surface: log scales are at least that of floor_share of the voxels' side; all splats as they are, if there are no more than target."""
+    if splats.count() <= target:
+        return splats
+    least = math.log(voxel_side(splats, int(target * 1.05), side, **how) * floor_share)
+    return lod(splats, target, order, side, importance, **how).withColumns({c: F.greatest(F.col(c), F.lit(least)) for c in scales})
 
 
 def plane(points: DataFrame, order: str, threshold: float, hypotheses: int = 256, sample: int = 20_000, position: tuple[str, str, str] = P) -> dict | None:

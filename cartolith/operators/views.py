@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cartolith.functions import geometry as G
 from cartolith.operators import aggregates as A
 from cartolith.operators import spatial
+from cartolith.operators.folds import folded
 from cartolith.operators.shared import exact_percentiles, with_each
 
 VIEW = ["view", "c2w", "fx", "fy", "cx", "cy", "width", "height"]
@@ -157,16 +158,15 @@ def determinant_counts(rows: DataFrame, matrix: Column, near: float = 1e-6) -> D
 
 def log_batches(events: DataFrame, run: str, ts: str, order: str, most: int = 20, seconds: float = 2.0) -> DataFrame:
     """events with seq (from 0 in order) and batch: a log that is flushed at `most` events or once `seconds` have passed since a batch's first."""
-    logs = events.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(F.col(ts).cast("timestamp").cast("double").alias("t"), F.col(order).alias("o")))).alias("log"))
-    start = F.struct(F.lit(-1).alias("batch"), F.lit(0).alias("n"), F.lit(0.0).alias("first"), F.array().cast("array<int>").alias("out"))
 
-    def step(acc: Column, e: Column) -> Column:
-        new = (acc["batch"] < 0) | (acc["n"] >= most) | (e["t"] - acc["first"] >= seconds)
-        batch = F.when(new, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(batch.alias("batch"), F.when(new, 1).otherwise(acc["n"] + 1).alias("n"), F.when(new, e["t"]).otherwise(acc["first"]).alias("first"), F.concat(acc["out"], F.array(batch)).alias("out"))
+    def step(state: tuple | None, t: float) -> tuple[tuple, tuple]:
+        seq, batch, n, first = state or (-1, -1, most, t)
+        if n >= most or t - first >= seconds:
+            batch, n, first = batch + 1, 0, t
+        return (seq + 1, batch, n + 1, first), (seq + 1, batch)
 
-    cut = logs.withColumn("out", F.aggregate("log", start, step, lambda acc: acc["out"]))
-    return cut.select(run, F.posexplode(F.arrays_zip("log", "out")).alias("seq", "e")).select(run, F.col("e.log.o").alias(order), "seq", F.col("e.out").alias("batch"))
+    timed = events.select(run, F.col(ts).cast("timestamp").cast("double").alias("__t"), order)
+    return folded(timed, run, ["__t", order], ["__t"], step, "seq int, batch int").select(run, order, "seq", "batch")
 
 
 def mission_states(rounds: DataFrame, complete_gap: int = 3, stall_gap: int = 5) -> DataFrame:
@@ -175,26 +175,23 @@ def mission_states(rounds: DataFrame, complete_gap: int = 3, stall_gap: int = 5)
     A mission is done when all that it wants is found, or when, still active, it has found half and complete_gap
     rounds brought none of its names; after stall_gap such rounds it is recovering. stalled counts rounds since a
     round last named something it wants; a find starts it anew."""
-    log = rounds.groupBy("mission").agg(F.array_sort(F.collect_list(F.struct("round", "wanted", "found"))).alias("log"))
-    names = F.array().cast("array<string>")
-    start = F.struct(names.alias("known"), F.lit(0).alias("stalled"), F.lit("active").alias("status"), F.array().cast("array<struct<known:int,confidence:double,stalled:int,status:string>>").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        hits = F.array_intersect(r["wanted"], r["found"])
-        known = F.array_union(acc["known"], hits)
-        fresh = F.size(known) > F.size(acc["known"])
-        stalled = F.when(acc["status"] == "completed", acc["stalled"]).when(fresh, 0).when(F.size(hits) > 0, acc["stalled"]).otherwise(acc["stalled"] + 1)
-        share = F.size(known) / F.greatest(F.size(r["wanted"]), F.lit(1))
-        whole = (F.size(r["wanted"]) > 0) & (F.size(known) >= F.size(r["wanted"]))
-        status = (
-            F.when(acc["status"] == "completed", "completed").when(whole, "completed")
-            .when((F.when(fresh, "active").otherwise(acc["status"]) == "active") & (stalled >= complete_gap) & (F.size(known) > 0) & (share >= 0.5), "completed")
-            .when(stalled >= stall_gap, "recovering").when(fresh, "active").otherwise(acc["status"])
-        )
-        return F.struct(known.alias("known"), stalled.cast("int").alias("stalled"), status.alias("status"), F.concat(acc["out"], F.array(F.struct(F.size(known).alias("known"), share.alias("confidence"), stalled.cast("int").alias("stalled"), status.alias("status")))).alias("out"))
-
-    done = log.withColumn("out", F.aggregate("log", start, step, lambda acc: acc["out"]))
-    return done.select("mission", F.explode(F.arrays_zip("log", "out")).alias("e")).select("mission", "e.log.round", "e.out.known", "e.out.confidence", "e.out.stalled", "e.out.status")
+
+    def step(state: tuple | None, wanted: list | None, found: list | None) -> tuple[tuple, tuple]:
+        known, stalled, status = state or (frozenset(), 0, "active")
+        wanted = wanted or []
+        hits = set(wanted) & set(found or [])
+        fresh, known = bool(hits - known), known | hits
+        share = len(known) / max(1, len(wanted))
+        if status != "completed":
+            stalled = 0 if fresh else stalled if hits else stalled + 1
+            awake = "active" if fresh else status
+            if wanted and len(known) >= len(wanted) or awake == "active" and stalled >= complete_gap and known and share >= 0.5:
+                status = "completed"
+            else:
+                status = "recovering" if stalled >= stall_gap else awake
+        return (known, stalled, status), (len(known), share, stalled, status)
+
+    return folded(rounds.select("mission", "round", "wanted", "found"), "mission", ["round"], ["wanted", "found"], step, "known int, confidence double, stalled int, status string").drop("wanted", "found")
 
 
 def idle_sessions(events: DataFrame, session: str, ts: str, now: Column, seconds: float) -> DataFrame:

@@ -8,6 +8,7 @@ from cartolith.functions import arrays as A
 from cartolith.functions import geometry as G
 from cartolith.functions import placing as P
 from cartolith.operators import scene as S
+from cartolith.operators import folds
 from cartolith.plans.tables import table
 
 #: Vectors of a part: a and b, neither of length 0.
@@ -215,11 +216,9 @@ SELECT l_orderkey, l_linenumber, round((l_discount - 0.5) / 0.28209479177387814,
 
 def headings(spark, d):
     """Every user's values as headings in order, none more than 0.3 from the one before."""
-    e = table(spark, d, "events").filter("value IS NOT NULL")
-    logs = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("value") / 10).alias("raw")))).alias("log"))
-    logs = logs.withColumn("out", P.limited_headings(F.transform("log", lambda s: s["raw"]), 0.3))
-    out = logs.out
-    return logs.select("user_id", F.size("log").alias("n"), _r(out[F.size("log") - 1], "last"), _r(F.aggregate(out, F.lit(0.0), lambda a, x: a + x), "total", 4))
+    e = table(spark, d, "events").filter("value IS NOT NULL").select("user_id", "ts", "event_id", (F.col("value") / 10).alias("raw"))
+    out = folds.limited_headings(e, "user_id", ["ts", "event_id"], "raw", 0.3)
+    return out.groupBy("user_id").agg(F.count("*").cast("int").alias("n"), _r(F.max_by("heading", F.struct("ts", "event_id")), "last"), _r(F.sum("heading"), "total", 4))
 
 
 HEADINGS = """

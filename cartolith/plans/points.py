@@ -254,6 +254,36 @@ SELECT id, rank, neighbour, round(distance, 6) AS distance FROM k WHERE rank <=
 """
 
 
+def part_neighbours(spark, d):
+    """Of all parts, by size and price, some far from all others."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), F.pow(F.col("p_retailprice") / 400, F.lit(4)).alias("y"), F.lit(0.0).alias("z"))
+    return J.nearest_neighbours(p, "id", XYZ, 2, 0.5, crowd=16).select("id", F.col("rank").cast("long").alias("rank"), "neighbour", F.round("distance", 6).alias("distance"))
+
+
+PART_NEIGHBOURS = """
+WITH p AS (SELECT p_partkey AS id, p_size::DOUBLE AS x, pow(p_retailprice / 400, 4) AS y FROM part),
+r AS (SELECT a.id, b.id AS neighbour, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS distance FROM p a JOIN p b ON a.id <> b.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) AS rank FROM r)
+SELECT id, rank, neighbour, round(distance, 6) AS distance FROM k WHERE rank <= 2
+"""
+
+
+def lod_uniform(spark, d):
+    return S.lod(points(spark, d), 5000, "id", SIDE, mode="uniform").select("id", "frame")
+
+
+_EVEN = "('0x' || substr(md5(id::VARCHAR), 1, 13))::BIGINT"
+LOD_UNIFORM = f"WITH {POINTS_SQL} SELECT id, frame FROM points ORDER BY {_EVEN}, id LIMIT 5000"
+
+
+def lod_importance(spark, d):
+    """The dearest line items per unit of tax: many share a tax rate."""
+    return S.lod(points(spark, d), 3000, "id", SIDE, importance=F.floor("y") * F.col("conf"), mode="importance").select("id", "frame")
+
+
+LOD_IMPORTANCE = f"WITH {POINTS_SQL} SELECT id, frame FROM points ORDER BY -(floor(y) * conf), {_EVEN}, id LIMIT 3000"
+
+
 def scale_decisions(spark, d):
     f = A.ratio_summary(points(spark, d), ["frame"], F.try_divide(F.col("y"), F.col("x")), 3).withColumn("part", F.col("frame") % 20)
     g = A.ratio_of_groups(f, ["part"])
@@ -263,10 +293,10 @@ def scale_decisions(spark, d):
     return both.withColumn("s", decided).select("part", F.round("s.scale", 5).alias("scale"), "s.applied", "s.reason")
 
 
-QUERIES = {f.__name__: f for f in (robust_bounds, voxel_counts, voxel_noise, first_in_voxel, lod_choice, inside_box, confident_points, visible, block_medians, frame_ratios, group_ratios, gated_ratios, price_histogram, shelf, footprint, moments_by_frame, occupancy, free_regions, reach_steps, clusters, main_plane, boxes_by_frame, neighbours, scale_decisions)}
+QUERIES = {f.__name__: f for f in (robust_bounds, voxel_counts, voxel_noise, first_in_voxel, lod_choice, lod_uniform, lod_importance, inside_box, confident_points, visible, block_medians, frame_ratios, group_ratios, gated_ratios, price_histogram, shelf, footprint, moments_by_frame, occupancy, free_regions, reach_steps, clusters, main_plane, boxes_by_frame, neighbours, part_neighbours, scale_decisions)}
 
 ORACLES = {
     "robust_bounds": BOUNDS, "voxel_counts": VOXELS, "voxel_noise": NOISE, "first_in_voxel": FIRST, "inside_box": BOX, "confident_points": CONFIDENT, "visible": VISIBLE,
     "block_medians": BLOCKS, "frame_ratios": RATIOS, "group_ratios": GROUPS, "gated_ratios": GATED, "price_histogram": HIST, "footprint": FOOTPRINT, "moments_by_frame": MOMENTS,
-    "occupancy": OCCUPANCY, "free_regions": REGIONS, "reach_steps": REACH, "neighbours": NEIGHBOURS,
+    "occupancy": OCCUPANCY, "free_regions": REGIONS, "reach_steps": REACH, "neighbours": NEIGHBOURS, "part_neighbours": PART_NEIGHBOURS, "lod_uniform": LOD_UNIFORM, "lod_importance": LOD_IMPORTANCE,
 }

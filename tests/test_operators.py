@@ -153,7 +153,7 @@ def test_neighbours_are_exact(spark):
     rng = np.random.default_rng(2)
     p = np.concatenate([rng.normal(size=(80, 3)), rng.normal(size=(5, 3)) * 30])
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(p)], "id long, x double, y double, z double")
-    got = {(r.id, r.rank): r.neighbour for r in J.nearest_neighbours(df, "id", ("x", "y", "z"), 4, 0.5, rounds=12).collect()}
+    got = {(r.id, r.rank): r.neighbour for r in J.nearest_neighbours(df, "id", ("x", "y", "z"), 4, 0.5).collect()}
     for i in range(len(p)):
         d = np.linalg.norm(p - p[i], axis=1)
         d[i] = np.inf

@@ -36,8 +36,8 @@ def test_exact_percentiles(spark, monkeypatch, most):
 def test_each_meets_each_in_blocks(spark, monkeypatch):
     many, few = spark.range(50).withColumnRenamed("id", "a"), spark.range(33).withColumnRenamed("id", "b")
     want = {(a, b) for a in range(50) for b in range(33)}
-    for most in (20_000, 10):
-        monkeypatch.setattr(shared, "BROADCAST_ROWS", most)
+    for most in (20_000, 250):
+        monkeypatch.setattr(shared, "BROADCAST_BYTES", most)
         got = [tuple(r) for r in shared.with_each(many, few).select("a", "b").collect()]
         assert len(got) == len(want) and set(got) == want
 
