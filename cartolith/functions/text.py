@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -135,3 +138,47 @@ def digest(c: Column, length: int = 64) -> Column:
 def args_digest(args: Column) -> Column:
     """A digest of a map of arguments that doesn't depend on their order."""
     return digest(F.to_json(F.array_sort(F.map_entries(args))), 32)
+
+
+def presented(result: dict, budget: int = 12_000) -> str:
+    """A result as JSON of at most budget characters.
+
+    If it is longer, whole items are cut from the end of its longest list, of equals the first, and a field _truncated tells of which, how
+    many are shown and of how many. If no list is long enough, or the result is no object, an object that
+    refuses it stands for it; that alone may pass a budget below its own length."""
+    whole = json.dumps(result, default=str)
+    if len(whole) <= budget:
+        return whole
+    lists = [(k, v) for k, v in result.items() if isinstance(v, list) and v] if isinstance(result, dict) else []
+    if lists:
+        name, items = max(lists, key=lambda kv: len(kv[1]))
+
+        def cut(n: int) -> str:
+            note = f"{n} of {len(items)} {name} are shown; the others exist. Ask for less, or for more at once, to see them."
+            return json.dumps({**result, name: items[:n], "_truncated": {"field": name, "shown": n, "total": len(items), "note": note}}, default=str)
+
+        low, high = 0, len(items)  # cut(low) fits, if any does; cut(high) doesn't count
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if len(cut(middle)) <= budget else (low, middle)
+        if len(cut(low)) <= budget:
+            return cut(low)
+    return json.dumps({"error": "result_too_large", "note": "The result didn't fit and isn't shown in part. Ask for less; nothing follows from its absence.", "bytes": len(whole)})
+
+
+def presented_results(results: Column, budget: int = 12_000) -> Column:
+    """presented() of a column of JSON texts; what isn't JSON stays as it is if it fits, and is refused otherwise."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            if text is None:
+                return None
+            try:
+                return presented(json.loads(text), budget)
+            except ValueError:
+                return text if len(text) <= budget else presented(text, budget)
+
+        return texts.map(one)
+
+    return run(results)

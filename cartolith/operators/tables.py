@@ -120,3 +120,15 @@ def resolved_reference(objects: DataFrame, refs: DataFrame) -> DataFrame:
     score = F.col("confidence") + F.when(F.col("__label") == F.col("__r"), 10.0).otherwise(0.0)
     by_label = by_label.groupBy("ref").agg(F.max_by("uid", F.struct(score, -F.col("position"))).alias("uid"))
     return refs.select("ref").join(by_id.unionByName(by_label), "ref", "left")
+
+
+def stitched(points: DataFrame, scan: str, submap: str, frame: str, closes_loop: str, overlap: int = 1) -> DataFrame:
+    """points of a scan's submaps without what they hold twice: submaps that only close a loop, and the first overlap frames of all others but the first, which the submap before ends with.
+
+    A null closes_loop counts as false. Frames are ordered by their number in their submap."""
+    regular = points.filter(~F.coalesce(F.col(closes_loop), F.lit(False)))
+    frames = regular.select(scan, submap, frame).distinct()
+    first = frames.groupBy(scan).agg(F.min(submap).alias("__first"))
+    place = F.row_number().over(W.partitionBy(scan, submap).orderBy(frame))
+    held = frames.withColumn("__place", place).join(first, scan).filter((F.col(submap) > F.col("__first")) & (F.col("__place") <= overlap))
+    return regular.join(held.select(scan, submap, frame), [scan, submap, frame], "left_anti")

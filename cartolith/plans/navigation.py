@@ -1,13 +1,15 @@
-"""Queries over routes and footprints: costs, paths and way-points on the line items' floor, upright boxes of suppliers."""
+"""Queries over routes, footprints, cameras and stitched clouds: costs, paths and way-points on the line items' floor, upright boxes of suppliers."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cartolith.functions import cameras
 from cartolith.operators import hulls as H
 from cartolith.operators import routes as R
+from cartolith.operators import tables as T
 from cartolith.plans.points import _CELLS, _DISK, _grid
-from cartolith.plans.tables import POINTS_SQL, points
+from cartolith.plans.tables import POINTS_SQL, points, table
 
 
 def _floor(spark, d):
@@ -79,5 +81,44 @@ h AS (SELECT frame, count(*) AS points, max(z) - min(z) AS height FROM points GR
 SELECT frame, points, round(greatest(s[1], s[2]), 4) AS long, round(least(s[1], s[2]), 4) AS short, round(height, 4) AS height, round(s[1] * s[2], 3) AS area FROM o JOIN h USING (frame)
 """
 
-QUERIES = {f.__name__: f for f in (route_costs, route_paths, route_way_points, yaw_boxes)}
-ORACLES = {"route_costs": COSTS, "route_paths": PATHS, "yaw_boxes": BOXES}
+def camera_parts(spark, d):
+    """Customers as projection matrices, taken apart: intrinsics, the camera's first axis and its place."""
+    c = table(spark, d, "customer")
+    a, n, k = F.col("c_acctbal") / 1000, F.col("c_nationkey").cast("double"), F.col("c_custkey").cast("double")
+    matrix = F.array(n + 1, F.lit(0.3), a, k, (n - 12) / 10, F.lit(2.0), F.lit(0.7), -k, F.lit(0.2), a / 5, F.lit(1.5), n)
+    parts = cameras.camera_parts(matrix)
+    out = c.select("c_custkey", parts.alias("p")).filter("p.status IS NULL")
+    return out.select("c_custkey", *[F.round(F.col("p.k")[i], 6).alias(f"k{i}") for i in (0, 1, 2, 4, 5)], F.round("p.scale", 6).alias("scale"), *[(F.round(F.col("p.r")[3 * i], 6) + 0.0).alias(f"r{i}") for i in range(3)], *[(F.round(F.col("p.t")[i], 4) + 0.0).alias(f"t{i}") for i in range(3)])
+
+
+CAMERAS = """
+WITH c AS (SELECT c_custkey, c_acctbal / 1000 AS a, c_nationkey::DOUBLE AS n, c_custkey::DOUBLE AS k FROM customer),
+d AS (SELECT *, (n + 1) * (2 * 1.5 - 0.7 * a / 5) - 0.3 * ((n - 12) / 10 * 1.5 - 0.7 * 0.2) + a * ((n - 12) / 10 * a / 5 - 2 * 0.2) AS det FROM c),
+s AS (SELECT *, CASE WHEN det < 0 THEN -1.0 ELSE 1.0 END AS s FROM d),
+m AS (SELECT c_custkey, [s * (n + 1), s * 0.3, s * a] AS m1, [s * (n - 12) / 10, s * 2, s * 0.7] AS m2, [s * 0.2, s * a / 5, s * 1.5] AS m3, [s * k, -s * k, s * n] AS p FROM s),
+x AS (SELECT *, sqrt(list_dot_product(m3, m3)) AS k33, list_transform(m3, lambda v: v / sqrt(list_dot_product(m3, m3))) AS r3 FROM m),
+y AS (SELECT *, list_dot_product(m2, r3) AS k23, list_dot_product(m1, r3) AS k13, list_transform([1, 2, 3], lambda i: m2[i] - list_dot_product(m2, r3) * r3[i]) AS l2 FROM x),
+z AS (SELECT *, sqrt(list_dot_product(l2, l2)) AS k22, list_transform(l2, lambda v: v / sqrt(list_dot_product(l2, l2))) AS r2 FROM y),
+w AS (SELECT *, list_dot_product(m1, r2) AS k12, list_transform([1, 2, 3], lambda i: m1[i] - list_dot_product(m1, r2) * r2[i] - k13 * r3[i]) AS l1 FROM z),
+v AS (SELECT *, sqrt(list_dot_product(l1, l1)) AS k11, list_transform(l1, lambda v: v / sqrt(list_dot_product(l1, l1))) AS r1, p[3] / k33 AS tz FROM w),
+u AS (SELECT *, (p[2] - k23 * tz) / k22 AS ty FROM v), t AS (SELECT *, (p[1] - k12 * ty - k13 * tz) / k11 AS tx FROM u)
+SELECT c_custkey, round(k11 / k33, 6) AS k0, round(k12 / k33, 6) AS k1, round(k13 / k33, 6) AS k2, round(k22 / k33, 6) AS k4, round(k23 / k33, 6) AS k5, round(k33, 6) AS scale,
+  round(r1[1], 6) + 0.0 AS r0, round(r1[2], 6) + 0.0 AS r1, round(r1[3], 6) + 0.0 AS r2, round(-(r1[1] * tx + r2[1] * ty + r3[1] * tz), 4) + 0.0 AS t0, round(-(r1[2] * tx + r2[2] * ty + r3[2] * tz), 4) + 0.0 AS t1, round(-(r1[3] * tx + r2[3] * ty + r3[3] * tz), 4) + 0.0 AS t2
+FROM t
+"""
+
+
+def stitched_points(spark, d):
+    """Line items as points of suppliers' scans: an order is a submap, a line a frame; fulfilled returns only close loops."""
+    p = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("scan"), F.col("l_orderkey").alias("submap"), F.col("l_linenumber").alias("frame"), (F.col("l_returnflag") == "R").alias("loop"), "l_quantity")
+    return T.stitched(p, "scan", "submap", "frame", "loop").groupBy("scan").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("total"))
+
+
+STITCHED = """
+WITH r AS (SELECT l_suppkey AS scan, l_orderkey AS submap, l_linenumber AS frame, l_quantity FROM lineitem WHERE l_returnflag <> 'R'),
+p AS (SELECT *, dense_rank() OVER (PARTITION BY scan, submap ORDER BY frame) AS place, min(submap) OVER (PARTITION BY scan) AS first FROM r)
+SELECT scan, count(*) AS n, sum(l_quantity)::BIGINT AS total FROM p WHERE submap = first OR place > 1 GROUP BY 1
+"""
+
+QUERIES = {f.__name__: f for f in (route_costs, route_paths, route_way_points, yaw_boxes, camera_parts, stitched_points)}
+ORACLES = {"route_costs": COSTS, "route_paths": PATHS, "yaw_boxes": BOXES, "camera_parts": CAMERAS, "stitched_points": STITCHED}
