@@ -97,13 +97,16 @@ def _summaries(file: pa.Array, block: pa.Array, found: list[tuple[int, int, np.n
     return pa.RecordBatch.from_arrays([file, block, *cols], ["file", "block", "n", "tail", "inner"])
 
 
-def scan_files(spark: SparkSession, path: str, separator: int, id_bytes: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
+def scan_files(spark: SparkSession, path: str, separator: int, id_bytes: int = 2, block_ids: int = BLOCK_IDS, names: DataFrame | None = None) -> DataFrame:
     """separator_scan() of the flat files (*.bin) in a folder, whatever their sizes; file is a file's full path.
 
-    A file whose size isn't a multiple of id_bytes is an error."""
+    names: a table of the names (file) of those that count; others, such as a lost attempt's, aren't opened. A
+    file whose size isn't a multiple of id_bytes is an error."""
     step, parts = id_bytes * block_ids, width(spark)
     # only names and lengths are read here
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), "length")
+    if names is not None:
+        files = files.join(names.select(F.col("file").alias("name")).distinct(), F.element_at(F.split("file", "/"), -1) == F.col("name"), "left_semi")
     ranges = files.filter("length > 0").select("file", "length", F.explode(F.expr(f"sequence(0L, (length - 1) div {step})")).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,12 +136,16 @@ def separator_scan(blocks: DataFrame, separator: int, id_bytes: int = 2) -> Data
         for b in batches:
             yield _summaries(b.column("file"), b.column("block"), [_summary(np.frombuffer(x or b"", KINDS[id_bytes]), separator) for x in byte_rows(b, "data")])
 
-    return stitched(blocks.select("file", F.col("block").cast("long"), "data").mapInArrow(run, f"file {file_type}, block long, n long, tail long, inner array<long>"))
+    found = blocks.select("file", F.col("block").cast("long"), "data").mapInArrow(run, f"file {file_type}, block long, n long, tail long, inner array<long>")
+    return stitched(written(found, "block-summaries"))
 
 
 def stitched(found: DataFrame) -> DataFrame:
-    """The documents of files from their blocks' summaries (file, block, n, tail, inner), by a prefix scan of two levels."""
-    found = found.withColumn("chunk", F.floor(F.col("block") / CHUNK)).withColumn("seps", F.size("inner"))
+    """The documents of files from their blocks' summaries (a written table of file, block, n, tail, inner), by a prefix scan of two levels.
+
+    The scan holds numbers only; the lengths in the blocks are joined afterwards."""
+    lengths = found.select("file", "block", "inner")
+    found = found.select("file", "block", "n", "tail", F.floor(F.col("block") / CHUNK).alias("chunk"), F.size("inner").alias("seps"))
     before = W.partitionBy("file", "chunk").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     # positions count from the chunk's start here, from the file's start below
     found = found.withColumns({"s1": F.coalesce(F.sum("n").over(before), F.lit(0)), "d1": F.coalesce(F.sum("seps").over(before), F.lit(0))})
@@ -148,7 +155,7 @@ def stitched(found: DataFrame) -> DataFrame:
     earlier = W.partitionBy("file").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     chunks = chunks.withColumns({"s2": F.coalesce(F.sum("cn").over(earlier), F.lit(0)), "d2": F.coalesce(F.sum("cd").over(earlier), F.lit(0)), "final": F.max("cb").over(W.partitionBy("file"))})
     chunks = chunks.withColumn("e2", F.max(F.col("s2") + F.col("ca")).over(earlier)).select("file", "chunk", "s2", "d2", "e2", "final")
-    joined = found.join(chunks, ["file", "chunk"])
+    joined = found.join(chunks, ["file", "chunk"]).join(lengths, ["file", "block"])
     carry = F.col("s2") + F.col("s1") - F.coalesce(F.col("s2") + F.col("e1"), F.col("e2"), F.lit(0))
     at_end = (F.col("block") == F.col("final")) & (F.col("tail") + F.when(F.col("seps") == 0, F.col("carry")).otherwise(0) > 0)
     joined = joined.withColumn("carry", carry)
@@ -165,8 +172,10 @@ def document_order(order: DataFrame) -> DataFrame:
 
 
 def token_counts(order: DataFrame, folder: str, path: str | None = None, separator: int | None = None) -> DataFrame:
-    """doc_id, n_tokens and closed of each document, by a scan of the files that write_flat() put in folder; order is its table."""
+    """doc_id, n_tokens and closed of each document, by a scan of the files that write_flat() put in folder; order is its table, written.
+
+    Only files that order names are opened. An empty table gives an empty result; a document without tokens counts 0."""
     eod = next(iter(codec(path or default_path()).special.values())) if separator is None else separator
-    counts = scan_files(order.sparkSession, folder, eod, id_bytes_of(path, separator))
+    counts = scan_files(order.sparkSession, folder, eod, id_bytes_of(path, separator), names=order)
     counts = counts.withColumn("file", F.element_at(F.split("file", "/"), -1))
     return counts.join(document_order(order), ["file", "ordinal"]).select("doc_id", "n_tokens", "closed")

@@ -435,6 +435,26 @@ def test_files_are_read_in_ranges(spark, tmp_path, block):
     assert sorted((r.file.split("/")[-1], r.ordinal, r.n_tokens, r.closed) for r in got) == want
 
 
+def test_what_a_lost_attempt_left_is_not_opened(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    docs = spark.createDataFrame([(i, "one two three", "x", 1.5) for i in range(20)], "doc_id long, text string, file string, inner double")  # columns named as the operator's own
+    order = written(token_counts.write_flat(docs, folder), "order")
+    (tmp_path / "part-000000-lost.bin").write_bytes(b"odd")
+    got = token_counts.token_counts(order, folder).collect()
+    assert sorted(r.doc_id for r in got) == list(range(20)) and all(r.closed for r in got)
+    with pytest.raises(Exception, match="no multiple of"):
+        token_counts.scan_files(spark, folder, 0).collect()
+
+
+def test_a_file_of_tiny_documents(spark, tmp_path):
+    ids = np.zeros(1_000_000, "<u2")
+    ids[500_000] = 5
+    (tmp_path / "tiny.bin").write_bytes(ids.tobytes())
+    got = token_counts.scan_files(spark, f"file://{tmp_path}", 0, 2, 1 << 14)
+    ends = got.agg(F.count("*").alias("n"), F.count_distinct("ordinal").alias("d"), F.max("ordinal").alias("last"), F.sum("n_tokens").alias("t")).first()
+    assert (ends.n, ends.d, ends.last, ends.t) == (999_999, 999_999, 999_998, 1) and got.filter("n_tokens = 1").first().ordinal == 500_000
+
+
 # mixing
 
 
@@ -686,6 +706,25 @@ def test_packing_where_bytes_and_tokens_conflict():
         assert load.max() < 1.01 * load.mean() and load.min() > 0.99 * load.mean()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_against_plain_loops(seed):
+    rng = np.random.default_rng(seed)
+    items = np.stack([rng.pareto(1.2, 300) * 100 + 5, rng.pareto(1.5, 300) * 20 + 1, rng.integers(1, 5, 300)], axis=1)
+    items[rng.integers(0, 300, 60)] = items[0]  # ties
+    weights, shards, slack = (8.0, 1.0, 1.0), 7, 0.01
+    mean = [sum(x[j] for x in items) / shards for j in range(3)]
+    unit = [[x[j] / mean[j] * math.sqrt(weights[j]) for j in range(3)] for x in items]
+    left, want = [[math.sqrt(w) for w in weights] for _ in range(shards)], [0] * len(items)
+    for i in sorted(range(len(items)), key=lambda i: (-max(unit[i]), i)):
+        fits = [s for s in range(shards) if left[s][0] - unit[i][0] >= math.sqrt(weights[0]) - (1 + slack) * math.sqrt(weights[0])]
+        match = lambda s, i=i: sum(a * b for a, b in zip(left[s], unit[i], strict=True)) if fits else left[s][0]  # noqa: B023, E731
+        best = max(map(match, fits or range(shards)))
+        want[i] = s = next(s for s in fits or range(shards) if match(s) >= best - 1e-12)
+        left[s] = [a - b for a, b in zip(left[s], unit[i], strict=True)]
+    got = sharding.pack(items, shards, weights, slack)
+    assert got.tolist() == want
+
+
 # language and toxicity
 
 
