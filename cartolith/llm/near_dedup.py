@@ -18,8 +18,9 @@ wanted recall. Candidates are verified in three steps: by 64 bits outside all se
 bits, and by the shingles themselves.
 
 Large groups of near copies would give all their pairs in every bucket. So most of such a group is joined first,
-by texts that share a whole segment and the middles of their neighbourhoods; the buckets of the variants then
-offer all their near pairs between texts that aren't in one component yet. No link between components is lost.
+by texts that share a whole segment and the middles of their neighbourhoods. In the buckets of the variants a text
+then meets the NEAREST members that aren't in its component yet. What it meets in all of its buckets together are
+its nearest texts, and so those that it would link to; pairs grow with the texts and not with a group's square.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ BLOCK = 20_000
 RECALL, LEAST_BITS = 0.95, 16
 #: Members up to which all pairs of a bucket are compared at once; buckets hold up to half as many unrelated texts on average. Near pairs a member that make a bucket dense.
 CROWD, DENSE = 64, 2
+#: Members of other components that a text meets in each of its buckets.
+NEAREST = 2
 #: Nearest partners of a text that are verified first; others only if they would still join two components.
 FIRST = 3
 
@@ -424,7 +427,7 @@ def crowded_variants(index: DataFrame, bits: int, block: int) -> DataFrame:
 
 
 def candidates(index: DataFrame, near: int, crowded: DataFrame) -> DataFrame:
-    """(a, b): all text_ids a < b that meet under a key of segment_variants() and differ in at most near bits of check, but those of one root.
+    """(a, b): text_ids a < b of different roots that meet under a key of segment_variants() and differ in at most near bits of check, of which one is among the other's NEAREST there.
 
     crowded is a table of crowded_variants(): their buckets are dealt out as pairs of blocks."""
     if crowded.isEmpty():
@@ -442,18 +445,20 @@ def candidates(index: DataFrame, near: int, crowded: DataFrame) -> DataFrame:
             new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])))
             size = np.diff(np.append(new, len(key)))
             x, y = _near_pairs(np.repeat(np.arange(len(new)), size), check, near, lambda x, y: (root[x] != root[y]) & ((side[x] != side[y]) | (side[x] == 2)))
-            left, right = [x], [y]
+            both, other = np.concatenate([x, y]), np.concatenate([y, x])
+            order = np.lexsort((text[other], np.bitwise_count(check[both] ^ check[other]), both))
+            both, other = both[order], other[order]
+            first = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
+            place = np.arange(len(both)) - np.repeat(first, np.diff(np.append(first, len(both))))
+            left, right = [both[place < NEAREST]], [other[place < NEAREST]]
             for s, n in zip(new[size > CROWD].tolist(), size[size > CROWD].tolist(), strict=True):
-                # members of each root with those of roots of more members
-                _, group, count = np.unique(root[s : s + n], return_inverse=True, return_counts=True)
-                order = s + np.lexsort((group, count[group]))
-                ends = np.cumsum(np.sort(count))
-                for i, end in enumerate(ends[:-1].tolist()):
-                    later = order[end:]
-                    for m in order[int(ends[i - 1]) if i else 0 : end].tolist():
-                        found = later[np.bitwise_count(check[later] ^ check[m]) <= near]
-                        left.append(np.full(len(found), m))
-                        right.append(found)
+                own, ids, roots = check[s : s + n], text[s : s + n], root[s : s + n]
+                for m in range(n):
+                    off = np.bitwise_count(own ^ own[m])
+                    found = np.flatnonzero((off <= near) & (roots != roots[m]))
+                    found = found[np.lexsort((ids[found], off[found]))[:NEAREST]]
+                    left.append(np.full(len(found), s + m))
+                    right.append(s + found)
             return _pairs(text, left, right)
 
         held: list[np.ndarray] | None = None

@@ -180,8 +180,8 @@ def test_near_copies_are_found_by_similarity(spark, monkeypatch, hot):
     assert sorted(r.doc_id for r in kept) == sorted(least.values())
 
 
-def test_crowded_buckets_lose_no_link(spark, monkeypatch):
-    """Most rows are in buckets past CROWD, by unrelated texts and by a family of half-similar ones: the components are those of buckets that offer all their pairs."""
+def test_crowded_buckets_lose_few_links(spark, monkeypatch):
+    """Most rows are in buckets past CROWD, by unrelated texts and by a family of half-similar ones: nearly all components are those of buckets that offer all their pairs."""
     rng = random.Random(31)
     base = text_of(rng, 150)
     texts = [text_of(rng, rng.randrange(60, 160)) for _ in range(250)] + [edited(rng, base, rng.uniform(0.01, 0.06)) for _ in range(150)]
@@ -192,11 +192,12 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch):
     members = near_dedup.segment_keys(marked.select("text_id", *names).distinct(), 9, 7).groupBy("key").count().collect()
     assert sum(r["count"] for r in members if r["count"] > 3) > sum(r["count"] for r in members) / 2
     found = []
-    for crowd, block in ((3, 20_000), (3, 40), (10**6, 20_000)):
-        monkeypatch.setattr(near_dedup, "CROWD", crowd)
-        monkeypatch.setattr(near_dedup, "BLOCK", block)
+    for crowd, block, nearest in ((3, 20_000, 2), (3, 40, 2), (10**6, 20_000, 10**6)):
+        for name, value in (("CROWD", crowd), ("BLOCK", block), ("NEAREST", nearest)):
+            monkeypatch.setattr(near_dedup, name, value)
         found.append({r.node: r.root for r in near_dedup.similar_texts(docs, marked, 0.8, 5, 9, 7).collect()})
-    assert found[0] == found[1] == found[2]
+    merges = [len(f) - len(set(f.values())) for f in found]
+    assert min(merges[:2]) >= 0.98 * merges[2] > 100
     of = [r.text_id for r in sorted(marked.collect(), key=lambda r: r.doc_id)]
     _, links = brute_similar(texts)
     joined = sum(found[0].get(of[i], of[i]) == found[0].get(of[j], of[j]) for i, j in links)
@@ -211,9 +212,17 @@ def test_pairs_of_different_roots(spark, monkeypatch, crowd, blocks):
     rows += [(9, 2, 5, 1000 + i, 7) for i in range(50)] + [(10, i % 2, 5, 2000 + i, 2000 + i) for i in range(3)]
     crowded = spark.createDataFrame([(k, blocks) for k in (0, 1, 9)] if blocks > 1 else [], "key long, blocks int")
     df = spark.createDataFrame(rows, "key long, side byte, check long, text_id long, root long")
+    monkeypatch.setattr(near_dedup, "NEAREST", 10**6)
     got = [(r.a, r.b) for r in near_dedup.candidates(df, 3, crowded).collect()]
     want = {(x[3], y[3]) for x in rows for y in rows if x[3] < y[3] and x[0] == y[0] and x[4] != y[4] and (x[2] ^ y[2]).bit_count() <= 3 and (x[1] != y[1] or x[1] == 2)}
     assert set(got) == want and len(got) == len(want) and len(want) > 100
+    # each text's nearest partners are among the few
+    monkeypatch.setattr(near_dedup, "NEAREST", 2)
+    few = {(r.a, r.b) for r in near_dedup.candidates(df, 3, crowded).collect()}
+    check = {r[3]: r[2] for r in rows}
+    off = lambda pair: (check[pair[0]] ^ check[pair[1]]).bit_count()
+    nearest = {t: min(off(p) for p in want if t in p) for t in {t for p in want for t in p}}
+    assert few < want and all(min(off(p) for p in few if t in p) == n for t, n in nearest.items())
 
 
 def test_crowded_variants(spark):
