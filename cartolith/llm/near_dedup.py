@@ -46,6 +46,8 @@ RECALL, LEAST_BITS = 0.95, 16
 CROWD, DENSE = 64, 2
 #: Members of other components that a text meets in each of its buckets.
 NEAREST = 2
+#: Bits by which tasks tell texts that aren't wanted.
+WANTED_BITS = 1 << 26
 #: Nearest partners of a text that are verified first; others only if they would still join two components.
 FIRST = 3
 
@@ -479,13 +481,29 @@ def candidates(index: DataFrame, near: int, crowded: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _marks(wanted: DataFrame) -> np.ndarray:
+    """WANTED_BITS bits, packed, of which those of the wanted text_ids are set: 8 MB, whatever there is."""
+    place = F.pmod("text_id", F.lit(WANTED_BITS)) + 1
+    maps = wanted.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros((WANTED_BITS >> 15, 1 << 12), np.uint8)
+    for r in maps.collect():
+        out[r["at"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """text_id and its sorted shingle hashes (binary, 8 bytes each) of the wanted texts of docs."""
+    """text_id and its sorted shingle hashes (binary, 8 bytes each) of the wanted texts of docs.
+
+    Tasks leave out most texts that aren't wanted before any are shuffled, by a bit for each hash of a wanted one."""
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(wanted))
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             joined = [b" ".join((t or b"").lower().split()) for t in byte_rows(b, "text")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([xxhash.xxh64_intdigest(j, 7) for j in joined], np.uint64).view(np.int64)), pa.array(joined, pa.binary())], ["text_id", "words"])
+            own = np.array([xxhash.xxh64_intdigest(j, 7) for j in joined], np.uint64).view(np.int64)
+            place = own % WANTED_BITS
+            some = pa.array(marks.value[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(joined, pa.binary())], ["text_id", "words"]).filter(some)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -533,7 +551,8 @@ def similar_texts(docs: DataFrame, marked: DataFrame, similarity: float, shingle
 
         The nearest partners of each text are verified first, others only where their ends aren't in one component already."""
         both = pairs.select("a", "b", "bits").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))
-        sets = written(shingle_sets(docs, both.select(F.col("a").alias("text_id")).distinct(), shingle), "shingle-sets")
+        wanted = written(both.select(F.col("a").alias("text_id")).distinct(), "wanted-texts")
+        sets = written(shingle_sets(docs, wanted, shingle), "shingle-sets")
         place = F.row_number().over(W.partitionBy("a").orderBy("bits", "b"))
         first = both.withColumn("place", place).filter(F.col("place") <= FIRST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found.append(written(verified(first, sets, similarity), "links"))

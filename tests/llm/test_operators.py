@@ -235,6 +235,24 @@ def test_crowded_variants(spark):
     assert all(got[k] * 40 >= n for k, n in members.items() if n > 40) and len(got) < len(members)
 
 
+@pytest.mark.parametrize("bits", [1 << 26, 1 << 15])
+def test_shingle_sets_of_wanted_texts(spark, monkeypatch, bits):
+    monkeypatch.setattr(near_dedup, "WANTED_BITS", bits)
+    rng = random.Random(12)
+    texts = [text_of(rng, rng.randrange(12)) for _ in range(400)] + [None, "", "A b c d e f"] * 2
+    docs = spark.createDataFrame(rows_of(texts), DOCS)
+    ids = [xxhash.xxh64_intdigest(" ".join((t or "").lower().split()).encode(), 7) for t in texts]
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    wanted = {signed(i) for i in rng.sample(ids, 60)} | {signed(ids[-1]), signed(ids[-2]), 12345}
+    got = near_dedup.shingle_sets(docs, spark.createDataFrame([(i,) for i in wanted], "text_id long"), 5).collect()
+    assert sorted(r.text_id for r in got) == sorted(wanted - {12345})
+    of = dict(zip(map(signed, ids), texts, strict=True))
+    for r in got:
+        words = (of[r.text_id] or "").lower().split()
+        want = {xxhash.xxh64_intdigest(" ".join(words[i : i + 5]), 42) for i in range(max(1, len(words) - 4))} if words else set()
+        assert np.frombuffer(r.shingles, np.uint64).tolist() == sorted(want)
+
+
 def test_sizes_of_the_index():
     for n in (0, 1, 100, 10**6, 10**9, 10**11):
         segments, bits = near_dedup.sizes(n)
