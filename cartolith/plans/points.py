@@ -153,6 +153,15 @@ def shelf(spark, d):
     return A.top_shelf(A.histogram(p, "y", 60), 60).select(F.round("height", 4).alias("height"), "n")
 
 
+SHELF = f"""
+WITH {POINTS_SQL}, p AS (SELECT CASE WHEN y > 60 THEN 60.0 + y % 1 ELSE y END AS y FROM points), e AS (SELECT quantile_cont(y, 0.01) AS lo, quantile_cont(y, 0.99) AS hi FROM p),
+b AS (SELECT least(floor((y - lo) / ((hi - lo) / 60)), 59)::BIGINT AS bin, count(*) AS n FROM p, e WHERE y BETWEEN lo AND hi GROUP BY 1),
+c AS (SELECT i AS bin, coalesce(n, 0) AS n FROM range(60) r(i) LEFT JOIN b ON b.bin = i), s AS (SELECT greatest(4 * median(n), 0.01 * sum(n)) AS bar FROM c),
+t AS (SELECT max(bin) AS top FROM c, s WHERE n >= bar), f AS (SELECT coalesce(max(bin) + 1, 0) AS low FROM c, s, t WHERE bin < top AND n < bar / 2)
+SELECT round(any_value(lo + (hi - lo) / 60 * m), 4) AS height, any_value(n)::BIGINT AS n FROM e, (SELECT sum(n * (bin + 0.5)) / sum(n) AS m, sum(n) AS n FROM c, t, f WHERE bin BETWEEN low AND top) HAVING any_value(n) IS NOT NULL
+"""
+
+
 def footprint(spark, d):
     out = A.footprint(points(spark, d), "x", "y")
     return out.select(*[F.round(c, 5).alias(c) for c in ("extent_u", "extent_v", "area")], "cells")
@@ -293,10 +302,21 @@ def scale_decisions(spark, d):
     return both.withColumn("s", decided).select("part", F.round("s.scale", 5).alias("scale"), "s.applied", "s.reason")
 
 
+DECISIONS = f"""
+WITH {POINTS_SQL}, {_RATIO},
+g AS (SELECT frame % 20 AS part, median(ratio) AS ratio, CASE WHEN count(*) >= 2 THEN stddev_pop(ratio) / avg(ratio) ELSE 'infinity'::DOUBLE END AS variation, count(*) AS frames FROM s GROUP BY 1),
+b AS (SELECT g.part, g.part / 10 AS geometric, g.frames * 100 AS support, CASE WHEN g.ratio > 0 AND p.ratio > 0 THEN g.ratio / p.ratio END AS metric,
+      g.variation < 0.15 AND coalesce(p.variation, 'infinity'::DOUBLE) < 0.15 AS steady FROM g LEFT JOIN g p ON p.part + 1 = g.part),
+z AS (SELECT *, CASE WHEN metric IS NULL THEN 'anchor_unavailable' WHEN NOT steady THEN 'within_submap_cov_high' WHEN geometric <= 0 THEN 'geom_degenerate'
+      WHEN abs(ln(metric / geometric)) < 0.5 THEN 'agree' WHEN support < 400 THEN 'disagree_thin_overlap' ELSE 'disagree_rich_overlap' END AS reason FROM b)
+SELECT part, round(CASE WHEN applied THEN metric ELSE geometric END, 5) AS scale, applied, reason FROM (SELECT *, reason IN ('geom_degenerate', 'agree', 'disagree_thin_overlap') AS applied FROM z)
+"""
+
+
 QUERIES = {f.__name__: f for f in (robust_bounds, voxel_counts, voxel_noise, first_in_voxel, lod_choice, lod_uniform, lod_importance, inside_box, confident_points, visible, block_medians, frame_ratios, group_ratios, gated_ratios, price_histogram, shelf, footprint, moments_by_frame, occupancy, free_regions, reach_steps, clusters, main_plane, boxes_by_frame, neighbours, part_neighbours, scale_decisions)}
 
 ORACLES = {
     "robust_bounds": BOUNDS, "voxel_counts": VOXELS, "voxel_noise": NOISE, "first_in_voxel": FIRST, "inside_box": BOX, "confident_points": CONFIDENT, "visible": VISIBLE,
-    "block_medians": BLOCKS, "frame_ratios": RATIOS, "group_ratios": GROUPS, "gated_ratios": GATED, "price_histogram": HIST, "footprint": FOOTPRINT, "moments_by_frame": MOMENTS,
+    "block_medians": BLOCKS, "frame_ratios": RATIOS, "group_ratios": GROUPS, "gated_ratios": GATED, "price_histogram": HIST, "footprint": FOOTPRINT, "shelf": SHELF, "scale_decisions": DECISIONS, "moments_by_frame": MOMENTS,
     "occupancy": OCCUPANCY, "free_regions": REGIONS, "reach_steps": REACH, "neighbours": NEIGHBOURS, "part_neighbours": PART_NEIGHBOURS, "lod_uniform": LOD_UNIFORM, "lod_importance": LOD_IMPORTANCE,
 }

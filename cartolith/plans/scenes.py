@@ -252,6 +252,18 @@ def resampled_paths(spark, d):
     return out.groupBy("user_id").agg(F.count("*").alias("n"), _r(F.sum("x"), "x", 3), _r(F.sum("y"), "y", 3), _r(F.max_by("y", "sample"), "last", 4))
 
 
+RESAMPLED = """
+WITH e AS (SELECT user_id, ts, event_id, epoch_us(ts) % 86400000000 / 3.6e9 AS x, value AS y FROM events WHERE value IS NOT NULL),
+m AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS d FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(d) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM m),
+a AS (SELECT user_id, s, x, y, lead(s) OVER w AS s2, lead(x) OVER w AS x2, lead(y) OVER w AS y2, max(s) OVER (PARTITION BY user_id) AS total FROM r WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, greatest(round_even(total / 40, 0)::BIGINT + 1, 2) AS n FROM a), h AS (SELECT *, total / (n - 1) AS gap FROM g WHERE s2 > s),
+k AS (SELECT *, unnest(range(ceil(s / gap - 1e-9)::BIGINT, CASE WHEN s2 = total THEN n ELSE ceil(s2 / gap - 1e-9)::BIGINT END)) AS i FROM h),
+t AS (SELECT *, least(greatest((i * gap - s) / (s2 - s), 0), 1) AS t FROM k)
+SELECT user_id, count(*) AS n, round(sum(x + t * (x2 - x)), 3) + 0.0 AS x, round(sum(y + t * (y2 - y)), 3) + 0.0 AS y, round(arg_max(y + t * (y2 - y), i), 4) + 0.0 AS last FROM t GROUP BY 1
+"""
+
+
 def timeline_spread(spark, d):
     return T.spread_positions(table(spark, d, "events").select("event_id", "ts"), ["ts", "event_id"], 13).select("event_id")
 
@@ -403,5 +415,5 @@ SELECT user_id, last_seq, last_batch, (SELECT max(t) FROM e) - last > 7200 AS id
 QUERIES = {f.__name__: f for f in (frame_budget, cited, related_terms, mentioned_terms, scene_lookup, focused, tool_calls, spend_ceiling, layer_changes, latest_records, trusted_suppliers, best_crops, lifted_tracks, depth_windows, body_measures, resampled_paths, timeline_spread, matching_frames, fed_numbers, splat_clamp, level_plans, seen_clusters, nearest_things, cloud_facts, log_and_sessions)}
 ORACLES = {
     "frame_budget": BUDGET, "cited": CITED, "related_terms": RELATED, "mentioned_terms": MENTIONED, "scene_lookup": LOOKUP, "focused": FOCUSED, "tool_calls": CALLS, "spend_ceiling": CEILING, "layer_changes": CHANGES, "latest_records": LATEST, "trusted_suppliers": TRUSTED,
-    "best_crops": CROPS, "lifted_tracks": LIFTED, "depth_windows": WINDOWS, "body_measures": BODIES, "timeline_spread": SPREAD, "matching_frames": MATCHING, "fed_numbers": FED, "splat_clamp": CLAMP, "level_plans": LEVELS, "seen_clusters": SEEN, "nearest_things": NEAREST, "cloud_facts": FACTS, "log_and_sessions": LOGS,
+    "best_crops": CROPS, "lifted_tracks": LIFTED, "depth_windows": WINDOWS, "body_measures": BODIES, "timeline_spread": SPREAD, "resampled_paths": RESAMPLED, "matching_frames": MATCHING, "fed_numbers": FED, "splat_clamp": CLAMP, "level_plans": LEVELS, "seen_clusters": SEEN, "nearest_things": NEAREST, "cloud_facts": FACTS, "log_and_sessions": LOGS,
 }
