@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cartolith.functions import geometry as G
 from cartolith.functions.time import micros
 from cartolith.operators.shared import exact_percentiles
+from cartolith.operators.tracks import numbered_rows
 
 
 def robust_bounds(points: DataFrame, position: tuple[str, ...], low: float = 0.02, high: float = 0.98, key: list[str] | None = None) -> DataFrame:
@@ -141,8 +142,7 @@ def consistency(pairs: DataFrame, a: tuple[str, str, str], b: tuple[str, str, st
     out["scale"] = s
     if out["n"] > window:
         step = max(1, window // 2)
-        at = (F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)) - 1).cast("long")  # one trajectory: its points have one order
-        placed = pairs.withColumn("__at", at)
+        placed = numbered_rows(pairs, order)[0].withColumnRenamed("position", "__at")
         first, last = F.greatest(F.lit(0), F.ceil((F.col("__at") - window + 1) / step)), F.least(F.floor(F.col("__at") / step), F.lit((out["n"] - window) // step))
         spans = placed.withColumn("__window", F.explode(F.when(first <= last, F.sequence(first.cast("long"), last.cast("long")))))
 

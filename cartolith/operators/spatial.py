@@ -275,12 +275,13 @@ def fuse(detections: DataFrame, confidence: str = "confidence", order: str = "or
     flat = good.select("label", F.col("__run").alias("run"), *[F.col("center")[i].cast("double").alias(f"c{i}") for i in range(3)], *[F.col("__e")[i].cast("double").alias(f"e{i}") for i in range(3)], F.col(confidence).cast("double").alias("conf"), F.col(order).cast("long").alias("ord"))
 
     def group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, reps, ids = None, np.empty((0, 6)), []
+        now, held, ids = None, np.empty((64, 6)), []  # held: the first members' boxes, as many as there are ids, and room
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
                 if (r.label, r.run) != now:
-                    now, reps, ids = (r.label, r.run), np.empty((0, 6)), []
+                    now, ids = (r.label, r.run), []
+                reps = held[: len(ids)]
                 box = np.array([r.c0, r.c1, r.c2, r.e0, r.e1, r.e2])
                 if len(reps):
                     off = np.abs(reps[:, :3] - box[:3])
@@ -289,7 +290,10 @@ def fuse(detections: DataFrame, confidence: str = "confidence", order: str = "or
                     if len(hit):
                         out.append(ids[hit[0]])
                         continue
-                reps, ids = np.vstack([reps, box]), [*ids, r.ord]
+                if len(ids) == len(held):
+                    held = np.concatenate([held, np.empty_like(held)])
+                held[len(ids)] = box
+                ids.append(r.ord)
                 out.append(r.ord)
             yield b.assign(rep=out)[["label", "ord", "conf", "c0", "c1", "c2", "e0", "e1", "e2", "rep"]]
 
