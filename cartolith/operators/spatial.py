@@ -88,8 +88,10 @@ def decimated(splats: DataFrame, target: int, order: str, side: float, importanc
     return lod(splats, target, order, side, importance, **how).withColumns({c: F.greatest(F.col(c), F.lit(least)) for c in scales})
 
 
-def plane(points: DataFrame, order: str, threshold: float, hypotheses: int = 256, sample: int = 20_000, position: tuple[str, str, str] = P) -> dict | None:
-    """The dominant plane: point, normal, inliers; None if no three points span one.
+def plane(points: DataFrame, order: str, threshold: float, hypotheses: int = 256, sample: int = 20_000, position: tuple[str, str, str] = P, up: tuple[float, float, float] | None = None, lean: float = 0.2) -> dict | None:
+    """The dominant plane: point, normal, inliers, spread (variances along its two axes, the larger first); None if no three points span one.
+
+    up: only planes count whose normal has less than lean along that unit vector, upright ones.
 
     Planes through seeded triples of a bounded sample are scored against that sample in one job; the best is
     then refitted to all its inliers from their moments. Only triples and moments reach the driver."""
@@ -102,6 +104,8 @@ def plane(points: DataFrame, order: str, threshold: float, hypotheses: int = 256
     normals = np.cross(trios[:, 1] - trios[:, 0], trios[:, 2] - trios[:, 0])
     size = np.linalg.norm(normals, axis=1)
     good = size > 1e-12
+    if up is not None:
+        good &= np.abs(normals @ np.array(up, float)) < lean * size
     if not good.any():
         return None
     planes = [(*map(float, n / s), float(n / s @ t[0])) for n, s, t in zip(normals[good], size[good], trios[good], strict=True)]
@@ -117,11 +121,12 @@ def plane(points: DataFrame, order: str, threshold: float, hypotheses: int = 256
         m = points.filter(F.abs(a * x + b * y + c * z - d) <= threshold).agg(F.count("*").alias("n"), *[F.avg(p).alias(f"m{i}") for i, p in enumerate((x, y, z))], *[F.covar_pop(p, q).alias(f"c{i}{j}") for i, p in enumerate((x, y, z)) for j, q in enumerate((x, y, z)) if i <= j]).first()
         if m["n"] < 3:
             return None
-        normal = np.linalg.eigh(np.array([[m[f"c{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)]))[1][:, 0]
+        spread, axes = np.linalg.eigh(np.array([[m[f"c{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)]))
+        normal = axes[:, 0]
         normal = normal * (-1.0 if normal[np.abs(normal).argmax()] < 0 else 1.0)
         at = np.array([m["m0"], m["m1"], m["m2"]])
         (a, b, c), d = map(float, normal), float(normal @ at)
-    return {"point": at.tolist(), "normal": normal.tolist(), "inliers": m["n"]}
+    return {"point": at.tolist(), "normal": normal.tolist(), "inliers": m["n"], "spread": [max(0.0, float(spread[2])), max(0.0, float(spread[1]))]}
 
 
 def planes(points: DataFrame, order: str, threshold: float, most: int = 6, least: int = 50, position: tuple[str, str, str] = P) -> list[dict]:
