@@ -275,7 +275,7 @@ def sketches(docs: DataFrame, shingle: int, longs: int = 4) -> DataFrame:
     names = [f"f{i}" for i in range(longs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             ids, fps = [], []
             for t in byte_rows(b, "text"):
                 joined, found = shingles(t, shingle)
@@ -498,7 +498,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     marks = docs.sparkSession.sparkContext.broadcast(_marks(wanted))
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             joined = [b" ".join((t or b"").lower().split()) for t in byte_rows(b, "text")]
             own = np.array([xxhash.xxh64_intdigest(j, 7) for j in joined], np.uint64).view(np.int64)
             place = own % WANTED_BITS
@@ -506,7 +506,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(joined, pa.binary())], ["text_id", "words"]).filter(some)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             found = [np.sort(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(t, shingle)[1]], np.uint64)).tobytes() for t in byte_rows(b, "words")]
             yield pa.RecordBatch.from_arrays([b.column("text_id"), pa.array(found, pa.binary())], ["text_id", "shingles"])
 
@@ -518,7 +518,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have at least that Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             keep = []
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
