@@ -29,6 +29,25 @@ def _r(c, name, digits=6):
     return (F.round(c, digits) + F.lit(0.0)).alias(name)
 
 
+def _scaled(c, name, digits=6):
+    """Rounded as SQL does it: the product with a power of ten is, so that ties are told by the double and not by its shortest text."""
+    power = F.lit(10.0**digits)
+    return (F.round(c * power) / power + F.lit(0.0)).alias(name)
+
+
+def _cube(x):
+    """x ** 3, rounded once: Spark's pow and the C library's differ in the last bit now and then."""
+    def product(a, b):
+        # Dekker: the product and its rounding error
+        parts = [(v * 134217729.0 - (v * 134217729.0 - v), v) for v in (a, b)]
+        (ah, bh), (al, bl) = [h for h, _ in parts], [v - h for h, v in parts]
+        return a * b, ((ah * bh - a * b) + ah * bl + al * bh) + al * bl
+
+    square, off = product(x, x)
+    cube, more = product(square, x)
+    return cube + (more + off * x)
+
+
 def rotated_vectors(spark, d):
     """b under the rotation of a quaternion made of a, its determinant, and the quaternion that comes back from it."""
     v = _vectors(spark, d)
@@ -180,15 +199,16 @@ SELECT p_partkey, CASE WHEN l = 0 THEN 'singular' WHEN l < 0 THEN 'negative dete
 def asset_fits(spark, d):
     """Assets of three sizes put into boxes of three others, with the tier that the fit earns."""
     v = _vectors(spark, d)
-    size = F.array(v.p_size * 0.1, (v.p_partkey % 9 + 1.0), v.p_retailprice / 500)
-    fit = P.asset_fit(P.constant(0, 0, 0), size, P.constant(1, 2, 3), F.array(F.lit(2.0), v.p_size * 0.2, F.lit(1.0)), P.constant(*P.IDENTITY), P.constant(0, 0, 1))
+    # tenths are divisions of whole numbers, which round once, as SQL's decimals do
+    size = F.array(v.p_size / 10, (v.p_partkey % 9 + 1.0), v.p_retailprice / 500)
+    fit = P.asset_fit(P.constant(0, 0, 0), size, P.constant(1, 2, 3), F.array(F.lit(2.0), v.p_size / 5, F.lit(1.0)), P.constant(*P.IDENTITY), P.constant(0, 0, 1))
     v = v.withColumns({"size": size, "fit": fit})
     size, fit = v["size"], v["fit"]
-    volume = lambda a: a[0] * a[1] * a[2]
-    ratio = volume(fit["fitted"]) / (2.0 * v.p_size * 0.2)
+    longest = F.sort_array(size, asc=False)
+    ratio = _cube(fit["scale"]) * longest[0] * longest[1] * longest[2] / (v.p_size * 4 / 10)
     # the asset's bottom meets the box's: which of its sizes stands along z shows in the translation
     middle = [sum((fit["rotation"][3 * i + k] * size[k] * fit["scale"] / 2 for k in (1, 2)), fit["rotation"][3 * i] * size[0] * fit["scale"] / 2) + fit["translation"][i] for i in range(3)]
-    return v.select("p_partkey", _r(fit["scale"], "scale"), _r(ratio, "ratio"), _r(middle[0], "x"), _r(middle[1], "y"), P.fit_tier(F.lit(0.1) + (v.p_partkey % 4) / 10, ratio).alias("tier"))
+    return v.select("p_partkey", _scaled(fit["scale"], "scale"), _scaled(ratio, "ratio"), _scaled(middle[0], "x"), _scaled(middle[1], "y"), P.fit_tier(F.lit(0.1) + (v.p_partkey % 4) / 10, ratio).alias("tier"))
 
 
 FITS = """
