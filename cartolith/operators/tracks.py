@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cartolith.functions import geometry as G
-from cartolith.functions.placing import correlation
-from cartolith.operators.shared import kept, with_each
+from cartolith.operators.pairs import best_pairs
+from cartolith.operators.shared import kept
 
 
 def lifted(samples: DataFrame, cameras: DataFrame) -> DataFrame:
@@ -143,9 +143,10 @@ def smoothed(rows: DataFrame, key: str, ts: str, value: str, cutoff: float = 1.0
 
 
 def matched_frames(queries: DataFrame, frames: DataFrame, least: float) -> DataFrame:
-    """query, frame, corr: the frame whose samples correlate best with the query's; none below least. frames is a bounded set of candidates."""
-    both = with_each(queries.select("query", F.col("samples").alias("a")), frames.select("frame", F.col("samples").alias("b")))
-    scored = both.withColumn("corr", correlation(F.col("a"), F.col("b"))).filter(F.col("corr") >= least)
+    """query, frame, corr: the frame whose samples correlate best with the query's; none below least; ties to the smaller frame."""
+    named = frames.select(F.col("frame").alias("id"), F.col("samples").alias("vector"))
+    best = best_pairs(named, queries.select(F.col("query").alias("query_id"), F.col("samples").alias("query")), [], 1, "correlation", least, False)
+    scored = best.select(F.col("query_id").alias("query"), F.col("id").alias("frame"), F.col("score").alias("corr"))
     return scored.groupBy("query").agg(F.max_by("frame", F.struct("corr", -F.col("frame"))).alias("frame"), F.max("corr").alias("corr"))
 
 
