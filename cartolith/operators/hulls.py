@@ -1,23 +1,23 @@
 """Convex hulls as an aggregate that can be merged, and boxes of least area around clusters.
 
-A hull of hulls is the hull of all their points. Each task reduces the points that it reads to one hull a key,
-then a key's hulls are merged in several tasks, and last in one, which by then gets a few corners from each of
-these: a key may hold a third of all points.
+A hull of hulls is the hull of all their points. Each task drops, for all keys at once, the points well inside the
+outermost ones of their key in eight directions, and takes hulls of keys that still have many. What stays of a key,
+a few corners from each task, meets in one: a key may hold a third of all points.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolith.operators.shared import width
 
-#: Corners that a task holds before it passes them on, tasks that share a key's hulls, and edges that are tried at once.
-HELD, SALTS, EDGES = 500_000, 16, 256
+#: Rows that a task takes at once, corners of a key past which a task takes their hull, and edges that are tried at once.
+HELD, MANY, EDGES = 500_000, 256, 256
 
 
 def hull(points: np.ndarray) -> np.ndarray:
@@ -48,36 +48,108 @@ def hull(points: np.ndarray) -> np.ndarray:
     return np.array(chain(rows) + chain(rows[::-1]))
 
 
+def _outer(x: np.ndarray, y: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which points may be corners of their group's hull, for groups that begin at start: those not well inside the outermost ones in eight directions."""
+    size = np.diff(np.append(start, len(x)))
+    of = np.repeat(np.arange(len(start)), size)
+    ring = []
+    for turn in np.arange(8) * np.pi / 4:
+        off = np.cos(turn) * x + np.sin(turn) * y
+        most = np.flatnonzero(off == np.maximum.reduceat(off, start)[of])
+        ring.append(most[np.unique(of[most], return_index=True)[1]])  # the first of equal ones
+    scale = np.maximum.reduceat(np.maximum(np.abs(x), np.abs(y)), start)
+    inside, edges = np.ones(len(x), bool), np.zeros(len(start), np.int64)
+    for a, b in zip(ring, [*ring[1:], ring[0]], strict=True):
+        ex, ey = x[b] - x[a], y[b] - y[a]
+        least = 1e-9 * np.maximum(np.abs(ex), np.abs(ey)) * scale
+        edges += (ex != 0) | (ey != 0)
+        real = ((ex != 0) | (ey != 0))[of]
+        inside &= ~real | (ex[of] * (y - y[a][of]) - ey[of] * (x - x[a][of]) > least[of])
+    return ~inside | (edges < 3)[of]
+
+
 def _part_hulls(points: DataFrame, keys: list[str], x: Column, y: Column) -> DataFrame:
-    """keys, x, y: the corners of hulls of parts of each key's points, SALTS parts or little more."""
+    """keys, x, y: points among which are the corners of each key's hull, a few from each task."""
     rows = points.select(*keys, x.cast("double").alias("x"), y.cast("double").alias("y")).filter("abs(x) < double('infinity') AND abs(y) < double('infinity')")
 
-    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = None, 0
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            both = b if held is None else pd.concat([held, b], ignore_index=True)
-            number = both.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
-            order = np.argsort(number, kind="stable")
-            cuts = np.flatnonzero(np.diff(number[order])) + 1
-            at = []
-            for part in np.split(order, cuts):
-                xy = both[["x", "y"]].to_numpy()[part]
-                corners = {tuple(c) for c in hull(xy).tolist()}
-                # the first row of each corner
-                own = [i for i, c in zip(part.tolist(), map(tuple, xy.tolist()), strict=True) if c in corners and not corners.discard(c)]
-                at += own
-            held, n = both.iloc[at], len(at)
-            if n > HELD:
-                yield held
-                held = None
-        if held is not None:
-            yield held
-
-    kinds = f"{_kinds(rows, keys)}x double, y double"
-    once = rows.mapInPandas(reduced, kinds)
-    parts = width(points.sparkSession)
-    salted = once.repartition(parts, *keys, F.pmod(F.xxhash64("x", "y"), F.lit(SALTS)))
-    return salted.mapInPandas(reduced, kinds)
+            held.append(b)
+            if sum(h.num_rows for h in held) >= HELD:
+                yield from thinned(held)
+                held = []
+        yield from thinned(held)
+
+    def thinned(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if sum(b.num_rows for b in held):
+            both = pa.Table.from_batches(held)
+            order, start = _by_key(both, keys)
+            x, y = (both.column(c).to_numpy()[order] for c in "xy")
+            stay = np.flatnonzero(_outer(x, y, start))
+            ends = np.searchsorted(stay, np.append(start, len(x)))
+            parts = []
+            for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                part = stay[s:e]
+                parts.append(part if len(part) <= MANY else part[_corners(x[part], y[part])])
+            yield from both.take(pa.array(order[np.concatenate(parts)])).to_batches()
+
+    return rows.mapInArrow(reduced, f"{_kinds(rows, keys)}x double, y double")
+
+
+def _corners(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the first point at each corner of the hull."""
+    corners = {tuple(c) for c in hull(np.stack([x, y], axis=1)).tolist()}
+    return np.array([i for i, c in enumerate(zip(x.tolist(), y.tolist(), strict=True)) if c in corners and not corners.discard(c)])
+
+
+def _by_key(rows: pa.Table, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in order of their key, and where each key begins."""
+    number = rows.select(keys).to_pandas().groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+    order = np.argsort(number, kind="stable")
+    return order, np.flatnonzero(np.append(True, np.diff(number[order]) != 0))
+
+
+def _of_hulls(parts: DataFrame, keys: list[str], found: Callable[[np.ndarray], dict[str, list]], kinds: str) -> DataFrame:
+    """keys and the columns that found() makes of the hull of each key's points, many keys in one task."""
+    names = [k.split()[0] for k in kinds.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        for b in (*batches, None):
+            if b is not None and b.num_rows:
+                same = kept and all(kept[0].column(c)[0] == b.column(c)[-1] or not kept[0].column(c)[0].is_valid and not b.column(c)[-1].is_valid for c in keys)
+                kept.append(b)
+                if same:
+                    continue
+            elif b is not None or not kept:
+                continue
+            both = pa.Table.from_batches(kept)
+            order, start = _by_key(both, keys)
+            if b is not None:  # the last key may go on
+                kept = both.slice(int(start[-1])).combine_chunks().to_batches()
+                order, start = order[: start[-1]], start[:-1]
+            if not len(start):
+                continue
+            x, y = (both.column(c).to_numpy()[order] for c in "xy")
+            stay = np.flatnonzero(_outer(x, y, start))
+            ends = np.searchsorted(stay, np.append(start, len(x)))
+            made: dict[str, list] = {c: [] for c in names}
+            at: list[int] = []
+            for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                part = stay[s:e]
+                more = found(hull(np.stack([x[part], y[part]], axis=1)))
+                at += [int(order[part[0]])] * len(more[names[0]])
+                for c in names:
+                    made[c] += more[c]
+            own = both.select(keys).take(pa.array(at, pa.int64()))
+            out = pa.table({**{c: own.column(c) for c in keys}, **{c: pa.array(made[c], t) for c, t in zip(names, types, strict=True)}})
+            yield from out.combine_chunks().to_batches()
+
+    of = {"int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+    types = [of[k.split()[1]] for k in kinds.split(", ")]
+    dealt = parts.repartition(width(parts.sparkSession), *keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, f"{_kinds(parts, keys)}{kinds}")
 
 
 def _kinds(df: DataFrame, keys: list[str]) -> str:
@@ -89,13 +161,10 @@ def hulls(points: DataFrame, keys: list[str], x: Column, y: Column) -> DataFrame
 
     Points without a finite x and y don't count; null keys are a key."""
 
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        corners = hull(pdf[["x", "y"]].to_numpy())
-        out = pd.concat([pdf.iloc[:1][keys]] * len(corners), ignore_index=True)
-        return out.assign(place=range(len(corners)), x=corners[:, 0], y=corners[:, 1])
+    def corners(c: np.ndarray) -> dict[str, list]:
+        return {"place": list(range(len(c))), "x": c[:, 0].tolist(), "y": c[:, 1].tolist()}
 
-    parts = _part_hulls(points, keys, x, y)
-    return parts.groupBy(*keys).applyInPandas(merged, f"{_kinds(parts, keys)}place int, x double, y double")
+    return _of_hulls(_part_hulls(points, keys, x, y), keys, corners, "place int, x double, y double")
 
 
 def least_box(corners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,14 +196,15 @@ def yaw_boxes(points: DataFrame, keys: list[str], position: tuple[str, str, str]
     dot = lambda a: sum((F.col(c).cast("double") * float(v) for c, v in zip(position, a, strict=True)), F.lit(0.0))
     good = points.filter(" AND ".join(f"abs(cast(`{c}` as double)) < double('infinity')" for c in position))
     heights = good.groupBy(*keys).agg(F.count("*").alias("points"), F.min(dot(u)).alias("low"), F.max(dot(u)).alias("high"))
-    def boxed(pdf: pd.DataFrame) -> pd.DataFrame:
-        way, low, high = least_box(hull(pdf[["x", "y"]].to_numpy()))
+
+    def boxed(corners: np.ndarray) -> dict[str, list]:
+        way, low, high = least_box(corners)
         a1 = way[0] * e1 + way[1] * e2
         found = [*((low + high) / 2).tolist(), *(high - low).tolist(), a1.tolist(), np.cross(u, a1).tolist()]
-        return pdf.iloc[:1][keys].assign(**{c: [v] for c, v in zip(("m1", "m2", "s1", "s2", "a1", "a2"), found, strict=True)})
+        return {c: [v] for c, v in zip(("m1", "m2", "s1", "s2", "a1", "a2"), found, strict=True)}
 
     parts = _part_hulls(good, keys, dot(e1), dot(e2))
-    boxes = parts.groupBy(*keys).applyInPandas(boxed, f"{_kinds(parts, keys)}m1 double, m2 double, s1 double, s2 double, a1 array<double>, a2 array<double>")
+    boxes = _of_hulls(parts, keys, boxed, "m1 double, m2 double, s1 double, s2 double, a1 array<double>, a2 array<double>")
     same = [heights[c].eqNullSafe(boxes[c]) for c in keys]
     both = heights.join(boxes, same)
     up_axis = F.array(*[F.lit(float(v)) for v in u])

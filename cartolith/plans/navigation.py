@@ -9,7 +9,7 @@ from cartolith.operators import hulls as H
 from cartolith.operators import routes as R
 from cartolith.operators import tables as T
 from cartolith.plans.points import _CELLS, _DISK, _grid
-from cartolith.plans.tables import POINTS_SQL, points, table
+from cartolith.plans.tables import POINTS_SQL, points, rounded, table
 
 
 def _floor(spark, d):
@@ -61,8 +61,8 @@ def route_way_points(spark, d):
 
 def yaw_boxes(spark, d):
     out = H.yaw_boxes(points(spark, d), ["frame"], ("x", "y", "z"))
-    sides = [F.round(f(F.col("extents")[0], F.col("extents")[1]), 4) for f in (F.greatest, F.least)]
-    return out.select("frame", "points", sides[0].alias("long"), sides[1].alias("short"), F.round(F.col("extents")[2], 4).alias("height"), F.round(F.col("extents")[0] * F.col("extents")[1], 3).alias("area"))
+    sides = [rounded(f(F.col("extents")[0], F.col("extents")[1]), 4) for f in (F.greatest, F.least)]
+    return out.select("frame", "points", sides[0].alias("long"), sides[1].alias("short"), rounded(F.col("extents")[2], 4).alias("height"), rounded(F.col("extents")[0] * F.col("extents")[1], 3).alias("area"))
 
 
 # quantities are whole numbers: a hull's corners are the lowest and the highest points of them

@@ -9,7 +9,7 @@ from cartolith.functions import geometry as G
 from cartolith.functions import placing as P
 from cartolith.operators import scene as S
 from cartolith.operators import folds
-from cartolith.plans.tables import table
+from cartolith.plans.tables import rounded, table
 
 #: Vectors of a part: a and b, neither of length 0.
 _A, _B = ("p_size - 25.5", "p_retailprice / 1000", "p_partkey % 7 - 3.0"), ("p_partkey % 11 - 5.5", "1.0", "p_size / 10")
@@ -29,12 +29,6 @@ def _r(c, name, digits=6):
     return (F.round(c, digits) + F.lit(0.0)).alias(name)
 
 
-def _scaled(c, name, digits=6):
-    """Rounded as SQL does it: the product with a power of ten is, so that ties are told by the double and not by its shortest text."""
-    power = F.lit(10.0**digits)
-    return (F.round(c * power) / power + F.lit(0.0)).alias(name)
-
-
 def _cube(x):
     """x ** 3, rounded once: Spark's pow and the C library's differ in the last bit now and then."""
     def product(a, b):
@@ -208,7 +202,7 @@ def asset_fits(spark, d):
     ratio = _cube(fit["scale"]) * longest[0] * longest[1] * longest[2] / (v.p_size * 4 / 10)
     # the asset's bottom meets the box's: which of its sizes stands along z shows in the translation
     middle = [sum((fit["rotation"][3 * i + k] * size[k] * fit["scale"] / 2 for k in (1, 2)), fit["rotation"][3 * i] * size[0] * fit["scale"] / 2) + fit["translation"][i] for i in range(3)]
-    return v.select("p_partkey", _scaled(fit["scale"], "scale"), _scaled(ratio, "ratio"), _scaled(middle[0], "x"), _scaled(middle[1], "y"), P.fit_tier(F.lit(0.1) + (v.p_partkey % 4) / 10, ratio).alias("tier"))
+    return v.select("p_partkey", rounded(fit["scale"]).alias("scale"), rounded(ratio).alias("ratio"), rounded(middle[0]).alias("x"), rounded(middle[1]).alias("y"), P.fit_tier(F.lit(0.1) + (v.p_partkey % 4) / 10, ratio).alias("tier"))
 
 
 FITS = """
