@@ -29,13 +29,30 @@ def _inside() -> Column:
     return F.coalesce((F.col("u") >= 0) & (F.col("u") < F.col("width")) & (F.col("v") >= 0) & (F.col("v") < F.col("height")), F.lit(False))
 
 
+def poses(views: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Views of which no two see the same, each the earliest of those that do, and (view, member): the views that each stands for."""
+    alike = views.groupBy(*VIEW[1:]).agg(F.min("view").alias("view"), F.collect_list("view").alias("members"))
+    return alike.select(*VIEW), alike.select("view", F.explode("members").alias("member"))
+
+
+def places(points: DataFrame, *keys: str) -> DataFrame:
+    """keys, x, y, z, n: the distinct points and how many there are of each."""
+    return points.groupBy(*keys, "x", "y", "z").agg(F.count("*").alias("n"))
+
+
+def _share() -> Column:
+    """The share of points that are inside."""
+    return F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).cast("double") / F.sum("n")
+
+
 def cluster_views(points: DataFrame, views: DataFrame, cluster: str = "cluster") -> DataFrame:
     """cluster, view, box (x0, y0, x1, y1), inside_frac (of the points in front), area and median depth, where a view sees any of a cluster."""
-    rows = seen(points.select(cluster, "x", "y", "z"), views).filter("depth IS NOT NULL").withColumn("inside", _inside())
+    few, members = poses(views)
+    rows = seen(places(points, cluster), few).filter("depth IS NOT NULL").withColumn("inside", _inside())
     within = lambda f, c: f(F.when(F.col("inside"), F.col(c)))
-    out = rows.groupBy(cluster, "view").agg(F.avg(F.col("inside").cast("double")).alias("inside_frac"), F.median("depth").alias("depth"), *[within(f, c).alias(n) for n, f, c in (("x0", F.min, "u"), ("y0", F.min, "v"), ("x1", F.max, "u"), ("y1", F.max, "v"))]).filter("inside_frac > 0")
+    out = rows.groupBy(cluster, "view").agg(_share().alias("inside_frac"), F.percentile("depth", F.lit(0.5), F.col("n")).alias("depth"), *[within(f, c).alias(n) for n, f, c in (("x0", F.min, "u"), ("y0", F.min, "v"), ("x1", F.max, "u"), ("y1", F.max, "v"))]).filter("inside_frac > 0")
     area = F.greatest(F.col("x1") - F.col("x0"), F.lit(1.0)) * F.greatest(F.col("y1") - F.col("y0"), F.lit(1.0))
-    return out.select(cluster, "view", F.array("x0", "y0", "x1", "y1").alias("box"), "inside_frac", area.alias("area"), "depth")
+    return out.join(members, "view").select(cluster, F.col("member").alias("view"), F.array("x0", "y0", "x1", "y1").alias("box"), "inside_frac", area.alias("area"), "depth")
 
 
 def best_views(hits: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -49,14 +66,17 @@ def view_basis(points: DataFrame, views: DataFrame) -> DataFrame:
 
     views' c2w are read as they are for opencv, and with y and z turned for opengl."""
     turned = F.transform("c2w", lambda x, i: F.when((i < 12) & ((i % 4 == 1) | (i % 4 == 2)), -x).otherwise(x))
-    rows = [seen(points.select("x", "y", "z"), views.withColumn("c2w", turned) if basis == "opengl" else views).withColumn("inside", _inside()).groupBy("view").agg(F.avg(F.col("inside").cast("double")).alias("share")).agg(F.max("share").alias("share")).select(F.lit(basis).alias("basis"), F.lit(place).alias("place"), "share") for place, basis in enumerate(("opengl", "opencv"))]
+    points, views = places(points), poses(views)[0]
+    rows = [seen(points, views.withColumn("c2w", turned) if basis == "opengl" else views).withColumn("inside", _inside()).groupBy("view").agg(_share().alias("share")).agg(F.max("share").alias("share")).select(F.lit(basis).alias("basis"), F.lit(place).alias("place"), "share") for place, basis in enumerate(("opengl", "opencv"))]
     return rows[0].unionByName(rows[1]).orderBy(F.desc("share"), "place").select("basis", "share")
 
 
 def depth_picture(points: DataFrame, views: DataFrame) -> DataFrame:
     """view, row, col, depth: the nearest point of each pixel, pixels being rounded half to even."""
-    rows = seen(points.select("x", "y", "z"), views).filter("depth IS NOT NULL").select("view", F.bround("v").cast("int").alias("row"), F.bround("u").cast("int").alias("col"), "depth", "width", "height")
-    return rows.filter("row >= 0 AND row < height AND col >= 0 AND col < width").groupBy("view", "row", "col").agg(F.min("depth").alias("depth"))
+    few, members = poses(views)
+    rows = seen(places(points), few).filter("depth IS NOT NULL").select("view", F.bround("v").cast("int").alias("row"), F.bround("u").cast("int").alias("col"), "depth", "width", "height")
+    pixels = rows.filter("row >= 0 AND row < height AND col >= 0 AND col < width").groupBy("view", "row", "col").agg(F.min("depth").alias("depth"))
+    return pixels.join(members, "view").select(F.col("member").alias("view"), "row", "col", "depth")
 
 
 def nearest_wall(points: DataFrame, walls: DataFrame, id_col: str) -> DataFrame:

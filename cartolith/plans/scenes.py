@@ -8,6 +8,7 @@ from cartolith.operators import scene as S
 from cartolith.operators import splats as L
 from cartolith.operators import tracks as T
 from cartolith.operators import views as V
+from cartolith.operators.shared import kept
 from cartolith.plans.tables import OBJECTS_SQL, objects, table
 
 
@@ -338,8 +339,9 @@ def seen_clusters(spark, d):
     eye = [F.col("s_suppkey") % 4 * 1.0, F.col("s_suppkey") % 3 * 1.0, F.lit(-2.0) - F.col("s_suppkey") % 5]
     pose = F.array(*[c.cast("double") for i in range(3) for c in (*[F.lit(float(i == k)) for k in range(3)], eye[i])], *[F.lit(float(k == 3)) for k in range(4)])
     v = table(spark, d, "supplier").select(F.col("s_suppkey").alias("view"), pose.alias("c2w"), F.lit(90.0).alias("fx"), F.lit(90.0).alias("fy"), F.lit(160.0).alias("cx"), F.lit(120.0).alias("cy"), F.lit(320).alias("width"), F.lit(240).alias("height"))
-    best = V.best_views(V.cluster_views(p, v))
-    px = V.depth_picture(p, v).groupBy("view").agg(F.count("*").alias("pixels"), _r(F.sum("depth"), "total", 3))
+    best = kept(V.best_views(V.cluster_views(p, v)), "best-views")
+    # pictures of the views that are some cluster's best
+    px = V.depth_picture(p, v.join(best.select("view").distinct(), "view", "left_semi")).groupBy("view").agg(F.count("*").alias("pixels"), _r(F.sum("depth"), "total", 3))
     basis = V.view_basis(p, v).limit(1)
     return best.join(px, "view").crossJoin(F.broadcast(basis)).select("cluster", "view", _r("inside_frac", "inside_frac"), _r("area", "area", 3), _r("depth", "depth"), "pixels", "total", "basis", _r("share", "share"))
 
