@@ -10,17 +10,14 @@ verified from a moving pivot against members not yet reached: a dense bucket giv
 verified links, not all its pairs. Buckets past BLOCK members are dealt out as pairs of blocks.
 
 Texts of similarity 0.8 differ in about 15 % of a fingerprint's bits, far more than 3 of 64. near_dedup(),
-which links by similarity, therefore takes the same method with other sizes: fingerprints of 256 bits or more
-over five-word shingles, of which segments are indexed under their one-wildcard variants. Any one segment of
-two similar texts may differ in more than one bit, but hardly all of them. A segment's bits follow the number
+which links by similarity, therefore takes fingerprints of 256 bits or more over five-word shingles and many
+segments of them, of which some one is likely to be equal in two similar texts. A segment's bits follow the number
 of texts, so that a bucket holds few unrelated ones, and the number of segments follows from the bits and the
-wanted recall. Candidates are verified in three steps: by 64 bits outside all segments in the bucket, by all
-bits, and by the shingles themselves.
+wanted recall. Rows of a bucket carry the whole fingerprint: pairs that are too far apart by all bits never leave
+the task. The others are verified by the shingles themselves.
 
 Large groups of near copies would give all their pairs in every bucket. So most of such a group is joined first,
-by texts that share a whole segment and the middles of their neighbourhoods. In the buckets of the variants a text
-then meets the NEAREST members that aren't in its component yet. What it meets in all of its buckets together are
-its nearest texts, and so those that it would link to; pairs grow with the texts and not with a group's square.
+by the middles of neighbourhoods. Then all near pairs of texts of different components are offered in every bucket.
 """
 
 from __future__ import annotations
@@ -44,8 +41,12 @@ BLOCK = 20_000
 RECALL, LEAST_BITS = 0.95, 16
 #: Members up to which all pairs of a bucket are compared at once; buckets hold up to half as many unrelated texts on average. Near pairs a member that make a bucket dense.
 CROWD, DENSE = 64, 2
-#: Members of other components that a text meets in each of its buckets.
-NEAREST = 2
+#: Members of other components that a text meets in each of its buckets: all.
+NEAREST = 1 << 62
+#: Bits of a fingerprint that segments are made of; more of them share bits.
+MOST_BITS = 960
+#: Least longs of near_dedup()'s fingerprints.
+LONGS = 11
 #: Bits by which tasks tell texts that aren't wanted.
 WANTED_BITS = 1 << 26
 #: Nearest partners of a text that are verified first; others only if they would still join two components.
@@ -241,7 +242,7 @@ def sizes(n: int, similarity: float = 0.8, recall: float = RECALL) -> tuple[int,
     """How many segments of how many bits n texts take."""
     apart = _apart(similarity)
     bits = max(LEAST_BITS, math.ceil(math.log2(max(1, n))) + 2 - int(math.log2(CROWD)))
-    passes = (1 - apart) ** bits + bits * apart * (1 - apart) ** (bits - 1)
+    passes = (1 - apart) ** bits
     return math.ceil(math.log(1 - recall) / math.log(1 - passes)), bits
 
 
@@ -257,11 +258,18 @@ def near_bits(bits: int, similarity: float = 0.8) -> int:
 
 
 def wide_fingerprint(found: set[bytes], longs: int = 4) -> bytes:
-    """SimHash of 64 bits for each of an even number of longs over distinct shingles, each hashed by XXH3 with a seed for two longs."""
+    """SimHash of 64 bits for each of longs over distinct shingles, each hashed by XXH3 and, for each long, mixed as SplitMix64 does."""
     counts = np.zeros(64 * longs, np.int64)
-    hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, seed) for s in found for seed in range(1, longs // 2 + 1)]), np.uint8).reshape(-1, 8 * longs)
-    for at in range(0, len(hashes), 1 << 14):
-        counts += np.unpackbits(hashes[at : at + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
+    own = np.array([xxhash.xxh3_64_intdigest(s, 1) for s in found], np.uint64)
+    step = np.arange(1, longs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(own), 1 << 12):
+        z = own[at : at + (1 << 12), None] + step
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        bits = np.unpackbits(z.view(np.uint8), axis=1)
+        for part in range(0, len(bits), 255):  # sums of bytes, which are quick, stay within bytes
+            counts += bits[part : part + 255].sum(axis=0, dtype=np.uint8)
     return np.packbits(2 * counts > len(found)).tobytes()
 
 
@@ -270,7 +278,7 @@ def _longs(df: DataFrame) -> list[str]:
     return [f"f{i}" for i in range(sum(c[0] == "f" and c[1:].isdigit() for c in df.columns))]
 
 
-def sketches(docs: DataFrame, shingle: int, longs: int = 4) -> DataFrame:
+def sketches(docs: DataFrame, shingle: int, longs: int = LONGS) -> DataFrame:
     """doc_id, k1, k2 (which tell rows apart), text_id (a hash of the text's words) and f0, f1 and so on, its fingerprint, of each row."""
     names = [f"f{i}" for i in range(longs)]
 
@@ -289,44 +297,27 @@ def sketches(docs: DataFrame, shingle: int, longs: int = 4) -> DataFrame:
 
 
 def _segments(batch: pa.RecordBatch, names: list[str], segments: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprints (row, long) of a batch and their segments' bits (row, segment, bit)."""
+    """The fingerprints (row, long) of a batch and their segments' bits (row, segment, bit), none of the last 64; segments past the others' bits take these again in another order."""
     fp = np.ascontiguousarray(np.stack([batch.column(f).to_numpy() for f in names], axis=1))
-    return fp, np.unpackbits(fp.view(np.uint8), axis=1)[:, : segments * bits].reshape(-1, segments, bits)
+    flat = np.unpackbits(fp.view(np.uint8), axis=1)[:, :-64]
+    rounds = range(-(-segments * bits // flat.shape[1]))
+    at = np.concatenate([np.random.default_rng(r).permutation(flat.shape[1]) if r else np.arange(flat.shape[1]) for r in rounds])[: segments * bits]
+    return fp, flat[:, at].reshape(-1, segments, bits)
 
 
 def segment_keys(texts: DataFrame, segments: int, bits: int) -> DataFrame:
-    """key, check (the last 64 bits of the fingerprint, in no segment), text_id: each text's whole segments."""
+    """key, check (the last 64 bits of the fingerprint, in no segment), text_id, root if texts has it, and the fingerprint: each text's segments."""
     names = _longs(texts)
+    more = [c for c in ("text_id", "root") if c in texts.columns] + names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             fp, flat = _segments(b, names, segments, bits)
             key = np.arange(segments) << bits | flat.astype(np.int64) @ (1 << np.arange(bits))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(fp[:, -1], segments)), pa.array(np.repeat(b.column("text_id").to_numpy(), segments))], ["key", "check", "text_id"])
-
-    return texts.select("text_id", *names).mapInArrow(run, "key long, check long, text_id long")
-
-
-def segment_variants(texts: DataFrame, segments: int, bits: int) -> DataFrame:
-    """key, side, check (as in segment_keys()), text_id, root: the one-wildcard variants of each text's segments; texts has root, too.
-
-    side is the bit that is left out, 2 for a segment's first bit. Texts of one segment share all of its variants, texts that differ in one bit
-    a single one: pairs of one side need not be looked at in any but the first."""
-    names = _longs(texts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wild, each = np.arange(bits), segments * bits
-        for b in batches:
-            for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
-                fp, flat = _segments(part, names, segments, bits)
-                value = flat.astype(np.int64) @ (1 << wild)
-                key = (np.arange(segments)[:, None] * bits + wild) << bits | value[:, :, None] & ~(1 << wild)
-                side = flat.copy()
-                side[:, :, 0] = 2
-                rest = [np.repeat(x, each) for x in (fp[:, -1], part.column("text_id").to_numpy(), part.column("root").to_numpy())]
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(side.ravel().view(np.int8)), *map(pa.array, rest)], ["key", "side", "check", "text_id", "root"])
+            rest = [np.repeat(x, segments) for x in (fp[:, -1], *(b.column(c).to_numpy() for c in more))]
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *map(pa.array, rest)], ["key", "check", *more])
 
-    return texts.select("text_id", "root", *names).mapInArrow(run, "key long, side byte, check long, text_id long, root long")
+    return texts.select(*more).mapInArrow(run, "key long, check long, " + ", ".join(f"{c} long" for c in more))
 
 
 def _stars(check: np.ndarray, near: int) -> tuple[list[np.ndarray], list[np.ndarray], list[int]]:
@@ -365,23 +356,36 @@ def _near_pairs(key: np.ndarray, check: np.ndarray, near: int, usable) -> tuple[
     return np.concatenate(left), np.concatenate(right)
 
 
-def _pairs(text: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
-    """Distinct (a, b), a < b, of positions."""
-    pairs = text[np.stack([np.concatenate([np.empty(0, np.int64), *x]) for x in (left, right)])]
-    pairs = np.unique(np.sort(pairs, axis=0), axis=1)
+def _alike(fp: np.ndarray, x: np.ndarray, y: np.ndarray, most: float) -> np.ndarray:
+    """Whether positions differ in at most `most` bits of the fingerprint."""
+    out = np.empty(len(x), bool)
+    for at in range(0, len(x), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        out[part] = np.bitwise_count(fp[x[part]] ^ fp[y[part]]).sum(axis=1, dtype=np.int64) <= most
+    return out
+
+
+def _pairs(text: np.ndarray, left: list[np.ndarray], right: list[np.ndarray], fp: np.ndarray, most: float) -> pa.RecordBatch:
+    """Distinct (a, b), a < b, of positions that differ in at most `most` bits."""
+    left, right = (np.concatenate([np.empty(0, np.int64), *x]) for x in (left, right))
+    near = _alike(fp, left, right, most)
+    pairs = np.unique(np.sort(text[np.stack([left[near], right[near]])], axis=0), axis=1)
     pairs = pairs[:, pairs[0] != pairs[1]]
     return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
-def stars(index: DataFrame, near: int) -> DataFrame:
-    """(a, b): text_ids a < b of segment_keys() that share a key and differ in at most near bits of check, enough to join most of a group of near copies.
+def stars(index: DataFrame, near: int, most: float = math.inf) -> DataFrame:
+    """(a, b): text_ids a < b of segment_keys() that share a key and differ in at most near bits of check and most of all, enough to join most of a group of near copies.
 
     A bucket of up to CROWD members whose near pairs are no more than DENSE times its members gives all of them.
     Another one gives pairs with the middles of its neighbourhoods; one past BLOCK members is taken in blocks,
     each with the middles of those before."""
 
+    # check is the fingerprint's last long
+    names = _longs(index)[:-1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(key: np.ndarray, check: np.ndarray, text: np.ndarray) -> tuple[pa.RecordBatch, list[int]]:
+        def emit(key: np.ndarray, check: np.ndarray, text: np.ndarray, *longs: np.ndarray) -> tuple[pa.RecordBatch, list[int]]:
             """Pairs of whole buckets, and the middles of the last one if it is large."""
             check = check.view(np.uint64)
             new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -397,11 +401,12 @@ def stars(index: DataFrame, near: int) -> DataFrame:
                 left += [part[v] for v in a]
                 right += [part[v] for v in b]
                 middles = part[found].tolist()
-            return _pairs(text, left, right), middles
+            return _pairs(text, left, right, np.stack([check, *(f.view(np.uint64) for f in longs)], axis=1), most), middles
 
-        held = [np.empty(0, np.int64)] * 3
+        columns = ["key", "check", "text_id", *names]
+        held = [np.empty(0, np.int64)] * len(columns)
         for b in batches:
-            rows = [np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, ("key", "check", "text_id"), strict=True)]
+            rows = [np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, columns, strict=True)]
             if not len(rows[0]):
                 continue
             cut = int(np.searchsorted(rows[0], rows[0][-1]))
@@ -415,11 +420,11 @@ def stars(index: DataFrame, near: int) -> DataFrame:
         if len(held[0]):
             yield emit(*held)[0]
 
-    return index.repartition(width(index.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    return index.select("key", "check", "text_id", *names).repartition(width(index.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
 def crowded_variants(index: DataFrame, bits: int, block: int) -> DataFrame:
-    """key, blocks: variants whose buckets may pass block members, from counts of the whole segments of segment_keys()."""
+    """key, blocks: one-wildcard variants whose buckets may pass block members, from counts of the whole segments of segment_keys(); for indexes by variants."""
     full = index.groupBy("key").count().filter(F.col("count") > block // 2).select(F.col("key").alias("whole"), "count")
     wild = F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("wild")
     segment, value = F.shiftright("whole", bits), F.col("whole").bitwiseAND(F.lit((1 << bits) - 1))
@@ -428,26 +433,36 @@ def crowded_variants(index: DataFrame, bits: int, block: int) -> DataFrame:
     return full.select("whole", "count", wild).select(key.alias("key"), "count").groupBy("key").agg(F.ceil(2 * F.max("count") / block).cast("int").alias("blocks"))
 
 
-def candidates(index: DataFrame, near: int, crowded: DataFrame) -> DataFrame:
-    """(a, b): text_ids a < b of different roots that meet under a key of segment_variants() and differ in at most near bits of check, of which one is among the other's NEAREST there.
+def crowded_keys(index: DataFrame, block: int) -> DataFrame:
+    """key, blocks: keys of segment_keys() of more than block members."""
+    return index.groupBy("key").count().filter(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+
+
+def candidates(index: DataFrame, near: int, crowded: DataFrame, most: float = math.inf) -> DataFrame:
+    """(a, b): text_ids a < b of different roots that meet under a key of segment_keys() and differ in at most near bits of check and most of all, of which one is among the other's NEAREST there.
 
-    crowded is a table of crowded_variants(): their buckets are dealt out as pairs of blocks."""
+    crowded is a table of crowded_keys(): their buckets are dealt out as pairs of blocks. index may have a side of each row: pairs of one side other than 2 are left out."""
+    names = _longs(index)[:-1]
+    if "side" not in index.columns:
+        index = index.withColumn("side", F.lit(2).cast("byte"))
     if crowded.isEmpty():
         index = index.withColumn("cell", F.lit(0).cast("long"))
     else:
         index = index.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         own = F.pmod(F.xxhash64("text_id"), F.col("blocks").cast("long"))
-        index = index.select("key", "side", "check", "text_id", "root", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("other"))
+        index = index.select("key", "side", "check", "text_id", "root", *names, own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("other"))
         index = index.withColumn("cell", F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(key: np.ndarray, cell: np.ndarray, side: np.ndarray, check: np.ndarray, text: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+        def emit(key: np.ndarray, cell: np.ndarray, side: np.ndarray, check: np.ndarray, text: np.ndarray, root: np.ndarray, *longs: np.ndarray) -> pa.RecordBatch:
             """Pairs of whole buckets."""
             check = check.view(np.uint64)
+            fp = np.stack([check, *(f.view(np.uint64) for f in longs)], axis=1)
             new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])))
             size = np.diff(np.append(new, len(key)))
             x, y = _near_pairs(np.repeat(np.arange(len(new)), size), check, near, lambda x, y: (root[x] != root[y]) & ((side[x] != side[y]) | (side[x] == 2)))
-            both, other = np.concatenate([x, y]), np.concatenate([y, x])
+            alike = _alike(fp, x, y, most)
+            both, other = np.concatenate([x[alike], y[alike]]), np.concatenate([y[alike], x[alike]])
             order = np.lexsort((text[other], np.bitwise_count(check[both] ^ check[other]), both))
             both, other = both[order], other[order]
             first = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
@@ -455,17 +470,20 @@ def candidates(index: DataFrame, near: int, crowded: DataFrame) -> DataFrame:
             left, right = [both[place < NEAREST]], [other[place < NEAREST]]
             for s, n in zip(new[size > CROWD].tolist(), size[size > CROWD].tolist(), strict=True):
                 own, ids, roots = check[s : s + n], text[s : s + n], root[s : s + n]
-                for m in range(n):
+                kinds, count = np.unique(roots, return_counts=True)
+                # where all pairs are wanted, those of the largest component are found from their other ends
+                for m in np.flatnonzero(roots != kinds[np.argmax(count)]).tolist() if n <= NEAREST else range(n):
                     off = np.bitwise_count(own ^ own[m])
                     found = np.flatnonzero((off <= near) & (roots != roots[m]))
+                    found = found[_alike(fp, s + found, np.full(len(found), s + m), most)]
                     found = found[np.lexsort((ids[found], off[found]))[:NEAREST]]
                     left.append(np.full(len(found), s + m))
                     right.append(s + found)
-            return _pairs(text, left, right)
+            return _pairs(text, left, right, fp, most)
 
         held: list[np.ndarray] | None = None
         for b in batches:
-            rows = [b.column(c).to_numpy() for c in ("key", "cell", "side", "check", "text_id", "root")]
+            rows = [b.column(c).to_numpy() for c in ("key", "cell", "side", "check", "text_id", "root", *names)]
             rows = rows if held is None else [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
             if not len(rows[0]):
                 continue
@@ -477,7 +495,7 @@ def candidates(index: DataFrame, near: int, crowded: DataFrame) -> DataFrame:
         if held is not None and len(held[0]):
             yield emit(*held)
 
-    dealt = index.select("key", "cell", "side", "check", "text_id", "root").repartition(width(index.sparkSession), "key", "cell").sortWithinPartitions("key", "cell")
+    dealt = index.select("key", "cell", "side", "check", "text_id", "root", *names).repartition(width(index.sparkSession), "key", "cell").sortWithinPartitions("key", "cell")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -534,17 +552,15 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def similar_texts(docs: DataFrame, marked: DataFrame, similarity: float, shingle: int, segments: int, bits: int) -> DataFrame:
     """(node, root): text_ids of sketches(docs) that links join, with their component's smallest."""
     names = _longs(marked)
-    if segments * bits > 64 * (len(names) - 1):
-        raise ValueError("the segments need longer fingerprints")
     texts = written(marked.select("text_id", *names).distinct(), "distinct-texts")
     spread = texts.repartition(width(docs.sparkSession), "text_id")
-    near = near_bits(64, similarity)
+    near, most = near_bits(64, similarity), near_bits(64 * len(names), similarity)
 
     def close(pairs: DataFrame) -> DataFrame:
         """The pairs that are near by all bits, and how many differ."""
         sides = [texts.select(F.col("text_id").alias(s), *[F.col(f).alias(s + f) for f in names]) for s in ("a", "b")]
         differ = reduce(lambda x, y: x + y, [F.bit_count(F.col("a" + f).bitwiseXOR(F.col("b" + f))) for f in names])
-        return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", differ.cast("int").alias("bits")).filter(F.col("bits") <= near_bits(64 * len(names), similarity))
+        return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", differ.cast("int").alias("bits")).filter(F.col("bits") <= most)
 
     def linked_by(pairs: DataFrame, found: list[DataFrame]) -> DataFrame:
         """Components of the links in found and of those pairs that are links, too, which are added to found.
@@ -569,10 +585,10 @@ def similar_texts(docs: DataFrame, marked: DataFrame, similarity: float, shingle
 
     found: list[DataFrame] = []
     whole = segment_keys(spread, segments, bits)
-    linked = linked_by(written(close(stars(whole, near)), "star-candidates"), found)
+    linked = linked_by(written(close(stars(whole, near, most)), "star-candidates"), found)
     rooted = texts.join(linked, texts["text_id"] == linked["node"], "left").select(*texts.columns, F.coalesce("root", "text_id").alias("root"))
-    index = segment_variants(written(rooted, "rooted-texts").repartition(width(docs.sparkSession), "text_id"), segments, bits)
-    met = candidates(index, near, written(crowded_variants(whole, bits, BLOCK), "crowded-variants"))
+    index = segment_keys(written(rooted, "rooted-texts").repartition(width(docs.sparkSession), "text_id"), segments, bits)
+    met = candidates(index, near, written(crowded_keys(whole, BLOCK), "crowded-keys"), most)
     return linked_by(written(close(met), "candidates"), found)
 
 
@@ -586,7 +602,7 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recal
     names = docs.columns
     segments, bits = sizes(docs.count(), similarity, recall)
     # 64 bits outside the segments are left for the check
-    longs = max(4, 2 * -(-(segments * bits + 64) // 128))
+    longs = max(LONGS, -(-(min(segments * bits, MOST_BITS) + 64) // 64))
     marked = written(sketches(docs, shingle, longs), "sketches")
     linked = similar_texts(docs, marked, similarity, shingle, segments, bits)
     best = marked.groupBy("text_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("best"))
