@@ -13,17 +13,19 @@ Texts of similarity 0.8 differ in about 15 % of a fingerprint's bits, far more t
 which links by similarity, therefore takes fingerprints of 256 bits or more over five-word shingles and many
 segments of them, of which some one is likely to be equal in two similar texts. A segment's bits follow the number
 of texts, so that a bucket holds few unrelated ones, and the number of segments follows from the bits and the
-wanted recall. Rows of a bucket carry the whole fingerprint: pairs that are too far apart by all bits never leave
-the task. The others are verified by the shingles themselves.
+wanted recall. Rows of a bucket carry the whole fingerprint, which tells pairs that are too far apart; the others
+are verified by the shingles themselves.
 
 Large groups of near copies would give all their pairs in every bucket. So most of such a group is joined first,
-by the middles of neighbourhoods. Then all near pairs of texts of different components are offered in every bucket.
+by the middles of neighbourhoods. Then all near pairs of texts of different components are verified, inside their
+buckets: what travels is a row for each text that has such a partner in a bucket, with its shingles, and what leaves
+are links that join components. Rows so follow the texts, also in a group of texts that are similar but not linked.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -41,8 +43,10 @@ BLOCK = 20_000
 RECALL, LEAST_BITS = 0.95, 16
 #: Members up to which all pairs of a bucket are compared at once; buckets hold up to half as many unrelated texts on average. Near pairs a member that make a bucket dense.
 CROWD, DENSE = 64, 2
-#: Members of other components that a text meets in each of its buckets: all.
+#: Members of other components that a text meets in each of its buckets in candidates(): all.
 NEAREST = 1 << 62
+#: Members, and bytes of their shingle hashes, of a bucket that one task verifies; larger buckets are split into pairs of blocks of this size.
+MEMBERS, SHINGLE_BYTES = 1024, 1 << 24
 #: Bits of a fingerprint that segments are made of; more of them share bits.
 MOST_BITS = 960
 #: Least longs of near_dedup()'s fingerprints.
@@ -438,52 +442,24 @@ def crowded_keys(index: DataFrame, block: int) -> DataFrame:
     return index.groupBy("key").count().filter(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
 
 
-def candidates(index: DataFrame, near: int, crowded: DataFrame, most: float = math.inf) -> DataFrame:
-    """(a, b): text_ids a < b of different roots that meet under a key of segment_keys() and differ in at most near bits of check and most of all, of which one is among the other's NEAREST there.
-
-    crowded is a table of crowded_keys(): their buckets are dealt out as pairs of blocks. index may have a side of each row: pairs of one side other than 2 are left out."""
-    names = _longs(index)[:-1]
-    if "side" not in index.columns:
-        index = index.withColumn("side", F.lit(2).cast("byte"))
+def _in_cells(index: DataFrame, crowded: DataFrame) -> DataFrame:
+    """index with own, a row's block, and cell: a pair of blocks (x << 31 | y, x <= y) of a key that crowded lists with its number of blocks, 0 for other keys."""
     if crowded.isEmpty():
-        index = index.withColumn("cell", F.lit(0).cast("long"))
-    else:
-        index = index.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        own = F.pmod(F.xxhash64("text_id"), F.col("blocks").cast("long"))
-        index = index.select("key", "side", "check", "text_id", "root", *names, own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("other"))
-        index = index.withColumn("cell", F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other"))
+        return index.withColumns({"own": F.lit(0).cast("long"), "cell": F.lit(0).cast("long")})
+    columns = index.columns
+    index = index.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)).cast("long"))
+    own = F.pmod(F.xxhash64("text_id"), F.col("blocks"))
+    index = index.select(*columns, own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    return index.select(*columns, "own", (F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other")).alias("cell"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(key: np.ndarray, cell: np.ndarray, side: np.ndarray, check: np.ndarray, text: np.ndarray, root: np.ndarray, *longs: np.ndarray) -> pa.RecordBatch:
-            """Pairs of whole buckets."""
-            check = check.view(np.uint64)
-            fp = np.stack([check, *(f.view(np.uint64) for f in longs)], axis=1)
-            new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])))
-            size = np.diff(np.append(new, len(key)))
-            x, y = _near_pairs(np.repeat(np.arange(len(new)), size), check, near, lambda x, y: (root[x] != root[y]) & ((side[x] != side[y]) | (side[x] == 2)))
-            alike = _alike(fp, x, y, most)
-            both, other = np.concatenate([x[alike], y[alike]]), np.concatenate([y[alike], x[alike]])
-            order = np.lexsort((text[other], np.bitwise_count(check[both] ^ check[other]), both))
-            both, other = both[order], other[order]
-            first = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
-            place = np.arange(len(both)) - np.repeat(first, np.diff(np.append(first, len(both))))
-            left, right = [both[place < NEAREST]], [other[place < NEAREST]]
-            for s, n in zip(new[size > CROWD].tolist(), size[size > CROWD].tolist(), strict=True):
-                own, ids, roots = check[s : s + n], text[s : s + n], root[s : s + n]
-                kinds, count = np.unique(roots, return_counts=True)
-                # where all pairs are wanted, those of the largest component are found from their other ends
-                for m in np.flatnonzero(roots != kinds[np.argmax(count)]).tolist() if n <= NEAREST else range(n):
-                    off = np.bitwise_count(own ^ own[m])
-                    found = np.flatnonzero((off <= near) & (roots != roots[m]))
-                    found = found[_alike(fp, s + found, np.full(len(found), s + m), most)]
-                    found = found[np.lexsort((ids[found], off[found]))[:NEAREST]]
-                    left.append(np.full(len(found), s + m))
-                    right.append(s + found)
-            return _pairs(text, left, right, fp, most)
 
+def _by_cell(index: DataFrame, columns: list[str], emit: Callable[..., pa.RecordBatch], kind: str) -> DataFrame:
+    """What emit gives for the columns (key and cell are the first two) of whole cells of index, in order of key and cell; each cell meets in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for b in batches:
-            rows = [b.column(c).to_numpy() for c in ("key", "cell", "side", "check", "text_id", "root", *names)]
+            rows = [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
             rows = rows if held is None else [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
             if not len(rows[0]):
                 continue
@@ -495,8 +471,128 @@ def candidates(index: DataFrame, near: int, crowded: DataFrame, most: float = ma
         if held is not None and len(held[0]):
             yield emit(*held)
 
-    dealt = index.select("key", "cell", "side", "check", "text_id", "root", *names).repartition(width(index.sparkSession), "key", "cell").sortWithinPartitions("key", "cell")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return index.select(*columns).repartition(width(index.sparkSession), "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(run, kind)
+
+
+def _cells(key: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first positions of cells, and their sizes."""
+    new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])))
+    return new, np.diff(np.append(new, len(key)))
+
+
+def candidates(index: DataFrame, near: int, crowded: DataFrame, most: float = math.inf) -> DataFrame:
+    """(a, b): text_ids a < b of different roots that meet under a key of segment_keys() and differ in at most near bits of check and most of all, of which one is among the other's NEAREST there.
+
+    crowded is a table of crowded_keys(): their buckets are dealt out as pairs of blocks. index may have a side of each row: pairs of one side other than 2 are left out.
+    Pairs may grow with the square of a bucket: near_dedup() takes partnered() and bucket_links()."""
+    names = _longs(index)[:-1]
+    if "side" not in index.columns:
+        index = index.withColumn("side", F.lit(2).cast("byte"))
+
+    def emit(key: np.ndarray, cell: np.ndarray, side: np.ndarray, check: np.ndarray, text: np.ndarray, root: np.ndarray, *longs: np.ndarray) -> pa.RecordBatch:
+        """Pairs of whole buckets."""
+        check = check.view(np.uint64)
+        fp = np.stack([check, *(f.view(np.uint64) for f in longs)], axis=1)
+        new, size = _cells(key, cell)
+        x, y = _near_pairs(np.repeat(np.arange(len(new)), size), check, near, lambda x, y: (root[x] != root[y]) & ((side[x] != side[y]) | (side[x] == 2)))
+        alike = _alike(fp, x, y, most)
+        both, other = np.concatenate([x[alike], y[alike]]), np.concatenate([y[alike], x[alike]])
+        order = np.lexsort((text[other], np.bitwise_count(check[both] ^ check[other]), both))
+        both, other = both[order], other[order]
+        first = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
+        place = np.arange(len(both)) - np.repeat(first, np.diff(np.append(first, len(both))))
+        left, right = [both[place < NEAREST]], [other[place < NEAREST]]
+        for s, n in zip(new[size > CROWD].tolist(), size[size > CROWD].tolist(), strict=True):
+            own, ids, roots = check[s : s + n], text[s : s + n], root[s : s + n]
+            kinds, count = np.unique(roots, return_counts=True)
+            # where all pairs are wanted, those of the largest component are found from their other ends
+            for m in np.flatnonzero(roots != kinds[np.argmax(count)]).tolist() if n <= NEAREST else range(n):
+                off = np.bitwise_count(own ^ own[m])
+                found = np.flatnonzero((off <= near) & (roots != roots[m]))
+                found = found[_alike(fp, s + found, np.full(len(found), s + m), most)]
+                found = found[np.lexsort((ids[found], off[found]))[:NEAREST]]
+                left.append(np.full(len(found), s + m))
+                right.append(s + found)
+        return _pairs(text, left, right, fp, most)
+
+    return _by_cell(_in_cells(index, crowded), ["key", "cell", "side", "check", "text_id", "root", *names], emit, "a long, b long").distinct()
+
+
+def partnered(index: DataFrame, near: int, crowded: DataFrame, most: float = math.inf) -> DataFrame:
+    """key, text_id: the rows of segment_keys() that have a partner under their key: a text of another root that differs in at most near bits of check and most of all.
+
+    crowded is a table of crowded_keys(): their buckets are dealt out as pairs of blocks."""
+    names = _longs(index)[:-1]
+
+    def emit(key: np.ndarray, cell: np.ndarray, check: np.ndarray, text: np.ndarray, root: np.ndarray, *longs: np.ndarray) -> pa.RecordBatch:
+        check = check.view(np.uint64)
+        fp = np.stack([check, *(f.view(np.uint64) for f in longs)], axis=1)
+        new, size = _cells(key, cell)
+        x, y = _near_pairs(np.repeat(np.arange(len(new)), size), check, near, lambda x, y: root[x] != root[y])
+        alike = _alike(fp, x, y, most)
+        has = np.zeros(len(key), bool)
+        has[x[alike]] = has[y[alike]] = True
+        for s, n in zip(new[size > CROWD].tolist(), size[size > CROWD].tolist(), strict=True):
+            own, roots = check[s : s + n], root[s : s + n]
+            kinds, count = np.unique(roots, return_counts=True)
+            # members of the largest component are found from their partners
+            for m in np.flatnonzero(roots != kinds[np.argmax(count)]).tolist():
+                found = s + np.flatnonzero((np.bitwise_count(own ^ own[m]) <= near) & (roots != roots[m]))
+                found = found[_alike(fp, found, np.full(len(found), s + m), most)]
+                has[found] = True
+                has[s + m] |= len(found) > 0
+        return pa.RecordBatch.from_arrays([pa.array(key[has]), pa.array(text[has])], ["key", "text_id"])
+
+    return _by_cell(_in_cells(index, crowded), ["key", "cell", "check", "text_id", "root", *names], emit, "key long, text_id long").distinct()
+
+
+def _joining(root: np.ndarray, own: np.ndarray, apart: bool, fp: np.ndarray, sets: list[np.ndarray], near: int, most: float, similarity: float) -> list[tuple[int, int]]:
+    """Positions of links that join all roots that links among the texts of a cell join: as many as there are roots at most.
+
+    Links are pairs that partnered() counts and whose sets have that similarity; apart: of different blocks only."""
+    number, sizes = np.unique(np.concatenate(sets), return_inverse=True)[1], np.fromiter(map(len, sets), np.int64, len(sets))
+    ends = np.cumsum(sizes)
+    mark, now, out = np.zeros(int(number.max(initial=0)) + 1, bool), np.unique(root, return_inverse=True)[1], []
+    for x in range(len(sets) - 1):
+        other = x + 1 + np.flatnonzero((now[x + 1 :] != now[x]) & (np.bitwise_count(fp[x + 1 :, 0] ^ fp[x, 0]) <= near) & (not apart or own[x + 1 :] != own[x]))
+        other = other[_alike(fp, other, np.full(len(other), x), most)]
+        if not len(other):
+            continue
+        start, stop = ends[x] - sizes[x], ends[other[-1]]
+        mark[number[start : ends[x]]] = True
+        shared = np.append(0, np.cumsum(mark[number[ends[x] : stop]]))
+        mark[number[start : ends[x]]] = False
+        both = shared[ends[other] - ends[x]] - shared[ends[other] - sizes[other] - ends[x]]
+        linked = other[both >= similarity * (sizes[x] + sizes[other] - both)]
+        kinds, first = np.unique(now[linked], return_index=True)
+        out += [(x, int(y)) for y in linked[first]]
+        now[np.isin(now, kinds)] = now[x]
+    return out
+
+
+def bucket_links(met: DataFrame, texts: DataFrame, sets: DataFrame, near: int, most: float, similarity: float) -> DataFrame:
+    """(a, b): pairs a < b of partnered() of at least that Jaccard similarity, whose closure, with roots, is that of all such pairs.
+
+    met is a table of partnered(), texts has text_id, root and the fingerprint, sets the shingle_sets() of the texts in met.
+    Each bucket verifies its own pairs and gives links that join roots, so that rows in and out follow the rows of met. Buckets
+    past MEMBERS rows or SHINGLE_BYTES are dealt out as pairs of blocks."""
+    names = _longs(texts)
+    size = met.join(sets.select("text_id", F.length("shingles").alias("size")), "text_id").groupBy("key").agg(F.count("*").alias("rows"), F.sum("size").alias("size"))
+    blocks = F.greatest(F.ceil(F.col("rows") / MEMBERS), F.ceil(F.col("size") / SHINGLE_BYTES)).cast("int")
+    crowded = written(size.select("key", blocks.alias("blocks")).filter("blocks > 1"), "crowded-buckets")
+    index = _in_cells(met.join(sets.join(texts, "text_id"), "text_id"), crowded)
+
+    def emit(key: np.ndarray, cell: np.ndarray, own: np.ndarray, text: np.ndarray, root: np.ndarray, shingles: np.ndarray, *longs: np.ndarray) -> pa.RecordBatch:
+        # check, the last long, first
+        fp = np.stack([f.view(np.uint64) for f in (longs[-1], *longs[:-1])], axis=1)
+        pairs = []
+        for s, n in zip(*(x.tolist() for x in _cells(key, cell)), strict=True):
+            part, apart = slice(s, s + n), cell[s] >> 31 != cell[s] & (1 << 31) - 1
+            pairs += [(s + x, s + y) for x, y in _joining(root[part], own[part], apart, fp[part], [np.frombuffer(h, np.uint64) for h in shingles[part]], near, most, similarity)]
+        found = np.unique(np.sort(text[np.array(pairs, np.int64).reshape(-1, 2)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return _by_cell(index, ["key", "cell", "own", "text_id", "root", "shingles", *names], emit, "a long, b long").distinct()
 
 
 def _marks(wanted: DataFrame) -> np.ndarray:
@@ -587,9 +683,16 @@ def similar_texts(docs: DataFrame, marked: DataFrame, similarity: float, shingle
     whole = segment_keys(spread, segments, bits)
     linked = linked_by(written(close(stars(whole, near, most)), "star-candidates"), found)
     rooted = texts.join(linked, texts["text_id"] == linked["node"], "left").select(*texts.columns, F.coalesce("root", "text_id").alias("root"))
-    index = segment_keys(written(rooted, "rooted-texts").repartition(width(docs.sparkSession), "text_id"), segments, bits)
-    met = candidates(index, near, written(crowded_keys(whole, BLOCK), "crowded-keys"), most)
-    return linked_by(written(close(met), "candidates"), found)
+    rooted = written(rooted, "rooted-texts")
+    index = segment_keys(rooted.repartition(width(docs.sparkSession), "text_id"), segments, bits)
+    met = written(partnered(index, near, written(crowded_keys(whole, BLOCK), "crowded-keys"), most), "partnered")
+    sets = written(shingle_sets(docs, written(met.select("text_id").distinct(), "wanted-texts"), shingle), "shingle-sets")
+    more = written(bucket_links(met, rooted, sets, near, most, similarity), "more-links")
+    dropped(sets)
+    if more.isEmpty():
+        return linked
+    found.append(more)
+    return written(components(reduce(DataFrame.unionByName, found)), "components")
 
 
 def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = RECALL) -> DataFrame:
