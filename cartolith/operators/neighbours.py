@@ -101,12 +101,13 @@ def first_size(places: DataFrame, side: float, crowd: int) -> float:
 def nearest_in_cells(places: DataFrame, others: DataFrame, n: int, size: float) -> DataFrame:
     """x, y, z, best: of each place (x, y, z) that meets any, the n nearest of others (neighbour, x, y, z) in the 27 cells of that size around its own, as distance and neighbour in order."""
     asked = places.select("x", "y", "z", *[F.floor(_cell(c, size) / TILE).alias(t) for c, t in zip("xyz", TILE_OF, strict=True)])
+    tiles = kept(asked.select(TILE_OF).distinct(), "tiles")
+    ends = tiles.agg(F.count("*").alias("n"), *[f(t).alias(f"{e}{t}") for t in TILE_OF for e, f in (("l", F.min), ("h", F.max))]).first()
     sent = others.select("neighbour", "x", "y", "z")
     for c, t in zip("xyz", TILE_OF, strict=True):
-        sent = sent.withColumn(t, F.explode(F.array_distinct(F.array(*[F.floor((_cell(c, size) + i) / TILE) for i in (-1, 0, 1)]))))
+        sent = sent.withColumn(t, F.explode(F.array_distinct(F.array(*[F.floor((_cell(c, size) + i) / TILE) for i in (-1, 0, 1)])))).filter(F.col(t).between(ends[f"l{t}"], ends[f"h{t}"]))
     # estimates of what explode makes are far too small: joins say themselves what they broadcast
-    tiles = kept(asked.select(TILE_OF).distinct(), "tiles")
-    sent = kept(sent.join(F.broadcast(tiles) if tiles.count() <= TILES else tiles.hint("merge"), TILE_OF, "left_semi"), "sent")
+    sent = kept(sent.join(F.broadcast(tiles) if ends["n"] <= TILES else tiles.hint("merge"), TILE_OF, "left_semi"), "sent")
     counted = asked.select(*TILE_OF, F.lit(1).alias("place")).unionByName(sent.select(*TILE_OF, F.lit(0).alias("place"))).groupBy(TILE_OF).agg(F.sum("place").alias("n"), F.sum(1 - F.col("place")).alias("m"))
     crowded = kept(counted.filter((F.col("n") > PLACES) | (F.col("m") > OTHERS)).select(*TILE_OF, F.ceil(F.col("n") / PLACES).alias("blocks"), F.ceil(F.col("m") / OTHERS).alias("shares")), "crowded")
     buckets = max(width(places.sparkSession), -(-(places.count() + sent.count()) // ROWS))
